@@ -29,6 +29,11 @@ def contains_any(col: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
 
 
+def holds_any(value: Column, words: Sequence[str]) -> Column:
+    """``contains_any`` for a computed value inside a lambda: computed once, not once per word."""
+    return let(F.lower(value), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in words]))
+
+
 def all_matches(col: Column, pattern: str) -> Column:
     return F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
 
@@ -57,11 +62,14 @@ def document_dates(col: Column) -> Column:
 
 
 def date_label(context: Column) -> Column:
-    low = F.lower(context)
-    label = F.when(low.contains(V.DATE_LABELS[0]), V.DATE_LABELS[0])
-    for k in V.DATE_LABELS[1:]:
-        label = label.when(low.contains(k), k)
-    return label.otherwise("unknown")
+    """First label, in list order, that occurs in the text around a date."""
+    def pick(low: Column) -> Column:
+        label = F.when(low.contains(V.DATE_LABELS[0]), V.DATE_LABELS[0])
+        for k in V.DATE_LABELS[1:]:
+            label = label.when(low.contains(k), k)
+        return label.otherwise("unknown")
+
+    return let(F.lower(context), pick)
 
 
 # A match has at least six characters, so nine neighbours more than fill a context.

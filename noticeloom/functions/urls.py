@@ -33,14 +33,15 @@ def _folded(path: Column) -> Column:
     return F.when(plain, path).otherwise(let(F.split(path, "/", -1), fold))
 
 
-def _build(scheme: Column, auth: Column, path: Column, query: Column, frag: Column) -> Column:
-    rooted = F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+def _build(u: Column) -> Column:
+    path = F.when((u["auth"] == "") | (u["path"] == "") | u["path"].startswith("/"), u["path"]) \
+        .otherwise(F.concat(F.lit("/"), u["path"]))
     return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        auth,
-        F.when(auth != "", rooted).otherwise(path),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(frag != "", F.concat(F.lit("#"), frag)).otherwise(""),
+        F.when(u["scheme"] != "", F.concat(u["scheme"], F.lit(":"))).otherwise(""),
+        u["auth"],
+        path,
+        F.when(u["query"] != "", F.concat(F.lit("?"), u["query"])).otherwise(""),
+        F.when(u["frag"] != "", F.concat(F.lit("#"), u["frag"])).otherwise(""),
     )
 
 
@@ -51,23 +52,25 @@ def resolve_url(base: Column, href: Column) -> Column:
 
     def join(v: Column) -> Column:
         b, h = v["b"], v["h"]
-        path_base = F.regexp_replace(b["path"], "[^/]*$", "")
-        merged = F.concat(
-            F.when(path_base == "", F.lit("/")).otherwise(path_base), h["path"])
+        folder = F.regexp_replace(b["path"], "[^/]*$", "")
         # Empty inner segments vanish when a relative path is merged.
-        target = F.when(h["path"].startswith("/"), h["path"]).otherwise(
-            F.regexp_replace(merged, "(?<=/)/+", ""))
-        folded = _folded(target)
-        return (
-            F.when(F.length(h["auth"]) > 2,
-                   _build(b["scheme"], h["auth"], h["path"], h["query"], h["frag"]))
-            .when(h["path"] == "",
-                  _build(b["scheme"], b["auth"], b["path"],
-                         F.when(h["query"] != "", h["query"]).otherwise(b["query"]), h["frag"]))
-            .otherwise(
-                _build(b["scheme"], b["auth"],
-                       F.when(folded == "", F.lit("/")).otherwise(folded), h["query"], h["frag"]))
+        merged = F.regexp_replace(
+            F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), h["path"]),
+            "(?<=/)/+", "")
+        target = F.when(h["path"].startswith("/"), h["path"]).otherwise(merged)
+        own_auth = F.length(h["auth"]) > 2
+        same_path = h["path"] == ""
+        path = (
+            F.when(own_auth, h["path"])
+            .when(same_path, b["path"])
+            .otherwise(let(target, lambda t: let(
+                _folded(t), lambda f: F.when(f == "", F.lit("/")).otherwise(f))))
         )
+        query = F.when(same_path & ~own_auth & (h["query"] == ""), b["query"]).otherwise(h["query"])
+        auth = F.when(own_auth, h["auth"]).otherwise(b["auth"])
+        whole = F.struct(b["scheme"].alias("scheme"), auth.alias("auth"), path.alias("path"),
+                         query.alias("query"), h["frag"].alias("frag"))
+        return let(whole, _build)
 
     scheme = F.lower(F.regexp_extract(clean, _SCHEME, 1))
     own = (scheme != "") & (scheme != F.lower(F.regexp_extract(base, _SCHEME, 1)))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from noticeloom.functions import vocab as V
-from noticeloom.functions.text import contains_any, let
+from noticeloom.functions.text import contains_any, holds_any, let
 from noticeloom.functions.urls import resolve_url
 from noticeloom.operators.nodes import below, glued, spaced
 
@@ -53,7 +53,7 @@ def rows_array(words: Sequence[str] = V.ROW_WORDS) -> Column:
     found = F.flatten(F.transform(
         tagged(F.col("nodes"), "table"),
         lambda table: F.transform(tagged(below(table), "tr"), row)))
-    return F.filter(found, lambda r: (r["n_cells"] >= 2) & contains_any(r["text"], words))
+    return F.filter(found, lambda r: (r["n_cells"] >= 2) & holds_any(r["text"], words))
 
 
 def items_array(words: Sequence[str] = V.ROW_WORDS) -> Column:
@@ -63,20 +63,13 @@ def items_array(words: Sequence[str] = V.ROW_WORDS) -> Column:
         lambda lst: F.transform(
             tagged(below(lst), "li"),
             lambda li: F.struct(glued(li).alias("text"), _first_href(below(li)).alias("href")))))
-    return F.filter(found, lambda r: contains_any(r["text"], words))
+    return F.filter(found, lambda r: holds_any(r["text"], words))
 
 
-def links_array(base: Column) -> Column:
-    """All links, resolved, as ``array<struct<text, href, url>>``."""
-    return F.transform(
-        anchors(F.col("nodes")),
-        lambda a: F.struct(a["text"].alias("text"), a["href"].alias("href"),
-                           resolve_url(base, a["href"]).alias("url")),
-    )
-
-
-def is_relevant(link: Column, words: Sequence[str] = V.LINK_WORDS) -> Column:
-    return contains_any(link["text"], words) | contains_any(link["url"], words)
+def is_relevant(link: Column, base: Column, words: Sequence[str] = V.LINK_WORDS) -> Column:
+    """A word in the text or the resolved address; the address is resolved only when it decides."""
+    return F.when(holds_any(link["text"], words), F.lit(True)) \
+        .otherwise(holds_any(resolve_url(base, link["href"]), words))
 
 
 def is_document(href: Column) -> Column:
@@ -98,7 +91,7 @@ def _after_header(words: Sequence[str]) -> Column:
     def level(n: Column) -> Column:
         return F.substring(n["tag"], 2, 1)
 
-    hits = F.filter(tagged(F.col("nodes"), *HEADERS), lambda h: contains_any(glued(h), words))
+    hits = F.filter(tagged(F.col("nodes"), *HEADERS), lambda h: holds_any(glued(h), words))
     kept = F.filter(
         hits,
         lambda h: F.coalesce(
@@ -114,14 +107,14 @@ def _by_class(words: Sequence[str]) -> Column:
     hits = F.filter(
         F.col("nodes"),
         lambda n: n["tag"].isin("div", "section", "article") & n["cls"].isNotNull()
-        & (contains_any(n["cls"], words)
-           | F.coalesce(contains_any(n["id"], words), F.lit(False))),
+        & (holds_any(n["cls"], words)
+           | F.coalesce(holds_any(n["id"], words), F.lit(False))),
     )
     return F.transform(hits, lambda n: F.struct(F.lit(2).alias("strategy"), n.alias("node")))
 
 
 def _by_table(words: Sequence[str]) -> Column:
-    hits = F.filter(tagged(F.col("nodes"), "table"), lambda t: contains_any(glued(t), words))
+    hits = F.filter(tagged(F.col("nodes"), "table"), lambda t: holds_any(glued(t), words))
     return F.transform(hits, lambda n: F.struct(F.lit(3).alias("strategy"), n.alias("node")))
 
 
@@ -140,7 +133,6 @@ def block_title(node: Column) -> Column:
 
 
 def blocks_array(
-    base: Column,
     indicators: Sequence[str] = V.NOTICE_INDICATORS,
     container_words: Sequence[str] = V.CONTAINER_WORDS,
     table_indicators: Sequence[str] | None = None,
@@ -163,11 +155,7 @@ def blocks_array(
             b["node"]["tag"].alias("tag"),
             block_title(b["node"]).alias("title"),
             spaced(b["node"]).alias("text"),
-            F.transform(
-                anchors(below(b["node"])),
-                lambda a: F.struct(a["text"].alias("text"),
-                                   resolve_url(base, a["href"]).alias("url")),
-            ).alias("links"),
+            anchors(below(b["node"])).alias("links"),
         ),
     )
 
@@ -232,7 +220,7 @@ def page_blocks(
     """One row per candidate block, ``seq`` in strategy order and then page order."""
     return _per_part(
         parsed,
-        blocks_array(F.col("url"), indicators, container_words, strategies=strategies),
+        blocks_array(indicators, container_words, strategies=strategies),
         keys)
 
 
@@ -240,4 +228,5 @@ def block_links(blocks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per link inside a block."""
     return blocks.select(*keys, "seq", "strategy", F.posexplode("links").alias("pos", "link")).select(
         *keys, "seq", "strategy", (F.col("pos") + 1).cast("bigint").alias("link_no"),
-        F.col("link.text").alias("text"), F.col("link.url").alias("link_url"))
+        F.col("link.text").alias("text"),
+        resolve_url(F.col("url"), F.col("link.href")).alias("link_url"))

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Parsing and matching cost much per byte, so small inputs still use all cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # Pages are wide: hand them to Python a few at a time.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
