@@ -38,6 +38,7 @@ def page_parts(
     blocks: bool = True,
     documents: str | None = None,
     active_only: bool = True,
+    fallback: bool = True,
 ) -> DataFrame:
     """One compact row per registry entry and page: blocks, document links, fallback parts.
 
@@ -70,7 +71,7 @@ def page_parts(
         *(["blocks"] if blocks else []),
         *([F.filter("links", lambda l: is_doc(l["href"])).alias("doc_links")]
           if documents else []),
-        F.when(no_block, _fallback()).alias("fallback"),
+        *([F.when(no_block, _fallback()).alias("fallback")] if fallback else []),
     )
     if not small:
         parts = parts.join(entries, F.col("url") == F.col("rfp_url")).drop("rfp_url")
@@ -165,7 +166,8 @@ def document_opportunities(
     active_only: bool = True,
 ) -> DataFrame:
     """Documents only, for issuers who publish that way."""
-    parts = page_parts(registry, pages, blocks=False, documents="strict", active_only=active_only)
+    parts = page_parts(registry, pages, blocks=False, documents="strict",
+                       active_only=active_only, fallback=False)
     return _finish(_documents(parts, documents, strict=True), registry, run_ts)
 
 

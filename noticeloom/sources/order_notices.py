@@ -95,8 +95,8 @@ _ITEM = """
                        '<p>See <a href="?id=', key, '">details</a></div>')
     when 3 then concat('<div class="notice rfp-item" id="n', key, '"><strong>', title,
                        ' details</strong><br>', phrase, ' <a href="/docs/', key,
-                       '.pdf">Document ', key, '</a> <a href="//files.example.com/', key,
-                       '">apply</a></div>')
+                       '.pdf">Document ', key, '</a> <a href="//files.example.com/',
+                       if(key % 2 = 1, 'pdf/', ''), key, '">apply</a></div>')
     else concat('<p><a href="tender-', key, '.html#', key, '">', title, '</a></p>') end
 """
 _SHELL = """
