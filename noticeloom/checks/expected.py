@@ -62,10 +62,10 @@ _VIEWS = {
         WHERE len(ms) > 0""",
     "m2": """SELECT k, text, pno, i, ms[i] AS date,
         CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) AS BIGINT)
-        + coalesce(CAST(list_sum(list_transform(ms[1:i-1], lambda g: length(g))) AS BIGINT), 0) AS at
+        + coalesce(CAST(list_sum(list_transform(ms[1:i-1], lambda g: length(g))) AS BIGINT), 0) AS off
         FROM m1""",
-    "m3": """SELECT k, pno, i, date, trim(substr(text, greatest(at - 50, 0) + 1,
-        at + length(date) + 50 - greatest(at - 50, 0))) AS context FROM m2""",
+    "m3": """SELECT k, pno, i, date, trim(substr(text, greatest(off - 50, 0) + 1,
+        off + length(date) + 50 - greatest(off - 50, 0))) AS context FROM m2""",
     "ctx": """SELECT k, row_number() OVER (PARTITION BY k ORDER BY pno, i) - 1 AS pos, date, context,
         CASE WHEN contains(lower(context), 'deadline') THEN 'deadline'
              WHEN contains(lower(context), 'due date') THEN 'due date'
@@ -422,8 +422,10 @@ _STRICT = """SELECT r.entry, strict_title AS title, description, rfp_id, r.url,
 # Links never leave out a listing page with none of its documents found: every
 # page of layout 3 has blocks, so the fallback only serves layouts 0, 1 and 4.
 _expect("opportunities", f"""SELECT {_COLUMNS} FROM (
-  {_DOC} UNION ALL SELECT * FROM ({_BL}) b WHERE NOT EXISTS (
+  {_DOC} UNION ALL {_BL} b WHERE NOT EXISTS (
     SELECT 1 FROM document_rec q WHERE q.link_no <= coalesce(q.mx, 5) AND q.entry = b.entry
+      AND contains(lower(q.title), lower(b.title))) AND NOT EXISTS (
+    SELECT 1 FROM block_rec q WHERE q.entry = b.entry AND q.k < b.k
       AND contains(lower(q.title), lower(b.title)))
   UNION ALL {_FB}) JOIN meta USING (entry)""")
 _expect("enhanced_opportunities",
