@@ -72,6 +72,7 @@ def date_label(context: Column) -> Column:
     return let(F.lower(context), pick)
 
 
+_DATES = "array<struct<date:string,type:string,context:string>>"
 # A match has at least six characters, so nine neighbours more than fill a context.
 _NEIGHBOURS = V.CONTEXT_CHARS // 6 + 1
 
@@ -123,14 +124,17 @@ def _with_context(col: Column, pattern: str) -> Column:
             F.transform(v["gaps"], lambda g: F.right(g, F.lit(n))).alias("tails"),
         )
 
-    pieces = F.struct(all_matches(col, pattern).alias("found"),
-                      F.split(col, pattern, -1).alias("gaps"))
-    found = let(pieces, lambda p: let(trimmed(p), lambda t: let(units(t), contexts)))
-    return F.transform(
-        found,
-        lambda d: F.struct(d["date"].alias("date"), date_label(d["context"]).alias("type"),
-                           d["context"].alias("context")),
-    )
+    def labelled(found: Column) -> Column:
+        pieces = F.struct(found.alias("found"), F.split(col, pattern, -1).alias("gaps"))
+        return F.transform(
+            let(pieces, lambda p: let(trimmed(p), lambda t: let(units(t), contexts))),
+            lambda d: F.struct(d["date"].alias("date"), date_label(d["context"]).alias("type"),
+                               d["context"].alias("context")),
+        )
+
+    # Most texts lack most patterns: stop at the empty match list.
+    return let(all_matches(col, pattern),
+               lambda f: F.when(F.size(f) > 0, labelled(f)).otherwise(F.array().cast(_DATES)))
 
 
 def dates_with_context(col: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from noticeloom.operators.choose import number_within
 
 ORDER = ("entry", "seq")
+PAGES_SHIFT = 10
 
 
 def named(opps: DataFrame) -> DataFrame:
@@ -47,9 +48,10 @@ def utility_headers(opps: DataFrame) -> DataFrame:
 def numbered(opps: DataFrame) -> DataFrame:
     """Opportunities with ``idx`` 1..n per utility, in order.
 
-    A registry entry is one page, so (utility, entry) is a bounded bucket.
+    A registry entry is one page; a bucket is up to ``2**PAGES_SHIFT`` pages, so
+    neither the rows of a bucket nor the buckets of a utility become too many.
     """
-    return number_within(named(opps), ["utility"], ORDER, F.col("entry"))
+    return number_within(named(opps), ["utility"], ORDER, F.shiftright("entry", PAGES_SHIFT))
 
 
 def extraction_metrics(parts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from noticeloom.schemas import REGISTRY_FILE
 
@@ -15,17 +15,12 @@ def from_envelope(files: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Registry file(s) with ``entry``, the place of a row in its file.
-
-    A registry is configuration: one JSON object per file.
-    """
-    utilities = (
+    """The registry file, one JSON object, with ``entry`` as the place of a row in it."""
+    return (
         spark.read.schema(REGISTRY_FILE).json(path, multiLine=True)
-        .select(F.input_file_name().alias("_file"), F.posexplode("utilities").alias("_pos", "u"))
+        .select(F.posexplode("utilities").alias("pos", "u"))
+        .select(F.col("pos").cast("bigint").alias("entry"), "u.*")
     )
-    order = Window.orderBy("_file", "_pos")
-    return utilities.select(
-        F.row_number().over(order).cast("bigint").alias("entry"), "u.*")
 
 
 def is_on(active: Column) -> Column:
