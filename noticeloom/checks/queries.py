@@ -18,7 +18,7 @@ from noticeloom.operators.nodes import parse_pages
 from noticeloom.plans import opportunities as O, reports
 from noticeloom.session import configure, scratch_dir, spread, write_out
 from noticeloom.sources import order_notices as N, registry as REG
-from noticeloom.sources.tables import read_documents, read_pages
+from noticeloom.sources.tables import read_documents, read_pages, read_table
 from noticeloom.streaming import incremental as INC
 
 import uuid
@@ -535,6 +535,6 @@ def notice_trend(spark, sf):
 
 @query
 def unseen_pages(spark, sf):
-    pages = read_pages(spark, f"{sf}/pages.parquet").select("page_id", "url")
+    pages = read_table(spark, f"{sf}/pages.parquet").select("page_id", "url")
     seen = pages.where("page_id % 3 = 0").select(INC.url_key(F.col("url")).alias("url_key"))
     return INC.unseen_pages(pages, seen).select("page_id", "url_key")

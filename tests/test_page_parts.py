@@ -1,0 +1,166 @@
+import pytest
+from pyspark.sql import functions as F
+
+from noticeloom.operators import page_parts as P
+from noticeloom.operators.nodes import parse_pages, parse_tree
+
+
+def parsed(spark, *html):
+    rows = [(i, "http://a.com/b/", h) for i, h in enumerate(html)]
+    return parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+
+
+def tags(html):
+    return parse_tree(html)[0][4]
+
+
+def depth(html):
+    columns, _ = parse_tree(html)
+    return list(zip(columns[4], columns[2]))
+
+
+def test_implied_ends():
+    assert depth("<p>a<p>b<div>c</div>") == [("p", 0), ("p", 0), ("div", 0)]
+    assert depth("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>") == [
+        ("ul", 0), ("li", 1), ("li", 1), ("ul", 2), ("li", 3), ("li", 1)]
+    assert depth("<table><tr><td>1<td>2<tr><td>3<table><tr><th>n</table></table>") == [
+        ("table", 0), ("tr", 1), ("td", 2), ("td", 2), ("tr", 1), ("td", 2), ("table", 3),
+        ("tr", 4), ("th", 5)]
+    assert depth("<p><b>x<br><p>y</p>z") == [("p", 0), ("b", 1), ("br", 2), ("p", 0)]
+    assert depth("<div><b>x</div>y<i>z</i>") == [("div", 0), ("b", 1), ("i", 0)]
+
+
+def test_an_inline_end_tag_does_not_close_a_cell():
+    assert depth("<b><table><tr><td>x</b><i>y</i></td></tr></table>")[-1] == ("i", 4)
+
+
+def test_raw_text_comments_and_entities():
+    columns, segs = parse_tree(
+        '<script>var t="</p><li>";</script><style>p{}</style><!-- <b>no</b> -->'
+        "<p>a<!-- c -->b &amp; c&nbsp;</p>")
+    assert columns[4] == ["script", "style", "p"]
+    assert segs == ["a", "b & c"]
+
+
+def test_stray_end_tag_does_not_cut_a_string():
+    assert parse_tree("<p>a </i> b</p>")[1] == ["a  b"]
+
+
+def test_attributes():
+    columns, _ = parse_tree('<a HREF=x.html class=" a  b ">t</a><a href="?a=1&amp;b=2" href="z">'
+                            "<div class id='q'>")
+    assert columns[7][:2] == ["x.html", "?a=1&b=2"]
+    assert columns[6] == ["a b", None, ""]
+    assert columns[5][2] == "q"
+
+
+def test_odd_input_never_raises_or_hangs():
+    for html in ("", "<", "<a", "<a href='", "</", "<!--", "<script>", "<a b=\"" * 20000,
+                 "<p" * 5000, "</p>" * 5000, "<<<>>>", "<div/>x", "\x00"):
+        parse_tree(html)
+
+
+def test_null_and_empty_pages_keep_their_rows(spark):
+    rows = parsed(spark, None, "").orderBy("page_id").collect()
+    assert [r.nodes for r in rows] == [None, []]
+    assert [r.parse_error for r in rows] == [None, None]
+
+
+def test_intervals_hold_descendants(spark):
+    [row] = parsed(spark, "<div><p>a<b>c</b></p><p>d</p></div><p>e</p>").collect()
+    for n in row.nodes:
+        inside = [m.pre for m in row.nodes if n.pre < m.pre <= n.end]
+        assert inside == [m.pre for m in row.nodes[n.pre:n.end]]
+        assert all(m.depth > n.depth for m in row.nodes[n.pre:n.end])
+
+
+PAGE = """<html><head><title>t RFP</title><script>var a="<table>"</script></head><body>
+<h2>RFP list</h2><hr><h3>Tender x</h3><h3>No</h3><h3>Open tender</h3>
+<div id=q>para <b>A long enough title here</b> <a href="x.html">lk</a></div>
+<h3>RFQ over</h3><h2>Higher</h2><h2>RFI here</h2><h3>Lower</h3>
+<div class="rfp-box">glued<span>text</span> <a href="/p/d.PDF">doc</a></div>
+<div id="bid">no class</div><section id="bidder" class="">s</section>
+<table><tr><th>Bid no</th><th>Due</th></tr><tr><td>Bid 1<table><tr><td>rfp in</td><td>n2</td></tr>
+</table></td><td>x <a href="#k">k</a></td></tr><tr><td>bid only one</td></tr></table>
+<table><tr><td>tender</td><td>not in the first ten</td></tr></table>
+<ul><li>bid <a href="a">A</a><ul><li>rfq &nbsp; in</li></ul><li>nothing</ul>
+<a>no address</a><a href="viewpdf?id=1">v</a></body></html>"""
+
+
+@pytest.fixture(scope="module")
+def page(spark):
+    return parsed(spark, PAGE).cache()
+
+
+def rows(df, *cols):
+    return [tuple(r) for r in df.orderBy("seq").select(*cols).collect()]
+
+
+def test_links(page):
+    assert rows(P.page_links(page), "text", "link_url") == [
+        ("lk", "http://a.com/b/x.html"), ("doc", "http://a.com/p/d.PDF"), ("k", "http://a.com/b/#k"),
+        ("A", "http://a.com/b/a"), ("v", "http://a.com/b/viewpdf?id=1")]
+
+
+def test_document_links_loose_and_strict(page):
+    def urls(strict):
+        return [r.link_url for r in P.document_links(page, strict).orderBy("link_no").collect()]
+    assert urls(False) == ["http://a.com/p/d.PDF", "http://a.com/b/viewpdf?id=1"]
+    assert urls(True) == ["http://a.com/p/d.PDF"]
+
+
+def test_rows_of_nested_tables_come_twice(page):
+    assert rows(P.table_rows(page), "text", "n_cells", "href") == [
+        ("Bid no Due", 2, None), ("Bid 1rfp inn2 rfp in n2 xk", 4, "#k"),
+        ("rfp in n2", 2, None), ("rfp in n2", 2, None)]
+
+
+def test_items_of_nested_lists_come_twice(page):
+    assert rows(P.list_items(page), "text", "href") == [
+        ("bidArfq   in", "a"), ("rfq   in", None), ("rfq   in", None)]
+
+
+def test_blocks(page):
+    assert rows(P.page_blocks(page), "strategy", "tag", "title") == [
+        (1, "hr", ""),                              # any element may follow a header
+        (1, "div", "A long enough title here"),     # same-level header before it gave none
+        (1, "h3", "Lower"),                         # a deeper header is content
+        (2, "div", "gluedtextdoc"),
+        (2, "section", "s"),                        # id counts once there is a class
+        (3, "table", "Bid noDueBid 1rfp inn2xkbid only one"),
+        (3, "table", "rfp inn2"),
+    ]
+
+
+def test_spaced_text_of_a_block(page):
+    [(text,)] = rows(P.page_blocks(page, (2,)).where("tag = 'div'"), "text")
+    assert text == "glued text doc"
+
+
+def test_block_links_stay_inside(page):
+    got = P.block_links(P.page_blocks(page, (1, 3))).orderBy("seq", "link_no")
+    assert [(r.strategy, r.text) for r in got.collect()] == [(1, "lk"), (3, "k")]
+
+
+def test_title_rules(spark):
+    df = parsed(spark, *[f'<div class="rfp">{h}</div>' for h in (
+        "<b>short</b><strong>Eleven char</strong>",
+        "<b>" + "x" * 199 + "</b>tail", "<b>" + "x" * 200 + "</b>tail",
+        "first line\nsecond", "y" * 300, "<h5>Not a title tag here</h5>rest")])
+    got = [r.title for r in P.page_blocks(df, (2,)).orderBy("page_id").collect()]
+    assert got == ["Eleven char", "x" * 199, "x" * 200, "first line", "y" * 200,
+                   "Not a title tag hererest"]
+
+
+def test_relevant_by_address_only(spark):
+    df = parsed(spark, '<a href="/tenders/1">x</a><a href="/y">Award</a><a href="/z">z</a>')
+    assert rows(P.relevant_links(df), "text") == [("x",), ("Award",)]
+
+
+def test_partitioning_does_not_matter(spark):
+    pages = spark.createDataFrame(
+        [(i, f"http://a.com/{i}/", PAGE.replace("Bid 1", f"Bid {i}")) for i in range(30)],
+        "page_id long, url string, html string")
+    def all_rows(n):
+        return sorted(map(str, P.page_blocks(parse_pages(pages.repartition(n))).collect()))
+    assert all_rows(1) == all_rows(7)

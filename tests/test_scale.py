@@ -1,0 +1,89 @@
+"""What the plans must look like for large tables."""
+
+from pyspark.sql import functions as F
+
+from noticeloom.checks.queries import QUERIES
+from noticeloom.operators import choose, dedup, enrich
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_read_only_their_columns(spark):
+    text = plan(QUERIES["notice_trend"](spark, SF))
+    assert "ReadSchema: struct<o_custkey:bigint,o_orderstatus:string,o_orderdate" in text.replace(
+        "o_orderkey:bigint,", "")
+    assert "o_totalprice" not in text
+    assert "html" not in plan(QUERIES["unseen_pages"](spark, SF))
+
+
+def test_filters_reach_the_scan(spark):
+    assert "PushedFilters: [IsNotNull(html)]" in plan(QUERIES["page_links"](spark, SF))
+
+
+def test_page_parts_do_not_shuffle(spark, tmp_path):
+    from noticeloom.operators import page_parts as P
+    from noticeloom.operators.nodes import parse_pages
+    spark.createDataFrame([(1, "u", "<p>")], "page_id long, url string, html string") \
+        .write.parquet(str(tmp_path / "p"))
+    parsed = parse_pages(spark.read.parquet(str(tmp_path / "p")))
+    for part in (P.page_links, P.table_rows, P.list_items, P.page_blocks, P.document_links):
+        assert "Exchange" not in plan(part(parsed))
+
+
+def _skewed(spark):
+    """One group holds most rows, in files so that sizes are real."""
+    return spark.range(60_000).selectExpr(
+        "if(id % 10 < 9, 'hot', concat('g', id % 500)) as g", "id as seq",
+        "concat('Notice number ', id, ' for works of kind ', id % 7) as title")
+
+
+def _executed(spark, df):
+    """Final plan text after running with thresholds that make small data count as skewed."""
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df.collect()
+        return plan(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_skewed_joins_are_split(spark):
+    rows = _skewed(spark).repartition(8)
+    names = spark.createDataFrame([("hot", "H")] + [(f"g{i}", "n") for i in range(500)],
+                                  "g string, name string")
+    assert "skew=true" in _executed(spark, rows.join(names, "g"))
+    tiers = rows.withColumn("tier", F.expr("if(seq % 2 = 0, 1, 2)"))
+    assert "skew=true" in _executed(spark, choose.best_tier(tiers, ["g"]))
+
+
+def test_a_hot_group_is_numbered_by_many_tasks(spark):
+    df = _skewed(spark)
+    got = choose.number_within(df, ["g"], ["seq"], F.shiftright("seq", 10))
+    assert got.where("g = 'hot'").agg(F.max("idx")).first()[0] == 54_000
+    # Rows are spread by group and bucket; only the counts are spread by group alone.
+    assert "hashpartitioning(g#" in plan(got) and "_bucket#" in plan(got)
+
+
+def test_small_means_counted(spark):
+    assert enrich.is_small(spark.range(10), 10) and not enrich.is_small(spark.range(11), 10)
+
+
+def test_contained_titles_of_a_hot_group(spark):
+    df = _skewed(spark).repartition(8)
+    # "... kind 1" never holds another whole title: numbers differ.
+    assert dedup.drop_contained(df, ["g"]).count() == 60_000
