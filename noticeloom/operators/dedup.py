@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from noticeloom.functions.text import norm_title
+from noticeloom.session import write_out
 
 
 def first_per_title(
@@ -26,19 +27,19 @@ def first_per_title(
     )
 
 
-# Titles of at least _GRAM + _WINDOW - 1 characters are found by one of their
-# grams, shorter ones by their length.
-_GRAM = 8
-_WINDOW = 9
-_SHORT = _GRAM + _WINDOW - 2
+_GRAM = 8    # characters of a gram
+_EVERY = 4   # one gram in so many, by hash, is a mark
+_HEAD = 4    # characters a title without marks is looked up by
 
 
-def _grams(t: Column, count: Column) -> Column:
-    """Hash and place of the first ``count`` grams of ``t``."""
-    return F.transform(
-        F.sequence(F.lit(1), count),
+def _marks(t: Column, size: Column) -> Column:
+    """Hash and place of the marked grams of ``t``: the same in every title that holds them."""
+    grams = F.transform(
+        F.sequence(F.lit(1), size - (_GRAM - 1)),
         lambda i: F.struct(F.xxhash64(F.substring(t, i, F.lit(_GRAM))).alias("h"), i.alias("i")),
     )
+    marked = F.filter(grams, lambda g: g["h"] % _EVERY == 0)
+    return F.when(size >= _GRAM, marked).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
 
 
 def drop_contained(
@@ -54,60 +55,67 @@ def drop_contained(
     Containment is transitive, so "an earlier kept title contains mine" and "an
     earlier title contains mine" are the same test and no loop is needed.
 
-    No two titles of a group are paired. Each distinct title that may go
-    publishes where and how to look for it; every title cuts out the substrings
-    asked for, and those meet the titles in an equi-join:
+    No two titles of a group are paired. Each distinct title that may go says
+    where to look for it, every title cuts out the substrings asked for, and
+    those meet the titles in an equi-join:
 
-    * a long title names the least-hashed gram of its first window, that gram's
-      place in it and its length. A title that contains it has the same gram as
-      the least of one of its own windows, so only those few grams are joined;
-    * a short title names its length only.
+    * a title with marks names one of them, with its place and its own length;
+      whatever contains the title has that mark too. Marks with a digit go
+      first: numbers tell notices apart, stock phrases do not;
+    * a title without marks (most have fewer than 20 characters) names its first
+      characters and its length.
 
-    The substrings per title are bounded by the distinct places and lengths,
-    never by the size of the group. Every join here has AQE's skew split open to
-    it. ``df`` is read several times: write it first if it is costly.
+    Copies are one title from the start, and the substrings cut from a title are
+    bounded by the distinct places and lengths asked for, not by the size of the
+    group. Where one group is hot, AQE splits its side of these joins.
     """
     low = F.lower(F.col(title))
     can_go = F.lit(True) if droppable is None else droppable
-    size = F.length("t").alias("size")
-
-    sought = df.where(can_go).select(*group, low.alias("t")).select(*group, "t", size)
-    titles = (
-        df.select(*group, low.alias("t"), F.col(seq).alias("s"))
-        .groupBy(*group, "t").agg(F.min("s").alias("s")).select(*group, "t", "s", size)
-    )
-
-    anchor = F.array_min(_grams(F.col("t"), F.lit(_WINDOW)))
-    shapes = (
-        sought.where(F.col("size") > _SHORT)
-        .select(*group, anchor.alias("a"), F.col("size").alias("want"))
+    size = F.col("size")
+
+    titles = write_out(
+        df.select(*group, low.alias("t"), F.col(seq).alias("s"), can_go.alias("can_go"))
+        .groupBy(*group, "t").agg(F.min("s").alias("s"), F.max("can_go").alias("can_go"))
+        .withColumn("size", F.length("t"))
+        .withColumn("marks", _marks(F.col("t"), size)),
+        "titles")
+    sought = titles.where("can_go")
+
+    anchor = F.array_min(F.transform("marks", lambda m: F.struct(
+        (~F.substring("t", m["i"], F.lit(_GRAM)).rlike("[0-9]")).alias("plain"),
+        m["h"].alias("h"), m["i"].alias("i"))))
+    by_mark = (
+        sought.where(F.size("marks") > 0)
+        .select(*group, anchor.alias("a"), size.alias("want"))
         .select(*group, "a.h", F.col("a.i").alias("place"), "want")
         .distinct()
     )
-    minima = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.col("size") - _SHORT),
-        lambda j: F.array_min(F.slice("grams", j, F.lit(_WINDOW)))))
     start = F.col("i") - F.col("place") + 1
-    long_cuts = (
-        titles.where(F.col("size") > _SHORT)
-        .withColumn("grams", _grams(F.col("t"), F.col("size") - (_GRAM - 1)))
-        .select(*group, "t", "s", "size", F.inline(minima))
-        .join(shapes, [*group, "h"])
-        .where((start >= 1) & (start + F.col("want") - 1 <= F.col("size")))
+    mark_cuts = (
+        titles.select(*group, "t", "s", "size", F.inline("marks"))
+        .join(by_mark, [*group, "h"])
+        .where((start >= 1) & (start + F.col("want") - 1 <= size))
         .select(*group, "s", F.substring("t", start, F.col("want")).alias("t"))
     )
 
-    lengths = sought.where(F.col("size") <= _SHORT) \
-        .select(*group, F.col("size").alias("want")).distinct()
-    short_cuts = (
-        titles.join(lengths, list(group))
-        .where(F.col("want") <= F.col("size"))
-        .select(*group, "s", F.explode(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.col("size") - F.col("want") + 1, F.lit(1))),
-            lambda i: F.substring(F.col("t"), i, F.col("want")))).alias("t"))
+    by_head = (
+        sought.where(F.size("marks") == 0)
+        .withColumn("q", F.least(size, F.lit(_HEAD)))
+        .select(*group, "q", F.left("t", F.col("q")).alias("head"), size.alias("want"))
+        .distinct()
+    )
+    head_sizes = by_head.select(*group, "q").distinct()  # at most _HEAD + 1 per group
+    head_cuts = (
+        titles.select(*group, "t", "s", "size").join(head_sizes, list(group))
+        .where(F.col("q") <= size)
+        .select("*", F.explode(F.sequence(F.lit(1), size - F.col("q") + 1)).alias("i"))
+        .withColumn("head", F.substring("t", F.col("i"), F.col("q")))
+        .join(by_head, [*group, "q", "head"])
+        .where(F.col("i") + F.col("want") - 1 <= size)
+        .select(*group, "s", F.substring("t", F.col("i"), F.col("want")).alias("t"))
     )
 
-    earliest = long_cuts.unionByName(short_cuts).groupBy(*group, "t").agg(F.min("s").alias("s"))
+    earliest = mark_cuts.unionByName(head_cuts).groupBy(*group, "t").agg(F.min("s").alias("s"))
     left = df.withColumn("_low", low)
     hit = (left["_low"] == earliest["t"]) & (earliest["s"] < left[seq]) & can_go
     for g in group:
