@@ -34,18 +34,16 @@ NODE = T.StructType([
     T.StructField("nseg", T.IntegerType()),
 ])
 
+# Comment or declaration | end tag | element of raw text, whole | start tag.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<[!?][^>]*>"
-    r"|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+    r"|</([a-zA-Z][^\s/>]*)[^>]*>"
+    r"|<((?i:script|style|textarea|title))(?=[\s/>])([^>]*)>(.*?)(?:(</(?i:\2)(?=[\s/>])[^>]*>)|\Z)"
+    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>",
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 _WANTED = re.compile(r"class|id|href", re.I)
-_RAW_END = {
-    t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title")
-}
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -79,114 +77,107 @@ _RANK = {"div": 1, "td": 2, "th": 2, "tr": 3, "thead": 4, "tbody": 4, "tfoot": 4
          "table": 5, "head": 6, "body": 6, "html": 7}
 
 
+def _attributes(attrs: str) -> tuple[str | None, str | None, str | None]:
+    """id, class and href of a start tag; the first of each counts."""
+    found: dict[str, str] = {}
+    for key, value in _ATTR.findall(attrs):
+        key = key.lower()
+        if key in ("id", "class", "href"):
+            if value[:1] in ("'", '"'):
+                value = value[1:-1]
+            found.setdefault(key, _html.unescape(value) if "&" in value else value)
+    cls = found.get("class")
+    return found.get("id"), None if cls is None else " ".join(cls.split()), found.get("href")
+
+
 def parse_tree(text: str) -> tuple[list[list], list[str]]:
-    """Columns of the node array (in ``NODE`` order) and the text strings of one page."""
-    end, depth, parent, tags, ids, classes, hrefs, seg, nseg = ([] for _ in range(9))
+    """Rows of the node array (fields as in ``NODE``) and the text strings of one page."""
+    rows: list[list] = []
     segs: list[str] = []
-    stack: list[int] = []  # positions of open elements
-    names: list[str] = []  # and their tags
-    pending: list[str] = []
+    stack: list[list] = []  # rows of open elements
+    buf = ""
     silent = 0  # open elements whose text does not count
 
-    def flush() -> None:
-        if pending:
-            if not silent:
-                raw = "".join(pending)
-                s = (_html.unescape(raw) if "&" in raw else raw).strip()
-                if s:
-                    segs.append(s)
-            pending.clear()
+    def add_text(raw: str) -> None:
+        string = (_html.unescape(raw) if "&" in raw else raw).strip()
+        if string:
+            segs.append(string)
 
     def close_to(level: int) -> None:
         nonlocal silent
-        while len(stack) > level:
-            at = stack.pop()
-            silent -= names.pop() in _NO_TEXT
-            end[at] = len(tags)
-            nseg[at] = len(segs) + 1 - seg[at]
+        last_node, next_seg = len(rows), len(segs) + 1
+        for row in stack[level:]:
+            row[1] = last_node
+            row[9] = next_seg - row[8]
+            silent -= row[4] in _NO_TEXT
+        del stack[level:]
 
-    pos, size = 0, len(text)
+    pos = 0
     last = text.rfind(">") + 1  # no tag can end after this
-    while pos < size:
-        m = _TOKEN.search(text, pos, last) if pos < last else None
-        if m is None:
-            pending.append(text[pos:])
-            break
-        if m.start() > pos:
-            pending.append(text[pos:m.start()])
+    for m in _TOKEN.finditer(text, 0, last):
+        start = m.start()
+        if start > pos:
+            buf += text[pos:start]
         pos = m.end()
-        name = m["open"]
-        if name is not None:
-            flush()
-            tag = name.lower()
-            rule = _IMPLIED.get(tag)
-            if rule is not None:
-                ends, walls = rule
-                for level in range(len(names) - 1, -1, -1):
-                    if names[level] in ends:
-                        close_to(level)
-                        break
-                    if names[level] in walls:
-                        break
-            attrs = m["attrs"]
-            ident = cls = href = None
-            if attrs and _WANTED.search(attrs):
-                for key, value in _ATTR.findall(attrs):
-                    key = key.lower()
-                    if key in ("class", "id", "href"):
-                        if value[:1] in ("'", '"'):
-                            value = value[1:-1]
-                        if "&" in value:
-                            value = _html.unescape(value)
-                        if key == "href":
-                            href = value if href is None else href
-                        elif key == "id":
-                            ident = value if ident is None else ident
-                        elif cls is None:
-                            cls = " ".join(value.split())
-            at = len(tags)
-            tags.append(tag)
-            ids.append(ident)
-            classes.append(cls)
-            hrefs.append(href)
-            depth.append(len(stack))
-            parent.append(stack[-1] + 1 if stack else 0)
-            seg.append(len(segs) + 1)
-            nseg.append(0)
-            end.append(at + 1)
-            if tag in _VOID or attrs.endswith("/"):
-                continue
-            raw_end = _RAW_END.get(tag)
-            if raw_end is None:
-                stack.append(at)
-                names.append(tag)
-                silent += tag in _NO_TEXT
-                continue
-            stop = raw_end.search(text, pos)
-            silent += tag in _NO_TEXT
-            pending.append(text[pos:stop.start() if stop else size])
-            flush()
-            silent -= tag in _NO_TEXT
-            nseg[at] = len(segs) + 1 - seg[at]
-            pos = stop.end() if stop else size
-            continue
-        name = m["close"]
-        if name is not None:
-            tag = name.lower()
+        end_name, raw_name, raw_attrs, raw_text, raw_end, name, attrs = m.groups()
+
+        if end_name is not None:
+            tag = end_name.lower()
             rank = _RANK.get(tag, 0)
-            for level in range(len(names) - 1, -1, -1):
-                if names[level] == tag:
-                    flush()
+            for level in range(len(stack) - 1, -1, -1):
+                open_tag = stack[level][4]
+                if open_tag == tag:
+                    if buf:
+                        if not silent:
+                            add_text(buf)
+                        buf = ""
                     close_to(level)
                     break
-                if _RANK.get(names[level], 0) > rank:
+                if _RANK.get(open_tag, 0) > rank:
                     break
-        elif m[0].startswith("<!--"):
-            flush()  # a comment separates two strings
-    flush()
+            continue
+
+        if buf:  # a comment separates two strings as a start tag does
+            if not silent:
+                add_text(buf)
+            buf = ""
+        if raw_name is not None:
+            name, attrs = raw_name, raw_attrs
+        elif name is None:
+            continue
+        tag = name.lower()
+        rule = _IMPLIED.get(tag)
+        if rule is not None:
+            ends, walls = rule
+            for level in range(len(stack) - 1, -1, -1):
+                open_tag = stack[level][4]
+                if open_tag in ends:
+                    close_to(level)
+                    break
+                if open_tag in walls:
+                    break
+        ident = cls = href = None
+        if attrs and _WANTED.search(attrs):
+            ident, cls, href = _attributes(attrs)
+        pre = len(rows) + 1
+        row = [pre, pre, len(stack), stack[-1][0] if stack else 0, tag, ident, cls, href,
+               len(segs) + 1, 0]
+        rows.append(row)
+        if raw_name is not None:
+            if raw_end is None:  # never closed: it takes the rest of the page
+                raw_text += text[pos:]
+                pos = len(text)
+            if tag not in _NO_TEXT and not silent:
+                add_text(raw_text)
+                row[9] = len(segs) + 1 - row[8]
+        elif tag not in _VOID and not attrs.endswith("/"):
+            stack.append(row)
+            silent += tag in _NO_TEXT
+    buf += text[pos:]
+    if buf and not silent:
+        add_text(buf)
     close_to(0)
-    n = len(tags)
-    return [list(range(1, n + 1)), end, depth, parent, tags, ids, classes, hrefs, seg, nseg], segs
+    return rows, segs
 
 
 _ARROW_NODE = [pa.int32()] * 4 + [pa.string()] * 4 + [pa.int32()] * 2
@@ -195,13 +186,13 @@ _ARROW_NODE = [pa.int32()] * 4 + [pa.string()] * 4 + [pa.int32()] * 2
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("html")
-        columns: list[list] = [[] for _ in _ARROW_NODE]
+        rows: list[list] = []
         strings: list[str] = []
         node_offsets: list[int | None] = []
         seg_offsets: list[int | None] = []
         errors: list[str | None] = []
-        for page in batch.column(at):
-            text, error, tree = page.as_py(), None, None
+        for text in batch.column(at).to_pylist():
+            error = tree = None
             if text is not None:
                 try:
                     tree = parse_tree(text)
@@ -209,14 +200,14 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     error = f"{type(exc).__name__}: {exc}"
             errors.append(error)
             # A null offset makes the list itself null.
-            node_offsets.append(None if tree is None else len(columns[0]))
+            node_offsets.append(None if tree is None else len(rows))
             seg_offsets.append(None if tree is None else len(strings))
             if tree is not None:
-                for column, values in zip(columns, tree[0]):
-                    column.extend(values)
-                strings.extend(tree[1])
-        node_offsets.append(len(columns[0]))
+                rows += tree[0]
+                strings += tree[1]
+        node_offsets.append(len(rows))
         seg_offsets.append(len(strings))
+        columns = zip(*rows) if rows else ((),) * len(_ARROW_NODE)
         structs = pa.StructArray.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, _ARROW_NODE)], names=NODE.names
         )

@@ -10,13 +10,8 @@ def parsed(spark, *html):
     return parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
 
 
-def tags(html):
-    return parse_tree(html)[0][4]
-
-
 def depth(html):
-    columns, _ = parse_tree(html)
-    return list(zip(columns[4], columns[2]))
+    return [(row[4], row[2]) for row in parse_tree(html)[0]]
 
 
 def test_implied_ends():
@@ -35,10 +30,10 @@ def test_an_inline_end_tag_does_not_close_a_cell():
 
 
 def test_raw_text_comments_and_entities():
-    columns, segs = parse_tree(
+    rows, segs = parse_tree(
         '<script>var t="</p><li>";</script><style>p{}</style><!-- <b>no</b> -->'
         "<p>a<!-- c -->b &amp; c&nbsp;</p>")
-    assert columns[4] == ["script", "style", "p"]
+    assert [r[4] for r in rows] == ["script", "style", "p"]
     assert segs == ["a", "b & c"]
 
 
@@ -47,11 +42,18 @@ def test_stray_end_tag_does_not_cut_a_string():
 
 
 def test_attributes():
-    columns, _ = parse_tree('<a HREF=x.html class=" a  b ">t</a><a href="?a=1&amp;b=2" href="z">'
+    rows, _ = parse_tree('<a HREF=x.html class=" a  b ">t</a><a href="?a=1&amp;b=2" href="z">'
                             "<div class id='q'>")
-    assert columns[7][:2] == ["x.html", "?a=1&b=2"]
-    assert columns[6] == ["a b", None, ""]
-    assert columns[5][2] == "q"
+    assert [r[7] for r in rows] == ["x.html", "?a=1&b=2", None]
+    assert [r[6] for r in rows] == ["a b", None, ""]
+    assert rows[2][5] == "q"
+
+
+def test_an_open_script_takes_the_rest():
+    rows, segs = parse_tree("<p>a</p><script>b <i>c</i> d")
+    assert [r[4] for r in rows] == ["p", "script"] and segs == ["a"]
+    rows, segs = parse_tree("<title>x <b>y</title>z<textarea>w")
+    assert [r[4] for r in rows] == ["title", "textarea"] and segs == ["x <b>y", "z", "w"]
 
 
 def test_odd_input_never_raises_or_hangs():
