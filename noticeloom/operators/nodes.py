@@ -97,6 +97,7 @@ def parse_tree(text: str) -> tuple[list[list], list[str]]:
     stack: list[list] = []  # rows of open elements
     buf = ""
     silent = 0  # open elements whose text does not count
+    paragraphs = 0  # open p elements
 
     def add_text(raw: str) -> None:
         string = (_html.unescape(raw) if "&" in raw else raw).strip()
@@ -104,50 +105,52 @@ def parse_tree(text: str) -> tuple[list[list], list[str]]:
             segs.append(string)
 
     def close_to(level: int) -> None:
-        nonlocal silent
+        nonlocal silent, paragraphs
         last_node, next_seg = len(rows), len(segs) + 1
-        for row in stack[level:]:
+        while len(stack) > level:
+            row = stack.pop()
             row[1] = last_node
             row[9] = next_seg - row[8]
-            silent -= row[4] in _NO_TEXT
-        del stack[level:]
+            tag = row[4]
+            if tag == "p":
+                paragraphs -= 1
+            elif tag in _NO_TEXT:
+                silent -= 1
 
     pos = 0
     last = text.rfind(">") + 1  # no tag can end after this
     for m in _TOKEN.finditer(text, 0, last):
-        start = m.start()
+        start, end = m.span()
         if start > pos:
             buf += text[pos:start]
-        pos = m.end()
-        end_name, raw_name, raw_attrs, raw_text, raw_end, name, attrs = m.groups()
+        pos = end
+        kind = m.lastindex
 
-        if end_name is not None:
-            tag = end_name.lower()
+        if kind == 1:  # end tag
+            tag = m[1].lower()
+            level = len(stack) - 1
             rank = _RANK.get(tag, 0)
-            for level in range(len(stack) - 1, -1, -1):
-                open_tag = stack[level][4]
-                if open_tag == tag:
-                    if buf:
-                        if not silent:
-                            add_text(buf)
-                        buf = ""
-                    close_to(level)
-                    break
-                if _RANK.get(open_tag, 0) > rank:
-                    break
+            while level >= 0 and stack[level][4] != tag:
+                level = -1 if _RANK.get(stack[level][4], 0) > rank else level - 1
+            if level >= 0:
+                if buf:
+                    if not silent:
+                        add_text(buf)
+                    buf = ""
+                close_to(level)
             continue
 
         if buf:  # a comment separates two strings as a start tag does
             if not silent:
                 add_text(buf)
             buf = ""
-        if raw_name is not None:
-            name, attrs = raw_name, raw_attrs
-        elif name is None:
+        if kind is None:
             continue
-        tag = name.lower()
+        raw = kind < 6
+        tag = (m[2] if raw else m[6]).lower()
+        attrs = m[3] if raw else m[7]
         rule = _IMPLIED.get(tag)
-        if rule is not None:
+        if rule is not None and (paragraphs or rule is not _ENDS_P):
             ends, walls = rule
             for level in range(len(stack) - 1, -1, -1):
                 open_tag = stack[level][4]
@@ -163,16 +166,20 @@ def parse_tree(text: str) -> tuple[list[list], list[str]]:
         row = [pre, pre, len(stack), stack[-1][0] if stack else 0, tag, ident, cls, href,
                len(segs) + 1, 0]
         rows.append(row)
-        if raw_name is not None:
-            if raw_end is None:  # never closed: it takes the rest of the page
-                raw_text += text[pos:]
+        if raw:
+            inner = m[4]
+            if kind == 4:  # never closed: it takes the rest of the page
+                inner += text[pos:]
                 pos = len(text)
             if tag not in _NO_TEXT and not silent:
-                add_text(raw_text)
+                add_text(inner)
                 row[9] = len(segs) + 1 - row[8]
         elif tag not in _VOID and not attrs.endswith("/"):
             stack.append(row)
-            silent += tag in _NO_TEXT
+            if tag == "p":
+                paragraphs += 1
+            elif tag in _NO_TEXT:
+                silent += 1
     buf += text[pos:]
     if buf and not silent:
         add_text(buf)
