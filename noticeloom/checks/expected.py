@@ -87,7 +87,7 @@ _VIEWS = {
     "docs": """SELECT n.*, host || '/docs/' || k || '.pdf' AS durl,
         'Terms for ' || title || chr(10) || phrase || chr(10) || phrase AS dtext,
         CASE k % 4 WHEN 0 THEN title || ' details specification' WHEN 1 THEN 'Untitled' END AS mtitle,
-        CASE WHEN k % 4 < 3 THEN k % 9 END AS npages FROM n WHERE c % 5 = 3 AND k % 5 <> 0""",
+        CASE WHEN k % 4 < 3 THEN k % 9 END AS npages FROM n WHERE k % 5 <> 0""",
     "ddates": r"""SELECT k, coalesce(array_to_string(list_sort(list_distinct(list_concat(list_concat(
           regexp_extract_all(dtext, '\d{1,2}/\d{1,2}/\d{2,4}')[1:10],
           regexp_extract_all(dtext, '\d{4}-\d{2}-\d{2}')[1:10]),
@@ -167,8 +167,10 @@ _VIEWS = {
         CAST(NULL AS VARCHAR) AS links, CAST(npages AS BIGINT) AS npages, mx
         FROM doclinks l JOIN docs USING (k) JOIN ddates USING (k) JOIN did USING (k)
         JOIN reg ON reg.c = l.c WHERE l.part = 0""",
-    "did": r"""SELECT k, coalesce(nullif(regexp_extract(substr(dtext, 1, 2000), '(?i)RFQ[#\s:-]*([A-Z0-9-]+)'), ''),
-        nullif(regexp_extract(substr(dtext, 1, 2000), '(?i)Solicitation[#\s:-]*([A-Z0-9-]+)'), '')) AS rfp_id
+    "did": r"""SELECT k, coalesce(nullif(regexp_extract(substr(dtext, 1, 2000), '(?i)RFP[#\s:-]*([A-Z0-9-]+)'), ''),
+        nullif(regexp_extract(substr(dtext, 1, 2000), '(?i)RFQ[#\s:-]*([A-Z0-9-]+)'), ''),
+        nullif(regexp_extract(substr(dtext, 1, 2000), '(?i)Solicitation[#\s:-]*([A-Z0-9-]+)'), ''),
+        nullif(regexp_extract(substr(dtext, 1, 2000), '(?i)Project[#\s:-]*([A-Z0-9-]+)'), '')) AS rfp_id
         FROM docs""",
     "meta": """SELECT DISTINCT entry, name AS utility, id AS utility_id, type AS utility_type, region
         FROM n JOIN reg USING (c) WHERE active""",
@@ -315,12 +317,12 @@ _expect("containment_dedup", """SELECT 'u' || c AS utility_id, k AS key, title F
 _expect("merge_sources", """SELECT 'u' || c AS utility_id, title, source_rank, k AS key FROM (
   SELECT *, row_number() OVER (PARTITION BY c ORDER BY source_rank, k) AS rn FROM (
     SELECT c, k, title || ' Specification' AS title, CAST(0 AS BIGINT) AS source_rank FROM n
-      WHERE c % 5 = 3 AND k % 4 = 0
-    UNION ALL SELECT c, k, title, 1 FROM n WHERE c % 5 = 3 AND k % 4 <> 0)) a
+      WHERE k % 4 = 0
+    UNION ALL SELECT c, k, title, 1 FROM n WHERE k % 4 <> 0)) a
   WHERE source_rank = 0 OR NOT EXISTS (SELECT 1 FROM (
       SELECT c, k, title || ' Specification' AS title, 0 AS source_rank FROM n
-        WHERE c % 5 = 3 AND k % 4 = 0
-      UNION ALL SELECT c, k, title, 1 FROM n WHERE c % 5 = 3 AND k % 4 <> 0) b
+        WHERE k % 4 = 0
+      UNION ALL SELECT c, k, title, 1 FROM n WHERE k % 4 <> 0) b
     WHERE b.c = a.c AND (b.source_rank < a.source_rank OR b.k < a.k)
       AND contains(lower(b.title), lower(a.title)))""")
 
@@ -439,7 +441,7 @@ _expect("extraction_metrics", """SELECT entry,
   CAST(count(*) FILTER (c % 5 IN (2, 3)) AS BIGINT) AS n_blocks,
   CAST(count(*) FILTER (c % 5 = 3) + count(*) FILTER (c % 5 = 3 AND k % 2 = 1) AS BIGINT) AS n_doc_links,
   CAST(CASE WHEN c % 5 IN (0, 1) THEN count(*) WHEN c % 5 = 4 THEN least(count(*), 10) ELSE 0 END
-    AS BIGINT) AS n_fallback
+    AS BIGINT) AS n_fallback, FALSE AS failed
   FROM n JOIN reg USING (c) WHERE active GROUP BY entry, c""")
 
 # Repeated runs

@@ -50,6 +50,10 @@ def _raw_documents(spark: SparkSession, sf: str) -> DataFrame:
     return spread(read_documents(spark, f"{sf}/documents.parquet"))
 
 
+def _decoded(spark: SparkSession, sf: str) -> DataFrame:
+    return N.linked_documents(spark, sf).where(F.col("text").isNotNull())
+
+
 def _listing(spark: SparkSession, sf: str) -> DataFrame:
     return parse_pages(N.listing_pages(spark, sf).select("page_id", "url", "html"))
 
@@ -238,7 +242,7 @@ def date_labels(spark, sf):
 
 @query
 def document_dates(spark, sf):
-    return N.linked_documents(spark, sf).select(
+    return _decoded(spark, sf).select(
         "url", X.document_dates(F.col("text")).alias("dates")).select("url", _joined("dates"))
 
 
@@ -249,7 +253,7 @@ def notice_id(spark, sf):
 
 @query
 def document_id(spark, sf):
-    return N.linked_documents(spark, sf).select("url", X.document_id(F.col("text")).alias("rfp_id"))
+    return _decoded(spark, sf).select("url", X.document_id(F.col("text")).alias("rfp_id"))
 
 
 @query
@@ -282,7 +286,7 @@ def resolve_urls(spark, sf):
 
 @query
 def document_titles(spark, sf):
-    docs = N.linked_documents(spark, sf)
+    docs = _decoded(spark, sf)
     link_text = F.concat(F.lit("Document "), F.regexp_extract("url", r"(\d+)\.pdf$", 1))
     title = X.document_title(F.try_element_at("metadata", F.lit("title")), link_text, F.col("text"))
     return docs.select("url", title.alias("title"))
@@ -340,7 +344,7 @@ def containment_dedup(spark, sf):
 @query
 def merge_sources(spark, sf):
     """Document titles first, then page titles not contained in an earlier one."""
-    n = N.notices(spark, sf).where("cust % 5 = 3")
+    n = N.notices(spark, sf)
     docs = n.where("key % 4 = 0").select(
         "utility_id", F.concat("title", F.lit(" Specification")).alias("title"),
         F.lit(0).alias("source_rank"), "key")
@@ -498,9 +502,9 @@ def all_opportunities(spark, sf):
 
 @query
 def extraction_metrics(spark, sf):
-    parts = O.page_parts(
+    arrays = O.page_arrays(
         N.paged_registry(spark, sf), N.listing_pages(spark, sf), documents="any")
-    return S.extraction_metrics(parts).drop("url")
+    return S.extraction_metrics(arrays).drop("url")
 
 
 # Repeated runs

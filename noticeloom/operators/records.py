@@ -16,19 +16,24 @@ def _seq(source: str, position: Column) -> Column:
     return F.lit(_RANK[source] << 32) + position.cast("bigint")
 
 
-def with_block_facts(blocks: DataFrame) -> DataFrame:
-    """Facts of each block that has a title: description, id, dates, contact, status.
+def with_block_facts(parts: DataFrame, is_block: Column) -> DataFrame:
+    """Facts of each block: description, id, dates, contact, status.
 
-    Computed before any shuffle, so the full text goes no further than this.
+    Blocks without a title go, and so does the full text of the others; rows that
+    are no blocks pass with NULL facts.
     """
+    text = F.when(is_block, F.col("text"))
     return (
-        blocks.where(F.col("title") != "")
-        .withColumn("dates", X.dates_with_context(F.col("text")))
-        .withColumn("description", F.left("text", F.lit(V.DESCRIPTION_CHARS)))
-        .withColumn("rfp_id", X.notice_id(F.col("text")))
-        .withColumn("contact", X.contact(F.col("text")))
-        .withColumn("is_active", X.is_active(F.col("text"), F.col("dates")))
-        .drop("text")
+        parts.where(~is_block | (F.col("title") != ""))
+        .withColumn("block_text", text)
+        .withColumn("dates", F.when(is_block, X.dates_with_context(F.col("block_text"))))
+        .withColumn("description", F.left("block_text", F.lit(V.DESCRIPTION_CHARS)))
+        .withColumn("rfp_id", X.notice_id(F.col("block_text")))
+        .withColumn("contact", F.when(is_block, X.contact(F.col("block_text"))))
+        .withColumn("is_active", F.when(
+            is_block, X.is_active(F.col("block_text"), F.col("dates"))))
+        .withColumn("text", F.when(~is_block, F.col("text")))
+        .drop("block_text")
     )
 
 
@@ -62,7 +67,7 @@ def with_document_facts(documents: DataFrame) -> DataFrame:
 def compact_documents(documents: DataFrame) -> DataFrame:
     """What a record keeps of a document: a few hundred characters instead of the text."""
     t = F.col("text")
-    return documents.select(
+    return documents.where(t.isNotNull()).select(
         F.col("url").alias("document_url"),
         "metadata",
         F.left(t, F.lit(V.DESCRIPTION_CHARS)).alias("description"),
@@ -102,7 +107,7 @@ def fallback_records(parts: DataFrame) -> DataFrame:
     is_link = F.col("tier") == 3
     rows = parts.select(
         "entry",
-        _seq("fallback", F.col("pos") + 1).alias("seq"),
+        _seq("fallback", F.col("pos")).alias("seq"),
         F.when(is_link, F.col("text")).otherwise(F.left("text", F.lit(V.TITLE_CHARS))).alias("title"),
         F.col("text").alias("description"),
         F.when(F.col("href").isNull(), F.col("url"))

@@ -54,10 +54,12 @@ def numbered(opps: DataFrame) -> DataFrame:
     return number_within(named(opps), ["utility"], ORDER, F.shiftright("entry", PAGES_SHIFT))
 
 
-def extraction_metrics(parts: DataFrame) -> DataFrame:
-    """Blocks, document links and fallback parts found per page."""
+def extraction_metrics(arrays: DataFrame) -> DataFrame:
+    """Blocks, document links and fallback parts found per page, and whether parsing failed."""
     def size(c: str):
         return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("bigint").alias(f"n_{c}")
 
-    return parts.select("entry", "url", *[
-        size(c) for c in ("blocks", "doc_links", "fallback") if c in parts.columns])
+    return arrays.select(
+        "entry", "url",
+        *[size(c) for c in ("blocks", "doc_links", "fallback") if c in arrays.columns],
+        F.col("parse_error").isNotNull().alias("failed"))

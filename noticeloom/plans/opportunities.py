@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from noticeloom.functions import vocab as V
 from noticeloom.functions.urls import resolve_url
@@ -32,7 +32,7 @@ def _fallback() -> Column:
     )
 
 
-def page_parts(
+def page_arrays(
     registry: DataFrame,
     pages: DataFrame,
     blocks: bool = True,
@@ -40,11 +40,11 @@ def page_parts(
     active_only: bool = True,
     fallback: bool = True,
 ) -> DataFrame:
-    """One compact row per registry entry and page: blocks, document links, fallback parts.
+    """One row per registry entry and page: arrays of blocks, document links, fallback parts.
 
     ``documents`` is None, "any" or "strict". The html goes to the parser and no
     further. A registry proven small by a count filters the pages before they are
-    parsed, with no shuffle of html; a large one meets the compact parts instead.
+    parsed, with no shuffle of html; a large one meets the arrays instead.
     """
     entries = usable(registry, active_only).select(
         *[c if c in registry.columns else F.lit(None).cast("int").alias(c) for c in _ENTRY])
@@ -53,60 +53,96 @@ def page_parts(
     if small:
         on_page = F.col("url") == F.col("rfp_url")
         html = html.join(F.broadcast(entries), on_page).drop("rfp_url")
-    keys = [c for c in html.columns if c != "html"]
+    keys = [c for c in html.columns if c != "html"] + ["parse_error"]
 
-    parsed = parse_pages(html).where(F.col("nodes").isNotNull())
-    empty = F.array()
-    found = parsed.select(
+    nodes = F.col("nodes")
+    found = parse_pages(html).select(
         *keys,
-        (P.blocks_array() if blocks else empty).alias("blocks"),
-        P.rows_array().alias("rows"),
-        P.items_array().alias("items"),
-        P.anchors(F.col("nodes")).alias("links"),
+        *([P.blocks_array().alias("blocks")] if blocks else []),
+        *([P.rows_array().alias("rows"), P.items_array().alias("items")] if fallback else []),
+        P.anchors(nodes).alias("links"),
     )
     is_doc = P.is_document_strict if documents == "strict" else P.is_document
     no_block = ~F.exists("blocks", lambda b: b["title"] != "") if blocks else F.lit(True)
-    parts = found.select(
+    arrays = found.select(
         *keys,
         *(["blocks"] if blocks else []),
         *([F.filter("links", lambda l: is_doc(l["href"])).alias("doc_links")]
           if documents else []),
         *([F.when(no_block, _fallback()).alias("fallback")] if fallback else []),
     )
-    if not small:
-        parts = parts.join(entries, F.col("url") == F.col("rfp_url")).drop("rfp_url")
-    return write_out(parts, "parts")
+    return arrays if small else arrays.join(
+        entries, F.col("url") == F.col("rfp_url")).drop("rfp_url")
 
 
-def _blocks(parts: DataFrame) -> DataFrame:
+_PART = T.StructType([
+    T.StructField("kind", T.StringType()),
+    T.StructField("pos", T.IntegerType()),   # place among the parts of its kind
+    T.StructField("of", T.IntegerType()),    # and how many there are
+    T.StructField("tier", T.IntegerType()),
+    T.StructField("title", T.StringType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("href", T.StringType()),
+    T.StructField("links", T.ArrayType(T.StructType([
+        T.StructField("text", T.StringType()), T.StructField("href", T.StringType())]))),
+])
+
+
+def _as_parts(kind: str, column: str, fields: tuple[str, ...]) -> Column:
+    def part(x: Column, i: Column) -> Column:
+        known = {"kind": F.lit(kind), "pos": i + 1, "of": F.size(column)}
+        return F.struct(*[
+            known.get(f.name, x[f.name] if f.name in fields else F.lit(None))
+            .cast(f.dataType).alias(f.name) for f in _PART])
+
+    none = F.array().cast(T.ArrayType(_PART))
+    return F.coalesce(F.transform(column, part), none)  # one NULL would void the concat
+
+
+_KINDS = {
+    "blocks": ("block", ("title", "text", "links")),
+    "doc_links": ("document", ("text", "href")),
+    "fallback": ("fallback", ("tier", "text", "href")),
+}
+
+
+def page_parts(registry: DataFrame, pages: DataFrame, **options) -> DataFrame:
+    """The parts of all pages as one written table, a folder per kind.
+
+    Facts of blocks are worked out here, in the task that parsed the page, so a
+    block's full text is neither written nor shuffled. Options as in ``page_arrays``.
+    """
+    arrays = page_arrays(registry, pages, **options)
+    parts = F.concat(*[_as_parts(kind, column, fields)
+                       for column, (kind, fields) in _KINDS.items() if column in arrays.columns])
     flat = (
-        parts.select("entry", "url", F.posexplode("blocks").alias("pos", "b"))
-        .select("entry", "url", (F.col("pos") + 1).alias("seq"), "b.title", "b.text", "b.links")
+        arrays.select("entry", "url", "max_pdfs_to_extract", parts.alias("parts"))
+        .select("entry", "url", "max_pdfs_to_extract", F.inline("parts"))
     )
+    if options.get("blocks", True):
+        flat = R.with_block_facts(flat, F.col("kind") == "block")
+    return write_out(flat, "parts", by="kind")
+
+
+def _blocks(parts: DataFrame) -> DataFrame:
+    blocks = parts.where("kind = 'block'").withColumnRenamed("pos", "seq")
     # Links are resolved last, for the blocks that stay.
-    return R.block_records(first_per_title(R.with_block_facts(flat), ["entry"]))
+    return R.block_records(first_per_title(blocks, ["entry"]))
 
 
 def _fallback_of(parts: DataFrame) -> DataFrame:
-    return R.fallback_records(
-        parts.select("entry", "url", F.posexplode("fallback").alias("pos", "f"))
-        .select("entry", "url", "pos", "f.*"))
+    return R.fallback_records(parts.where("kind = 'fallback'"))
 
 
 def _documents(parts: DataFrame, documents: DataFrame, strict: bool) -> DataFrame:
     default = V.DEFAULT_MAX_DOCUMENTS_STRICT if strict else V.DEFAULT_MAX_DOCUMENTS
-    # The limit is a slice of the page's own array. A limit below zero, which
-    # counts from the end, only means something in the strict variant.
     most = F.coalesce("max_pdfs_to_extract", F.lit(default))
-    size = F.size("doc_links")
-    upto = F.when(most >= 0, most).otherwise(
-        F.greatest(size + most, F.lit(0)) if strict else F.lit(0))
+    if strict:  # a limit below zero counts from the end; elsewhere it means none
+        most = F.when(most < 0, F.col("of") + most).otherwise(most)
     links = (
-        parts.select("entry", "url", F.posexplode(F.slice("doc_links", F.lit(1), upto))
-                     .alias("pos", "l"))
-        .select("entry", "url", (F.col("pos") + 1).alias("link_no"),
-                F.col("l.text").alias("link_text"),
-                resolve_url(F.col("url"), F.col("l.href")).alias("document_url"))
+        parts.where("kind = 'document'").where(F.col("pos") <= most)
+        .select("entry", "url", F.col("pos").alias("link_no"), F.col("text").alias("link_text"),
+                resolve_url(F.col("url"), F.col("href")).alias("document_url"))
     )
     wanted = links.select("document_url").distinct()
     if enrich.is_small(wanted):

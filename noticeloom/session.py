@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Parsing and matching cost much per byte, so small inputs still use all cores.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # Tables written by kind keep a file open per kind instead of sorting.
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
     # Pages are wide: hand them to Python a few at a time.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
@@ -35,14 +37,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/noticeloom"
 
 
-def write_out(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def write_out(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in folders ``by`` a column, and read it back.
 
     Cuts the lineage, so a lost executor never repeats the work before it, and
     several readers share one computation, each reading only its columns.
     """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
