@@ -216,13 +216,15 @@ def document_links_strict(spark, sf):
 @query
 def dates_plain(spark, sf):
     return N.notices(spark, sf).select(
-        "key", F.posexplode(X.plain_dates(F.col("text"))).alias("pos", "date")) \
-        .select("key", _long("pos"), "date")
+        "key", F.posexplode_outer(X.plain_dates(F.col("text"))).alias("pos", "date")) \
+        .where("pos is not null").select("key", _long("pos"), "date")
 
 
 def _dates(spark, sf):
+    # The outer form is not given a filter that would find the dates twice.
     return N.notices(spark, sf).select(
-        "key", F.posexplode(X.dates_with_context(F.col("text"))).alias("pos", "d"))
+        "key", F.posexplode_outer(X.dates_with_context(F.col("text"))).alias("pos", "d")) \
+        .where("pos is not null")
 
 
 @query
@@ -300,8 +302,8 @@ def document_stats(spark, sf):
 
 @query
 def dates_parsed(spark, sf):
-    found = N.notices(spark, sf).select("key", F.explode(X.plain_dates(F.col("text"))).alias("date"))
-    return INC.with_date_values(found).select("key", "date", "date_value")
+    found = N.notices(spark, sf).select("key", F.explode_outer(X.plain_dates(F.col("text"))).alias("date"))
+    return INC.with_date_values(found.where("date is not null")).select("key", "date", "date_value")
 
 
 # Joins

@@ -161,10 +161,15 @@ def blocks_array(
 
 
 def _per_part(parsed: DataFrame, parts: Column, keys: Sequence[str]) -> DataFrame:
-    """One row per array element; ``parts`` is computed in a projection of its own."""
+    """One row per array element.
+
+    The outer form keeps Catalyst from inferring ``size(parts) > 0`` and pushing it
+    down, which would compute the parts a second time; the NULL rows go right after.
+    """
     return (
         parsed.select(*keys, parts.alias("parts"))
-        .select(*keys, F.posexplode("parts").alias("pos", "part"))
+        .select(*keys, F.posexplode_outer("parts").alias("pos", "part"))
+        .where(F.col("pos").isNotNull())
         .select(*keys, (F.col("pos") + 1).cast("bigint").alias("seq"), "part.*")
     )
 

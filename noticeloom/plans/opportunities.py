@@ -115,9 +115,11 @@ def page_parts(registry: DataFrame, pages: DataFrame, **options) -> DataFrame:
     arrays = page_arrays(registry, pages, **options)
     parts = F.concat(*[_as_parts(kind, column, fields)
                        for column, (kind, fields) in _KINDS.items() if column in arrays.columns])
+    # Outer, as a plain inline would have the arrays computed again for its filter.
     flat = (
         arrays.select("entry", "url", "max_pdfs_to_extract", parts.alias("parts"))
-        .select("entry", "url", "max_pdfs_to_extract", F.inline("parts"))
+        .select("entry", "url", "max_pdfs_to_extract", F.inline_outer("parts"))
+        .where(F.col("kind").isNotNull())
     )
     if options.get("blocks", True):
         flat = R.with_block_facts(flat, F.col("kind") == "block")
