@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from noticeloom.operators import page_parts as P
 from noticeloom.operators.nodes import parse_pages, parse_tree
