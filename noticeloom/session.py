@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,12 +30,28 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``. Only unset (in tests) a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir")
+    """Folder that all executors share, a new one for each application.
+
+    ``spark.checkpoint.dir`` of the session, else the folder given to ``setCheckpointDir``.
+    A run inside one process (tests) may use a local folder; on a cluster a
+    missing setting is an error, as executors would write to their own disks.
+    """
+    context = spark.sparkContext
+    root = (spark.conf.get("spark.checkpoint.dir", None)
+            or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir())
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), f"noticeloom-{os.getpid()}")
-    return f"{root.rstrip('/')}/noticeloom"
+    return f"{root.rstrip('/')}/noticeloom-{context.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove what this application wrote to the shared folder, once its results are stored."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.delete(path, True)
 
 
 def write_out(df: DataFrame, name: str, by: str | None = None) -> DataFrame:

@@ -58,7 +58,8 @@ def main():
             continue
         start = time.time()
         try:
-            diff = compare(fn(spark, sf_dir), con, entry.oracle_sql()[name])
+            sql = entry.oracle_sql().get(name)
+            diff = compare(fn(spark, sf_dir), con, sql) if sql else None
         except Exception as exc:
             diff = f"{type(exc).__name__}: {str(exc)[:800]}"
         bad += diff is not None
