@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from noticeloom.llm.bpe import encode
+from noticeloom.llm.decontamination import contamination_digest, find_contamination
 from noticeloom.llm.exact_dedup import exact_dedup
 from noticeloom.llm.sharding import place
+from noticeloom.llm.warc import page_captures, transactions, write_archives
+from noticeloom.session import scratch_dir
 
+#: The vocabulary that the encoding query uses.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Shards of the placement query.
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
 
@@ -21,12 +29,31 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode(_table(spark, sf_dir, "documents"), TOKENIZER, digest=True)
+    return coded.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digest(find_contamination(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/archives-{uuid.uuid4().hex}"
+    write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return page_captures(transactions(spark, path))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_bpe": op5_bpe,
+    "op6_decontamination": op6_decontamination,
+    "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
 }
 

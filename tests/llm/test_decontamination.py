@@ -1,0 +1,71 @@
+import hashlib
+import re
+
+import pytest
+
+from noticeloom.llm.decontamination import (contamination_digest, drop_contaminated,
+                                            find_contamination)
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return WORD.findall(lower)
+
+
+def brute(docs, items, k=10):
+    wins = {}
+    for item, text in items:
+        w = words(text)
+        n = min(k, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            wins.setdefault(tuple(w[i:i + n]), set()).add(item or "")
+    lengths = {len(w) for w in wins}
+    out = []
+    for doc, text in docs:
+        w, hit, found = words(text), set(), set()
+        for n in lengths:
+            for i in range(len(w) - n + 1):
+                if (own := wins.get(tuple(w[i:i + n]))):
+                    hit.update(range(i, i + n))
+                    found |= own
+        out.append((doc, len(w), len(hit), len(found),
+                    hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=repr)
+
+
+ITEMS = [("10", "One two three four five six seven eight nine ten eleven twelve"), ("9", "é ü"),
+         ("8", "a a a"), ("7", ""), ("6", None), (None, "lonely item"), ("5", "a a a"),
+         ("4", "x y x y x y x y x y x y")]
+DOCS = [(1, "zero ONE two, three four five six seven eight nine-ten eleven"), (2, "É ü"), (3, "é.ü"),
+        (4, "a a a a a"), (5, "aa a a"), (6, "lonely  ITEM!"), (7, "x y " * 9), (8, "lonelyitem"),
+        (9, "1é ü2"), (10, "K İ ſ a A a"), (11, "one two three four five six seven eight nine tenx")]
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 120])
+def test_against_brute_force(spark, make_docs, odd_rows, limit):
+    rows = odd_rows + DOCS
+    items = ITEMS + [("long", " ".join((odd_rows[3][1] or "").split()[5:40]))]
+    found = find_contamination(make_docs(rows), spark.createDataFrame(items, "item_id string, text string"),
+                               automaton_bytes=limit)
+    assert sorted((tuple(r) for r in contamination_digest(found).collect()), key=repr) == brute(rows, items)
+    text = {i: t for i, t in rows if i is not None}
+    for r in found.collect():
+        for s in r.spans:
+            own = words(text[r.doc_id][s.start:s.end])
+            assert own == words(text[r.doc_id])[s.first_word:s.end_word]
+
+
+def test_empty_tables(spark, make_docs):
+    none = spark.createDataFrame([], "item_id string, text string")
+    assert [r.n_hit for r in find_contamination(make_docs(DOCS), none).collect()] == [0] * len(DOCS)
+    some = spark.createDataFrame(ITEMS, "item_id string, text string")
+    assert find_contamination(make_docs([]), some).collect() == []
+
+
+def test_drop(spark, make_docs):
+    some = spark.createDataFrame(ITEMS, "item_id string, text string")
+    kept = drop_contaminated(make_docs(DOCS), some)
+    assert kept.columns == make_docs(DOCS).columns
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in brute(DOCS, ITEMS) if not r[5]}

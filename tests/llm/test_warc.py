@@ -1,0 +1,103 @@
+import gzip
+import hashlib
+from base64 import b32encode
+
+import pytest
+
+from noticeloom.llm.warc import page_captures, read_records, transactions, write_archives
+
+PAGES = "page_id long, url string, html string"
+
+
+def brute(rows, least=0):
+    last = {}
+    for place, (i, _, html) in enumerate(rows):
+        if len((html or "").encode()) >= least:
+            key = (i is not None, i or 0, place)
+            last[html or ""] = max(last.get(html or "", key), key)
+    out = []
+    for place, (i, _, html) in enumerate(rows):
+        data = (html or "").encode()
+        digest = b32encode(hashlib.sha1(data).digest()).decode()
+        first = last.get(html or "")
+        revisit = first is not None and first[2] != place
+        out.append((i, len(data), digest, "revisit" if revisit else "response",
+                    rows[first[2]][0] if revisit else None))
+    return sorted(out, key=repr)
+
+
+ROWS = [
+    (1, "http://a/x", "<p>é</p>"), (2, "http://a/y", "<p>é</p>"), (3, None, None), (4, "u", ""),
+    (5, "bad\r\nurl", "a\r\n\r\nWARC/1.1\r\n\r\n"), (6, "u", "\r\n"), (7, "u", "\r\n\r\n\r\n"),
+    (8, "u", "ends\r\n"), (9, "u", "ends\r"), (10, "u", "x" * 300_000 + "\r\n\r\n\r"), (11, "u", "\n\r\n\r"),
+    (12, "u", "<p>é</p>"), (12, "u", "<p>é</p>"), (None, "u", "no id"), (13, "u", "no id"),
+    (14, "u", "\r\n\r\nlead"), (15, "u", "mid\r\n\r\r\n\r\nmid"), (16, "u", "👍\x85\x0b"),
+]
+
+
+def captures(spark, rows, path, **options):
+    write_archives(spark.createDataFrame(rows, PAGES).repartition(3), path, **options)
+    return transactions(spark, path)
+
+
+def test_round_trip_against_brute_force(spark, tmp_path):
+    path = str(tmp_path / "a")
+    rows = ROWS
+    write_archives(spark.createDataFrame(rows, PAGES), path)
+    found = transactions(spark, path)
+    assert sorted((tuple(r) for r in page_captures(found).collect()), key=repr) == brute(rows)
+    nested = found.collect()
+    assert len(nested) == len(rows)
+    by_row = {int(r.metadata.fields["row"]): r for r in nested}
+    assert all(r.n_requests == 1 and r.n_metadata == 1 for r in nested)
+    assert all(r.response.digest_ok for r in nested if r.response.record_type == "response")
+    assert {r.response.payload for r in nested if r.response.record_type == "response"} == {
+        r[2] or "" for r in rows}
+    assert len(by_row) == len(rows)
+
+
+def test_small_payloads_are_never_revisits(spark, tmp_path):
+    path = str(tmp_path / "b")
+    write_archives(spark.createDataFrame(ROWS, PAGES), path, min_bytes=8)
+    got = sorted((tuple(r) for r in page_captures(transactions(spark, path)).collect()), key=repr)
+    assert got == brute(ROWS, 8)
+
+
+def test_archives_are_plain_warc(spark, tmp_path):
+    path = tmp_path / "c"
+    write_archives(spark.createDataFrame(ROWS[:2], PAGES).coalesce(1), str(path))
+    data = b"".join(gzip.open(f).read() for f in sorted(path.glob("*.gz")))
+    at, n = 0, 0
+    while at < len(data):
+        assert data[at:at + 10] == b"WARC/1.1\r\n"
+        head = data.index(b"\r\n\r\n", at)
+        length = int(data[at:head].split(b"Content-Length: ")[1].split(b"\r\n")[0])
+        at = head + 4 + length
+        assert data[at:at + 4] == b"\r\n\r\n"
+        at, n = at + 4, n + 1
+    assert n == 6
+
+
+def test_captures_without_request_or_metadata(spark, tmp_path):
+    path = str(tmp_path / "d")
+    head = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r>\r\nContent-Length: 3\r\n\r\nabc"
+    other = ("WARC/1.0\r\nWARC-Type: request\r\nWARC-Record-ID: <q>\r\nWARC-Concurrent-To: <other>"
+             "\r\nContent-Length: 0\r\n\r\n")
+    spark.createDataFrame([(head,), (other,)], "value string").coalesce(1).write.option(
+        "lineSep", "\r\n\r\n").text(path)
+    row, = transactions(spark, path).collect()
+    assert row.request is None and row.metadata is None and row.n_requests == 0
+
+
+def test_damage_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "e")
+    spark.createDataFrame([("WARC/1.1\r\nContent-Length: 9\r\n\r\nabc",)], "value string").write.option(
+        "lineSep", "\r\n\r\n").text(path)
+    with pytest.raises(Exception, match="ends inside"):
+        read_records(spark, path, ("response",)).collect()
+
+
+def test_empty_table(spark, tmp_path):
+    path = str(tmp_path / "f")
+    write_archives(spark.createDataFrame([], PAGES), path)
+    assert transactions(spark, path).collect() == []
