@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from noticeloom.llm.bpe import encode
 from noticeloom.llm.decontamination import contamination_digest, find_contamination
 from noticeloom.llm.exact_dedup import exact_dedup
+from noticeloom.llm.pii import find_personal_data, personal_data_digest
 from noticeloom.llm.sharding import place
+from noticeloom.llm.substring_dedup import substring_dedup
 from noticeloom.llm.warc import page_captures, transactions, write_archives
 from noticeloom.session import scratch_dir
 
@@ -25,6 +27,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digest(find_personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("rid")
 
@@ -39,6 +45,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(_table(spark, sf_dir, "documents"), digest=True)
+    return cut.withColumnRenamed("kept", "kept_sha256")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/archives-{uuid.uuid4().hex}"
     write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
@@ -50,9 +61,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
 }
