@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -12,34 +11,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeloom.llm.superkmers import (NONE, Packer, find_runs, merge_ranges, mix, route,
-                                       split_hot, unpack, window_hashes)
+from noticeloom.llm.superkmers import (Units, covered, find_ranges, merge_ranges, mix,
+                                       plan_buckets, window_hashes, with_ranges)
 
 WINDOW = 20
 #: Words of a gram; a window's minimiser is one of its grams.
 GRAM = 4
-#: Bytes of packed runs that a task gathers before it hands them on.
-FLUSH_BYTES = 48 << 20
-#: Texts a task codes at a time, in bytes.
-CHUNK_BYTES = 4 << 20
-#: Runs that a bucket is meant for.
-BUCKET_RUNS = 50_000
 
 
-class _Words:
+def cut_words(texts: list[str | None]) -> Units:
     """Texts in one buffer, each word followed by one space."""
-
-    def __init__(self, texts: list[str | None]):
-        cut = [(t or "").encode(errors="replace").split() for t in texts]
-        self.counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        self.data = b"".join(b" ".join(w) + b" " for w in cut if w)
-        self.at, codes, words = encode_words(self.data)
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-        self.codes = hashes[codes] if len(words) else np.zeros(0, np.uint64)
-        ends = np.cumsum(self.counts)
-        self.owner = np.repeat(np.arange(len(cut)), self.counts)
-        self.base = ends - self.counts
-        self.owner_end = np.repeat(ends, self.counts)
+    cut = [(t or "").encode(errors="replace").split() for t in texts]
+    data = b"".join(b" ".join(w) + b" " for w in cut if w)
+    at, number, words = encode_words(data)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    return Units(data, at, hashes[number], np.fromiter(map(len, cut), np.int64, len(cut)))
 
 
 def encode_words(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -54,128 +40,20 @@ def encode_words(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return at, coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
 
 
-def _chunks(batch: pa.RecordBatch):
-    """Slices of a batch whose texts are of a bounded size, or one text."""
-    sizes = np.diff(pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(2)), 0)).to_numpy(
-        zero_copy_only=False), prepend=0)
-    start = size = 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > start and size + n > CHUNK_BYTES:
-            yield batch.slice(start, i - start)
-            start, size = i, 0
-        size += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
-def _count(window: int, gram: int, least: int):
-    """How many different runs of a task have each minimiser; those below ``least`` only in total."""
-    def count(batches):
-        for batch in batches:
-            keys, marks = [], []
-            for part in _chunks(batch):
-                words = _Words(part.column(2).to_pylist())
-                runs = find_runs(words.codes, words.owner_end, window, gram)
-                head = window_hashes(words.codes, window)[runs.first] if len(runs.first) else runs.key
-                keys.append(runs.key)
-                marks.append(mix(head ^ runs.windows.astype(np.uint64)))
-            _, first = np.unique(np.concatenate(marks), return_index=True)
-            key, n = np.unique(np.concatenate(keys)[first], return_counts=True)
-            often = n >= least
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(key[often].view(np.int64), 0)),
-                 pa.array(np.append(n[often], 0)),
-                 pa.array(np.append(np.zeros(int(often.sum()), np.int64), n.sum()))],
-                ["key", "n", "total"])
-    return count
-
-
-def plan_buckets(rows: DataFrame, window: int, gram: int, least: int = 16) -> tuple[int, np.ndarray]:
-    """The number of buckets, and the minimisers that would outgrow one.
-
-    A minimiser is hot if it has more than a bucket's share of all runs, so there are at most
-    as many hot ones as buckets. They only decide where windows meet, not the result.
-    """
-    counted = rows.mapInArrow(_count(window, gram, least), "key long, n long, total long")
-    sums = counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = sums.agg(F.sum("total")).first()[0] or 0
-    buckets = max(slots, total // BUCKET_RUNS)
-    hot = sums.filter(F.col("n") > max(total // buckets, 1000)).select("key").collect()
-    return buckets, np.sort(np.array([r.key for r in hot], np.int64).view(np.uint64))
-
-
-_OUT = "bucket long, blob binary, rids binary, starts binary, ends binary"
-
-
-def _flags(rid, start, end, bucket=0) -> pa.RecordBatch:
-    rid, start, end = merge_ranges(rid, start, end)
-    return pa.RecordBatch.from_pydict({
-        "bucket": [bucket], "blob": pa.array([None], pa.binary()), "rids": [rid.tobytes()],
-        "starts": [start.tobytes()], "ends": [end.tobytes()]})
-
-
-def _earliest(data: list[bytes], order: np.ndarray) -> np.ndarray:
-    """For each run whether it is the earliest of those with equal strings. ``order``: meta rows
-    that sort by place."""
+def _earliest(data: list[bytes], meta: np.ndarray):
+    """Of runs with equal strings the earliest travels, the others surely repeat."""
     first: dict[bytes, int] = {}
-    keys = list(map(tuple, order.tolist()))
+    place = list(map(tuple, meta[:, :3].tolist()))
     for i, d in enumerate(data):
         have = first.setdefault(d, i)
-        if have != i and keys[i] < keys[have]:
+        if have != i and place[i] < place[have]:
             first[d] = i
-    keep = np.zeros(len(data), bool)
-    keep[list(first.values())] = True
-    return keep
-
-
-def _pack(window: int, gram: int, buckets: int, hot: np.ndarray):
-    """Cut texts into runs. Of equal runs only the earliest travels; the others repeat for sure."""
-    def flush(runs):
-        data = [d for _, own, _ in runs for d in own]
-        meta = np.concatenate([m for m, _, _ in runs])
-        bucket = np.concatenate([b for _, _, b in runs])
-        keep = _earliest(data, meta[:, :3])
-        gone = meta[~keep]
-        packer = Packer()
-        packer.add(bucket[keep], meta[keep], [d for d, k in zip(data, keep.tolist(), strict=True) if k])
-        for b, blob in packer.blobs():
-            yield pa.RecordBatch.from_pydict({
-                "bucket": [b], "blob": [blob], **{c: pa.array([None], pa.binary())
-                                                  for c in ("rids", "starts", "ends")}})
-        if len(gone):
-            yield _flags(gone[:, 1], gone[:, 2], gone[:, 2] + gone[:, 3] + window - 1,
-                         int(gone[0, 1]) % buckets)
-
-    def pack(batches):
-        held, size = [], 0
-        for batch in batches:
-            for part in _chunks(batch):
-                words = _Words(part.column(2).to_pylist())
-                if len(words.codes) < window:
-                    continue
-                rids = part.column(0).to_numpy()
-                ids = pc.fill_null(part.column(1), NONE).to_numpy()
-                runs = find_runs(words.codes, words.owner_end, window, gram)
-                whole = window_hashes(words.codes, window) if len(hot) else np.zeros(0, np.uint64)
-                runs, code = split_hot(runs, hot, whole)
-                a = words.at[runs.first]
-                b = words.at[runs.first + runs.windows + window - 1]
-                data = words.data
-                own = [data[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-                doc = words.owner[runs.first]
-                meta = np.stack([ids[doc], rids[doc], runs.first - words.base[doc], runs.windows], 1)
-                held.append((meta, own, route(code, buckets)))
-                size += sum(map(len, own))
-                if size > FLUSH_BYTES:
-                    yield from flush(held)
-                    held, size = [], 0
-        if held:
-            yield from flush(held)
-    return pack
+    travels = np.zeros(len(data), bool)
+    travels[list(first.values())] = True
+    return travels, np.zeros(len(data), np.int64), ~travels
 
 
-def repeated_windows(meta: np.ndarray, data: bytes, window: int) -> tuple[np.ndarray, ...]:
+def repeated_windows(meta: np.ndarray, _, data: bytes, window: int) -> tuple[np.ndarray, ...]:
     """(rid, start, end) of windows that also start earlier among the runs of a bucket."""
     runs = meta[:, 3] + window - 1
     _, codes, _ = encode_words(data)
@@ -224,48 +102,16 @@ def _by_words(codes, at, group, window):
     return group
 
 
-def _sort_buckets(window: int):
-    def run(batches):
-        rows = ((r["bucket"], r) for b in batches for r in b.to_pylist())
-        for _, own in groupby(rows, key=lambda x: x[0]):
-            blobs, found = [], []
-            for _, r in own:
-                if r["blob"] is None:
-                    found.append([np.frombuffer(r[c], np.int64) for c in ("rids", "starts", "ends")])
-                else:
-                    blobs.append(r["blob"])
-            if blobs:
-                meta, _, data = unpack(blobs)
-                found.append(repeated_windows(meta, data, window))
-            for rid, start, end in found:
-                if len(rid):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rid), pa.array(start), pa.array(end)], ["rid", "start", "end"])
-    return run
-
-
 def find_repeats(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``(rid, start, end)``: ranges of words of windows that also start earlier.
 
     ``rows`` has ``rid, id, text``; earlier is a smaller id (null last), then a smaller rid,
     then an earlier word. A text moves once, as packed runs of about three times its words,
-    compressed; equal runs of a task are one. Windows of hot minimisers are dealt by the
-    whole window. In its bucket every window is sorted with its equals and compared in full.
+    compressed; of equal runs in a task only the first one travels. In its bucket every window
+    is sorted with its equals and compared in full.
     """
-    buckets, hot = plan_buckets(rows, window, gram)
-    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.mapInArrow(_pack(window, gram, buckets, hot), _OUT)
-    return (packed.repartition(slots, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(_sort_buckets(window), "rid long, start long, end long"))
-
-
-def covered(n: int, ranges: list[dict] | None) -> np.ndarray:
-    """Which of ``n`` units lie in one of the ranges."""
-    step = np.zeros(n + 1, np.int64)
-    for r in ranges or ():
-        step[r["start"]] += 1
-        step[r["end"]] -= 1
-    return np.cumsum(step[:-1]) > 0
+    plan = plan_buckets(rows, cut_words, window, gram, share=1)
+    return find_ranges(rows, plan, cut_words, _earliest, repeated_windows)
 
 
 def _remove(digest: bool):
@@ -300,11 +146,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         raise ValueError("a gram has at least one word and at most a window's")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"),
                        F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    ranges = find_repeats(rows, window, gram).groupBy("rid").agg(
-        F.collect_list(F.struct("start", "end")).alias("ranges"))
-    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
-                      F.col(text).alias("text"))
-    kind = own.schema["id"].dataType.simpleString()
-    return (own.join(ranges, "rid", "left").select("id", "text", "ranges")
-            .mapInArrow(_remove(digest), f"id {kind}, n_words long, n_removed long, kept string")
+    own = with_ranges(docs, find_repeats(rows, window, gram), id_col, text)
+    return (own.mapInArrow(_remove(digest), f"id {own.schema['id'].dataType.simpleString()}, "
+                           "n_words long, n_removed long, kept string")
             .withColumnRenamed("id", id_col))

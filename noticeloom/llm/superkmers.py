@@ -9,15 +9,29 @@ packed string: about twice the window long instead of once the window for each.
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-NONE = np.iinfo(np.int64).max
+
+#: Bytes of packed runs that a task gathers before it hands them on.
+FLUSH_BYTES = 48 << 20
+#: Texts that a task cuts into units at a time, in bytes.
+CHUNK_BYTES = 2 << 20
+#: Runs that a bucket is meant for.
+BUCKET_RUNS = 50_000
+#: Null ids come after all others.
+LAST = np.iinfo(np.int64).max
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,55 +73,63 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 @dataclass
-class Runs:
-    """Runs of windows: first unit in the buffer, number of windows, minimiser."""
-
-    first: np.ndarray
-    windows: np.ndarray
-    key: np.ndarray
-
-
-def find_runs(codes: np.ndarray, owner_end: np.ndarray, width: int, gram: int) -> Runs:
-    """The runs of a buffer of texts. ``owner_end``: for each unit the end of its text."""
-    n = len(codes) - width + 1
-    if n <= 0:
-        none = np.zeros(0, np.int64)
-        return Runs(none, none, np.zeros(0, np.uint64))
-    least = sliding_min(window_hashes(codes, gram), width - gram + 1)
-    at = np.arange(n)
-    valid = at + width <= owner_end[:n]
-    new = np.empty(n, bool)
-    new[0] = True
-    new[1:] = (least[1:] != least[:-1]) | (owner_end[1:n] != owner_end[: n - 1])
-    first = np.flatnonzero(new & valid)
-    # A run ends where the next one starts or windows leave the text.
-    stop = np.flatnonzero(np.append(new, True) | np.append(~valid, True))
-    end = stop[np.searchsorted(stop, first, side="right")]
-    return Runs(first, end - first, least[first])
-
-
-def split_hot(runs: Runs, hot: np.ndarray, whole: np.ndarray) -> tuple[Runs, np.ndarray]:
-    """Windows of the runs with hot minimisers become runs of their own; also the routing code
-    of each run: its minimiser, for a single hot window the hash of the window."""
-    if len(hot):
-        place = np.minimum(np.searchsorted(hot, runs.key), len(hot) - 1)
-        is_hot = hot[place] == runs.key
-    else:
-        is_hot = np.zeros(len(runs.key), bool)
-    if not is_hot.any():
-        return runs, runs.key
-    n = runs.windows[is_hot]
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    single = np.repeat(runs.first[is_hot], n) + inside
-    cold = ~is_hot
-    both = Runs(np.concatenate([runs.first[cold], single]),
-                np.concatenate([runs.windows[cold], np.ones(len(single), np.int64)]),
-                np.concatenate([runs.key[cold], np.repeat(runs.key[is_hot], n)]))
-    return both, np.concatenate([runs.key[cold], whole[single]])
-
-
-def route(code: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(code ^ _BASE) % np.uint64(buckets)).astype(np.int64)
+class Units:
+    """A buffer of texts cut into units (words or bytes).
+
+    ``at``: where each unit starts in ``data``, and the end; ``code``: what it is;
+    ``owner``: its text; ``first``: the first unit of each text; ``owner_end``: for each unit
+    the end of its text.
+    """
+
+    data: bytes
+    at: np.ndarray
+    code: np.ndarray
+    counts: np.ndarray
+
+    def __post_init__(self):
+        ends = np.cumsum(self.counts)
+        self.owner = np.repeat(np.arange(len(ends)), self.counts)
+        self.first = ends - self.counts
+        self.owner_end = np.repeat(ends, self.counts)
+
+
+@dataclass
+class Plan:
+    """Units of a window and of a gram, number of buckets, sorted codes of hot grams."""
+
+    window: int
+    gram: int
+    buckets: int
+    hot: np.ndarray
+
+    def find_runs(self, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First unit, number of windows and minimiser of each run.
+
+        The least gram code of a window is its minimiser. Hot grams come after all others, so
+        a window with anything rare in it meets its equals at the rare part, and only
+        windows within a frequent passage, which are alike, meet at a hot gram.
+        """
+        n = len(units.code) - self.window + 1
+        if n <= 0:
+            none = np.zeros(0, np.int64)
+            return none, none, none.view(np.uint64)
+        order = window_hashes(units.code, self.gram) >> np.uint64(1)
+        if len(self.hot):
+            place = np.minimum(np.searchsorted(self.hot, order), len(self.hot) - 1)
+            order |= (self.hot[place] == order).astype(np.uint64) << np.uint64(63)
+        least = sliding_min(order, self.window - self.gram + 1)
+        end = units.owner_end
+        valid = np.arange(n) + self.window <= end[:n]
+        new = np.empty(n, bool)
+        new[0] = True
+        new[1:] = (least[1:] != least[:-1]) | (end[1:n] != end[: n - 1])
+        first = np.flatnonzero(new & valid)
+        # A run ends where the next one starts or windows leave the text.
+        stop = np.flatnonzero(np.append(new | ~valid, True))
+        return first, stop[np.searchsorted(stop, first, side="right")] - first, least[first]
+
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        return (mix(key ^ _BASE) % np.uint64(self.buckets)).astype(np.int64)
 
 
 class Packer:
@@ -171,3 +193,155 @@ def merge_ranges(key: np.ndarray, start: np.ndarray, end: np.ndarray):
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(key)) - 1
     return key[first], start[first], far[last] - group[last] * span
+
+
+def chunks(batch: pa.RecordBatch):
+    """Slices of a batch (rid, id, text) whose texts are of a bounded size, or one text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
+    start = size = 0
+    for i, n in enumerate(sizes):
+        if i > start and size + n > CHUNK_BYTES:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def plan_buckets(rows: DataFrame, cut: Callable, window: int, gram: int,
+                 share: int, least: int = 16) -> Plan:
+    """The number of buckets, and the grams that are too frequent to be minimisers.
+
+    Every text is read. Of all gram codes only one in ``share`` is low enough to become a
+    minimiser in practice, and only these are counted. A gram is hot beyond an even
+    share of all runs; the number of hot grams is bounded by the number of partitions.
+    Hot grams decide where windows meet, not what is found.
+    """
+    limit = np.uint64((1 << 63) // share)
+
+    def count(batches):
+        for batch in batches:
+            parts, windows = [], 0
+            for part in chunks(batch):
+                units = cut(part.column(2).to_pylist())
+                windows += int(np.maximum(units.counts - window + 1, 0).sum())
+                code = window_hashes(units.code, gram) >> np.uint64(1)
+                parts.append(code[code < limit])
+            key, n = np.unique(np.concatenate(parts), return_counts=True)
+            often = n >= least
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(key[often].view(np.int64), -1)), pa.array(np.append(n[often], 0)),
+                 pa.array(np.append(np.zeros(int(often.sum()), np.int64), windows))],
+                ["key", "n", "windows"])
+
+    sums = (rows.mapInArrow(count, "key long, n long, windows long").groupBy("key")
+            .agg(F.sum("n").alias("n"), F.sum("windows").alias("windows")))
+    counted = sums.persist()
+    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = (counted.agg(F.sum("windows")).first()[0] or 0) * 2 // (window - gram + 2)
+    hot = counted.filter(F.col("n") > max(runs // slots, 1000)).select("key").collect()
+    counted.unpersist()
+    return Plan(window, gram, max(slots, runs // BUCKET_RUNS),
+                np.sort(np.array([r.key for r in hot], np.int64)).view(np.uint64))
+
+
+_PACKED = "bucket long, blob binary, rids binary, starts binary, ends binary"
+_NO_FLAGS = {c: pa.array([None], pa.binary()) for c in ("rids", "starts", "ends")}
+
+
+def _flags(bucket: int, rid, start, end) -> pa.RecordBatch:
+    rid, start, end = merge_ranges(rid, start, end)
+    return pa.RecordBatch.from_pydict({
+        "bucket": [bucket], "blob": pa.array([None], pa.binary()), "rids": [rid.tobytes()],
+        "starts": [start.tobytes()], "ends": [end.tobytes()]})
+
+
+def pack(plan: Plan, cut: Callable, collapse: Callable) -> Callable:
+    """Cut texts into runs, and hand them on by bucket, with what is already known to repeat.
+
+    ``collapse`` gets the strings of a task's runs and their rows (id, rid, first unit, windows,
+    minimiser), and returns which travel, with what note, and which surely repeat.
+    """
+    def flush(held):
+        data = [d for _, own in held for d in own]
+        meta = np.concatenate([m for m, _ in held])
+        travels, note, repeats = collapse(data, meta)
+        rows = np.concatenate([meta, note[:, None]], 1)[travels]
+        packer = Packer()
+        packer.add(plan.bucket(rows[:, 4].view(np.uint64)), rows,
+                   [d for d, t in zip(data, travels.tolist(), strict=True) if t])
+        for bucket, blob in packer.blobs():
+            yield pa.RecordBatch.from_pydict({"bucket": [bucket], "blob": [blob], **_NO_FLAGS})
+        gone = meta[repeats]
+        if len(gone):
+            yield _flags(int(gone[0, 1]) % plan.buckets, gone[:, 1], gone[:, 2],
+                         gone[:, 2] + gone[:, 3] + plan.window - 1)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for part in chunks(batch):
+                units = cut(part.column(2).to_pylist())
+                first, windows, key = plan.find_runs(units)
+                if not len(first):
+                    continue
+                a, b = units.at[first], units.at[first + windows + plan.window - 1]
+                own = [units.data[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                doc = units.owner[first]
+                ids = pc.fill_null(part.column(1), LAST).to_numpy(zero_copy_only=False)
+                rids = part.column(0).to_numpy(zero_copy_only=False)
+                held.append((np.stack([ids[doc], rids[doc], first - units.first[doc], windows,
+                                       key.view(np.int64)], 1), own))
+                size += int((b - a).sum())
+                if size > FLUSH_BYTES:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
+    return run
+
+
+def find_ranges(rows: DataFrame, plan: Plan, cut: Callable, collapse: Callable,
+                judge: Callable) -> DataFrame:
+    """``(rid, start, end)``: ranges of units that repeat.
+
+    ``judge`` gets the rows and strings of a bucket's runs (id, rid, first unit, windows,
+    minimiser, note) and returns the ranges it finds.
+    """
+    def sort(batches):
+        rows = ((r["bucket"], r) for b in batches for r in b.to_pylist())
+        for _, own in groupby(rows, key=lambda x: x[0]):
+            blobs, found = [], []
+            for _, r in own:
+                if r["blob"] is None:
+                    found.append([np.frombuffer(r[c], np.int64) for c in ("rids", "starts", "ends")])
+                else:
+                    blobs.append(r["blob"])
+            if blobs:
+                found.append(judge(*unpack(blobs), plan.window))
+            for rid, start, end in found:
+                if len(rid):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rid), pa.array(start), pa.array(end)], ["rid", "start", "end"])
+
+    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = rows.mapInArrow(pack(plan, cut, collapse), _PACKED)
+    return (packed.repartition(slots, "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(sort, "rid long, start long, end long"))
+
+
+def with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``id, text, ranges`` of every row; a text meets its ranges by the number of its row."""
+    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
+                      F.col(text).alias("text"))
+    gathered = ranges.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    return own.join(gathered, "rid", "left").select("id", "text", "ranges")
+
+
+def covered(n: int, ranges: list[dict] | None) -> np.ndarray:
+    """Which of ``n`` units lie in one of the ranges."""
+    step = np.zeros(n + 1, np.int64)
+    for r in ranges or ():
+        step[r["start"]] += 1
+        step[r["end"]] -= 1
+    return np.cumsum(step[:-1]) > 0

@@ -46,10 +46,10 @@ def test_long_runs_take_linear_time():
 
 
 def rows():
-    out = [(i, f"word{'s' * (i % 7)} reach me at: user{i}@mail{i}.example.org now") for i in range(20)]
-    return [*out, (100, "please reach me at: someone@localhost today"), (101, "order 1234567 arrived"),
-            (102, None), (103, ""), (104, "see host@cluster x"), (105, "4111 1111 1111 1111"),
-            (105, "4111 1111 1111 1111"), (None, "+44 20 7946 0958 and 10.0.0.1"), (106, "9.9.9.999")]
+    out = [(1000 + i, f"word{'s' * (i % 7)} reach me at: user{i}@mail{i}.example.org now") for i in range(20)]
+    return [*out, (1100, "please reach me at: someone@localhost today"), (1101, "order 1234567 arrived"),
+            (1102, None), (1103, ""), (1104, "see host@cluster x"), (1105, "4111 1111 1111 1111"),
+            (1105, "4111 1111 1111 1111"), (None, "+44 20 7946 0958 and 10.0.0.1"), (1106, "9.9.9.999")]
 
 
 def test_documents(make_docs, odd_rows):
@@ -66,11 +66,11 @@ def test_documents(make_docs, odd_rows):
                      hashlib.sha256(line(spans).encode()).hexdigest()))
     assert sorted((tuple(r)[:6] for r in got), key=repr) == sorted(want, key=repr)
     spans = {r.doc_id: r.spans for r in got}
-    text = dict(data)[100]
+    text = dict(data)[1100]
     at = text.index("someone")
-    assert spans[100] == f"email:{at}:{at + len('someone@localhost')}"
-    assert spans[101] == spans[104] == spans[106] == ""
-    assert set(line(brute(text_of[1])) for text_of in data if text_of[0] == 105) == {spans[105]}
+    assert spans[1100] == f"email:{at}:{at + len('someone@localhost')}"
+    assert spans[1101] == spans[1104] == spans[1106] == ""
+    assert set(line(brute(text_of[1])) for text_of in data if text_of[0] == 1105) == {spans[1105]}
 
 
 def test_empty_and_extra_columns(spark, make_docs):

@@ -56,21 +56,28 @@ def test_shared_passages(make_docs, window, gram):
         rows, window)
 
 
-def test_hot_minimisers(make_docs, monkeypatch):
+def test_hot_grams(make_docs, monkeypatch):
     rows = passages(3, 150)
-    keys = []
-    real = sd.plan_buckets
+    seen = []
 
-    def all_hot(df, window, gram):
-        buckets, _ = real(df, window, gram)
-        words = sd._Words([t for _, t in rows])
-        runs = sk.find_runs(words.codes, words.owner_end, window, gram)
-        keys.append(len(runs.key))
-        return buckets, np.unique(runs.key)[::2]
+    def some_hot(df, cut, window, gram, share):
+        units = cut([t for _, t in rows])
+        hot, n = np.unique(sk.window_hashes(units.code, gram) >> np.uint64(1), return_counts=True)
+        seen.append(int((n > 3).sum()))
+        return sk.Plan(window, gram, 5, hot[n > 3])
 
-    monkeypatch.setattr(sd, "plan_buckets", all_hot)
+    monkeypatch.setattr(sd, "plan_buckets", some_hot)
     assert result(substring_dedup(make_docs(rows), window=6, gram=2, digest=True)) == brute(rows, 6)
-    assert keys[0] > 0
+    assert seen[0] > 5
+
+
+def test_frequent_grams_are_found(make_docs):
+    rows = [(i, f"{i} this passage is in every single text {i}") for i in range(3000)]
+    from pyspark.sql import functions as F
+    docs = make_docs(rows).select(F.monotonically_increasing_id().alias("rid"),
+                                  F.col("doc_id").alias("id"), "text")
+    plan = sk.plan_buckets(docs, sd.cut_words, 6, 3, share=1)
+    assert len(plan.hot) == 5
 
 
 def test_equal_hashes_of_different_windows(monkeypatch):
@@ -79,7 +86,7 @@ def test_equal_hashes_of_different_windows(monkeypatch):
     meta = np.array([[1, 1, 0, 297]], np.int64)
     data = "".join(w + " " for w in words).encode()
     monkeypatch.setattr(sd, "window_hashes", lambda codes, k: np.zeros(len(codes) - k + 1, np.uint64))
-    rid, start, end = sd.repeated_windows(meta, data, 4)
+    rid, start, end = sd.repeated_windows(meta, None, data, 4)
     gone = {i for a, b in zip(start, end, strict=True) for i in range(a, b)}
     first, want = {}, set()
     for s in range(297):
