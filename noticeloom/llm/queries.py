@@ -14,6 +14,7 @@ from noticeloom.llm.exact_dedup import exact_dedup
 from noticeloom.llm.pii import find_personal_data, personal_data_digest
 from noticeloom.llm.sharding import place
 from noticeloom.llm.substring_dedup import substring_dedup
+from noticeloom.llm.suffix_dedup import suffix_dedup
 from noticeloom.llm.warc import page_captures, transactions, write_archives
 from noticeloom.session import scratch_dir
 
@@ -50,6 +51,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.withColumnRenamed("kept", "kept_sha256")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/archives-{uuid.uuid4().hex}"
     write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
 }

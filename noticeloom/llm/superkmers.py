@@ -30,6 +30,8 @@ FLUSH_BYTES = 48 << 20
 CHUNK_BYTES = 2 << 20
 #: Runs that a bucket is meant for.
 BUCKET_RUNS = 50_000
+#: Bits of a place in a buffer of texts.
+PLACE_BITS, PLACE_MASK = np.uint64(28), np.uint64((1 << 28) - 1)
 #: Null ids come after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -41,8 +43,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
+def powers(n: int, back: bool = False) -> np.ndarray:
+    """The first powers of the base, or of its inverse, modulo 2 to the 64th."""
+    out = np.full(n, _INVERSE if back else _BASE, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
@@ -52,7 +55,7 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     n = len(codes)
     if n < width:
         return np.zeros(0, np.uint64)
-    power, back = _powers(_BASE, n), _powers(_INVERSE, n - width + 1)
+    power, back = powers(n), powers(n - width + 1, back=True)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * power, dtype=np.uint64)])
     part = total[width:] - total[:-width]
     # Undo the power of the window's place.
@@ -105,7 +108,8 @@ class Plan:
     def find_runs(self, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First unit, number of windows and minimiser of each run.
 
-        The least gram code of a window is its minimiser. Hot grams come after all others, so
+        The first of the least gram codes of a window is its minimiser; the windows of a run
+        have it at one place, so no two of them are equal. Hot grams come after all others, so
         a window with anything rare in it meets its equals at the rare part, and only
         windows within a frequent passage, which are alike, meet at a hot gram.
         """
@@ -117,16 +121,19 @@ class Plan:
         if len(self.hot):
             place = np.minimum(np.searchsorted(self.hot, order), len(self.hot) - 1)
             order |= (self.hot[place] == order).astype(np.uint64) << np.uint64(63)
-        least = sliding_min(order, self.window - self.gram + 1)
+        # The upper bits of the code, then the place, so of equal ones the first counts.
+        ranked = (order >> PLACE_BITS << PLACE_BITS) | np.arange(len(order), dtype=np.uint64)
+        at = sliding_min(ranked, self.window - self.gram + 1) & PLACE_MASK
         end = units.owner_end
         valid = np.arange(n) + self.window <= end[:n]
         new = np.empty(n, bool)
         new[0] = True
-        new[1:] = (least[1:] != least[:-1]) | (end[1:n] != end[: n - 1])
+        new[1:] = (at[1:] != at[:-1]) | (end[1:n] != end[: n - 1])
         first = np.flatnonzero(new & valid)
         # A run ends where the next one starts or windows leave the text.
         stop = np.flatnonzero(np.append(new | ~valid, True))
-        return first, stop[np.searchsorted(stop, first, side="right")] - first, least[first]
+        return (first, stop[np.searchsorted(stop, first, side="right")] - first,
+                order[at[first].astype(np.int64)])
 
     def bucket(self, key: np.ndarray) -> np.ndarray:
         return (mix(key ^ _BASE) % np.uint64(self.buckets)).astype(np.int64)
@@ -285,17 +292,21 @@ def pack(plan: Plan, cut: Callable, collapse: Callable) -> Callable:
                 first, windows, key = plan.find_runs(units)
                 if not len(first):
                     continue
-                a, b = units.at[first], units.at[first + windows + plan.window - 1]
-                own = [units.data[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
                 doc = units.owner[first]
                 ids = pc.fill_null(part.column(1), LAST).to_numpy(zero_copy_only=False)
                 rids = part.column(0).to_numpy(zero_copy_only=False)
-                held.append((np.stack([ids[doc], rids[doc], first - units.first[doc], windows,
-                                       key.view(np.int64)], 1), own))
-                size += int((b - a).sum())
-                if size > FLUSH_BYTES:
-                    yield from flush(held)
-                    held, size = [], 0
+                meta = np.stack([ids[doc], rids[doc], first - units.first[doc], windows,
+                                 key.view(np.int64)], 1)
+                a, b = units.at[first], units.at[first + windows + plan.window - 1]
+                # A text that repeats itself all along has a run for each window.
+                piece = np.cumsum(b - a) // FLUSH_BYTES
+                for own in np.split(np.arange(len(first)), np.flatnonzero(np.diff(piece)) + 1):
+                    held.append((meta[own], [units.data[i:j] for i, j in zip(
+                        a[own].tolist(), b[own].tolist(), strict=True)]))
+                    size += int((b - a)[own].sum())
+                    if size > FLUSH_BYTES:
+                        yield from flush(held)
+                        held, size = [], 0
         if held:
             yield from flush(held)
     return run
