@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from noticeloom.llm.bpe import encode
 from noticeloom.llm.decontamination import contamination_digest, find_contamination
 from noticeloom.llm.exact_dedup import exact_dedup
+from noticeloom.llm.near_dedup import near_copies
 from noticeloom.llm.pii import find_personal_data, personal_data_digest
 from noticeloom.llm.sharding import place
 from noticeloom.llm.substring_dedup import substring_dedup
@@ -28,6 +29,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(_table(spark, sf_dir, "documents")).drop("rid", "root")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(find_personal_data(_table(spark, sf_dir, "documents")))
 
@@ -66,6 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe": op5_bpe,

@@ -1,0 +1,109 @@
+import random
+
+import numpy as np
+import pytest
+
+from noticeloom.llm.components import components
+from noticeloom.llm.decontamination import words_of
+from noticeloom.llm.near_dedup import (drop_near_copies, near_copies, prefix_length, shingle_sets,
+                                       signatures)
+
+
+def shingles(text):
+    w = words_of(text)
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute(rows, at_least=0.8):
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    n_links = [0] * len(rows)
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if both >= at_least * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                    n_links[a] += 1
+                    n_links[b] += 1
+                    root[find(a)] = find(b)
+    names = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            names[find(i)] = min(doc, names.get(find(i), doc))
+    return sorted([(doc, names.get(find(i)), n_links[i]) for i, (doc, _) in enumerate(rows)], key=repr)
+
+
+def result(df):
+    return sorted([(r.doc_id, r.class_id, r.n_links) for r in df.collect()], key=repr)
+
+
+def mutated(seed, groups, copies, words=60, edits=3):
+    rng = random.Random(seed)
+    out = []
+    for g in range(groups):
+        base = [f"v{rng.randint(0, 400)}" for _ in range(words)]
+        for c in range(copies):
+            own = list(base)
+            for _ in range(rng.randint(0, edits)):
+                own[rng.randrange(len(own))] = f"e{rng.randint(0, 9999)}"
+            out.append((len(out), " ".join(own)))
+    rng.shuffle(out)
+    return out
+
+
+def test_prefix_is_as_long_as_the_recall_allows():
+    assert prefix_length(0.8, 0.9999) == 4
+    assert prefix_length(0.8, 0.999) == 5
+    with pytest.raises(ValueError):
+        prefix_length(0.05, 0.9999)
+
+
+def test_labels_agree_as_often_as_sets_are_similar():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, 900, np.int64).view(np.uint64)
+    sets = [np.unique(a[:800]), np.unique(a[100:])]
+    agree = (signatures(sets)[0] == signatures(sets)[1]).mean()
+    assert abs(agree - 7 / 9) < 0.15
+    assert list(map(len, shingle_sets(["a b", "", None, "a b c d e f", "A b C d e F!"]))) == [1, 0, 0, 2, 2]
+
+
+def test_against_brute_force(make_docs, odd_rows):
+    docs = make_docs(odd_rows).repartition(3).cache()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert result(near_copies(docs)) == brute(rows)
+
+
+@pytest.mark.parametrize("block", [4096, 13])
+def test_large_group_of_near_copies(make_docs, block):
+    rows = [*mutated(4, 3, 70), *[(900 + i, f"short {i % 3}") for i in range(9)], (None, "short 1"), (999, None)]
+    assert result(near_copies(make_docs(rows), block=block)) == brute(rows)
+
+
+def test_one_of_each_group_stays(make_docs):
+    rows = [*mutated(5, 4, 12), (500, None), (501, ""), (None, "only me"), (502, "same text here"),
+            (502, "same text here")]
+    docs = make_docs(rows)
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    classes = {}
+    for doc, cls, _ in brute(rows):
+        classes.setdefault(cls if cls is not None else "null", set()).add(doc)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(
+        [500, 501, None, *{c for c in classes if isinstance(c, int) and c not in (500, 501)}], key=repr)
+
+
+def test_empty_table(make_docs):
+    assert near_copies(make_docs([])).collect() == []
+    assert drop_near_copies(make_docs([])).collect() == []
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 3), (200, 201)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(20)}, 200: 200, 201: 200}
