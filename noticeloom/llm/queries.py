@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from noticeloom.llm.bpe import encode
 from noticeloom.llm.decontamination import contamination_digest, find_contamination
 from noticeloom.llm.exact_dedup import exact_dedup
+from noticeloom.llm.language_id import identify_languages
 from noticeloom.llm.near_dedup import near_copies
 from noticeloom.llm.pii import find_personal_data, personal_data_digest
 from noticeloom.llm.sharding import place
@@ -29,6 +30,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(_table(spark, sf_dir, "documents")).drop("rid", "root")
 
@@ -71,6 +76,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
     "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,

@@ -1,0 +1,79 @@
+import pytest
+from pyspark.sql import functions as F
+
+from noticeloom.llm.language_id import (declared_language, fit_text_model, host_of, identify_languages,
+                                        keep_identified)
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_held_out_rows(spark, documents):
+    train = documents.filter("doc_id % 2 = 0").limit(100_000)
+    test = documents.filter("doc_id % 2 = 1")
+    got = identify_languages(test, labelled=train).join(
+        test.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == test.count()
+    assert sum(r.language == r.lang for r in got) >= 0.99 * len(got)
+    assert sum(not r.accepted for r in got) <= 0.01 * len(got)
+
+
+def test_pages_use_markup_and_host(spark, documents):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = identify_languages(pages, id_col="page_id", text="html", address="url", labelled=documents).collect()
+    assert sum(r.language == r.declared for r in got) >= 0.97 * len(got)
+    assert all(r.host and "/" not in r.host for r in got)
+
+
+def test_host_decides_where_the_text_cannot(spark, documents):
+    rows = [(i, t, "fr.example.fr") for i, t in enumerate(
+        r.text for r in documents.filter("lang = 'fr'").limit(60).collect())]
+    rows += [(1000 + i, r.text, "en.example.com") for i, r in enumerate(
+        documents.filter("lang = 'en'").limit(60).collect())]
+    rows += [(5000, "on", "fr.example.fr"), (5001, "on", "en.example.com"),
+             (5002, '<html lang="fr"><p>on</p>', None), (5003, '<html lang="en"><p>on</p>', None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.language for r in identify_languages(docs, labelled=documents).collect()}
+    assert [got[i] for i in range(5000, 5004)] == ["fr", "en", "fr", "en"]
+
+
+def test_odd_rows(spark, make_docs, odd_rows, documents):
+    rows = [(i, t, "en", "src0") for i, t in odd_rows] + [
+        (2000, "12345 67890 !!! ### 999"), (2001, "xq zzkv qxw jjqx wvvk xxqz kqjw zzxv qqkx wjjz vvxq " * 5)]
+    docs = make_docs(rows)
+    got = {r.doc_id: r for r in identify_languages(docs, labelled=documents).collect()}
+    assert len(got) == len({r[0] for r in rows})
+    assert not any(got[i].accepted for i in (900, 901, 902, 2000, 2001))
+    assert got[2001].language == got[900].language == "und"
+    assert got[903].accepted
+    kept = keep_identified(docs, labelled=documents)
+    assert kept.columns == docs.columns
+    assert not {900, 901, 902, 2000, 2001} & {r.doc_id for r in kept.collect()}
+
+
+def test_without_labels_or_rows(spark, make_docs):
+    docs = make_docs([(1, "abc"), (2, None), (3, "123")])
+    assert sorted((r.doc_id, r.accepted, r.language) for r in identify_languages(docs).collect()) == [
+        (1, True, "und"), (2, False, "und"), (3, False, "und")]
+    assert identify_languages(make_docs([])).collect() == []
+    assert identify_languages(make_docs([]), labelled=make_docs([(1, "ab", "en")])).collect() == []
+
+
+def test_model_is_bounded_and_repeatable(documents):
+    rows = documents.select(F.col("doc_id").alias("rid"), "text", F.col("lang").alias("label"))
+    a, b = fit_text_model(rows, 20), fit_text_model(rows.repartition(5), 20)
+    assert a.labels == b.labels == ["de", "en", "es", "fr"]
+    assert (a.table == b.table).all()
+
+
+def test_addresses_and_declared_languages(spark):
+    rows = [("http://A.b.Example.com:80/x?y", '<!doctype html><HTML class=x LANG="FR-ca">'), ("src7", "<html>"),
+            (None, None), ("", "<p lang=de>"), ("//x", "<html data-lang='xx' xml:lang='es'>")]
+    df = spark.createDataFrame(rows, "a string, t string").select(
+        host_of(F.col("a")).alias("h"), declared_language(F.col("t")).alias("d"))
+    assert [tuple(r) for r in df.collect()] == [
+        ("a.b.example.com", "fr"), ("src7", None), (None, None), (None, None), (None, "es")]
