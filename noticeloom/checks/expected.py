@@ -411,8 +411,9 @@ _COLUMNS = """entry, utility, utility_id, utility_type, region, title, descripti
 _FB = """SELECT entry, title, description, CAST(rfp_id AS VARCHAR) AS rfp_id, url, source_page,
   CAST(source_type AS VARCHAR) AS source_type, is_active, CAST(email AS VARCHAR) AS email,
   CAST(phone AS VARCHAR) AS phone, dates, date_types, links, pdf_pages FROM fallback_rec"""
-_BL = """SELECT entry, title, description, rfp_id, url, source_page, source_type, is_active, email,
+_BL_IN_ALL = """SELECT entry, title, description, rfp_id, url, source_page, source_type, is_active, email,
   phone, dates, date_types, links, pdf_pages FROM block_rec"""
+_BL = _BL_IN_ALL.replace("source_type", "CAST(NULL AS VARCHAR) AS source_type")
 _DOC = """SELECT entry, title, description, rfp_id, url, source_page, source_type, is_active,
   CAST(email AS VARCHAR) AS email, CAST(phone AS VARCHAR) AS phone, dates, date_types, links,
   CAST(NULL AS BIGINT) AS pdf_pages FROM document_rec WHERE link_no <= coalesce(mx, 5)"""
@@ -424,7 +425,7 @@ _STRICT = """SELECT r.entry, strict_title AS title, description, rfp_id, r.url,
 # Links never leave out a listing page with none of its documents found: every
 # page of layout 3 has blocks, so the fallback only serves layouts 0, 1 and 4.
 _expect("opportunities", f"""SELECT {_COLUMNS} FROM (
-  {_DOC} UNION ALL {_BL} b WHERE NOT EXISTS (
+  {_DOC} UNION ALL {_BL_IN_ALL} b WHERE NOT EXISTS (
     SELECT 1 FROM document_rec q WHERE q.link_no <= coalesce(q.mx, 5) AND q.entry = b.entry
       AND contains(lower(q.title), lower(b.title))) AND NOT EXISTS (
     SELECT 1 FROM block_rec q WHERE q.entry = b.entry AND q.k < b.k
@@ -444,6 +445,27 @@ _expect("extraction_metrics", """SELECT entry,
     AS BIGINT) AS n_fallback, FALSE AS failed
   FROM n JOIN reg USING (c) WHERE active GROUP BY entry, c""")
 
+_expect("shared_portal", f"""SELECT e.entry, e.name AS utility, title, url, source_page, dates FROM (
+  SELECT DISTINCT c * 1048576 AS entry, c % 5 AS layout, name,
+    min(c) OVER (PARTITION BY c % 5) * 1048576 AS lead
+  FROM n JOIN reg USING (c) WHERE ch = 0) e
+  JOIN (SELECT entry AS lead, title, url, source_page, dates FROM ({_BL} UNION ALL {_FB})) USING (lead)""")
+_expect("latest_pages", """SELECT url, page_id // 2 AS page_id, length(html) AS n_chars FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id DESC) AS rn,
+    max(page_id // 2) OVER (PARTITION BY url) AS last FROM pages WHERE html IS NOT NULL)
+  WHERE page_id // 2 = last""")
+_expect("latest_documents", "SELECT durl AS url, md5(dtext) AS text_md5 FROM docs")
+_expect("run_metrics", """SELECT entry, CASE WHEN c % 11 = 0 THEN 'uncollected' WHEN c % 7 = 0 THEN 'failed'
+    ELSE 'ok' END AS status,
+  CASE WHEN c % 11 = 0 OR c % 7 = 0 THEN 0 ELSE n_blocks END AS n_blocks,
+  CASE WHEN c % 11 = 0 OR c % 7 = 0 THEN 0 ELSE n_doc_links END AS n_doc_links,
+  CASE WHEN c % 11 = 0 OR c % 7 = 0 THEN 0 ELSE n_fallback END AS n_fallback FROM (
+  SELECT entry, c, CAST(count(*) FILTER (c % 5 IN (2, 3)) AS BIGINT) AS n_blocks,
+    CAST(count(*) FILTER (c % 5 = 3) + count(*) FILTER (c % 5 = 3 AND k % 2 = 1) AS BIGINT) AS n_doc_links,
+    CAST(CASE WHEN c % 5 IN (0, 1) THEN count(*) WHEN c % 5 = 4 THEN least(count(*), 10) ELSE 0 END
+      AS BIGINT) AS n_fallback
+  FROM n JOIN reg USING (c) WHERE active GROUP BY entry, c)""")
+
 # Repeated runs
 _expect("snapshot_diff", """SELECT * FROM (
   SELECT coalesce(a.utility_id, b.utility_id) AS utility_id,

@@ -16,7 +16,7 @@ from noticeloom.operators import choose, dedup, enrich, page_parts as P, records
 from noticeloom.operators import summaries as S
 from noticeloom.operators.nodes import parse_pages
 from noticeloom.plans import opportunities as O, reports
-from noticeloom.session import configure, scratch_dir, spread, write_out
+from noticeloom.session import configure, scratch_dir, write_out
 from noticeloom.sources import order_notices as N, registry as REG
 from noticeloom.sources.tables import read_documents, read_pages, read_table
 from noticeloom.streaming import incremental as INC
@@ -43,11 +43,11 @@ def _long(name: str):
 
 
 def _raw_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_pages(spark, f"{sf}/pages.parquet"))
+    return read_pages(spark, f"{sf}/pages.parquet")
 
 
 def _raw_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_documents(spark, f"{sf}/documents.parquet"))
+    return read_documents(spark, f"{sf}/documents.parquet")
 
 
 def _decoded(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,7 +178,7 @@ def blocks_by_class(spark, sf):
 
 @query
 def blocks_by_table(spark, sf):
-    return P.page_blocks(_listing(spark, sf), (3,), ("bid",)).select(
+    return P.page_blocks(_listing(spark, sf), (3,), table_indicators=("bid",)).select(
         "page_id", "seq", "tag", "title", "text")
 
 
@@ -190,7 +190,7 @@ def page_blocks(spark, sf):
 @query
 def block_titles(spark, sf):
     """Titles of all blocks with tables that hold ``bid`` or ``proposal`` let in."""
-    return P.page_blocks(_listing(spark, sf), (1, 2, 3), ("rfp", "bid")).select(
+    return P.page_blocks(_listing(spark, sf), (1, 2, 3), ("rfp", "bid"), table_indicators=("rfp", "bid")).select(
         "page_id", _long("strategy"), "title")
 
 
@@ -496,17 +496,59 @@ def all_opportunities(spark, sf):
     registry = N.paged_registry(spark, sf).withColumn(
         "scraper_type", F.expr("case cust % 5 when 3 then 'pdf' when 2 then 'html' end"))
     return _shown(O.by_portal(
-        registry,
-        {"pdf": lambda r: O.document_opportunities(r, pages, docs),
-         "html": lambda r: O.enhanced_opportunities(r, pages)},
-        default=lambda r: O.base_opportunities(r, pages)))
+        registry, pages,
+        {"pdf": lambda parts, r: O.documents_from(parts, r, docs), "html": O.enhanced_from},
+        default=O.base_from))
 
 
 @query
 def extraction_metrics(spark, sf):
-    arrays = O.page_arrays(
-        N.paged_registry(spark, sf), N.listing_pages(spark, sf), documents="any")
-    return S.extraction_metrics(arrays).drop("url")
+    arrays = O.page_arrays(N.listing_pages(spark, sf), documents=("any",)).join(
+        REG.usable(N.paged_registry(spark, sf)).select("entry", F.col("rfp_url").alias("url")), "url")
+    return S.extraction_metrics(arrays.withColumnRenamed("any_links", "doc_links")).drop("url")
+
+
+def _shared_portal(spark, sf):
+    """Issuers of one layout share the first page of the smallest of them."""
+    registry = N.paged_registry(spark, sf).where("entry % 1048576 = 0")
+    first = registry.groupBy(F.expr("cust % 5").alias("layout")).agg(F.min("cust").alias("lead"))
+    return (registry.withColumn("layout", F.expr("cust % 5")).join(first, "layout")
+            .withColumn("rfp_url", F.expr("concat('https://u', lead, '.example.com/notices/index.html')")))
+
+
+@query
+def shared_portal(spark, sf):
+    """Many entries on one address."""
+    found = O.enhanced_opportunities(_shared_portal(spark, sf), N.listing_pages(spark, sf), active_only=False)
+    return _shown(found).select("entry", "utility", "title", "url", "source_page", "dates")
+
+
+def _fetches(rows, key):
+    """Each row twice: an older fetch with other content, and the one that counts."""
+    old = rows.withColumns({"fetched_at": F.lit("2024-01-01"), key: F.concat(F.lit("old "), key)})
+    return old.unionByName(rows.withColumn("fetched_at", F.lit("2024-02-01")))
+
+
+@query
+def latest_pages(spark, sf):
+    pages = _fetches(read_pages(spark, f"{sf}/pages.parquet"), "html")
+    return O.latest(pages.withColumn("page_id", F.expr("page_id div 2"))).select(
+        "url", "page_id", F.length("html").cast("bigint").alias("n_chars"))
+
+
+@query
+def latest_documents(spark, sf):
+    docs = _fetches(N.linked_documents(spark, sf).where("text is not null"), "text")
+    return O.latest(docs, body="text").select("url", F.md5("text").alias("text_md5"))
+
+
+@query
+def run_metrics(spark, sf):
+    """Every seventh page was fetched without html and every eleventh not at all."""
+    pages = N.listing_pages(spark, sf).where("cust % 11 <> 0").withColumn(
+        "html", F.expr("if(cust % 7 = 0, null, html)"))
+    registry = N.paged_registry(spark, sf)
+    return O.run_metrics(O.page_parts(registry, pages, documents=("any",)), registry)
 
 
 # Repeated runs
@@ -516,7 +558,7 @@ def stream_incremental(spark, sf):
     run = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     return INC.run_new_pages(
         spark, sf, "page_id bigint, url string, html string", f"{run}/out", f"{run}/progress",
-        lambda pages: P.page_links(parse_pages(spread(pages))).select(
+        lambda pages: P.page_links(parse_pages(pages)).select(
             "page_id", "seq", "text", "link_url"),
         glob="pages.parquet")
 

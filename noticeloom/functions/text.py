@@ -53,19 +53,18 @@ def plain_dates(col: Column) -> Column:
     return F.concat(*[all_matches(col, p) for p in V.PLAIN_DATES])
 
 
-def document_dates(col: Column) -> Column:
-    """Distinct date strings, at most ten matches per pattern, sorted."""
-    capped = [
-        F.slice(all_matches(col, p), 1, V.DOCUMENT_DATES_PER_PATTERN) for p in V.PLAIN_DATES
-    ]
+def document_dates(col: Column, per_pattern: int | None = V.DOCUMENT_DATES_PER_PATTERN) -> Column:
+    """Distinct date strings, at most ``per_pattern`` matches of each pattern (None: all), sorted."""
+    found = [all_matches(col, p) for p in V.PLAIN_DATES]
+    capped = found if per_pattern is None else [F.slice(f, 1, per_pattern) for f in found]
     return F.array_sort(F.array_distinct(F.concat(*capped)))
 
 
-def date_label(context: Column) -> Column:
+def date_label(context: Column, labels: Sequence[str] = V.DATE_LABELS) -> Column:
     """First label, in list order, that occurs in the text around a date."""
     def pick(low: Column) -> Column:
-        label = F.when(low.contains(V.DATE_LABELS[0]), V.DATE_LABELS[0])
-        for k in V.DATE_LABELS[1:]:
+        label = F.when(low.contains(labels[0]), labels[0])
+        for k in labels[1:]:
             label = label.when(low.contains(k), k)
         return label.otherwise("unknown")
 
@@ -77,7 +76,7 @@ _DATES = "array<struct<date:string,type:string,context:string>>"
 _NEIGHBOURS = V.CONTEXT_CHARS // 6 + 1
 
 
-def _with_context(col: Column, pattern: str) -> Column:
+def _with_context(col: Column, pattern: str, labels: Sequence[str]) -> Column:
     """Matches of one pattern with the text around them.
 
     The text is cut into gaps and matches, so a context is built from the few
@@ -128,7 +127,7 @@ def _with_context(col: Column, pattern: str) -> Column:
         pieces = F.struct(found.alias("found"), F.split(col, pattern, -1).alias("gaps"))
         return F.transform(
             let(pieces, lambda p: let(trimmed(p), lambda t: let(units(t), contexts))),
-            lambda d: F.struct(d["date"].alias("date"), date_label(d["context"]).alias("type"),
+            lambda d: F.struct(d["date"].alias("date"), date_label(d["context"], labels).alias("type"),
                                d["context"].alias("context")),
         )
 
@@ -137,13 +136,13 @@ def _with_context(col: Column, pattern: str) -> Column:
                lambda f: F.when(F.size(f) > 0, labelled(f)).otherwise(F.array().cast(_DATES)))
 
 
-def dates_with_context(col: Column) -> Column:
+def dates_with_context(col: Column, labels: Sequence[str] = V.DATE_LABELS) -> Column:
     """``array<struct<date, type, context>>``, by pattern and then by position.
 
     An ISO date is reported twice (its tail also fits the first pattern); status
     and labels depend on that, so it stays.
     """
-    return F.concat(*[_with_context(col, p) for p in V.CONTEXT_DATES])
+    return F.concat(*[_with_context(col, p, labels) for p in V.CONTEXT_DATES])
 
 
 def bare_dates(dates: Column, label: str) -> Column:
@@ -185,14 +184,14 @@ def _id_patterns(prefixes: Sequence[str]) -> list[str]:
     return [rf"(?iU){p}{V.ID_TAIL}" for p in prefixes]
 
 
-def notice_id(col: Column) -> Column:
-    return first_match(col, _id_patterns(V.ID_PREFIXES))
+def notice_id(col: Column, prefixes: Sequence[str] = V.ID_PREFIXES) -> Column:
+    return first_match(col, _id_patterns(prefixes))
 
 
-def document_id(col: Column) -> Column:
-    """As ``notice_id`` without ``Bid``, and only in the opening of the document."""
-    return first_match(F.substring(col, 1, V.DOCUMENT_ID_CHARS),
-                       _id_patterns(V.DOCUMENT_ID_PREFIXES))
+def document_id(col: Column, chars: int | None = V.DOCUMENT_ID_CHARS) -> Column:
+    """As ``notice_id`` without ``Bid``, and only in the first ``chars`` of the document (None: all)."""
+    opening = col if chars is None else F.substring(col, 1, chars)
+    return first_match(opening, _id_patterns(V.DOCUMENT_ID_PREFIXES))
 
 
 def email(col: Column) -> Column:
@@ -209,11 +208,12 @@ def contact(col: Column) -> Column:
                     F.lit(None).cast("string").alias("name"))
 
 
-def is_active(col: Column, dates: Column) -> Column:
+def is_active(col: Column, dates: Column, closed: Sequence[str] = V.CLOSED_WORDS,
+              opened: Sequence[str] = V.OPEN_WORDS) -> Column:
     """Closing words win over opening words; without either, a dated notice is active."""
     return (
-        F.when(contains_any(col, V.CLOSED_WORDS), F.lit(False))
-        .when(contains_any(col, V.OPEN_WORDS), F.lit(True))
+        F.when(contains_any(col, closed), F.lit(False))
+        .when(contains_any(col, opened), F.lit(True))
         .otherwise(F.size(dates) > 0)
     )
 

@@ -5,6 +5,10 @@ they are stated plainly here. Every operator takes them as default arguments
 and can be given other words.
 """
 
+from __future__ import annotations
+
+from dataclasses import dataclass
+
 # Header and page indicators, in order. Tables are tested with the first ten.
 NOTICE_INDICATORS = (
     "request for proposal", "request for quotation", "request for information",
@@ -72,3 +76,23 @@ DEFAULT_MAX_DOCUMENTS = 5
 DEFAULT_MAX_DOCUMENTS_STRICT = 10
 
 DEFAULT_DOCUMENT_TITLE = "PDF RFP Document"
+
+
+@dataclass(frozen=True)
+class Words:
+    """The words and limits of a run; None is no limit."""
+
+    indicator: tuple[str, ...] = NOTICE_INDICATORS
+    table: tuple[str, ...] = TABLE_INDICATORS
+    container: tuple[str, ...] = CONTAINER_WORDS
+    link: tuple[str, ...] = LINK_WORDS
+    row: tuple[str, ...] = ROW_WORDS
+    date_label: tuple[str, ...] = DATE_LABELS
+    closed: tuple[str, ...] = CLOSED_WORDS
+    open: tuple[str, ...] = OPEN_WORDS
+    id_prefix: tuple[str, ...] = ID_PREFIXES
+    fallback_links: int | None = FALLBACK_LINKS
+    description_chars: int | None = DESCRIPTION_CHARS
+
+
+DEFAULT_WORDS = Words()

@@ -43,11 +43,11 @@ def rows_array(words: Sequence[str] = V.ROW_WORDS) -> Column:
     def row(tr: Column) -> Column:
         return let(
             below(tr),
-            lambda inner: F.struct(
-                F.array_join(F.transform(tagged(inner, "td", "th"), glued), " ").alias("text"),
-                F.size(tagged(inner, "td", "th")).alias("n_cells"),
+            lambda inner: let(tagged(inner, "td", "th"), lambda cells: F.struct(
+                F.array_join(F.transform(cells, glued), " ").alias("text"),
+                F.size(cells).alias("n_cells"),
                 _first_href(inner).alias("href"),
-            ),
+            )),
         )
 
     found = F.flatten(F.transform(
@@ -135,15 +135,14 @@ def block_title(node: Column) -> Column:
 def blocks_array(
     indicators: Sequence[str] = V.NOTICE_INDICATORS,
     container_words: Sequence[str] = V.CONTAINER_WORDS,
-    table_indicators: Sequence[str] | None = None,
+    table_indicators: Sequence[str] = V.TABLE_INDICATORS,
     strategies: Sequence[int] = (1, 2, 3),
 ) -> Column:
     """Candidate blocks: after headers, then by class, then tables. A node may come twice."""
-    tables = tuple(indicators[:10]) if table_indicators is None else table_indicators
     found = {
         1: lambda: _after_header(indicators),
         2: lambda: _by_class(container_words),
-        3: lambda: _by_table(tables),
+        3: lambda: _by_table(table_indicators),
     }
     blocks = F.concat(*[found[s]() for s in strategies])
     return F.transform(
@@ -220,12 +219,13 @@ def page_blocks(
     strategies: Sequence[int] = (1, 2, 3),
     indicators: Sequence[str] = V.NOTICE_INDICATORS,
     container_words: Sequence[str] = V.CONTAINER_WORDS,
+    table_indicators: Sequence[str] = V.TABLE_INDICATORS,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """One row per candidate block, ``seq`` in strategy order and then page order."""
     return _per_part(
         parsed,
-        blocks_array(indicators, container_words, strategies=strategies),
+        blocks_array(indicators, container_words, table_indicators, strategies),
         keys)
 
 

@@ -16,7 +16,7 @@ def _seq(source: str, position: Column) -> Column:
     return F.lit(_RANK[source] << 32) + position.cast("bigint")
 
 
-def with_block_facts(parts: DataFrame, is_block: Column) -> DataFrame:
+def with_block_facts(parts: DataFrame, is_block: Column, words: V.Words = V.DEFAULT_WORDS) -> DataFrame:
     """Facts of each block: description, id, dates, contact, status.
 
     Blocks without a title go, and so does the full text of the others; rows that
@@ -26,12 +26,13 @@ def with_block_facts(parts: DataFrame, is_block: Column) -> DataFrame:
     return (
         parts.where(~is_block | (F.col("title") != ""))
         .withColumn("block_text", text)
-        .withColumn("dates", F.when(is_block, X.dates_with_context(F.col("block_text"))))
-        .withColumn("description", F.left("block_text", F.lit(V.DESCRIPTION_CHARS)))
-        .withColumn("rfp_id", X.notice_id(F.col("block_text")))
+        .withColumn("dates", F.when(is_block, X.dates_with_context(F.col("block_text"), words.date_label)))
+        .withColumn("description", F.col("block_text") if words.description_chars is None
+                    else F.left("block_text", F.lit(words.description_chars)))
+        .withColumn("rfp_id", X.notice_id(F.col("block_text"), words.id_prefix))
         .withColumn("contact", F.when(is_block, X.contact(F.col("block_text"))))
         .withColumn("is_active", F.when(
-            is_block, X.is_active(F.col("block_text"), F.col("dates"))))
+            is_block, X.is_active(F.col("block_text"), F.col("dates"), words.closed, words.open)))
         .withColumn("text", F.when(~is_block, F.col("text")))
         .drop("block_text")
     )
@@ -48,7 +49,6 @@ def block_records(facts: DataFrame) -> DataFrame:
         .withColumn("seq", _seq("block", F.col("seq")))
         .withColumn("source_page", page)
         .withColumn("url", F.coalesce(F.get("additional_links", 0)["url"], page))
-        .withColumn("source_type", F.lit("html"))
     )
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from noticeloom.functions import vocab as V
+from noticeloom.functions.text import let
 from noticeloom.functions.urls import resolve_url
+from noticeloom.functions.vocab import DEFAULT_WORDS, Words
 from noticeloom.operators import enrich, page_parts as P, records as R
 from noticeloom.operators.dedup import drop_contained, first_per_title
 from noticeloom.operators.nodes import parse_pages
@@ -17,62 +19,68 @@ from noticeloom.sources.registry import usable
 _ENTRY = ("entry", "rfp_url", "max_pdfs_to_extract")
 
 
-def _fallback() -> Column:
-    """Table rows, else list items, else the first ten relevant links of the page."""
+def latest(df: DataFrame, key: str = "url", order: Sequence[str] = ("fetched_at", "page_id", "doc_id"),
+           body: str | None = None) -> DataFrame:
+    """One row per ``key``: the last fetch, by those columns of ``order`` that there are.
+
+    Rows equal in all of them are told apart by a hash of ``body``, so the choice is the same in
+    every run; only copies in every respect stay together. The newest stamps are merged within
+    tasks before they move, and a row meets them by key alone.
+    """
+    stamps = [F.col(c) for c in order if c in df.columns]
+    if body is not None:
+        stamps.append(F.xxhash64(body).alias("body_hash"))
+    if not stamps:
+        raise ValueError(f"rows of one {key} need a column that orders them, one of {order}")
+    newest = df.groupBy(key).agg(F.max(F.struct(*stamps)).alias("_stamp"))
+    return df.withColumn("_stamp", F.struct(*stamps)).join(
+        newest, [key, "_stamp"], "left_semi").drop("_stamp")
+
+
+def _fallback(words: Words) -> Column:
+    """Table rows, else list items, else the first ten relevant links of the page.
+
+    A later tier is only worked out where the one before it is empty.
+    """
     def tier(n: int, parts: Column) -> Column:
         return F.transform(parts, lambda p: F.struct(
             F.lit(n).alias("tier"), p["text"].alias("text"), p["href"].alias("href")))
 
-    relevant = F.slice(
-        F.filter("links", lambda a: P.is_relevant(a, F.col("url"))), 1, V.FALLBACK_LINKS)
-    return (
-        F.when(F.size("rows") > 0, tier(1, F.col("rows")))
-        .when(F.size("items") > 0, tier(2, F.col("items")))
-        .otherwise(tier(3, relevant))
-    )
+    links = F.filter("links", lambda a: P.is_relevant(a, F.col("url"), words.link))
+    relevant = links if words.fallback_links is None else F.slice(links, 1, words.fallback_links)
+    return let(P.rows_array(words.row), lambda rows: F.when(F.size(rows) > 0, tier(1, rows)).otherwise(
+        let(P.items_array(words.row), lambda items: F.when(F.size(items) > 0, tier(2, items))
+            .otherwise(tier(3, relevant)))))
 
 
 def page_arrays(
-    registry: DataFrame,
     pages: DataFrame,
     blocks: bool = True,
-    documents: str | None = None,
-    active_only: bool = True,
-    fallback: bool = True,
+    documents: Sequence[str] = (),
+    fallback: str | None = "needed",
+    words: Words = DEFAULT_WORDS,
 ) -> DataFrame:
-    """One row per registry entry and page: arrays of blocks, document links, fallback parts.
+    """One row per page: arrays of blocks, document links, fallback parts.
 
-    ``documents`` is None, "any" or "strict". The html goes to the parser and no
-    further. A registry proven small by a count filters the pages before they are
-    parsed, with no shuffle of html; a large one meets the arrays instead.
+    ``documents`` names the kinds of document links, "any" and "strict". ``fallback`` is None,
+    "needed" (pages without a titled block) or "always". The html goes to the parser and no further.
     """
-    entries = usable(registry, active_only).select(
-        *[c if c in registry.columns else F.lit(None).cast("int").alias(c) for c in _ENTRY])
-    html = pages.select("url", "html").where(F.col("html").isNotNull())
-    small = enrich.is_small(entries)
-    if small:
-        on_page = F.col("url") == F.col("rfp_url")
-        html = html.join(F.broadcast(entries), on_page).drop("rfp_url")
-    keys = [c for c in html.columns if c != "html"] + ["parse_error"]
-
-    nodes = F.col("nodes")
-    found = parse_pages(html).select(
-        *keys,
-        *([P.blocks_array().alias("blocks")] if blocks else []),
-        *([P.rows_array().alias("rows"), P.items_array().alias("items")] if fallback else []),
-        P.anchors(nodes).alias("links"),
+    found = parse_pages(pages.select("url", "html")).select(
+        "url", "nodes", "segs",
+        F.coalesce("parse_error", F.when(F.col("nodes").isNull(), "no html")).alias("parse_error"),
+        *([P.blocks_array(words.indicator, words.container, words.table).alias("blocks")] if blocks else []),
+        P.anchors(F.col("nodes")).alias("links"),
     )
-    is_doc = P.is_document_strict if documents == "strict" else P.is_document
-    no_block = ~F.exists("blocks", lambda b: b["title"] != "") if blocks else F.lit(True)
-    arrays = found.select(
-        *keys,
+    tests = {"any": P.is_document, "strict": P.is_document_strict}
+    bare = ~F.exists("blocks", lambda b: b["title"] != "") if blocks else F.lit(True)
+    parts = _fallback(words)
+    return found.select(
+        "url", "parse_error", F.coalesce(bare, F.lit(True)).alias("bare"),
         *(["blocks"] if blocks else []),
-        *([F.filter("links", lambda l: is_doc(l["href"])).alias("doc_links")]
-          if documents else []),
-        *([F.when(no_block, _fallback()).alias("fallback")] if fallback else []),
+        *[F.filter("links", lambda l: tests[k](l["href"])).alias(f"{k}_links") for k in documents],
+        *([(F.when(bare, parts) if fallback == "needed" else parts).alias("fallback")]
+          if fallback else []),
     )
-    return arrays if small else arrays.join(
-        entries, F.col("url") == F.col("rfp_url")).drop("rfp_url")
 
 
 _PART = T.StructType([
@@ -100,57 +108,76 @@ def _as_parts(kind: str, column: str, fields: tuple[str, ...]) -> Column:
 
 
 _KINDS = {
+    "page": ("page", ("text",)),
     "blocks": ("block", ("title", "text", "links")),
-    "doc_links": ("document", ("text", "href")),
+    "any_links": ("any", ("text", "href")),
+    "strict_links": ("strict", ("text", "href")),
     "fallback": ("fallback", ("tier", "text", "href")),
 }
 
 
-def page_parts(registry: DataFrame, pages: DataFrame, **options) -> DataFrame:
-    """The parts of all pages as one written table, a folder per kind.
+def page_parts(registry: DataFrame, pages: DataFrame, active_only: bool = True,
+               words: Words = DEFAULT_WORDS, **options) -> DataFrame:
+    """The parts of the registered pages as one written table, a folder per kind.
 
-    Facts of blocks are worked out here, in the task that parsed the page, so a
-    block's full text is neither written nor shuffled. Options as in ``page_arrays``.
+    The last fetch of each address that an entry names is parsed, once, however many entries share
+    it. Facts of blocks are worked out here, in the task that parsed the page, so a block's full text
+    is neither written nor shuffled. Of kind "page" there is one part for each page, its text the
+    parse error. Options as in ``page_arrays``.
     """
-    arrays = page_arrays(registry, pages, **options)
+    wanted = usable(registry, active_only).select(F.col("rfp_url").alias("url")).distinct()
+    fetched = latest(pages.join(wanted, "url", "left_semi"), body="html")
+    arrays = page_arrays(fetched, words=words, **options).withColumn(
+        "page", F.array(F.struct(F.col("parse_error").alias("text"))))
     parts = F.concat(*[_as_parts(kind, column, fields)
                        for column, (kind, fields) in _KINDS.items() if column in arrays.columns])
     # Outer, as a plain inline would have the arrays computed again for its filter.
     flat = (
-        arrays.select("entry", "url", "max_pdfs_to_extract", parts.alias("parts"))
-        .select("entry", "url", "max_pdfs_to_extract", F.inline_outer("parts"))
+        arrays.select("url", "bare", parts.alias("parts"))
+        .select("url", "bare", F.inline_outer("parts"))
         .where(F.col("kind").isNotNull())
     )
     if options.get("blocks", True):
-        flat = R.with_block_facts(flat, F.col("kind") == "block")
+        flat = R.with_block_facts(flat, F.col("kind") == "block", words)
     return write_out(flat, "parts", by="kind")
 
 
-def _blocks(parts: DataFrame) -> DataFrame:
-    blocks = parts.where("kind = 'block'").withColumnRenamed("pos", "seq")
+def _of_entries(parts: DataFrame, registry: DataFrame, kind: str, active_only: bool) -> DataFrame:
+    """Parts of one kind for each entry that names their page."""
+    entries = usable(registry, active_only).select(
+        *[c if c in registry.columns else F.lit(None).cast("int").alias(c) for c in _ENTRY])
+    return parts.where(F.col("kind") == kind).join(
+        entries, F.col("url") == F.col("rfp_url")).drop("rfp_url")
+
+
+def _blocks(parts: DataFrame, registry: DataFrame, active_only: bool) -> DataFrame:
+    # The first of each title on its page, before entries that share the page multiply it.
+    firsts = first_per_title(
+        parts.where("kind = 'block'").withColumnRenamed("pos", "seq"), ["url"])
     # Links are resolved last, for the blocks that stay.
-    return R.block_records(first_per_title(blocks, ["entry"]))
+    return R.block_records(_of_entries(firsts, registry, "block", active_only))
 
 
-def _fallback_of(parts: DataFrame) -> DataFrame:
-    return R.fallback_records(parts.where("kind = 'fallback'"))
+def _fallback_of(parts: DataFrame, registry: DataFrame, active_only: bool, needed: bool) -> DataFrame:
+    rows = _of_entries(parts, registry, "fallback", active_only)
+    return R.fallback_records(rows.where("bare") if needed else rows)
 
 
-def _documents(parts: DataFrame, documents: DataFrame, strict: bool) -> DataFrame:
+def _documents(parts: DataFrame, registry: DataFrame, documents: DataFrame, active_only: bool,
+               strict: bool) -> DataFrame:
     default = V.DEFAULT_MAX_DOCUMENTS_STRICT if strict else V.DEFAULT_MAX_DOCUMENTS
     most = F.coalesce("max_pdfs_to_extract", F.lit(default))
     if strict:  # a limit below zero counts from the end; elsewhere it means none
         most = F.when(most < 0, F.col("of") + most).otherwise(most)
     links = (
-        parts.where("kind = 'document'").where(F.col("pos") <= most)
+        _of_entries(parts, registry, "strict" if strict else "any", active_only)
+        .where(F.col("pos") <= most)
         .select("entry", "url", F.col("pos").alias("link_no"), F.col("text").alias("link_text"),
                 resolve_url(F.col("url"), F.col("href")).alias("document_url"))
     )
-    wanted = links.select("document_url").distinct()
-    if enrich.is_small(wanted):
-        documents = documents.join(
-            F.broadcast(wanted), F.col("url") == F.col("document_url"), "left_semi")
-    linked = enrich.link_documents(links, R.compact_documents(documents))
+    wanted = links.select(F.col("document_url").alias("url")).distinct()
+    fetched = latest(documents.join(wanted, "url", "left_semi"), body="text")
+    linked = enrich.link_documents(links, R.compact_documents(fetched))
     return R.document_records(linked, strict)
 
 
@@ -159,20 +186,55 @@ def _finish(records: DataFrame, registry: DataFrame, run_ts: str | None) -> Data
     return out.withColumn("scraped_at", F.lit(run_ts).cast("timestamp"))
 
 
+def base_from(parts: DataFrame, registry: DataFrame, run_ts: str | None = None,
+              active_only: bool = True) -> DataFrame:
+    """Rows, else items, else links of each entry's page; parts with fallback "always"."""
+    return _finish(_fallback_of(parts, registry, active_only, needed=False), registry, run_ts)
+
+
+def enhanced_from(parts: DataFrame, registry: DataFrame, run_ts: str | None = None,
+                  active_only: bool = True) -> DataFrame:
+    """Blocks of each entry's page; the base records where it has none."""
+    found = _blocks(parts, registry, active_only).unionByName(
+        _fallback_of(parts, registry, active_only, needed=True))
+    return _finish(found, registry, run_ts)
+
+
+def documents_from(parts: DataFrame, registry: DataFrame, documents: DataFrame,
+                   run_ts: str | None = None, active_only: bool = True) -> DataFrame:
+    """Documents only; parts with the "strict" document links."""
+    return _finish(_documents(parts, registry, documents, active_only, strict=True), registry, run_ts)
+
+
+def opportunities_from(parts: DataFrame, registry: DataFrame, documents: DataFrame,
+                       run_ts: str | None = None, active_only: bool = True) -> DataFrame:
+    """Documents, then blocks not already named by one, else the base records; parts with "any" links."""
+    blocks = _blocks(parts, registry, active_only).withColumn("source_type", F.lit("html"))
+    found = write_out(
+        _documents(parts, registry, documents, active_only, strict=False).unionByName(blocks), "found")
+    kept = drop_contained(found, ["entry"], droppable=F.col("source_type") == "html")
+    # An entry whose every title is contained still keeps its first, so "nothing
+    # kept" is "nothing found".
+    rest = _fallback_of(parts, registry, active_only, needed=True).join(
+        found.select("entry").distinct(), "entry", "left_anti")
+    return _finish(kept.unionByName(rest), registry, run_ts)
+
+
 def base_opportunities(
-    registry: DataFrame, pages: DataFrame, run_ts: str | None = None, active_only: bool = True
+    registry: DataFrame, pages: DataFrame, run_ts: str | None = None, active_only: bool = True,
+    words: Words = DEFAULT_WORDS,
 ) -> DataFrame:
     """Rows, else items, else links of each entry's page."""
-    parts = page_parts(registry, pages, blocks=False, active_only=active_only)
-    return _finish(_fallback_of(parts), registry, run_ts)
+    parts = page_parts(registry, pages, active_only, words, blocks=False)
+    return base_from(parts, registry, run_ts, active_only)
 
 
 def enhanced_opportunities(
-    registry: DataFrame, pages: DataFrame, run_ts: str | None = None, active_only: bool = True
+    registry: DataFrame, pages: DataFrame, run_ts: str | None = None, active_only: bool = True,
+    words: Words = DEFAULT_WORDS,
 ) -> DataFrame:
     """Blocks of each entry's page; the base records where it has none."""
-    parts = page_parts(registry, pages, active_only=active_only)
-    return _finish(_blocks(parts).unionByName(_fallback_of(parts)), registry, run_ts)
+    return enhanced_from(page_parts(registry, pages, active_only, words), registry, run_ts, active_only)
 
 
 def opportunities(
@@ -181,19 +243,14 @@ def opportunities(
     documents: DataFrame,
     run_ts: str | None = None,
     active_only: bool = True,
+    words: Words = DEFAULT_WORDS,
 ) -> DataFrame:
     """Documents, then blocks not already named by one, else the base records.
 
     ``documents`` is ``(url, text, metadata)``.
     """
-    parts = page_parts(registry, pages, documents="any", active_only=active_only)
-    found = write_out(
-        _documents(parts, documents, strict=False).unionByName(_blocks(parts)), "found")
-    kept = drop_contained(found, ["entry"], droppable=F.col("source_type") == "html")
-    # An entry whose every title is contained still keeps its first, so "nothing
-    # kept" is "nothing found".
-    rest = _fallback_of(parts).join(found.select("entry").distinct(), "entry", "left_anti")
-    return _finish(kept.unionByName(rest), registry, run_ts)
+    parts = page_parts(registry, pages, active_only, words, documents=("any",))
+    return opportunities_from(parts, registry, documents, run_ts, active_only)
 
 
 def document_opportunities(
@@ -204,23 +261,47 @@ def document_opportunities(
     active_only: bool = True,
 ) -> DataFrame:
     """Documents only, for issuers who publish that way."""
-    parts = page_parts(registry, pages, blocks=False, documents="strict",
-                       active_only=active_only, fallback=False)
-    return _finish(_documents(parts, documents, strict=True), registry, run_ts)
+    parts = page_parts(registry, pages, active_only, blocks=False, documents=("strict",), fallback=None)
+    return documents_from(parts, registry, documents, run_ts, active_only)
 
 
-Extractor = Callable[[DataFrame], DataFrame]
+Extractor = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def by_portal(
-    registry: DataFrame, extractors: Mapping[str, Extractor], default: Extractor
+    registry: DataFrame,
+    pages: DataFrame,
+    extractors: Mapping[str, Extractor],
+    default: Extractor,
+    active_only: bool = True,
+    words: Words = DEFAULT_WORDS,
 ) -> DataFrame:
     """Run the extractor registered for each entry's ``scraper_type``; the rest get the default.
 
-    An extractor takes registry rows and returns opportunities.
+    The pages of all entries are read and parsed once, and every kind of part is written; an
+    extractor takes the parts and its registry rows (as the ``..._from`` functions do) and returns
+    opportunities.
     """
+    parts = page_parts(registry, pages, active_only, words, documents=("any", "strict"), fallback="always")
     kind = F.coalesce("scraper_type", F.lit(""))
-    out = default(registry.where(~kind.isin(*extractors)) if extractors else registry)
+    out = default(parts, registry.where(~kind.isin(*extractors)) if extractors else registry)
     for name, extract in extractors.items():
-        out = out.unionByName(extract(registry.where(kind == name)), allowMissingColumns=True)
+        out = out.unionByName(extract(parts, registry.where(kind == name)), allowMissingColumns=True)
     return out
+
+
+def run_metrics(parts: DataFrame, registry: DataFrame, active_only: bool = True) -> DataFrame:
+    """What each entry's page gave: ``status`` (ok, failed, uncollected) and counts of its parts.
+
+    Read from the written parts, so nothing is parsed again. A page without html counts as failed.
+    """
+    counted = parts.groupBy("url").agg(
+        F.max(F.when(F.col("kind") == "page", F.coalesce("text", F.lit("")))).alias("error"),
+        *[F.count_if(F.col("kind") == kind).alias(name) for kind, name in (
+            ("block", "n_blocks"), ("any", "n_doc_links"), ("fallback", "n_fallback"))])
+    entries = usable(registry, active_only).select("entry", F.col("rfp_url").alias("url"))
+    status = (F.when(F.col("error").isNull(), "uncollected").when(F.col("error") != "", "failed")
+              .otherwise("ok"))
+    return entries.join(counted, "url", "left").select(
+        "entry", status.alias("status"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+                                           for c in ("n_blocks", "n_doc_links", "n_fallback")])

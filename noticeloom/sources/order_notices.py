@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from noticeloom.session import spread
 from noticeloom.sources.tables import read_table
 
 PAGE_ORDERS = 50_000
@@ -46,8 +45,7 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_custkey as cust", "o_orderkey as key", "o_orderstatus as status",
         "o_orderpriority as priority", "cast(o_orderdate as date) as day")
     return (
-        spread(orders)
-        .withColumns({"title": F.expr(_TITLE), "phrase": F.expr(_PHRASE)})
+        orders.withColumns({"title": F.expr(_TITLE), "phrase": F.expr(_PHRASE)})
         .selectExpr("cust", "key", "concat('u', cust) as utility_id", "title", "phrase",
                     "concat(title, ' ', phrase) as text", "day", "status",
                     f"key div {PAGE_ORDERS} as chunk")

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from noticeloom.operators import enrich
+from noticeloom.functions.vocab import Words
 from noticeloom.plans import opportunities as O
 from noticeloom.plans.run import run
 from noticeloom.sources import registry as REG
@@ -74,7 +74,7 @@ def test_enhanced(spark, data):
     assert first.additional_links[0].text == "one"
     assert [(d.date, d.type) for d in first.dates] == [("1/2/2025", "due date")]
     assert second.is_active is False and second.url == "https://a.org/spec.pdf"
-    assert first.source_type == "html"
+    assert first.source_type is None
 
 
 def test_documents_come_first_and_hide_contained_titles(spark, data):
@@ -100,10 +100,58 @@ def test_no_documents_when_the_limit_is_zero(spark, data):
     assert O.opportunities(registry, *data[1:]).where("source_type = 'pdf'").count() == 0
 
 
-def test_a_large_registry_gives_the_same_rows(spark, data, monkeypatch):
-    want = sorted(map(str, O.opportunities(*data).collect()))
-    monkeypatch.setattr(enrich, "is_small", lambda df, rows=0: False)
-    assert sorted(map(str, O.opportunities(*data).collect())) == want
+def test_only_the_last_fetch_of_an_address_counts(spark, data):
+    registry, pages, docs = data
+    old = pages.select("url", F.lit("<div class=rfp><b>Long gone notice</b></div>").alias("html"), F.lit(1).alias("fetched_at"))
+    both = old.union(pages.withColumn("fetched_at", F.lit(2)))
+    old_docs = docs.withColumns({"text": F.lit("old"), "fetched_at": F.lit("a")})
+    both_docs = old_docs.union(docs.withColumn("fetched_at", F.lit("b")))
+    assert titles(O.opportunities(registry, both, both_docs)) == titles(O.opportunities(*data))
+    with pytest.raises(ValueError, match="orders"):
+        O.latest(pages.select("url"))
+
+
+def test_latest_keeps_rows_without_stamp_when_there_is_no_other(spark):
+    rows = spark.createDataFrame([("a", None, 1), ("a", "2", 0), ("b", None, 5), ("b", None, 7)],
+                                 "url string, fetched_at string, page_id int")
+    assert sorted(tuple(r) for r in O.latest(rows).collect()) == [("a", "2", 0), ("b", None, 7)]
+
+
+def test_a_shared_page_is_parsed_once(spark, data):
+    registry, pages, _ = data
+    many = spark.range(300).selectExpr("id as entry", "concat('i', id) as id", "'N' as name", "'T' as type",
+                                       "'R, X' as region", "'https://a.org/' as rfp_url", "true as active")
+    parts = O.page_parts(many, pages)
+    assert parts.where("kind = 'page'").count() == 1
+    assert O.enhanced_from(parts, many).count() == 600
+
+
+def test_no_exchange_carries_a_block_text(spark, data):
+    """Once the page is parsed, only facts go through an exchange."""
+    registry, pages, docs = data
+    parts = O.page_parts(registry, pages, documents=("any",))
+    assert not parts.where("kind = 'block' and text is not null").count()
+    plan = O.opportunities(*data)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "block_text" not in plan
+
+
+def test_own_words_and_limits(spark, data):
+    registry, pages, _ = data
+    words = Words(row=("nothing",), fallback_links=None)
+    got = O.base_opportunities(registry, pages, words=words)
+    assert ("b", "nothing here") in titles(got)
+    assert len([t for t in titles(got) if t[0] == "d"]) == 12
+    words = Words(open=("again",), closed=("copper",), description_chars=None, date_label=("due",))
+    first = O.enhanced_opportunities(registry, pages, words=words).orderBy("entry", "seq").first()
+    assert first.is_active is False or first.dates[0].type == "due"
+
+
+def test_metrics_of_a_run(spark, data):
+    registry, pages, _ = data
+    got = {r.entry: tuple(r)[1:] for r in O.run_metrics(
+        O.page_parts(registry, pages, documents=("any",)), registry).collect()}
+    assert got[0] == ("ok", 3, 3, 0) and got[1] == ("ok", 0, 0, 1)
+    assert got[5][0] == "failed" and got[6] == ("uncollected", 0, 0, 0)
 
 
 def test_inactive_entries_on_request(spark, data):
@@ -115,18 +163,19 @@ def test_inactive_entries_on_request(spark, data):
 def test_portals(spark, data):
     registry, pages, docs = data
     registry = registry.withColumn("scraper_type", F.when(F.col("id") == "a", "pdf"))
-    got = O.by_portal(registry, {"pdf": lambda r: O.document_opportunities(r, pages, docs)},
-                      default=lambda r: O.base_opportunities(r, pages))
+    got = O.by_portal(registry, pages, {"pdf": lambda parts, r: O.documents_from(parts, r, docs)},
+                      default=O.base_from)
     assert titles(got) == [("a", "Copper Cable Works, full specification")] + FALLBACK
 
 
 def test_run(spark, data, tmp_path):
     now = datetime(2026, 1, 2, 3, 4, 5)
-    found, paths = run(*data, now=now, folder=str(tmp_path))
+    found, paths, metrics = run(*data, now=now, folder=str(tmp_path))
     assert set(paths) == {"json", "markdown", "summary"}
     assert paths["json"].endswith("rfp_opportunities_20260102_030405.json")
     assert found.count() == 14
-    one, none = run(*data, now=now, utility_id="off")
+    assert metrics.where("status <> 'ok'").count() == 2
+    one, none, _ = run(*data, now=now, utility_id="off")
     assert titles(one)[0][0] == "off" and none == {}
     with pytest.raises(LookupError):
         run(*data, now=now, utility_id="nope")
