@@ -225,6 +225,9 @@ _expect("registry_by_id", f"""SELECT entry, id, name, page AS rfp_url FROM
 _any_word = "(contains({0}, 'tion') OR contains({0}, 'ción') OR contains({0}, 'ment'))"
 _expect("keyword_filter", f"SELECT doc_id FROM documents WHERE {_any_word.format('lower(text)')}")
 
+_expect("keyword_whole_words", r"""SELECT doc_id FROM documents WHERE regexp_matches(lower(text),
+  '(^|[^\p{L}\p{N}\p{M}_])(the|und|ción)([^\p{L}\p{N}\p{M}_]|$)')""")
+
 # Page parts
 _raw_links = r"""SELECT page_id, pos AS seq, text, root || href AS link_url FROM (
   SELECT page_id, regexp_extract(url, '^(https?://[^/]*)', 1) AS root,
@@ -276,6 +279,8 @@ _expect("document_links_strict", """SELECT entry AS page_id, link_no, text, url
 _expect("dates_plain", "SELECT k AS key, pos, date FROM plain")
 _expect("dates_exploded", "SELECT k AS key, pos, date FROM ctx")
 _expect("dates_context", "SELECT k AS key, pos, date, context FROM ctx")
+_expect("dates_strict", """SELECT k AS key, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS pos, date
+  FROM ctx WHERE k % 4 <> 1 OR NOT regexp_matches(date, '^[0-9]{2}-[0-9]{2}-[0-9]{2}$')""")
 _expect("date_labels", "SELECT k AS key, pos, type FROM ctx")
 _expect("document_dates", "SELECT durl AS url, dates FROM docs JOIN ddates USING (k)")
 _expect("notice_id", "SELECT k AS key, rfp_id FROM ids")
@@ -326,6 +331,16 @@ _expect("merge_sources", """SELECT 'u' || c AS utility_id, title, source_rank, k
     WHERE b.c = a.c AND (b.source_rank < a.source_rank OR b.k < a.k)
       AND contains(lower(b.title), lower(a.title)))""")
 
+_expect("fuzzy_titles", r"""WITH sets AS (
+    SELECT c, words, min(k) AS k FROM (
+      SELECT c, k, list_sort(list_distinct(regexp_extract_all(lower(title), '\w+'))) AS words FROM (
+        SELECT n0.*, """ + _TITLE + r""" AS title FROM (SELECT o_custkey AS c, o_orderkey AS k,
+          o_orderpriority AS pr FROM orders) n0)) GROUP BY c, words)
+  SELECT 'u' || a.c AS utility_id, a.k AS first, b.k AS second, round(
+    len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))), 6) AS similarity
+  FROM sets a JOIN sets b ON a.c = b.c AND a.k < b.k
+  WHERE len(list_intersect(a.words, b.words)) >= 0.6 * len(list_distinct(list_concat(a.words, b.words)))""")
+
 # Choosing
 _expect("dedup_titles", """SELECT utility_id, key, title FROM (
   SELECT 'u' || c AS utility_id, k AS key,

@@ -123,6 +123,12 @@ def keyword_filter(spark, sf):
     return _raw_documents(spark, sf).where(X.contains_any(F.col("text"), WORDS)).select("doc_id")
 
 
+@query
+def keyword_whole_words(spark, sf):
+    found = X.contains_any(F.col("text"), ("the", "und", "ción"), whole=True)
+    return _raw_documents(spark, sf).where(found).select("doc_id")
+
+
 # Page parts
 
 @query
@@ -237,6 +243,14 @@ def dates_context(spark, sf):
     return _dates(spark, sf).select("key", _long("pos"), "d.date", "d.context")
 
 
+@query
+def dates_strict(spark, sf):
+    """No match inside another one: an ISO date is found once."""
+    return N.notices(spark, sf).select(
+        "key", F.posexplode_outer(X.dates_with_context(F.col("text"), strict=True)).alias("pos", "d")) \
+        .where("pos is not null").select("key", _long("pos"), "d.date")
+
+
 @query
 def date_labels(spark, sf):
     return _dates(spark, sf).select("key", _long("pos"), "d.type")
@@ -359,6 +373,13 @@ def merge_sources(spark, sf):
     return kept.select("utility_id", "title", _long("source_rank"), "key")
 
 
+@query
+def fuzzy_titles(spark, sf):
+    """Pairs of titles of one issuer that share most of their words."""
+    pairs = dedup.similar_titles(N.notices(spark, sf), ["utility_id"], seq="key", threshold=0.6)
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
 # Choosing
 
 @query
@@ -434,14 +455,14 @@ def registry_rollup(spark, sf):
 @query
 def report_summary(spark, sf):
     lines = reports.summary_lines(write_out(_flat(spark, sf), "opps"), GENERATED)
-    return lines.orderBy(*reports.LINE_ORDER).select(
+    return lines.select(
         _long("section"), "utility", "idx", _long("line_no"), "line")
 
 
 @query
 def report_markdown(spark, sf):
     lines = reports.markdown_lines(write_out(_flat(spark, sf), "opps"), GENERATED)
-    return lines.orderBy(*reports.LINE_ORDER).select(
+    return lines.select(
         _long("section"), "utility", "idx", _long("line_no"), "line")
 
 
@@ -449,7 +470,7 @@ def report_markdown(spark, sf):
 def report_json(spark, sf):
     opps = write_out(
         _flat(spark, sf).select("entry", "seq", "utility", "title", "url", "source_page"), "opps")
-    return reports.json_lines(opps, GENERATED).orderBy(*reports.JSON_ORDER).select(
+    return reports.json_lines(opps, GENERATED).select(
         _long("section"), "entry", "seq", _long("line_no"), "line")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -23,8 +24,11 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)^\s+|\s+\z", "")
 
 
-def contains_any(col: Column, words: Sequence[str]) -> Column:
-    """True when any word occurs in ``col`` as a substring, ignoring case."""
+def contains_any(col: Column, words: Sequence[str], whole: bool = False) -> Column:
+    """True when any word occurs in ``col`` as a substring, ignoring case; ``whole``: as a whole word,
+    so ``forbidden`` does not hold ``bid``."""
+    if whole:
+        return col.rlike(r"(?iU)\b(?:" + "|".join(map(re.escape, words)) + r")\b")
     low = F.lower(col)
     return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
 
@@ -136,13 +140,16 @@ def _with_context(col: Column, pattern: str, labels: Sequence[str]) -> Column:
                lambda f: F.when(F.size(f) > 0, labelled(f)).otherwise(F.array().cast(_DATES)))
 
 
-def dates_with_context(col: Column, labels: Sequence[str] = V.DATE_LABELS) -> Column:
+def dates_with_context(col: Column, labels: Sequence[str] = V.DATE_LABELS, strict: bool = False) -> Column:
     """``array<struct<date, type, context>>``, by pattern and then by position.
 
     An ISO date is reported twice (its tail also fits the first pattern); status
-    and labels depend on that, so it stays.
+    and labels depend on that, so it stays, unless ``strict`` asks for whole dates only.
     """
-    return F.concat(*[_with_context(col, p, labels) for p in V.CONTEXT_DATES])
+    first, *rest = V.CONTEXT_DATES
+    if strict:
+        first = first.replace("(?iU)", r"(?iU)(?<!\d)")
+    return F.concat(*[_with_context(col, p, labels) for p in (first, *rest)])
 
 
 def bare_dates(dates: Column, label: str) -> Column:
@@ -209,11 +216,11 @@ def contact(col: Column) -> Column:
 
 
 def is_active(col: Column, dates: Column, closed: Sequence[str] = V.CLOSED_WORDS,
-              opened: Sequence[str] = V.OPEN_WORDS) -> Column:
+              opened: Sequence[str] = V.OPEN_WORDS, whole: bool = False) -> Column:
     """Closing words win over opening words; without either, a dated notice is active."""
     return (
-        F.when(contains_any(col, closed), F.lit(False))
-        .when(contains_any(col, opened), F.lit(True))
+        F.when(contains_any(col, closed, whole), F.lit(False))
+        .when(contains_any(col, opened, whole), F.lit(True))
         .otherwise(F.size(dates) > 0)
     )
 

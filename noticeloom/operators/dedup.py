@@ -121,3 +121,53 @@ def drop_contained(
     for g in group:
         hit = hit & (left[g] == earliest[g])
     return left.join(earliest, hit, "left_anti").drop("_low")
+
+
+def similar_titles(
+    df: DataFrame,
+    group: Sequence[str],
+    title: str = "title",
+    seq: str = "seq",
+    threshold: float = 0.8,
+) -> DataFrame:
+    """Pairs of titles of a group whose words have a Jaccard similarity of ``threshold`` or more.
+
+    Titles with the same words are one, named by their first ``seq``; the result is
+    ``group, first, second, similarity`` with ``first < second``. ``threshold`` is above one half.
+
+    Two such titles share at least two words among the rarest few of each (as many as may
+    differ, and two), so they meet at a pair of rare words in an equi-join; no group is ever
+    paired with itself. Every step merges within tasks before rows move, and Spark splits
+    the joins of a frequent word.
+    """
+    if not 0.5 < threshold <= 1:
+        raise ValueError("threshold is above 0.5, up to 1")
+    words = F.array_sort(F.array_distinct(
+        F.regexp_extract_all(F.lower(F.col(title)), F.lit(r"(?U)\w+"), F.lit(0))))
+    sets = write_out(
+        df.where(F.col(title).isNotNull()).select(*group, words.alias("words"), F.col(seq).alias("s"))
+        .groupBy(*group, "words").agg(F.min("s").alias("s")).where(F.size("words") > 1), "word_sets")
+    each = sets.select(*group, "s", F.explode("words").alias("word"))
+    # Written, so that both sides of the join are plain exchanges, of which Spark splits a hot one.
+    counts = write_out(each.groupBy(*group, "word").agg(F.count(F.lit(1)).alias("n")), "word_counts")
+    rare_first = F.transform(
+        F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"])
+    size = F.size("words")
+    rarest = F.slice("words", 1, (size - F.ceil(size * F.lit(threshold) - 1e-9) + 2).cast("int"))
+    keys = F.flatten(F.transform(rarest, lambda a, i: F.transform(
+        F.slice(rarest, i + 2, F.size(rarest)),
+        lambda b: F.struct(F.least(a, b).alias("one"), F.greatest(a, b).alias("two")))))
+    keyed = write_out(
+        each.join(counts, [*group, "word"]).groupBy(*group, "s").agg(rare_first.alias("words"))
+        .select(*group, "s", "words", F.explode(keys).alias("key")), "rare_words")
+    a, b = keyed.alias("a"), keyed.select(
+        *group, F.col("s").alias("t"), F.col("words").alias("others"), "key").alias("b")
+    shared = F.size(F.array_intersect("words", "others"))
+    similarity = shared / (F.size("words") + F.size("others") - shared)
+    near = F.size("words") >= threshold * F.size("others") - 1e-9
+    near &= F.size("others") >= threshold * F.size("words") - 1e-9
+    return (
+        a.join(b, [*group, "key"]).where((F.col("s") < F.col("t")) & near)
+        .select(*group, F.col("s").alias("first"), F.col("t").alias("second"), similarity.alias("similarity"))
+        .where(F.col("similarity") >= threshold - 1e-9).distinct()
+    )

@@ -1,9 +1,9 @@
 """Text, Markdown and JSON reports.
 
-A report is a table of lines ``(section, utility, idx, line_no, line)``: a head,
-the utilities by name with their numbered entries, and a tail. Sorting by those
-columns gives the document; written as text, the part files in name order are
-the document, however long it is.
+A report is made of paragraphs: a head, the utilities by name with their numbered entries, and a
+tail. Paragraphs are range-sorted by ``(section, utility, idx)`` and only then cut into lines, so
+the sort moves one row for each entry. Written as text, the part files in name order are the
+document, however long it is.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from noticeloom.functions import vocab as V
 from noticeloom.operators import summaries as S
 
-LINE_ORDER = ("section", "utility", "idx", "line_no")
-JSON_ORDER = ("section", "entry", "seq", "line_no")
+LINE_ORDER = ("section", "utility", "idx")
+JSON_ORDER = ("section", "entry", "seq")
 
 
 def _lit(text: str) -> Column:
@@ -30,12 +30,17 @@ def _or(col: str | Column, default: str) -> Column:
 
 def _lines(df: DataFrame, section: int, utility: Column, idx: Column,
            lines: Sequence[Column]) -> DataFrame:
-    """One row per line; a NULL line is left out."""
+    """One paragraph per row; a NULL line will be left out."""
+    return df.select(F.lit(section).alias("section"), utility.alias("utility"),
+                     idx.cast("bigint").alias("idx"), F.array(*lines).alias("lines"))
+
+
+def _in_order(paragraphs: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The lines of the document, in order: ``order``, ``line_no``, ``line``."""
     return (
-        df.select(utility.alias("utility"), idx.cast("bigint").alias("idx"),
-                  F.posexplode(F.array(*lines)).alias("line_no", "line"))
+        paragraphs.orderBy(*order)
+        .select(*order, F.posexplode("lines").alias("line_no", "line"))
         .where(F.col("line").isNotNull())
-        .select(F.lit(section).alias("section"), "utility", "idx", "line_no", "line")
     )
 
 
@@ -86,7 +91,7 @@ def summary_lines(opps: DataFrame, generated: str) -> DataFrame:
         _lit(""),
     ])
     tail = _edge(totals, 2, _when_any(_lit("=" * 80)))
-    return head.unionByName(sections).unionByName(entries).unionByName(tail)
+    return _in_order(head.unionByName(sections).unionByName(entries).unionByName(tail), LINE_ORDER)
 
 
 def markdown_lines(opps: DataFrame, generated: str) -> DataFrame:
@@ -129,14 +134,13 @@ def markdown_lines(opps: DataFrame, generated: str) -> DataFrame:
         _lit("---"),
         _lit(""),
     ])
-    return head.unionByName(sections).unionByName(entries)
+    return _in_order(head.unionByName(sections).unionByName(entries), LINE_ORDER)
 
 
 def json_lines(opps: DataFrame, generated: str) -> DataFrame:
     """The JSON report ``{generated_at, total_opportunities, opportunities: [...]}`` as lines.
 
-    One line per opportunity, in ``(entry, seq)`` order, so no row ever holds them
-    all. Sort by ``JSON_ORDER``.
+    One line per opportunity, in ``(entry, seq)`` order, so no row ever holds them all.
     """
     totals = opps.agg(F.count(F.lit(1)).alias("total"))
     place = F.struct("entry", "seq")
@@ -146,7 +150,7 @@ def json_lines(opps: DataFrame, generated: str) -> DataFrame:
         nowhere = F.lit(0).cast("bigint")
         return totals.select(
             F.lit(section).alias("section"), nowhere.alias("entry"), nowhere.alias("seq"),
-            F.posexplode(F.array(*lines)).alias("line_no", "line"))
+            F.array(*lines).alias("lines"))
 
     head = edge(0, [
         _lit("{"),
@@ -156,10 +160,9 @@ def json_lines(opps: DataFrame, generated: str) -> DataFrame:
     ])
     fields = [c for c in opps.columns if c not in ("entry", "seq")]
     body = opps.select(
-        F.lit(1).alias("section"), "entry", "seq", F.lit(0).alias("line_no"),
-        F.concat(
+        F.lit(1).alias("section"), "entry", "seq", F.array(F.concat(
             _lit("    "),
             F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}),
             F.when(place == last, "").otherwise(","),
-        ).alias("line"))
-    return head.unionByName(body).unionByName(edge(2, [_lit("  ]"), _lit("}")]))
+        )).alias("lines"))
+    return _in_order(head.unionByName(body).unionByName(edge(2, [_lit("  ]"), _lit("}")])), JSON_ORDER)

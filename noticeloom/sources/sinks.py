@@ -6,7 +6,6 @@ Nothing is written unless one of these is called with a folder.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -23,25 +22,25 @@ def _minute(now: datetime) -> str:
     return now.strftime("%Y-%m-%d %H:%M")
 
 
-def write_lines(lines: DataFrame, order: Sequence[str], path: str) -> str:
-    """Range-sort the lines and write them as text: every task writes its stretch."""
-    lines.orderBy(*order).select("line").write.text(path)
+def write_lines(lines: DataFrame, path: str) -> str:
+    """Write lines that are in order as text: every task writes its stretch."""
+    lines.select("line").write.text(path)
     return path
 
 
 def save_json(opps: DataFrame, folder: str, now: datetime, name: str | None = None) -> str:
     path = f"{folder}/{name or f'rfp_opportunities_{_stamp(now)}.json'}"
-    return write_lines(reports.json_lines(opps, now.isoformat()), reports.JSON_ORDER, path)
+    return write_lines(reports.json_lines(opps, now.isoformat()), path)
 
 
 def save_markdown(opps: DataFrame, folder: str, now: datetime, name: str | None = None) -> str:
     path = f"{folder}/{name or f'rfp_report_{_stamp(now)}.md'}"
-    return write_lines(reports.markdown_lines(opps, _minute(now)), reports.LINE_ORDER, path)
+    return write_lines(reports.markdown_lines(opps, _minute(now)), path)
 
 
 def save_summary(opps: DataFrame, folder: str, now: datetime, name: str | None = None) -> str:
     path = f"{folder}/{name or f'rfp_summary_{_stamp(now)}.txt'}"
-    return write_lines(reports.summary_lines(opps, _minute(now)), reports.LINE_ORDER, path)
+    return write_lines(reports.summary_lines(opps, _minute(now)), path)
 
 
 def save_records(opps: DataFrame, path: str) -> str:

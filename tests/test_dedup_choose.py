@@ -104,3 +104,34 @@ def test_numbering_across_buckets(spark):
         seen[g] = seen.get(g, 0) + 1
         want.append((g, s, seen[g]))
     assert sorted((r.g, r.seq, r.idx) for r in got.collect()) == want
+
+
+def test_similar_titles_against_all_pairs(spark):
+    import random
+    rng = random.Random(3)
+    vocab = ["supply", "of", "cable", "poles", "meters", "rfp", "2024", "lot", "a", "b", "grid"]
+    rows = [(g, i, " ".join(rng.choices(vocab, k=rng.randint(0, 6)))) for g in "xy" for i in range(120)]
+    rows += [("x", 500, None), ("x", 501, "")]
+    df = spark.createDataFrame(rows, "g string, seq long, title string")
+    for threshold in (0.6, 0.8, 1.0):
+        got = {(r.g, r.first, r.second) for r in
+               dedup.similar_titles(df, ["g"], threshold=threshold).collect()}
+        sets = {}
+        for g, i, t in rows:
+            words = frozenset((t or "").split())
+            if len(words) > 1:
+                sets.setdefault((g, words), i)
+        want = {(g, min(i, j), max(i, j)) for (g, a), i in sets.items() for (h, b), j in sets.items()
+                if g == h and i < j and len(a & b) >= threshold * len(a | b) - 1e-9}
+        assert got == want
+    with pytest.raises(ValueError):
+        dedup.similar_titles(df, ["g"], threshold=0.5)
+
+
+def test_similar_titles_of_a_hot_group_are_not_paired(spark):
+    """Titles that share their frequent words only never meet."""
+    from pyspark.sql import functions as F
+    df = spark.range(30_000).select(F.lit("hot").alias("g"), F.col("id").alias("seq"), F.concat(
+        F.lit("request for proposal number "), F.col("id").cast("string"), F.lit(" lot "),
+        (F.col("id") * 7).cast("string"), F.lit(" of "), (F.col("id") * 13 + 1).cast("string")).alias("title"))
+    assert dedup.similar_titles(df, ["g"]).count() < 50
