@@ -36,7 +36,7 @@ _VIEWS = {
     "n0": """SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS st, o_orderpriority AS pr,
         CAST(o_orderdate AS DATE) AS d, o_orderkey // 50000 AS ch FROM orders""",
     "n1": f"SELECT *, {_TITLE} AS title, {_PHRASE} AS phrase FROM n0",
-    "n": f"""SELECT *, title || ' ' || phrase AS text, c * 1048576 + ch AS entry,
+    "n": f"""SELECT *, title || ' ' || phrase AS text, c * 4294967296 + ch AS entry,
         {_PAGE_URL} AS page, 'https://u' || c || '.example.com' AS host FROM n1""",
     "reg": """SELECT c_custkey AS c, 'u' || c_custkey AS id, c_name AS name, r_name AS type,
         n_name || ', ' || r_name AS region, c_acctbal > 0 AS active,
@@ -219,7 +219,7 @@ _expect("page_nodes", """SELECT page_id, tag, count(*) AS n FROM (
   GROUP BY page_id, tag""")
 
 # Filters
-_expect("active_registry", "SELECT c * 1048576 AS entry, id, name FROM reg WHERE active")
+_expect("active_registry", "SELECT c * 4294967296 AS entry, id, name FROM reg WHERE active")
 _expect("registry_by_id", f"""SELECT entry, id, name, page AS rfp_url FROM
   (SELECT DISTINCT entry, c, page FROM n WHERE c = 7 ORDER BY entry LIMIT 1) JOIN reg USING (c)""")
 _any_word = "(contains({0}, 'tion') OR contains({0}, 'ción') OR contains({0}, 'ment'))"
@@ -310,7 +310,7 @@ _expect("dates_parsed", """SELECT k AS key, date,
 # Joins
 _expect("enrich_metadata", """SELECT k AS key, name AS utility, id AS utility_id,
   type AS utility_type, region FROM n JOIN reg USING (c)""")
-_expect("registry_pages", """SELECT c * 1048576 AS entry, id, entry AS page_id FROM reg
+_expect("registry_pages", """SELECT c * 4294967296 AS entry, id, entry AS page_id FROM reg
   LEFT JOIN (SELECT DISTINCT c, entry FROM n WHERE ch = 0) USING (c)""")
 _expect("link_documents", """SELECT l.entry, l.link_no, l.text AS link_text, durl AS document_url,
   'Terms for ' || title AS opening, rfp_id
@@ -461,8 +461,8 @@ _expect("extraction_metrics", """SELECT entry,
   FROM n JOIN reg USING (c) WHERE active GROUP BY entry, c""")
 
 _expect("shared_portal", f"""SELECT e.entry, e.name AS utility, title, url, source_page, dates FROM (
-  SELECT DISTINCT c * 1048576 AS entry, c % 5 AS layout, name,
-    min(c) OVER (PARTITION BY c % 5) * 1048576 AS lead
+  SELECT DISTINCT c * 4294967296 AS entry, c % 5 AS layout, name,
+    min(c) OVER (PARTITION BY c % 5) * 4294967296 AS lead
   FROM n JOIN reg USING (c) WHERE ch = 0) e
   JOIN (SELECT entry AS lead, title, url, source_page, dates FROM ({_BL} UNION ALL {_FB})) USING (lead)""")
 _expect("latest_pages", """SELECT url, page_id // 2 AS page_id, length(html) AS n_chars FROM (
@@ -496,3 +496,23 @@ _expect("snapshot_diff", """SELECT * FROM (
 _expect("notice_trend", """SELECT CAST(date_trunc('month', d) AS DATE) AS month, c % 5 AS layout,
   count(*) AS n, count(*) FILTER (st = 'O') AS n_active FROM n GROUP BY ALL""")
 _expect("unseen_pages", "SELECT page_id, md5(url) AS url_key FROM pages WHERE page_id % 3 <> 0")
+_expect("opportunities_incremental",
+        f"SELECT {_COLUMNS} FROM ({_BL} UNION ALL {_FB}) JOIN meta USING (entry)")
+_expect("notice_history", """SELECT DATE '2026-01-01' AS run_date, 'u' || c AS utility_id, count(*) AS n,
+    count(*) FILTER (st = 'O') AS n_active FROM n WHERE k % 10 <> 3 GROUP BY c
+  UNION ALL SELECT DATE '2026-01-02', 'u' || c, count(*), count(*) FILTER (st = 'O')
+    FROM n WHERE k % 10 <> 7 GROUP BY c""")
+_expect("open_notices", """SELECT k AS key, max(CASE WHEN date LIKE '12/31/%'
+      THEN make_date(CAST(right(date, 4) AS BIGINT), 12, 31) ELSE p.d END) >= DATE '1996-06-01' AS is_open
+  FROM n LEFT JOIN plain p USING (k) GROUP BY k""")
+_snap = """SELECT 'u' || c AS utility_id, CASE WHEN k % 6 <> 0 THEN lower(title) END AS norm_title,
+    min(k) AS k, arg_min('https://n.example.com/' || (k % 5){0}, k) AS content FROM n WHERE {1} GROUP BY ALL"""
+_expect("snapshot_changes", f"""SELECT * FROM (
+  SELECT coalesce(a.utility_id, b.utility_id) AS utility_id,
+    coalesce(a.norm_title, b.norm_title) AS norm_title,
+    CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'gone'
+         WHEN a.content <> b.content THEN 'changed' END AS change
+  FROM ({_snap.format("", "k % 10 <> 3")}) a
+  FULL JOIN ({_snap.format(" || CASE WHEN k % 8 = 1 THEN '?moved' ELSE '' END", "k % 10 <> 7")}) b
+  ON a.utility_id = b.utility_id AND coalesce(a.norm_title, '') = coalesce(b.norm_title, ''))
+  WHERE change IS NOT NULL""")

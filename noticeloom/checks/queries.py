@@ -6,7 +6,9 @@ Each takes ``(spark, sf_dir)`` and runs over whole tables: the raw ``pages`` and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,8 +23,6 @@ from noticeloom.sources import order_notices as N, registry as REG
 from noticeloom.sources.tables import read_documents, read_pages, read_table
 from noticeloom.streaming import incremental as INC
 
-import uuid
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -324,7 +324,7 @@ def dates_parsed(spark, sf):
 
 @query
 def enrich_metadata(spark, sf):
-    notices = N.notices(spark, sf).select(F.expr("shiftleft(cust, 20)").alias("entry"), "key")
+    notices = N.notices(spark, sf).select(F.expr("shiftleft(cust, 32)").alias("entry"), "key")
     return enrich.with_metadata(notices, N.registry(spark, sf)).select(
         "key", "utility", "utility_id", "utility_type", "region")
 
@@ -531,7 +531,7 @@ def extraction_metrics(spark, sf):
 
 def _shared_portal(spark, sf):
     """Issuers of one layout share the first page of the smallest of them."""
-    registry = N.paged_registry(spark, sf).where("entry % 1048576 = 0")
+    registry = N.paged_registry(spark, sf).where("entry % 4294967296 = 0")
     first = registry.groupBy(F.expr("cust % 5").alias("layout")).agg(F.min("cust").alias("lead"))
     return (registry.withColumn("layout", F.expr("cust % 5")).join(first, "layout")
             .withColumn("rfp_url", F.expr("concat('https://u', lead, '.example.com/notices/index.html')")))
@@ -584,6 +584,46 @@ def stream_incremental(spark, sf):
         glob="pages.parquet")
 
 
+@query
+def opportunities_incremental(spark, sf):
+    """Pages that land in several files, a file at a time; the same as one run over all."""
+    run = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    N.listing_pages(spark, sf).select("page_id", "url", "html").repartition(3, "page_id") \
+        .write.parquet(f"{run}/pages")
+    registry = write_out(N.paged_registry(spark, sf), "registry")
+    return _shown(INC.run_new_pages(
+        spark, f"{run}/pages", "page_id bigint, url string, html string", f"{run}/out", f"{run}/progress",
+        lambda pages: O.enhanced_opportunities(registry, pages), files_per_batch=1))
+
+
+@query
+def notice_history(spark, sf):
+    """Two runs kept by date, the second once more."""
+    path = f"{scratch_dir(spark)}/history-{uuid.uuid4().hex}"
+    found = N.notices(spark, sf).select("utility_id", "key", (F.col("status") == "O").alias("is_active"))
+    for day, skipped in ((1, 3), (2, 7), (2, 7)):
+        INC.append_run(found.where(F.col("key") % 10 != skipped), path, date(2026, 1, day))
+    return INC.run_counts(spark.read.parquet(path))
+
+
+@query
+def open_notices(spark, sf):
+    """Whether a notice's last date is still to come."""
+    dates = X.dates_with_context(F.col("text"))
+    return N.notices(spark, sf).select(
+        "key", INC.still_open(dates, F.lit("1996-06-01").cast("date")).alias("is_open"))
+
+
+@query
+def snapshot_changes(spark, sf):
+    """Every field counts, and notices without a title are compared too."""
+    n = N.notices(spark, sf).select(
+        "utility_id", F.col("key").alias("seq"), F.expr("if(key % 6 = 0, null, title)").alias("title"),
+        F.concat(F.lit("https://n.example.com/"), F.col("key") % 5).alias("url"))
+    moved = F.expr("if(seq % 8 = 1, concat(url, '?moved'), url)")
+    return INC.snapshot_diff(n.where("seq % 10 <> 3"), n.where("seq % 10 <> 7").withColumn("url", moved))
+
+
 @query
 def snapshot_diff(spark, sf):
     n = N.notices(spark, sf).select(

@@ -54,7 +54,7 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PAGE_URL = ("concat('https://u', cust, '.example.com/notices/index.html', "
              "if(chunk = 0, '', concat('?page=', chunk)))")
-ENTRY = "shiftleft(cust, 20) + chunk"
+ENTRY = "shiftleft(cust, 32) + chunk"
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,12 @@ def test_pairs_of_blocks_that_differ_in_order(make_docs):
     assert result(exact_dedup(make_docs(rows), block_chars=2)) == brute(rows)
 
 
+def test_a_hot_text_is_dealt(make_docs):
+    rows = [(i, "the same text of two blocks" if i % 3 else f"text {i}") for i in range(3600)]
+    got = exact_dedup(make_docs(rows), block_chars=16)
+    assert result(got) == brute(rows)
+
+
 def test_empty_table(make_docs):
     assert exact_dedup(make_docs([])).collect() == []
     assert drop_exact_copies(make_docs([])).collect() == []
