@@ -128,6 +128,11 @@ _VIEWS = {
           UNION ALL SELECT entry, c, k, d, page, title, host || '/notices/tender-' || k || '.html#' || k,
             FALSE, row_number() OVER (PARTITION BY entry ORDER BY k) FROM n WHERE c % 5 = 4)
         WHERE rn <= 10""",
+    # the lines of each notice's dates in the JSON report
+    "jdates": """SELECT k, flatten(list(['        {', '          "date": "' || date || '",',
+        '          "type": "' || type || '",', '          "context": "' || context || '"',
+        '        }' || CASE WHEN pos + 1 < np THEN ',' ELSE '' END] ORDER BY pos)) AS ds
+        FROM (SELECT *, count(*) OVER (PARTITION BY k) AS np FROM ctx) GROUP BY k""",
     "pdated": "SELECT k, string_agg(date, '|' ORDER BY pos) AS dates FROM plain GROUP BY k",
     # the records of each pipeline, before metadata
     "fallback_rec": """SELECT entry, parts.k, left(ptext, 200) AS title, ptext AS description,
@@ -409,16 +414,28 @@ _expect("report_markdown", _lines(
                            "''", "'**More Information:** [' || url || '](' || url || ')'", "''",
                            "'---'", "''"],
      f"FROM opp LEFT JOIN ({_all_dates}) f USING (k)")))
-_expect("report_json", """SELECT CAST(section AS BIGINT) AS section, CAST(entry AS BIGINT) AS entry,
+_record_lines = r"""list_concat(list_concat(list_concat(
+    ['    {', '      "utility": "' || utility || '",', '      "title": "' || title || '",',
+     '      "url": "' || url || '",', '      "source_page": "' || source_page || '",'],
+    CASE WHEN ds IS NULL THEN ['      "dates": [],'] ELSE list_concat(list_concat(['      "dates": ['], ds),
+      ['      ],']) END),
+    ['      "contact": {',
+     '        "email": ' || CASE WHEN k % 6 = 0 THEN '"u' || c || '@example.com"' ELSE 'null' END || ',',
+     '        "phone": ' || CASE WHEN k % 6 = 1 THEN '"555-123-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0')
+        || '"' ELSE 'null' END, '      },']),
+    ['      "additional_links": [', '        {', '          "text": "more",',
+     '          "url": "' || url || '"', '        }', '      ],',
+     '      "metadata": {', '        "source": "' || utility_id || '"', '      }',
+     '    }' || CASE WHEN row_number() OVER (ORDER BY entry DESC, k DESC) = 1 THEN '' ELSE ',' END])"""
+_expect("report_json", f"""SELECT CAST(section AS BIGINT) AS section, CAST(entry AS BIGINT) AS entry,
   CAST(seq AS BIGINT) AS seq, CAST(line_no AS BIGINT) AS line_no, line FROM (
-  SELECT 0 AS section, 0 AS entry, 0 AS seq, 0 AS line_no, '{' AS line
+  SELECT 0 AS section, 0 AS entry, 0 AS seq, 0 AS line_no, '{{' AS line
   UNION ALL SELECT 0, 0, 0, 1, '  "generated_at": "2026-01-02 03:04",'
   UNION ALL SELECT 0, 0, 0, 2, '  "total_opportunities": ' || count(*) || ',' FROM opp
   UNION ALL SELECT 0, 0, 0, 3, '  "opportunities": ['
-  UNION ALL SELECT 1, entry, k, 0, '    {"utility":"' || utility || '","title":"' || title
-    || '","url":"' || url || '","source_page":"' || source_page || '"}'
-    || CASE WHEN row_number() OVER (ORDER BY entry DESC, k DESC) = 1 THEN '' ELSE ',' END FROM opp
-  UNION ALL SELECT 2, 0, 0, 0, '  ]' UNION ALL SELECT 2, 0, 0, 1, '}')""")
+  UNION ALL SELECT 1, entry, k, unnest(range(len(ls))), unnest(ls) FROM (
+    SELECT entry, k, {_record_lines} AS ls FROM opp LEFT JOIN jdates USING (k))
+  UNION ALL SELECT 2, 0, 0, 0, '  ]' UNION ALL SELECT 2, 0, 0, 1, '}}')""")
 
 # Whole pipelines
 _COLUMNS = """entry, utility, utility_id, utility_type, region, title, description, rfp_id, url,

@@ -469,7 +469,12 @@ def report_markdown(spark, sf):
 @query
 def report_json(spark, sf):
     opps = write_out(
-        _flat(spark, sf).select("entry", "seq", "utility", "title", "url", "source_page"), "opps")
+        _flat(spark, sf).select(
+            "entry", "seq", "utility", "title", "url", "source_page", "dates",
+            F.struct(X.email(F.col("description")).alias("email"),
+                     X.phone(F.col("description")).alias("phone")).alias("contact"),
+            F.array(F.struct(F.lit("more").alias("text"), "url")).alias("additional_links"),
+            F.create_map(F.lit("source"), "utility_id").alias("metadata")), "opps")
     return reports.json_lines(opps, GENERATED).select(
         _long("section"), "entry", "seq", _long("line_no"), "line")
 

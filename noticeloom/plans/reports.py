@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from noticeloom.functions import vocab as V
 from noticeloom.operators import summaries as S
@@ -137,10 +137,42 @@ def markdown_lines(opps: DataFrame, generated: str) -> DataFrame:
     return _in_order(head.unionByName(sections).unionByName(entries), LINE_ORDER)
 
 
+def _json_text(value: Column, kind: T.DataType, depth: int) -> Column:
+    """``value`` as JSON text, indented by two spaces a level; NULL is ``null``."""
+    inner, outer = "\n" + "  " * (depth + 1), "\n" + "  " * depth
+
+    def wrapped(left: str, parts: Column, right: str) -> Column:
+        body = F.concat(_lit(left + inner), F.array_join(parts, "," + inner), _lit(outer + right))
+        return F.when(F.size(parts) == 0, left + right).otherwise(body)
+
+    def quoted(text: Column) -> Column:
+        whole = F.to_json(F.struct(text.alias("v")))
+        return F.substring(whole, _lit(6), F.length(whole) - 6)
+
+    if isinstance(kind, T.StructType):
+        shown = wrapped("{", F.array(*[
+            F.concat(_lit(f"{json.dumps(f.name)}: "), _json_text(value[f.name], f.dataType, depth + 1))
+            for f in kind]), "}")
+    elif isinstance(kind, T.ArrayType):
+        shown = wrapped("[", F.transform(
+            value, lambda x: _json_text(x, kind.elementType, depth + 1)), "]")
+    elif isinstance(kind, T.MapType):
+        shown = wrapped("{", F.transform(F.map_entries(value), lambda e: F.concat(
+            quoted(e["key"].cast("string")), _lit(": "), _json_text(e["value"], kind.valueType, depth + 1))), "}")
+    elif isinstance(kind, T.NumericType | T.BooleanType):
+        shown = value.cast("string")
+    elif isinstance(kind, T.TimestampType):
+        shown = quoted(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"))
+    else:
+        shown = quoted(value.cast("string"))
+    return F.when(value.isNull(), "null").otherwise(shown)
+
+
 def json_lines(opps: DataFrame, generated: str) -> DataFrame:
-    """The JSON report ``{generated_at, total_opportunities, opportunities: [...]}`` as lines.
+    """The JSON report ``{generated_at, total_opportunities, opportunities: [...]}`` as lines, indented
+    by two spaces.
 
-    One line per opportunity, in ``(entry, seq)`` order, so no row ever holds them all.
+    An opportunity is one paragraph, in ``(entry, seq)`` order, so no row ever holds them all.
     """
     totals = opps.agg(F.count(F.lit(1)).alias("total"))
     place = F.struct("entry", "seq")
@@ -159,10 +191,8 @@ def json_lines(opps: DataFrame, generated: str) -> DataFrame:
         _lit('  "opportunities": ['),
     ])
     fields = [c for c in opps.columns if c not in ("entry", "seq")]
-    body = opps.select(
-        F.lit(1).alias("section"), "entry", "seq", F.array(F.concat(
-            _lit("    "),
-            F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}),
-            F.when(place == last, "").otherwise(","),
-        )).alias("lines"))
+    record = F.struct(*fields)
+    kind = opps.select(record.alias("r")).schema["r"].dataType
+    text = F.concat(_lit("    "), _json_text(record, kind, 2), F.when(place == last, "").otherwise(","))
+    body = opps.select(F.lit(1).alias("section"), "entry", "seq", F.split(text, "\n").alias("lines"))
     return _in_order(head.unionByName(body).unionByName(edge(2, [_lit("  ]"), _lit("}")])), JSON_ORDER)
