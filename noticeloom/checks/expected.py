@@ -280,6 +280,39 @@ _expect("document_links", """SELECT entry AS page_id, link_no, text, url AS link
 _expect("document_links_strict", """SELECT entry AS page_id, link_no, text, url AS link_url
   FROM strictlinks""")
 
+_each = "(SELECT o_orderkey AS k FROM orders)"
+_outer = "'bid ' || k || ' rfp ' || k || 'xbid alone rfp ' || k || ' x bid alone'"
+_expect("nested_nodes", f"""
+  SELECT k AS page_id, 'tr' AS tag, CAST(8 AS BIGINT) AS inside, NULL AS href,
+    'bid ' || k || 'rfp ' || k || 'xbid alone' AS text FROM {_each}
+  UNION ALL SELECT k, 'tr', 2, NULL, 'rfp ' || k || 'x' FROM {_each}
+  UNION ALL SELECT k, 'tr', 1, NULL, 'bid alone' FROM {_each}
+  UNION ALL SELECT k, 'li', 3, NULL, 'proposal ' || k || 'rfq ' || k || 's' FROM {_each}
+  UNION ALL SELECT k, 'li', 1, NULL, 'rfq ' || k || 's' FROM {_each}
+  UNION ALL SELECT k, 'a', 0, 's' || k, 's' FROM {_each}
+  UNION ALL SELECT k, 'h3', 0, NULL, 'deeper ' || k FROM {_each}""")
+_expect("nested_rows", f"""
+  SELECT k AS page_id, CAST(1 AS BIGINT) AS seq, {_outer} AS text, CAST(5 AS BIGINT) AS n_cells FROM {_each}
+  UNION ALL SELECT k, 2, 'rfp ' || k || ' x', 2 FROM {_each}
+  UNION ALL SELECT k, 3, 'rfp ' || k || ' x', 2 FROM {_each}""")
+_expect("nested_items", f"""
+  SELECT k AS page_id, CAST(1 AS BIGINT) AS seq, 'proposal ' || k || 'rfq ' || k || 's' AS text,
+    's' || k AS href FROM {_each}
+  UNION ALL SELECT k, s, 'rfq ' || k || 's', 's' || k FROM {_each}, (VALUES (2), (3)) AS v(s)""")
+_expect("nested_headers", f"""
+  SELECT k AS page_id, CAST(1 AS BIGINT) AS seq, 'hr' AS tag, '' AS text FROM {_each}
+  UNION ALL SELECT k, 2, 'h3', 'deeper ' || k FROM {_each}""")
+_expect("nested_tables", f"""
+  SELECT k AS page_id, CAST(1 AS BIGINT) AS seq,
+    'bid ' || k || ' rfp ' || k || ' x bid alone' AS text FROM {_each}
+  UNION ALL SELECT k, 2, 'rfp ' || k || ' x bid alone' FROM {_each}""")
+_expect("long_blocks", f"""SELECT k AS page_id, repeat('T', 200) AS title,
+  left(repeat('T', 250) || ' ' || repeat('word' || (k % 7) || ' ', 200), 500) AS description FROM {_each}""")
+_expect("long_document_facts", f"""SELECT k AS key, array_to_string(list_sort(list_transform(range(1, 11),
+    lambda i: i || '/' || (k % 28 + 1) || '/2020')), '|') AS dates,
+  CASE WHEN k % 2 = 1 THEN 'RFQ-' || k END AS rfp_id, CAST(14 AS BIGINT) AS n_dates,
+  'RFP-' || k AS any_id FROM {_each}""")
+
 # Functions over text
 _expect("dates_plain", "SELECT k AS key, pos, date FROM plain")
 _expect("dates_exploded", "SELECT k AS key, pos, date FROM ctx")

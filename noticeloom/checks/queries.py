@@ -16,7 +16,7 @@ from noticeloom.functions import text as X
 from noticeloom.functions.urls import resolve_url
 from noticeloom.operators import choose, dedup, enrich, page_parts as P, records as R
 from noticeloom.operators import summaries as S
-from noticeloom.operators.nodes import parse_pages
+from noticeloom.operators.nodes import glued, parse_pages
 from noticeloom.plans import opportunities as O, reports
 from noticeloom.session import configure, scratch_dir, write_out
 from noticeloom.sources import order_notices as N, registry as REG
@@ -217,6 +217,49 @@ def document_links_strict(spark, sf):
         "page_id", "link_no", "text", "link_url")
 
 
+def _nested(spark, sf):
+    return parse_pages(N.nested_pages(spark, sf))
+
+
+@query
+def nested_nodes(spark, sf):
+    """Every element of the nested pages: tag, place of its last descendant, address and text."""
+    nodes = P.page_nodes(_nested(spark, sf).withColumn("nodes", F.transform("nodes", lambda n: F.struct(
+        n["pre"].alias("pre"), n["end"].alias("end"), n["tag"].alias("tag"), n["href"].alias("href"),
+        glued(n).alias("text")))), ["page_id"])
+    return nodes.where("tag in ('tr', 'li', 'a', 'h3')").select(
+        "page_id", "tag", (F.col("end") - F.col("pre")).cast("bigint").alias("inside"), "href", "text")
+
+
+@query
+def nested_rows(spark, sf):
+    return P.table_rows(_nested(spark, sf)).select("page_id", "seq", "text", _long("n_cells"))
+
+
+@query
+def nested_items(spark, sf):
+    return P.list_items(_nested(spark, sf)).select("page_id", "seq", "text", "href")
+
+
+@query
+def nested_headers(spark, sf):
+    """What follows a header: a rule and a deeper header count, a higher header does not."""
+    return P.page_blocks(_nested(spark, sf), (1,)).select("page_id", "seq", "tag", "text")
+
+
+@query
+def nested_tables(spark, sf):
+    """Tables that hold one of the default words."""
+    return P.page_blocks(_nested(spark, sf), (3,)).select("page_id", "seq", "text")
+
+
+@query
+def long_blocks(spark, sf):
+    """A bold text too long for a title, and a description cut at its limit."""
+    blocks = P.page_blocks(_nested(spark, sf), (2,)).withColumn("kind", F.lit("block"))
+    return R.with_block_facts(blocks, F.col("kind") == "block").select("page_id", "title", "description")
+
+
 # Functions over text
 
 @query
@@ -262,6 +305,16 @@ def document_dates(spark, sf):
         "url", X.document_dates(F.col("text")).alias("dates")).select("url", _joined("dates"))
 
 
+@query
+def long_document_facts(spark, sf):
+    """Texts beyond every limit: with the limits and without."""
+    t = F.col("text")
+    return N.long_documents(spark, sf).select(
+        "key", F.array_join(X.document_dates(t), "|").alias("dates"), X.document_id(t).alias("rfp_id"),
+        F.size(X.document_dates(t, per_pattern=None)).cast("bigint").alias("n_dates"),
+        X.document_id(t, chars=None).alias("any_id"))
+
+
 @query
 def notice_id(spark, sf):
     return N.notices(spark, sf).select("key", X.notice_id(F.col("text")).alias("rfp_id"))

@@ -139,3 +139,31 @@ def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                  when 2 then map('num_pages', string(key % 9))
                  else cast(map() as map<string,string>) end as metadata""")
     )
+
+
+_NESTED = """
+  concat('<div><table><tr><td>bid ', key, '</td><td><table><tr><td>rfp ', key,
+         '</td><td>x</td></tr><tr><td>bid alone</td></tr></table></td></tr></table>',
+         '<ul><li>proposal ', key, '<ul><li>rfq ', key, ' <a href="s', key, '">s</a></li></ul></li></ul>',
+         '<h2>rfp ', key, '</h2><hr><h2>tender ', key, '</h2><h3>deeper ', key, '</h3>',
+         '<h2>itb ', key, '</h2><h1>higher</h1><div class="bid"><b>', repeat('T', 250), '</b>',
+         repeat(concat('word', key % 7, ' '), 200), '</div></div>')
+"""
+
+
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for every order: tables in tables, lists in lists, a row of one cell, headers
+    followed by a rule, a deeper and a higher header, and a long block: page_id, url, html."""
+    return notices(spark, sf_dir).select(
+        F.col("key").alias("page_id"), F.concat(F.lit("https://n.example.com/"), "key").alias("url"),
+        F.expr(_NESTED).alias("html"))
+
+
+def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for every order: over 2,000 characters, fourteen dates of one pattern, and an id
+    at the start of every other one only: key, text."""
+    return notices(spark, sf_dir).selectExpr(
+        "key",
+        """concat(if(key % 2 = 1, concat('RFQ-', key, ' '), ''), repeat('long text ', 210), 'RFP-', key,
+             array_join(transform(sequence(1, 14), i -> concat(' ', i, '/', key % 28 + 1, '/2020')), ''))
+           as text""")
