@@ -28,7 +28,7 @@ LONGEST = 7
 #: Chance to meet that a pair of exactly the asked similarity has.
 RECALL = 0.9999
 #: Rows of a node that are compared at a time; a larger node is dealt in pairs of such blocks.
-BLOCK = 4096
+BLOCK = 1024
 
 _FACTOR = mix(np.arange(1, LABELS + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = mix(np.arange(1, LABELS + 1, dtype=np.uint64) << np.uint64(32))
@@ -138,7 +138,7 @@ def _candidates(sig, n, tree, length, cross, least, similarity):
             yield a, own
 
 
-def _units(batches, with_text: bool):
+def _units(batches):
     """Rows of each unit (node, i, j), from sorted batches."""
     def rows():
         for batch in batches:
@@ -157,7 +157,7 @@ def _arrays(own):
 
 def _propose(length, least, similarity):
     def run(batches):
-        for (node, i, j), own in _units(batches, False):
+        for (node, i, j), own in _units(batches):
             if len(own) < 2:
                 continue
             cid, n, _, sig, block = _arrays(own)
@@ -178,7 +178,7 @@ def _verify(length, least, similarity):
     """Counts of links of each row of a unit, and links that connect what is connected in it."""
     def run(batches):
         press = zstandard.ZstdDecompressor()
-        for (node, _, _), own in _units(batches, True):
+        for (node, _, _), own in _units(batches):
             cid, n, size, sig, block = _arrays(own)
             sets = shingle_sets([press.decompress(r[8]).decode() for r in own])
             codes, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -283,7 +283,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         .select("print", "n", "cid", "copy_id", F.coalesce("root", "cid").alias("root"),
                 (F.col("size") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"),
                 F.coalesce("texts", F.lit(0)).alias("n_link_texts")), "facts")
-    classes = facts.groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    # Written, so that both sides of the join are plain exchanges, of which Spark splits a hot one.
+    classes = write_out(facts.groupBy("root").agg(F.min("copy_id").alias("class_id")), "classes")
     facts = facts.join(classes, "root")
     return (described.select("rid", "id", "n", "print").join(facts, ["print", "n"], "left").select(
         F.col("id").alias(id_col),

@@ -79,7 +79,7 @@ def test_against_brute_force(make_docs, odd_rows):
     assert result(near_copies(docs)) == brute(rows)
 
 
-@pytest.mark.parametrize("block", [4096, 13])
+@pytest.mark.parametrize("block", [1024, 13])
 def test_large_group_of_near_copies(make_docs, block):
     rows = [*mutated(4, 3, 70), *[(900 + i, f"short {i % 3}") for i in range(9)], (None, "short 1"), (999, None)]
     assert result(near_copies(make_docs(rows), block=block)) == brute(rows)
