@@ -137,8 +137,8 @@ def score_patterns(marks: DataFrame, rounds: int, min_support: int, prior: float
     """
     edges = write_out(marks.groupBy("kind", "pattern", "instance")
                       .agg(F.max("base").alias("base")), "edges")
-    known = edges.groupBy("kind", "instance").agg(
-        F.max(F.col("base").cast("double")).alias("sure"))
+    known = write_out(edges.groupBy("kind", "instance").agg(
+        F.max(F.col("base").cast("double")).alias("sure")), "instances")
     for _ in range(rounds):
         held = edges.join(known, ["kind", "instance"])
         scores = held.groupBy("kind", "pattern").agg(
