@@ -46,8 +46,9 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
 def roles(pages: DataFrame, id_col: str, body: str, min_bytes: int) -> DataFrame:
     """Add ``rid``, ``payload``, ``digest``, ``size`` and ``first`` (rid of the response it revisits).
 
-    Rows of a payload are counted by its digests and length, merged within each task first;
-    in the join back the groups have one row each, so Spark splits a hot payload.
+    Rows of a payload are counted by its digests and length, merged within each task first. Only
+    payloads with several rows are joined back, from a written table, so Spark broadcasts it where
+    it is small and else splits a hot payload's rows.
     """
     rows = pages.withColumns({
         "rid": F.monotonically_increasing_id(),
@@ -57,8 +58,9 @@ def roles(pages: DataFrame, id_col: str, body: str, min_bytes: int) -> DataFrame
                     "check": F.xxhash64("payload")})
     same = ["digest", "size", "check"]
     order = F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), "rid")
-    latest = (rows.filter(F.col("size") >= min_bytes).groupBy(*same)
-              .agg(F.max(order).alias("last")))
+    latest = write_out(rows.filter(F.col("size") >= min_bytes).groupBy(*same)
+                       .agg(F.max(order).alias("last"), F.count("*").alias("n"))
+                       .filter("n > 1").drop("n"), "payloads")
     return rows.join(latest, same, "left").withColumn(
         "first", F.when(F.col("last.rid") != F.col("rid"), F.col("last.rid")))
 
