@@ -110,7 +110,7 @@ def find_repeats(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     compressed; of equal runs in a task only the first one travels. In its bucket every window
     is sorted with its equals and compared in full.
     """
-    plan = plan_buckets(rows, cut_words, window, gram, share=1)
+    plan = plan_buckets(rows, cut_words, window, gram, share=2)
     return find_ranges(rows, plan, cut_words, _earliest, repeated_windows)
 
 

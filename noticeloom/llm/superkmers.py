@@ -27,11 +27,13 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes of packed runs that a task gathers before it hands them on.
 FLUSH_BYTES = 48 << 20
 #: Texts that a task cuts into units at a time, in bytes.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Runs that a bucket is meant for.
 BUCKET_RUNS = 50_000
-#: Bits of a place in a buffer of texts.
-PLACE_BITS, PLACE_MASK = np.uint64(28), np.uint64((1 << 28) - 1)
+#: Windows that are ranked at a time; a long text is ranked in pieces.
+PIECE = 1 << 20
+#: Bits of a place in a piece and the rest of its last window.
+PLACE_BITS, PLACE_MASK = np.uint64(24), np.uint64((1 << 24) - 1)
 #: Null ids come after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -114,17 +116,23 @@ class Plan:
         windows within a frequent passage, which are alike, meet at a hot gram.
         """
         n = len(units.code) - self.window + 1
-        if n <= 0:
+        parts = [self._runs_of(units.code[i:i + PIECE + self.window - 1],
+                               units.owner_end[i:i + PIECE + self.window - 1] - i, i)
+                 for i in range(0, n, PIECE)]
+        if not parts:
             none = np.zeros(0, np.int64)
             return none, none, none.view(np.uint64)
-        order = window_hashes(units.code, self.gram) >> np.uint64(1)
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _runs_of(self, code: np.ndarray, end: np.ndarray, at_unit: int):
+        n = len(code) - self.window + 1
+        order = window_hashes(code, self.gram) >> np.uint64(1)
         if len(self.hot):
             place = np.minimum(np.searchsorted(self.hot, order), len(self.hot) - 1)
             order |= (self.hot[place] == order).astype(np.uint64) << np.uint64(63)
         # The upper bits of the code, then the place, so of equal ones the first counts.
         ranked = (order >> PLACE_BITS << PLACE_BITS) | np.arange(len(order), dtype=np.uint64)
         at = sliding_min(ranked, self.window - self.gram + 1) & PLACE_MASK
-        end = units.owner_end
         valid = np.arange(n) + self.window <= end[:n]
         new = np.empty(n, bool)
         new[0] = True
@@ -132,7 +140,7 @@ class Plan:
         first = np.flatnonzero(new & valid)
         # A run ends where the next one starts or windows leave the text.
         stop = np.flatnonzero(np.append(new | ~valid, True))
-        return (first, stop[np.searchsorted(stop, first, side="right")] - first,
+        return (first + at_unit, stop[np.searchsorted(stop, first, side="right")] - first,
                 order[at[first].astype(np.int64)])
 
     def bucket(self, key: np.ndarray) -> np.ndarray:
@@ -224,7 +232,7 @@ def plan_buckets(rows: DataFrame, cut: Callable, window: int, gram: int,
     share of all runs; the number of hot grams is bounded by the number of partitions.
     Hot grams decide where windows meet, not what is found.
     """
-    limit = np.uint64((1 << 63) // share)
+    limit = np.array([(1 << 63) // share], np.uint64)
 
     def count(batches):
         for batch in batches:
@@ -232,9 +240,10 @@ def plan_buckets(rows: DataFrame, cut: Callable, window: int, gram: int,
             for part in chunks(batch):
                 units = cut(part.column(2).to_pylist())
                 windows += int(np.maximum(units.counts - window + 1, 0).sum())
-                code = window_hashes(units.code, gram) >> np.uint64(1)
-                parts.append(code[code < limit])
-            key, n = np.unique(np.concatenate(parts), return_counts=True)
+                for i in range(0, len(units.code) - gram + 1, PIECE):
+                    code = window_hashes(units.code[i:i + PIECE + gram - 1], gram) >> np.uint64(1)
+                    parts.append(code[code < limit])
+            key, n = np.unique(np.concatenate([*parts, limit[:0]]), return_counts=True)
             often = n >= least
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.append(key[often].view(np.int64), -1)), pa.array(np.append(n[often], 0)),

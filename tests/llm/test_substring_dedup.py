@@ -71,6 +71,19 @@ def test_hot_grams(make_docs, monkeypatch):
     assert seen[0] > 5
 
 
+def test_long_texts_are_ranked_in_pieces(make_docs, monkeypatch):
+    rows = passages(9, 80)
+    whole = sk.Plan(6, 2, 5, np.zeros(0, np.uint64))
+    units = sd.cut_words([t for _, t in rows])
+    n = whole.find_runs(units)[1].sum()
+    monkeypatch.setattr(sk, "PIECE", 7)
+    first, windows, _ = whole.find_runs(units)
+    assert windows.sum() == n and len(set(first.tolist())) == len(first)
+    # Pieces are set in this process only; Spark's workers rank whole chunks.
+    monkeypatch.undo()
+    assert result(substring_dedup(make_docs(rows), window=6, gram=2, digest=True)) == brute(rows, 6)
+
+
 def test_frequent_grams_are_found(make_docs):
     rows = [(i, f"{i} this passage is in every single text {i}") for i in range(3000)]
     from pyspark.sql import functions as F
