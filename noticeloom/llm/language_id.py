@@ -65,10 +65,17 @@ def fit_text_model(rows: DataFrame, per_label: int = ROWS_PER_LABEL) -> TextMode
     ``rows`` has ``rid, text, label``. Which rows count is drawn by hash before any text moves;
     the groups are counted where the texts are. None if no row has a label.
     """
-    draw = Window.partitionBy("label").orderBy(F.xxhash64("rid"), "rid")
-    drawn = (rows.filter("label IS NOT NULL").select("rid", "label")
-             .withColumn("turn", F.row_number().over(draw)).filter(F.col("turn") <= per_label))
-    sample = rows.select("rid", "text").join(drawn.select("rid", "label"), "rid")
+    # Of a label with many rows only those of a low hash, about four times as many as wanted, meet in
+    # its window.
+    marked = rows.filter("label IS NOT NULL").select(
+        "rid", "label", F.shiftrightunsigned(F.xxhash64("rid"), 1).alias("draw"))
+    sizes = write_out(marked.groupBy("label").agg(F.count("*").alias("rows")), "label_sizes")
+    low = F.col("draw") / F.lit(float(1 << 63))
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("draw", "rid"))
+    drawn = (marked.join(sizes, "label").filter(low * F.col("rows") < 4 * per_label)
+             .withColumn("turn", turn).filter(F.col("turn") <= per_label))
+    # At most per_label rows of each label, so the texts stay where they are.
+    sample = rows.select("rid", "text").join(F.broadcast(drawn.select("rid", "label")), "rid")
 
     def count(batches):
         for batch in batches:
@@ -238,8 +245,9 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     total = np.nan_to_num(np.array([x if x is not None else 0.0 for x in total]))
     joined = seen
     for key in ("declared", "suffix", "domain", "host"):
-        joined = joined.join(seen.filter(F.col(key).isNotNull()).groupBy(key).agg(
-            sums.alias(f"{key}_sum")), key, "left")
+        # Written, so that both sides are plain exchanges, of which Spark splits a hot key's.
+        joined = joined.join(write_out(seen.filter(F.col(key).isNotNull()).groupBy(key).agg(
+            sums.alias(f"{key}_sum")), key), key, "left")
     return joined.mapInArrow(
         _fuse(model.labels, total), f"id {kind}, language string, confidence double, accepted boolean, "
         "declared string, host string, n_groups long, rid long").withColumnRenamed("id", id_col)
