@@ -16,36 +16,57 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def _blocks(rows: DataFrame, block_chars: int) -> DataFrame:
-    """rid, m (blocks of the text), pos, block; an empty text is one empty block."""
+def _cut(block_chars: int) -> Column:
+    """The blocks of ``norm``; an empty text is one empty block."""
     cut = F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
-    cut = F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(cut)
-    return (rows.select("rid", cut.alias("cut"))
-            .select("rid", F.size("cut").alias("m"), F.posexplode("cut").alias("pos", "block")))
+    return F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(cut)
 
 
-def _named(items: DataFrame, keys: list[str]) -> DataFrame:
+def _named(items: DataFrame, keys: list[str], hashes: DataFrame) -> DataFrame:
     """Replace ``keys`` by ``name``: the number of the first item that holds these keys.
 
     Items come from a scan, so their numbers are the same whenever a lost task runs
     again. The grouping compares the keys themselves, so equal names mean equal keys.
-    It merges within each task before rows move, and the join back splits a hot key,
-    as the other side has one row for it.
-    """
-    names = (items.select(*keys, F.monotonically_increasing_id().alias("at"))
-             .groupBy(*keys).agg(F.min("at").alias("name")))
-    return items.join(names, keys).drop(*keys)
-
 
-def text_identities(rows: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    ``hashes`` has ``h``, the hash of the keys, for each item. Keys that more than an even share of
+    all items hold (by hash, so there are at most as many as partitions) are dealt to all
+    partitions by row: each partition finds its own first item, and the few finds of a hot key
+    are joined to one name.
+    """
+    spark = items.sparkSession
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = hashes.groupBy("h").count()
+    share = F.greatest(F.floor(F.sum("count") / slots), F.lit(1000))
+    least = counts.agg(share.alias("least")).first()[0] or 0
+    hot = counts.filter(F.col("count") > least).select("h", F.lit(1).alias("hot")).collect()
+    own, dealt = keys, items
+    if hot:
+        own = [*keys, "deal"]
+        lookup = spark.createDataFrame(hot, "h long, hot int")
+        dealt = items.withColumn("h", F.xxhash64(*keys)).join(
+            F.broadcast(lookup), "h", "left").withColumn(
+            "deal", F.when(F.col("hot") == 1, F.pmod(F.xxhash64("rid"), F.lit(slots))).otherwise(-1)
+        ).drop("h", "hot")
+    names = (dealt.select(*own, F.monotonically_increasing_id().alias("at"))
+             .groupBy(*own).agg(F.min("at").alias("name")))
+    if hot:
+        joint = names.filter("deal >= 0").groupBy(*keys).agg(F.min("name").alias("joint"))
+        names = names.join(F.broadcast(joint), keys, "left").select(
+            *own, F.coalesce("joint", "name").alias("name"))
+    return dealt.join(names, own).drop(*own)
+
+
+def text_identities(rows: DataFrame, hashes: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``rid`` with ``level`` and ``name``: equal for two rows exactly if their ``norm`` is equal.
 
     Level 0 names fixed-size blocks; each further level names adjacent pairs of names
     (an odd last one is paired with -1), until one name is left. Texts with equal
-    numbers of blocks meet at the same level. Each level is a table in the shared
-    folder, so levels do not pile up in the lineage.
+    numbers of blocks meet at the same level. ``hashes`` has the hash of every block. Each level
+    is a table in the shared folder, so levels do not pile up in the lineage.
     """
-    named = write_out(_named(_blocks(rows, block_chars), ["block"]), "names")
+    blocks = (rows.select("rid", _cut(block_chars).alias("cut"))
+              .select("rid", F.size("cut").alias("m"), F.posexplode("cut").alias("pos", "block")))
+    named = write_out(_named(blocks, ["block"], hashes), "names")
     done = named.filter("m = 1").select("rid", F.lit(0).alias("level"), "name")
     longest = named.agg(F.max("m")).first()[0] or 1
     level = 0
@@ -57,7 +78,9 @@ def text_identities(rows: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFram
                       F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))),
                                  F.lit(-1)).alias("right"))
                  .withColumn("m", ((F.col("m") + 1) / 2).cast("int")))
-        named = write_out(_named(write_out(pairs, "pairs"), ["left", "right"]), "names")
+        pairs = write_out(pairs, "pairs")
+        named = write_out(_named(pairs, ["left", "right"], pairs.select(
+            F.xxhash64("left", "right").alias("h"))), "names")
         done = done.unionByName(
             named.filter("m = 1").select("rid", F.lit(level).alias("level"), "name"))
     return done
@@ -76,11 +99,16 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     raw = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
                        F.char_length(raw).alias("n"), normalised(F.col(text)).alias("norm"))
-    facts = rows.select("rid", "id", "n", F.sha2("norm", 256).alias("text_sha256"))
-    members = text_identities(rows, block_chars).join(facts, "rid")
+    facts = write_out(rows.select(
+        "rid", "id", "n", F.sha2("norm", 256).alias("text_sha256"),
+        F.transform(_cut(block_chars), lambda b: F.xxhash64(b)).alias("hashes")), "facts")
+    members = text_identities(rows, facts.select(F.explode("hashes").alias("h")), block_chars).join(
+        facts.drop("hashes"), "rid")
     best = F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), "id", "rid")
-    groups = (members.groupBy("level", "name")
-              .agg(F.min(best).alias("best"), F.count("*").alias("group_size")))
+    # Written, so that both sides of the join are plain exchanges, of which Spark splits a hot one.
+    members = write_out(members, "members")
+    groups = write_out(members.groupBy("level", "name")
+                       .agg(F.min(best).alias("best"), F.count("*").alias("group_size")), "groups")
     return members.join(groups, ["level", "name"]).select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256", "rid")
