@@ -20,8 +20,8 @@ ROWS_PER_LABEL = 1000
 MOST_LABELS = 500
 #: Letter groups of a text are not independent: ever so many count as at most this many.
 FULL_WEIGHT = 60.0
-#: Nats by which an average letter group may be less likely than in the language's own
-#: labelled rows before no language is the better account of the text.
+#: Nats by which an average letter group is less likely in no language than in the best
+#: language's own labelled rows.
 MARGIN = 5.0
 #: Rows of a parent that a host's own rows are weighed against.
 KAPPA = 20.0
@@ -139,60 +139,71 @@ def _scorer(model):
             for part in chunks(batch):
                 n, mean = own.score(part.column(2).to_pylist())
                 full = n / (1 + n / FULL_WEIGHT)
-                lead = full[:, None] * (mean - mean.max(1, keepdims=True))
-                p = np.exp(lead)
+                top = mean.max(1)
+                lead = full[:, None] * (mean - top[:, None])
+                # No language is one more account of the text, the last.
+                none = full * (own.usual[mean.argmax(1)] - MARGIN - top)
+                p = np.column_stack([lead, none])
+                p = np.exp(p - p.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 p[n == 0] = 0
-                # By how much the best language is worse than its labelled rows are.
-                best = mean.argmax(1)
-                short = full * (own.usual[best] - MARGIN - mean[np.arange(len(n)), best])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), *part.columns[3:], pa.array(n),
                      pa.array(lead.tolist(), pa.list_(pa.float64())), pa.array(p.tolist(), pa.list_(pa.float64())),
-                     pa.array(short)], ["rid", "id", "host", "declared", "n", "lead", "p", "short"])
+                     pa.array(top)], ["rid", "id", "host", "declared", "n", "lead", "p", "top"])
     return run
 
 
-def _fuse(labels: list[str], total: np.ndarray):
-    """The posterior of each row; tables give sums of text posteriors for each key."""
-    overall = (total + 1) / (total.sum() + len(labels))
+def _fuse(labels: list[str], usual: np.ndarray, total: np.ndarray):
+    """The posterior of each row over the languages and, last, none; tables give sums of text
+    posteriors for each key."""
+    overall = (total + 1) / (total.sum() + len(total))
 
     def run(batches):
         for batch in batches:
             col = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
 
-            def wide(name):
+            def wide(name, size):
                 values = col[name].to_pylist()
-                return np.array([v or [0.0] * len(labels) for v in values]).reshape(len(values), len(labels))
+                return np.array([v or [0.0] * size for v in values]).reshape(len(values), size)
 
-            own, lead = wide("p"), wide("lead")
-            # A row's own text does not vouch for itself, so it is taken out of all sums.
-            domain = np.maximum(wide("domain_sum") - own, 0)
+            def sums(name):
+                # A row's own text does not vouch for itself, so it is taken out of all sums.
+                return np.maximum(wide(name, len(total)) - own, 0)
+
+            own, lead = wide("p", len(total)), wide("lead", len(labels))
+            domain = sums("domain_sum")
             domain = (domain + KAPPA * overall) / (domain.sum(1, keepdims=True) + KAPPA)
-            host = np.maximum(wide("host_sum") - own, 0)
-            score = lead + np.log((host + KAPPA * domain) / (host.sum(1, keepdims=True) + KAPPA))
+            host = sums("host_sum")
+            score = np.log((host + KAPPA * domain) / (host.sum(1, keepdims=True) + KAPPA))
+            score[:, :-1] += lead
             rest = np.maximum(total - own, 0)
             for name in ("declared", "suffix"):
                 known = np.array([v is not None for v in col[name].to_pylist()])[:, None]
-                seen = np.maximum(wide(f"{name}_sum") - own, 0)
+                seen = sums(f"{name}_sum")
                 # How often rows of each language have this value, against rows of all languages.
-                chance = (seen + 0.5) / (rest + 1)
+                held, of = seen[:, :-1] + 0.5, rest[:, :-1] + 1
                 if name == "declared":
                     match = np.array([[x == v for x in labels] for v in col[name].to_pylist()])
-                    chance = (seen + np.where(match, 4.5, 0.5)) / (rest + 5)
-                score = score + np.where(known, np.log(chance / chance.max(1, keepdims=True)), 0)
-            short = np.array(col["short"].to_pylist())
-            n = np.array(col["n"].to_pylist())
-            best = score.argmax(1)
-            top = score.max(1)
-            weights = np.exp(score - top[:, None])
-            # No language at all is one more account of the text.
-            none = np.exp(np.minimum(short, 50.0))
-            confidence = 1 / (weights.sum(1) + none)
-            accepted = (n > 0) & (none < 1)
+                    held, of = seen[:, :-1] + np.where(match, 4.5, 0.5), rest[:, :-1] + 5
+                # Rows in no language have it as often as all others, as far as they do not say.
+                usually = held.sum(1) / of.sum(1)
+                chance = np.column_stack([held / of, (seen[:, -1] + KAPPA * usually) / (rest[:, -1] + KAPPA)])
+                score = score + np.where(known, np.log(chance), 0)
+            n = np.array(col["n"].to_pylist(), np.int64)
+            best = score[:, :-1].argmax(1)
+            # In no language, the text is as likely as those of the fused best one less the margin.
+            full = n / (1 + n / FULL_WEIGHT)
+            score[:, -1] += full * (usual[best] - MARGIN - np.array(col["top"].to_pylist()))
+            # Without a letter there is no language.
+            score[n == 0, :-1] = -np.inf
+            posterior = np.exp(score - score.max(1, keepdims=True))
+            posterior /= posterior.sum(1, keepdims=True)
+            at = np.arange(len(n)), best
+            accepted = score[at] > score[:, -1]
             yield pa.RecordBatch.from_arrays(
                 [col["id"], pa.array([labels[b] if ok else UNKNOWN for b, ok in zip(best, accepted, strict=True)]),
-                 pa.array(np.where(accepted, confidence, none * confidence)), pa.array(accepted),
+                 pa.array(np.where(accepted, posterior[at], posterior[:, -1])), pa.array(accepted),
                  col["declared"], col["host"], col["n"], col["rid"]],
                 ["id", "language", "confidence", "accepted", "declared", "host", "n_groups", "rid"])
     return run
@@ -212,8 +223,10 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     each language have them. Null evidence says nothing. Without any label the
     language is ``und`` and every text with a letter is accepted.
 
-    A text without letters, or one so unlike the labelled rows of its best language that no language
-    is the better account, is ``und`` and not accepted. Sums are merged within tasks before they
+    No language is one more class: its text likelihood is that of the best language's labelled rows
+    less ``MARGIN`` a group, and host, domain, suffix and declared language count for it as for the
+    others. A text for which it is likelier than the best language, or one without letters, is ``und``
+    and not accepted; ``confidence`` is then that of no language. Sums are merged within tasks before they
     move, and joins have one row for a key on that side, so a hot host is split.
     """
     spark = docs.sparkSession
@@ -237,19 +250,18 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         F.regexp_replace("text", r"<[^<>]*>", " "))
     scored = rows.select("rid", "id", plain.alias("text"), "host", "declared").mapInArrow(
         _scorer(shared), f"rid long, id {kind}, host string, declared string, n long, "
-        "lead array<double>, p array<double>, short double")
+        "lead array<double>, p array<double>, top double")
     seen = write_out(scored, "scores").withColumns(
         {"suffix": _suffix(F.col("host")), "domain": _domain(F.col("host"))})
-    sums = F.array(*[F.sum(F.get("p", F.lit(i))) for i in range(len(model.labels))])
-    total = np.array(seen.agg(sums.alias("t")).first()[0] or [0.0], float)
-    total = np.nan_to_num(np.array([x if x is not None else 0.0 for x in total]))
+    sums = F.array(*[F.sum(F.get("p", F.lit(i))) for i in range(len(model.labels) + 1)])
+    total = np.array([x or 0.0 for x in seen.agg(sums.alias("t")).first()[0]])
     joined = seen
     for key in ("declared", "suffix", "domain", "host"):
         # Written, so that both sides are plain exchanges, of which Spark splits a hot key's.
         joined = joined.join(write_out(seen.filter(F.col(key).isNotNull()).groupBy(key).agg(
             sums.alias(f"{key}_sum")), key), key, "left")
     return joined.mapInArrow(
-        _fuse(model.labels, total), f"id {kind}, language string, confidence double, accepted boolean, "
+        _fuse(model.labels, model.usual, total), f"id {kind}, language string, confidence double, accepted boolean, "
         "declared string, host string, n_groups long, rid long").withColumnRenamed("id", id_col)
 
 

@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from noticeloom.llm.language_id import (declared_language, fit_text_model, host_of, identify_languages,
-                                        keep_identified)
+from noticeloom.llm.language_id import (FULL_WEIGHT, MARGIN, declared_language, fit_text_model, host_of,
+                                        identify_languages, keep_identified)
 
 SF = "/root/testdata/sf0.01"
 
@@ -77,3 +77,32 @@ def test_addresses_and_declared_languages(spark):
         host_of(F.col("a")).alias("h"), declared_language(F.col("t")).alias("d"))
     assert [tuple(r) for r in df.collect()] == [
         ("a.b.example.com", "fr"), ("src7", None), (None, None), (None, None), (None, "es")]
+
+
+def test_host_and_markup_decide_about_no_language_too(spark, documents):
+    model = fit_text_model(documents.select(F.col("doc_id").alias("rid"), "text", F.col("lang").alias("label")))
+    french = documents.filter("lang = 'fr'").orderBy("doc_id").limit(60).collect()
+    odd = "xq zzkv qxw jjqx wvvk xxqz kqjw zzxv qqkx wjjz vvxq".split()
+
+    def short(text):
+        n, mean = model.score([text])
+        full = n[0] / (1 + n[0] / FULL_WEIGHT)
+        return full * (model.usual[mean[0].argmax()] - MARGIN - mean[0].max()), model.labels[mean[0].argmax()]
+
+    words = french[0].text.split()
+    mixed = [" ".join(words[i:i + a] + odd[:b]) for i in range(40) for a in range(1, 5) for b in range(3, 11)]
+    # No language is the better account of the letters alone, by a little; and French, by a little.
+    past = next(t for t in mixed if 5.5 < short(t)[0] < 6 and short(t)[1] == "fr")
+    inside = next(t for t in mixed if -1 < short(t)[0] < 0 and short(t)[1] == "fr")
+    rows = [(i, r.text, "https://www.lettres.fr/a") for i, r in enumerate(french)]
+    rows += [(100 + i, r.text, "https://en.example.com/b") for i, r in enumerate(
+        documents.filter("lang = 'en'").orderBy("doc_id").limit(60).collect())]
+    rows += [(200 + i, " ".join(odd * (2 + i % 3)), "https://noise.example.net/c") for i in range(60)]
+    rows += [(300, past, None), (301, f'<html lang="fr"><p>{past}</p>', "https://www.lettres.fr/d"),
+             (302, inside, "https://www.lettres.fr/e"), (303, inside, "https://noise.example.net/f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in identify_languages(docs, labelled=documents).collect()}
+    assert [(got[i].language, got[i].accepted) for i in range(300, 304)] == [
+        ("und", False), ("fr", True), ("fr", True), ("und", False)]
+    assert {r.doc_id for r in keep_identified(docs, labelled=documents).collect()} == {
+        *range(60), *range(100, 160), 301, 302}
