@@ -31,6 +31,12 @@ _SHAPES = (
     (2, re.compile(r"[0-9](?:[-./_]?[0-9]){11,24}")),
     (3, re.compile(r"\+?[0-9](?:[-./_]?[0-9]){6,14}")),
 )
+# Digits written with spaces, brackets and signs between them. A bracket before the first digit is
+# part of the number if it closes behind a few digits. Kinds with the fewest and most digits.
+_NUMBER = re.compile(r"(?<![^\W_])(?<!@)(?:\+?\((?=[0-9 ]{1,8}\))|\+)?[0-9](?:(?:\)?[./_]|[ ()-]*+)[0-9])*+")
+_DIGITS = re.compile(r"[0-9]+")
+_BRACKET = re.compile(r"\([0-9 ]{1,8}\)")
+_SIZES = ((2, 12, 25), (3, 7, 15))
 _WORD = re.compile(r"\w+|[^\w\s]")
 
 
@@ -74,10 +80,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _MAYBE = re.compile(r"[0-9@]")
 
 
+def _numbers(text: str, base: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """Numbers of one or more groups between the base spans: from each start behind a space or
+    bracket and of each kind, the longest that fits."""
+    at = 0
+    for low, high in [*base, (len(text), len(text))]:
+        for m in _NUMBER.finditer(text, at, low) if low > at else ():
+            groups = [g.span() for g in _DIGITS.finditer(text, m.start(), m.end())]
+            bracket = "(" in m.group()
+            # Within the number, a sign follows each group.
+            after = text[m.end():m.end() + 1]
+            torn = m.end() if after.isalnum() or after == "@" else -1
+            for i, (first, _) in enumerate(groups):
+                start = m.start() if i == 0 else first - bool(_BRACKET.match(text, first - 1))
+                if i and text[first - 1] not in " (":
+                    continue
+                digits, opened, last, ends = 0, 0, start, {}
+                for a, b in groups[i:i + 25]:
+                    if bracket:
+                        opened += text.count("(", last, a) - text.count(")", last, a)
+                    last = b
+                    digits += b - a
+                    if digits > 25:
+                        break
+                    if digits >= 7 and opened == 0 and b != torn:
+                        for k, least, most in _SIZES:
+                            if least <= digits <= most:
+                                ends[k] = b
+                yield from ((k, start, end) for k, end in ends.items())
+        at = max(at, high)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Tokens with the shape of an identifier that no base span touches."""
+    """What has the shape of an identifier and no base span touches, once for each kind that fits:
+    tokens, and numbers over spaces and brackets. Of one start and kind, the longest."""
     taken = sorted((a, b) for _, a, b in base)
-    out, at, i = [], 0, 0
+    found = {(k, a): b for k, a, b in _numbers(text, taken)}
+    at = i = 0
     while (m := _MAYBE.search(text, at)) is not None:
         # The token around this digit or @; it starts after the last break before it.
         start = m.start()
@@ -92,9 +131,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             continue
         for kind, shape in _SHAPES:
             if shape.fullmatch(token):
-                out.append((kind, start, end))
-                break
-    return out
+                found[kind, start] = max(end, found.get((kind, start), 0))
+    return sorted((k, a, b) for (k, a), b in found.items())
 
 
 #: Characters before an identifier in which its lexical pattern is looked for.
@@ -162,7 +200,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     Kinds are numbers in the order of ``KINDS``, places are code points, ends exclusive. Base
     spans are those of the fixed patterns. Their contexts become patterns, and where a
     pattern of at least ``min_support`` different base instances scores ``min_score`` or more,
-    tokens of the same kind's shape behind it are spans too. A null text is empty.
+    tokens and numbers of the same kind's shape behind it are spans too; where several kinds fit, that
+    whose pattern scores best. A null text is empty.
 
     Texts are read once and do not move; what is written and shuffled are the marks: base
     spans and identifier-shaped tokens, each with its pattern.
@@ -174,9 +213,12 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     marks = numbered.select("rid", F.inline("marks"))
     patterns = score_patterns(marks, rounds, min_support, prior)
     good = patterns.filter((F.col("score") >= min_score) & (F.col("seeds") >= min_support))
-    more = (marks.filter("NOT base").join(good.select("kind", "pattern"), ["kind", "pattern"])
-            .groupBy("rid").agg(F.collect_list(
-                F.struct("kind", "start", "end", F.col("base"))).alias("more")))
+    # Of the kinds that fit at one place, that with the best pattern.
+    best = F.struct("score", "end", (-F.col("kind")).alias("turn"), "kind")
+    more = (marks.filter("NOT base").join(good.select("kind", "pattern", "score"), ["kind", "pattern"])
+            .groupBy("rid", "start").agg(F.max(best).alias("best"))
+            .groupBy("rid").agg(F.collect_list(F.struct(
+                "best.kind", "start", "best.end", F.lit(False).alias("base"))).alias("more")))
     base = F.transform(F.filter("marks", lambda m: m["base"]), lambda m: F.struct(
         m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
         m["base"].alias("base")))

@@ -4,7 +4,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from noticeloom.llm.pii import (KINDS, base_spans, find_personal_data, pattern,
+from noticeloom.llm.pii import (KINDS, base_spans, candidates, find_personal_data, pattern,
                                 personal_data_digest, redact)
 
 PLAIN = [
@@ -86,3 +86,40 @@ def test_pattern_and_redaction():
     assert redact("a x@y.z b", [(0, 2, 7)]) == "a <email> b"
     assert redact("1234", [(2, 0, 3), (3, 1, 4)]) == "<card>"
     assert redact("none", []) == "none"
+
+
+def seen(text):
+    return {(KINDS[k], text[a:b]) for k, a, b in candidates(text, base_spans(text))}
+
+
+def test_candidates_run_over_spaces_and_brackets():
+    assert ("phone", "(555) 123-4567") in seen("Call me at: (555) 123-4567 now")
+    assert ("phone", "555 123 4567") in seen("at: 555 123 4567. 20 came")
+    assert ("phone", "555 123 4567") in seen("at: (555 123 4567), 10.0.0.1")
+    assert ("phone", "555 123 4567") in seen("10.0.0.1 555 123 4567 (x)")
+    assert ("card", "4111 1111 1111 1112") in seen("card 4111 1111 1111 1112")
+    assert {("card", "442079460958"), ("phone", "442079460958")} <= seen("tel 442079460958")
+    assert ("phone", "5551234567") in seen("item 5 5551234567")
+    assert ("phone", "(555) 123-4567") in seen("room B5 (555) 123-4567")
+    assert ("phone", "(555) 123-4567") in seen("1 2 3 4 5 6 7 8 9 " * 9 + "(555) 123-4567")
+    assert ("phone", "555 123 4567") not in seen("abc555 123 4567")
+    for text in ("1 " * 200_000, "(" * 400_000, "1(" * 200_000, "1" + " " * 400_000 + "a"):
+        candidates(text, [])
+
+
+def test_numbers_with_spaces_and_brackets_are_discovered(make_docs):
+    data = [(i, f"note {i} reach me at: +1 ({200 + i}) 555-0{100 + i} now") for i in range(20)]
+    data += [(100 + i, f"charged to card no. {c}") for i, c in enumerate(
+        ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "4222 2222 2222 2",
+         "3782 822463 10005", "3714 496353 98431", "6011 1111 1111 1117", "5105 1051 0510 5100"])]
+    more = {200: "(555) 123-4567", 201: "555 123 4567", 202: "442079460958"}
+    data += [(i, f"please reach me at: {x} today") for i, x in more.items()]
+    data += [(300, "charged to card no. 4111 1111 1111 1112"), (301, "ordered 555 123 4567 pieces")]
+    got = {r.doc_id: r.spans for r in personal_data_digest(find_personal_data(make_docs(data))).collect()}
+    text = dict(data)
+    for i, x in more.items():
+        at = text[i].index(x)
+        assert got[i] == f"phone:{at}:{at + len(x)}"
+    at = text[300].index("4111")
+    assert got[300] == f"card:{at}:{at + 19}"
+    assert got[301] == ""
