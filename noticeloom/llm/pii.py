@@ -180,7 +180,7 @@ def score_patterns(marks: DataFrame, rounds: int, min_support: int, prior: float
     for _ in range(rounds):
         held = edges.join(known, ["kind", "instance"])
         scores = held.groupBy("kind", "pattern").agg(
-            F.count("*").alias("n"), F.sum(F.col("base").cast("long")).alias("seeds"),
+            F.count("*").alias("n"), F.sum("sure").alias("support"),
             (F.sum("sure") / (F.count("*") + prior)).alias("score"))
         scores = write_out(scores, "patterns")
         strong = scores.filter(F.col("n") >= min_support).select("kind", "pattern", "score")
@@ -199,7 +199,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     Kinds are numbers in the order of ``KINDS``, places are code points, ends exclusive. Base
     spans are those of the fixed patterns. Their contexts become patterns, and where a
-    pattern of at least ``min_support`` different base instances scores ``min_score`` or more,
+    pattern scores ``min_score`` or more and the certainties of its different instances, base or
+    discovered, sum up to ``min_support``,
     tokens and numbers of the same kind's shape behind it are spans too; where several kinds fit, that
     whose pattern scores best. A null text is empty.
 
@@ -212,7 +213,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     numbered = found.withColumn("rid", F.monotonically_increasing_id())
     marks = numbered.select("rid", F.inline("marks"))
     patterns = score_patterns(marks, rounds, min_support, prior)
-    good = patterns.filter((F.col("score") >= min_score) & (F.col("seeds") >= min_support))
+    good = patterns.filter((F.col("score") >= min_score) & (F.col("support") >= min_support))
     # Of the kinds that fit at one place, that with the best pattern.
     best = F.struct("score", "end", (-F.col("kind")).alias("turn"), "kind")
     more = (marks.filter("NOT base").join(good.select("kind", "pattern", "score"), ["kind", "pattern"])

@@ -123,3 +123,15 @@ def test_numbers_with_spaces_and_brackets_are_discovered(make_docs):
     at = text[300].index("4111")
     assert got[300] == f"card:{at}:{at + 19}"
     assert got[301] == ""
+
+
+def test_patterns_of_discovered_instances_extract_too(make_docs):
+    data = [(i, f"note {i} reach me at: user{i}@mail{i}.example.org now") for i in range(30)]
+    # Known from behind "at:" only; they are all that is ever behind "mailbox is".
+    data += [(100 + i, f"reach me at: user{i}@host{i} today") for i in range(12)]
+    data += [(200 + i, f"his mailbox is user{i}@host{i} today") for i in range(12)]
+    data += [(300, "her mailbox is other@elsewhere today"), (301, "the cluster is other2@elsewhere")]
+    got = {r.doc_id: r.spans for r in personal_data_digest(find_personal_data(make_docs(data))).collect()}
+    assert got[300] == "email:15:30"
+    assert got[200] == "email:15:26"
+    assert got[301] == ""
