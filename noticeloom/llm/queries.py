@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from noticeloom.llm.bpe import encode
 from noticeloom.llm.decontamination import contamination_digest, find_contamination
@@ -14,7 +15,7 @@ from noticeloom.llm.exact_dedup import exact_dedup
 from noticeloom.llm.language_id import identify_languages
 from noticeloom.llm.near_dedup import near_copies
 from noticeloom.llm.pii import find_personal_data, personal_data_digest
-from noticeloom.llm.sharding import place
+from noticeloom.llm.sharding import place, write_shards
 from noticeloom.llm.substring_dedup import substring_dedup
 from noticeloom.llm.suffix_dedup import suffix_dedup
 from noticeloom.llm.warc import page_captures, transactions, write_archives
@@ -72,7 +73,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(_table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
+    path = f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}"
+    docs = _table(spark, sf_dir, "documents")
+    write_shards(docs, ["doc_id"], SHARDS, path, files=2)
+    # With the schema, as a table without rows has no files.
+    schema = place(docs, ["doc_id"], SHARDS).schema
+    return spark.read.schema(schema).parquet(path).select(
+        "doc_id", "slot", "shard", F.sha2("text", 256).alias("text_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,7 +1,9 @@
+import hashlib
 from collections import Counter
 
 import pytest
 
+from noticeloom.llm.queries import op10_sharding
 from noticeloom.llm.sharding import lookup_table, place, write_shards
 
 NAMES = tuple(f"s{i}" for i in range(7))
@@ -55,3 +57,12 @@ def test_write_shards(spark, make_docs, odd_rows, tmp_path):
     write_shards(make_docs(odd_rows), ["doc_id"], list(NAMES), str(tmp_path / "out"), files=2)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == len(odd_rows)
+
+
+def test_query_places_whole_documents(spark, make_docs, odd_rows, tmp_path):
+    make_docs(odd_rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op10_sharding(spark, str(tmp_path)).select("doc_id", "text_sha256").collect()
+    want = [(i, None if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, t in odd_rows]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    make_docs([]).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert op10_sharding(spark, str(tmp_path / "none")).collect() == []
