@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from noticeloom.llm.bpe import encode
 from noticeloom.llm.decontamination import contamination_digest, find_contamination
 from noticeloom.llm.exact_dedup import exact_dedup
+from noticeloom.llm.importance import importance_scores
 from noticeloom.llm.language_id import identify_languages
 from noticeloom.llm.near_dedup import near_copies
 from noticeloom.llm.pii import find_personal_data, personal_data_digest
+from noticeloom.llm.secrets import find_secrets, secrets_digest
 from noticeloom.llm.sharding import place, write_shards
 from noticeloom.llm.substring_dedup import substring_dedup
 from noticeloom.llm.suffix_dedup import suffix_dedup
+from noticeloom.llm.vector_codes import compress_vectors, vector_codes_digest
 from noticeloom.llm.warc import page_captures, transactions, write_archives
 from noticeloom.session import scratch_dir
 
@@ -82,6 +85,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "slot", "shard", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes_digest(*compress_vectors(_table(spark, sf_dir, "embeddings")))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = importance_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return scored.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_digest(find_secrets(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
@@ -93,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_importance": op12_importance,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
