@@ -7,10 +7,13 @@ import pyarrow.parquet as pq
 import pytest
 import test_decontamination
 import test_exact_dedup
+import test_importance
 import test_near_dedup
 import test_pii
+import test_secrets
 import test_substring_dedup
 import test_suffix_dedup
+import test_vector_codes
 import test_warc
 from tokenizers import Tokenizer
 
@@ -35,7 +38,7 @@ def run(spark):
 
 def test_one_query_for_each_operator():
     names = [q for q in entry.queries() if q.startswith("op") and q[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
@@ -109,6 +112,29 @@ def test_op10(run, rows):
     assert len({s for _, s in got}) > 100
 
 
+def test_op11(run):
+    vectors = [(r["vec_id"], r["embedding"], r["label"]) for r in
+               pq.read_table(f"{SF}/embeddings.parquet").to_pylist()]
+    assert run("op11_vector_codes", "vec_id", "code", "error", "label_error", "codebooks_sha256") == (
+        test_vector_codes.brute(vectors))
+
+
+def test_op12(run, rows):
+    items = [r["text"] for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
+    want = [(i, n, w, s, k) for i, _, n, w, s, k in test_importance.brute(rows, items)]
+    assert run("op12_importance", "doc_id", "n_features", "weight", "score", "rank") == sorted(want, key=repr)
+
+
+def test_op13(run, rows):
+    want = []
+    for i, text in rows:
+        base = test_secrets.brute(text)
+        want.append((i, *(sum(s[0] == k for s in base) for k in range(3)),
+                     hashlib.sha256(test_secrets.line(base).encode()).hexdigest()))
+    assert run("op13_secrets", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(want, key=repr)
+    assert run("op13_secrets", "doc_id", "spans") == test_secrets.brute_spans(rows)
+
+
 def by_hand(spark, docs, items):
     """The stages on rows, by brute force but for the language."""
     from noticeloom.llm.language_id import identify_languages
