@@ -566,3 +566,57 @@ _expect("snapshot_changes", f"""SELECT * FROM (
   FULL JOIN ({_snap.format(" || CASE WHEN k % 8 = 1 THEN '?moved' ELSE '' END", "k % 10 <> 7")}) b
   ON a.utility_id = b.utility_id AND coalesce(a.norm_title, '') = coalesce(b.norm_title, ''))
   WHERE change IS NOT NULL""")
+EXPECTED["repeated_rows"] = EXPECTED["opportunities"]
+_run = """SELECT 'u' || c AS utility_id, CASE WHEN k % 6 <> 0 THEN lower(title) END AS norm_title, r,
+    arg_min('https://n.example.com/' || (k % 5) || CASE WHEN k % 4 = 1 AND r >= 3 THEN '?moved' ELSE '' END, k)
+    AS content FROM n, (SELECT unnest([1, 2, 3, 4]) AS r) WHERE (k + r) % 10 <> 3 GROUP BY ALL"""
+_expect("stream_changes", f"""SELECT utility_id, norm_title, DATE '2025-12-31' + CAST(r AS INTEGER) AS run_ts, change FROM (
+  SELECT b.utility_id, b.norm_title, b.r,
+    CASE WHEN a.r IS NULL THEN 'new' WHEN a.content <> b.content THEN 'changed' END AS change
+  FROM ({_run}) b LEFT JOIN ({_run}) a ON a.r = b.r - 1 AND a.utility_id = b.utility_id
+    AND coalesce(a.norm_title, '') = coalesce(b.norm_title, '')
+  UNION ALL SELECT a.utility_id, a.norm_title, a.r + 1, 'gone'
+  FROM ({_run}) a LEFT JOIN ({_run}) b ON a.r = b.r - 1 AND a.utility_id = b.utility_id
+    AND coalesce(a.norm_title, '') = coalesce(b.norm_title, '')
+  WHERE b.r IS NULL AND a.r < 4) WHERE change IS NOT NULL""")
+_expect("documents_incremental", f"""SELECT {_COLUMNS}, n_missing FROM ({_STRICT}) JOIN meta USING (entry),
+  (SELECT count(*) AS n_missing FROM strictlinks s JOIN reg ON reg.c = s.c
+   WHERE reg.active AND s.part = 0 AND s.link_no <= coalesce(mx, 10) AND s.k % 5 = 0)""")
+
+# Long documents without limits, whole words (which change nothing here) and whole dates.
+_long_text = """dtext || chr(10) || CASE WHEN k % 2 = 1 THEN 'RFQ-' || k || ' ' ELSE '' END
+    || repeat('long text ', 210) || 'RFP-' || k
+    || array_to_string(list_transform(range(1, 15), lambda i: ' ' || i || '/' || (k % 28 + 1) || '/2020'), '')"""
+_all_dates = r"""array_to_string(list_sort(list_distinct(list_concat(list_concat(
+    regexp_extract_all(t, '\d{1,2}/\d{1,2}/\d{2,4}'), regexp_extract_all(t, '\d{4}-\d{2}-\d{2}')),
+    regexp_extract_all(t, '(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4}')))), '|')"""
+_open = """CASE WHEN k % 11 = 0 THEN make_date(year(d), 12, 31) WHEN k % 4 < 3 THEN d END >= DATE '1996-06-01'"""
+_expect("opportunities_words", f"""SELECT {_COLUMNS}, is_open FROM (
+  SELECT entry, title, t AS description, 'RFP-' || k AS rfp_id, url, source_page, source_type, is_active,
+    CAST(email AS VARCHAR) AS email, CAST(phone AS VARCHAR) AS phone, ds AS dates,
+    regexp_replace(ds, '[^|]+', 'extracted_from_pdf', 'g') AS date_types, links,
+    CAST(NULL AS BIGINT) AS pdf_pages, TRUE AS is_open FROM (
+    SELECT *, {_all_dates} AS ds FROM (
+      SELECT r.*, {_long_text} AS t FROM document_rec r JOIN docs USING (k) WHERE link_no <= coalesce(r.mx, 5)))
+  UNION ALL SELECT entry, title, description, rfp_id, url, source_page, source_type, is_active, email, phone,
+    coalesce(s.dates, ''), coalesce(s.types, ''), links, pdf_pages, {_open}
+  FROM block_rec b JOIN (SELECT k, d FROM n) USING (k) LEFT JOIN (
+    SELECT k, string_agg(date, '|' ORDER BY pno, i) AS dates, string_agg(CASE
+        WHEN contains(lower(context), 'deadline') THEN 'deadline'
+        WHEN contains(lower(context), 'due date') THEN 'due date'
+        WHEN contains(lower(context), 'posted') THEN 'posted'
+        WHEN contains(lower(context), 'until') THEN 'until' ELSE 'unknown' END, '|' ORDER BY pno, i) AS types
+    FROM b3 WHERE NOT regexp_matches(date, '^[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}$') GROUP BY k) s USING (k)
+  WHERE NOT EXISTS (SELECT 1 FROM document_rec q WHERE q.link_no <= coalesce(q.mx, 5) AND q.entry = b.entry
+      AND contains(lower(q.title), lower(b.title))) AND NOT EXISTS (
+    SELECT 1 FROM block_rec q WHERE q.entry = b.entry AND q.k < b.k AND contains(lower(q.title), lower(b.title)))
+  UNION ALL SELECT entry, left(ptext, 200), ptext, CAST(NULL AS VARCHAR), url, page, CAST(NULL AS VARCHAR),
+    CAST(NULL AS BOOLEAN), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
+    CASE WHEN pd THEN coalesce(dates, '') ELSE '' END,
+    CASE WHEN pd THEN coalesce(regexp_replace(dates, '[^|]+', 'unlabelled', 'g'), '') ELSE '' END,
+    CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CASE WHEN pd THEN {_open} END FROM (
+    SELECT entry, k, d, page, title || ' ' || phrase || ' view' AS ptext,
+      host || '/notices/n/' || k || '.html' AS url, TRUE AS pd FROM n WHERE c % 5 = 0
+    UNION ALL SELECT entry, k, d, page, title || 'more' || phrase, host || '/p/' || k, TRUE FROM n WHERE c % 5 = 1
+    UNION ALL SELECT entry, k, d, page, title, host || '/notices/tender-' || k || '.html#' || k, FALSE
+      FROM n WHERE c % 5 = 4) LEFT JOIN pdated USING (k)) JOIN meta USING (entry)""")

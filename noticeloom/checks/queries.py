@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from noticeloom.functions import text as X
+from noticeloom.functions.vocab import Words
 from noticeloom.functions.urls import resolve_url
 from noticeloom.operators import choose, dedup, enrich, page_parts as P, records as R
 from noticeloom.operators import summaries as S
@@ -21,7 +22,7 @@ from noticeloom.plans import opportunities as O, reports
 from noticeloom.session import configure, scratch_dir, write_out
 from noticeloom.sources import order_notices as N, registry as REG
 from noticeloom.sources.tables import read_documents, read_pages, read_table
-from noticeloom.streaming import incremental as INC
+from noticeloom.streaming import changes as CH, incremental as INC, late_documents as LATE
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -534,8 +535,9 @@ def report_json(spark, sf):
 
 # Whole pipelines
 
-def _shown(opps: DataFrame) -> DataFrame:
+def _shown(opps: DataFrame, *more: str) -> DataFrame:
     return opps.select(
+        *more,
         "entry", "utility", "utility_id", "utility_type", "region", "title", "description",
         "rfp_id", "url", "source_page", "source_type", "is_active",
         F.col("contact.email").alias("email"), F.col("contact.phone").alias("phone"),
@@ -669,7 +671,7 @@ def open_notices(spark, sf):
     """Whether a notice's last date is still to come."""
     dates = X.dates_with_context(F.col("text"))
     return N.notices(spark, sf).select(
-        "key", INC.still_open(dates, F.lit("1996-06-01").cast("date")).alias("is_open"))
+        "key", X.still_open(dates, F.lit("1996-06-01").cast("date")).alias("is_open"))
 
 
 @query
@@ -705,3 +707,94 @@ def unseen_pages(spark, sf):
     pages = read_table(spark, f"{sf}/pages.parquet").select("page_id", "url")
     seen = pages.where("page_id % 3 = 0").select(INC.url_key(F.col("url")).alias("url_key"))
     return INC.unseen_pages(pages, seen).select("page_id", "url_key")
+
+
+@query
+def repeated_rows(spark, sf):
+    """Every page and every document twice; the same as once."""
+    pages, docs = N.listing_pages(spark, sf), N.linked_documents(spark, sf)
+    return _shown(O.opportunities(
+        N.paged_registry(spark, sf), pages.unionByName(pages), docs.unionByName(docs)))
+
+
+#: No limit, whole words and whole dates.
+ALL = Words(description_chars=None, document_id_chars=None, document_dates=None,
+            document_description_chars=None, fallback_links=None, whole_words=True, strict_dates=True)
+
+
+@query
+def opportunities_words(spark, sf):
+    """Long documents without limits, whole words, whole dates, and whether a notice is still open."""
+    docs = N.linked_documents(spark, sf).withColumn("key", F.regexp_extract("url", r"(\d+)\.pdf$", 1).cast("long"))
+    texts = N.long_documents(spark, sf).withColumnRenamed("text", "long_text")
+    docs = docs.where("text IS NOT NULL").join(texts, "key").withColumn(
+        "text", F.concat("text", F.lit("\n"), "long_text"))
+    found = O.opportunities(N.paged_registry(spark, sf), N.listing_pages(spark, sf), docs,
+                            "1996-06-01T00:00:00", words=ALL)
+    return _shown(found, "is_open")
+
+
+# Streams
+
+_DAY = timedelta(days=1)
+
+
+def _run_notices(spark, sf, r: int):
+    """The notices of run ``r``: a tenth is missing, a quarter moves with the third run."""
+    moved = F.lit("?moved" if r >= 3 else "")
+    return N.notices(spark, sf).where((F.col("key") + r) % 10 != 3).select(
+        F.lit(f"2026-01-{r:02d}").cast("timestamp").alias("run_ts"), "utility_id",
+        F.col("key").alias("seq"), F.expr("if(key % 6 = 0, null, title)").alias("title"),
+        F.concat(F.lit("https://n.example.com/"), F.col("key") % 5,
+                 F.when(F.col("key") % 4 == 1, moved).otherwise("")).alias("url"))
+
+
+@query
+def stream_changes(spark, sf):
+    """Four runs in two files each; one file lands after those of the next run, one lands twice."""
+    run = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = _run_notices(spark, sf, 1).schema.simpleString().removeprefix("struct<").removesuffix(">")
+    for r, half in ((1, 0), (1, 1), (2, 0), (3, 0), (2, 1), (3, 1), (3, 1), (4, 0), (4, 1)):
+        _run_notices(spark, sf, r).where(F.col("seq") % 2 == half).coalesce(1) \
+            .write.mode("append").parquet(f"{run}/in")
+    # An empty run a day and a half later says that the fourth run is complete.
+    spark.sql("select timestamp'2026-01-05 12:00:00' as run_ts").withColumns({
+        "utility_id": F.lit(None).cast("string"), "seq": F.lit(0).cast("bigint"),
+        "title": F.lit(None).cast("string"), "url": F.lit(None).cast("string")}) \
+        .write.mode("append").parquet(f"{run}/in")
+    return CH.follow_runs(
+        spark, f"{run}/in", schema.replace(":", " ").replace(",", ", "), f"{run}/out", f"{run}/progress",
+        every=_DAY, late=1.5 * _DAY, files_per_batch=2).withColumn("run_ts", F.col("run_ts").cast("date"))
+
+
+@query
+def documents_incremental(spark, sf):
+    """Pages and documents that land over days, documents up to two days around their page."""
+    run = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def day(n):
+        return F.timestamp_add("DAY", n, F.lit("2026-01-05").cast("timestamp"))
+
+    pages = write_out(N.listing_pages(spark, sf).select("url", "html", day(F.col("cust") % 2).alias("landed")),
+                      "pages")
+    docs = write_out(N.linked_documents(spark, sf).withColumn("n", F.regexp_extract("url", r"(\d+)\.pdf$", 1))
+                     .withColumn("c", F.regexp_extract("url", r"//u(\d+)", 1).cast("long"))
+                     .select("url", "text", "metadata",
+                             day(F.col("c") % 2 + F.col("n") % 4 - 1).alias("landed")), "documents")
+    end = F.lit("2026-02-01").cast("timestamp")
+    for n in (4, 5, 6, 7, 8):
+        landed = F.to_date("landed") == F.lit(f"2026-01-{n:02d}").cast("date")
+        docs.where(landed).coalesce(1).write.mode("append").parquet(f"{run}/documents")
+        pages.where(landed).coalesce(1).write.mode("append").parquet(f"{run}/pages")
+        if n == 6:  # a file that lands twice
+            docs.where(landed).coalesce(1).write.mode("append").parquet(f"{run}/documents")
+    # The last stamps, so that what never came is known.
+    pages.limit(1).withColumns({"url": F.lit("none"), "landed": end}).write.mode("append").parquet(f"{run}/pages")
+    docs.limit(1).withColumns({"url": F.lit("none"), "text": F.lit(""), "landed": end}) \
+        .write.mode("append").parquet(f"{run}/documents")
+    registry = write_out(N.paged_registry(spark, sf), "registry")
+    records, missing = LATE.follow_documents(
+        spark, f"{run}/pages", f"{run}/documents", registry, f"{run}/out", f"{run}/progress",
+        wait=3 * _DAY, late=2 * _DAY, files_per_batch=3)
+    shown = _shown(enrich.with_metadata(records, registry))
+    return shown.withColumn("n_missing", F.lit(missing.count()))

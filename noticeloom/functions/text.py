@@ -33,8 +33,10 @@ def contains_any(col: Column, words: Sequence[str], whole: bool = False) -> Colu
     return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
 
 
-def holds_any(value: Column, words: Sequence[str]) -> Column:
+def holds_any(value: Column, words: Sequence[str], whole: bool = False) -> Column:
     """``contains_any`` for a computed value inside a lambda: computed once, not once per word."""
+    if whole:
+        return contains_any(value, words, whole)
     return let(F.lower(value), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in words]))
 
 
@@ -185,6 +187,11 @@ def date_value(date: Column) -> Column:
     return F.coalesce(*tries)
 
 
+def still_open(dates: Column, day: Column) -> Column:
+    """Whether the latest readable date is not before the day; NULL without one."""
+    return F.array_max(F.transform(dates, lambda d: date_value(d["date"]))) >= day
+
+
 # Ids, contacts, status
 
 def _id_patterns(prefixes: Sequence[str]) -> list[str]:
@@ -195,10 +202,11 @@ def notice_id(col: Column, prefixes: Sequence[str] = V.ID_PREFIXES) -> Column:
     return first_match(col, _id_patterns(prefixes))
 
 
-def document_id(col: Column, chars: int | None = V.DOCUMENT_ID_CHARS) -> Column:
+def document_id(col: Column, chars: int | None = V.DOCUMENT_ID_CHARS,
+                prefixes: Sequence[str] = V.DOCUMENT_ID_PREFIXES) -> Column:
     """As ``notice_id`` without ``Bid``, and only in the first ``chars`` of the document (None: all)."""
     opening = col if chars is None else F.substring(col, 1, chars)
-    return first_match(opening, _id_patterns(V.DOCUMENT_ID_PREFIXES))
+    return first_match(opening, _id_patterns(prefixes))
 
 
 def email(col: Column) -> Column:
@@ -235,13 +243,14 @@ def first_line(col: Column) -> Column:
     return F.substring_index(col, "\n", 1)
 
 
-def document_title(meta_title: Column, link_text: Column, text: Column) -> Column:
+def document_title(meta_title: Column, link_text: Column, text: Column,
+                   chars: int | None = V.TITLE_CHARS) -> Column:
     """Metadata title, else link text, else the first line, else a fixed title.
 
     The literal ``Untitled`` counts as no title and goes straight to the first line.
     """
     named = F.coalesce(F.when(meta_title != "", meta_title), link_text)
-    opening = F.left(first_line(text), F.lit(V.TITLE_CHARS))
+    opening = first_line(text) if chars is None else F.left(first_line(text), F.lit(chars))
     return F.coalesce(
         F.when((named != "") & (named != "Untitled"), named),
         F.when(opening != "", opening),

@@ -80,7 +80,11 @@ DEFAULT_DOCUMENT_TITLE = "PDF RFP Document"
 
 @dataclass(frozen=True)
 class Words:
-    """The words and limits of a run; None is no limit."""
+    """The words, limits and switches of a run; None is no limit.
+
+    ``whole_words``: every word of a list counts as a whole word only, so ``forbidden`` does not
+    hold ``bid``. ``strict_dates``: whole dates only, so an ISO date is found once.
+    """
 
     indicator: tuple[str, ...] = NOTICE_INDICATORS
     table: tuple[str, ...] = TABLE_INDICATORS
@@ -93,6 +97,16 @@ class Words:
     id_prefix: tuple[str, ...] = ID_PREFIXES
     fallback_links: int | None = FALLBACK_LINKS
     description_chars: int | None = DESCRIPTION_CHARS
+    title_chars: int | None = TITLE_CHARS
+    document_id_prefix: tuple[str, ...] = DOCUMENT_ID_PREFIXES
+    document_id_chars: int | None = DOCUMENT_ID_CHARS
+    document_dates: int | None = DOCUMENT_DATES_PER_PATTERN
+    document_description_chars: int | None = DESCRIPTION_CHARS
+    document_title_chars: int | None = TITLE_CHARS
+    max_documents: int = DEFAULT_MAX_DOCUMENTS
+    max_documents_strict: int = DEFAULT_MAX_DOCUMENTS_STRICT
+    whole_words: bool = False
+    strict_dates: bool = False
 
 
 DEFAULT_WORDS = Words()

@@ -38,7 +38,7 @@ def _first_href(nodes: Column) -> Column:
     return F.get(hit, 0)["href"]
 
 
-def rows_array(words: Sequence[str] = V.ROW_WORDS) -> Column:
+def rows_array(words: Sequence[str] = V.ROW_WORDS, whole: bool = False) -> Column:
     """Rows with two or more cells and a listing word; a nested table's rows come once per table."""
     def row(tr: Column) -> Column:
         return let(
@@ -53,23 +53,24 @@ def rows_array(words: Sequence[str] = V.ROW_WORDS) -> Column:
     found = F.flatten(F.transform(
         tagged(F.col("nodes"), "table"),
         lambda table: F.transform(tagged(below(table), "tr"), row)))
-    return F.filter(found, lambda r: (r["n_cells"] >= 2) & holds_any(r["text"], words))
+    return F.filter(found, lambda r: (r["n_cells"] >= 2) & holds_any(r["text"], words, whole))
 
 
-def items_array(words: Sequence[str] = V.ROW_WORDS) -> Column:
+def items_array(words: Sequence[str] = V.ROW_WORDS, whole: bool = False) -> Column:
     """List items with a listing word; a nested list's items come once per list."""
     found = F.flatten(F.transform(
         tagged(F.col("nodes"), "ul", "ol"),
         lambda lst: F.transform(
             tagged(below(lst), "li"),
             lambda li: F.struct(glued(li).alias("text"), _first_href(below(li)).alias("href")))))
-    return F.filter(found, lambda r: holds_any(r["text"], words))
+    return F.filter(found, lambda r: holds_any(r["text"], words, whole))
 
 
-def is_relevant(link: Column, base: Column, words: Sequence[str] = V.LINK_WORDS) -> Column:
+def is_relevant(link: Column, base: Column, words: Sequence[str] = V.LINK_WORDS,
+                whole: bool = False) -> Column:
     """A word in the text or the resolved address; the address is resolved only when it decides."""
-    return F.when(holds_any(link["text"], words), F.lit(True)) \
-        .otherwise(holds_any(resolve_url(base, link["href"]), words))
+    return F.when(holds_any(link["text"], words, whole), F.lit(True)) \
+        .otherwise(holds_any(resolve_url(base, link["href"]), words, whole))
 
 
 def is_document(href: Column) -> Column:
@@ -83,7 +84,7 @@ def is_document_strict(href: Column) -> Column:
 
 # Blocks
 
-def _after_header(words: Sequence[str]) -> Column:
+def _after_header(words: Sequence[str], whole: bool) -> Column:
     """The element after each matching header, unless it is a header of the same or a higher level."""
     def sibling(h: Column) -> Column:
         return F.get(F.col("nodes"), h["end"])
@@ -91,7 +92,7 @@ def _after_header(words: Sequence[str]) -> Column:
     def level(n: Column) -> Column:
         return F.substring(n["tag"], 2, 1)
 
-    hits = F.filter(tagged(F.col("nodes"), *HEADERS), lambda h: holds_any(glued(h), words))
+    hits = F.filter(tagged(F.col("nodes"), *HEADERS), lambda h: holds_any(glued(h), words, whole))
     kept = F.filter(
         hits,
         lambda h: F.coalesce(
@@ -102,19 +103,19 @@ def _after_header(words: Sequence[str]) -> Column:
     return F.transform(kept, lambda h: F.struct(F.lit(1).alias("strategy"), sibling(h).alias("node")))
 
 
-def _by_class(words: Sequence[str]) -> Column:
+def _by_class(words: Sequence[str], whole: bool) -> Column:
     """Containers with a class attribute whose class or id holds a word."""
     hits = F.filter(
         F.col("nodes"),
         lambda n: n["tag"].isin("div", "section", "article") & n["cls"].isNotNull()
-        & (holds_any(n["cls"], words)
-           | F.coalesce(holds_any(n["id"], words), F.lit(False))),
+        & (holds_any(n["cls"], words, whole)
+           | F.coalesce(holds_any(n["id"], words, whole), F.lit(False))),
     )
     return F.transform(hits, lambda n: F.struct(F.lit(2).alias("strategy"), n.alias("node")))
 
 
-def _by_table(words: Sequence[str]) -> Column:
-    hits = F.filter(tagged(F.col("nodes"), "table"), lambda t: holds_any(glued(t), words))
+def _by_table(words: Sequence[str], whole: bool) -> Column:
+    hits = F.filter(tagged(F.col("nodes"), "table"), lambda t: holds_any(glued(t), words, whole))
     return F.transform(hits, lambda n: F.struct(F.lit(3).alias("strategy"), n.alias("node")))
 
 
@@ -137,12 +138,13 @@ def blocks_array(
     container_words: Sequence[str] = V.CONTAINER_WORDS,
     table_indicators: Sequence[str] = V.TABLE_INDICATORS,
     strategies: Sequence[int] = (1, 2, 3),
+    whole: bool = False,
 ) -> Column:
     """Candidate blocks: after headers, then by class, then tables. A node may come twice."""
     found = {
-        1: lambda: _after_header(indicators),
-        2: lambda: _by_class(container_words),
-        3: lambda: _by_table(table_indicators),
+        1: lambda: _after_header(indicators, whole),
+        2: lambda: _by_class(container_words, whole),
+        3: lambda: _by_table(table_indicators, whole),
     }
     blocks = F.concat(*[found[s]() for s in strategies])
     return F.transform(

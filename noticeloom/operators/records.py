@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from noticeloom.functions import text as X, vocab as V
@@ -16,6 +18,10 @@ def _seq(source: str, position: Column) -> Column:
     return F.lit(_RANK[source] << 32) + position.cast("bigint")
 
 
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.left(text, F.lit(chars))
+
+
 def with_block_facts(parts: DataFrame, is_block: Column, words: V.Words = V.DEFAULT_WORDS) -> DataFrame:
     """Facts of each block: description, id, dates, contact, status.
 
@@ -26,13 +32,14 @@ def with_block_facts(parts: DataFrame, is_block: Column, words: V.Words = V.DEFA
     return (
         parts.where(~is_block | (F.col("title") != ""))
         .withColumn("block_text", text)
-        .withColumn("dates", F.when(is_block, X.dates_with_context(F.col("block_text"), words.date_label)))
-        .withColumn("description", F.col("block_text") if words.description_chars is None
-                    else F.left("block_text", F.lit(words.description_chars)))
+        .withColumn("dates", F.when(is_block, X.dates_with_context(
+            F.col("block_text"), words.date_label, words.strict_dates)))
+        .withColumn("description", _cut(F.col("block_text"), words.description_chars))
         .withColumn("rfp_id", X.notice_id(F.col("block_text"), words.id_prefix))
         .withColumn("contact", F.when(is_block, X.contact(F.col("block_text"))))
         .withColumn("is_active", F.when(
-            is_block, X.is_active(F.col("block_text"), F.col("dates"), words.closed, words.open)))
+            is_block, X.is_active(F.col("block_text"), F.col("dates"), words.closed, words.open,
+                                  words.whole_words)))
         .withColumn("text", F.when(~is_block, F.col("text")))
         .drop("block_text")
     )
@@ -64,20 +71,24 @@ def with_document_facts(documents: DataFrame) -> DataFrame:
     )
 
 
-def compact_documents(documents: DataFrame) -> DataFrame:
-    """What a record keeps of a document: a few hundred characters instead of the text."""
+def compact_documents(documents: DataFrame, words: V.Words = V.DEFAULT_WORDS,
+                      keep: Sequence[str] = ()) -> DataFrame:
+    """What a record keeps of a document: a few hundred characters instead of the text, and
+    the columns ``keep``."""
     t = F.col("text")
     return documents.where(t.isNotNull()).select(
         F.col("url").alias("document_url"),
         "metadata",
-        F.left(t, F.lit(V.DESCRIPTION_CHARS)).alias("description"),
-        F.left(X.first_line(t), F.lit(V.TITLE_CHARS)).alias("opening"),
-        X.document_dates(t).alias("dates"),
-        X.document_id(t).alias("rfp_id"),
+        _cut(t, words.document_description_chars).alias("description"),
+        _cut(X.first_line(t), words.document_title_chars).alias("opening"),
+        X.document_dates(t, words.document_dates).alias("dates"),
+        X.document_id(t, words.document_id_chars, words.document_id_prefix).alias("rfp_id"),
+        *keep,
     )
 
 
-def document_records(linked: DataFrame, strict: bool = False) -> DataFrame:
+def document_records(linked: DataFrame, strict: bool = False,
+                     words: V.Words = V.DEFAULT_WORDS) -> DataFrame:
     """Linked documents as records.
 
     ``strict`` is the documents-only variant: its title is the metadata title or
@@ -88,7 +99,8 @@ def document_records(linked: DataFrame, strict: bool = False) -> DataFrame:
         "entry",
         _seq("document", F.col("link_no")).alias("seq"),
         (F.coalesce(F.when(meta_title != "", meta_title), F.col("link_text")) if strict
-         else X.document_title(meta_title, F.col("link_text"), F.col("opening"))).alias("title"),
+         else X.document_title(meta_title, F.col("link_text"), F.col("opening"),
+                               words.document_title_chars)).alias("title"),
         "description",
         "rfp_id",
         F.col("document_url").alias("url"),
@@ -102,13 +114,14 @@ def document_records(linked: DataFrame, strict: bool = False) -> DataFrame:
     return as_records(rows)
 
 
-def fallback_records(parts: DataFrame) -> DataFrame:
+def fallback_records(parts: DataFrame, words: V.Words = V.DEFAULT_WORDS) -> DataFrame:
     """Rows, items or links as records; ``tier`` says which (1, 2, 3)."""
     is_link = F.col("tier") == 3
     rows = parts.select(
         "entry",
         _seq("fallback", F.col("pos")).alias("seq"),
-        F.when(is_link, F.col("text")).otherwise(F.left("text", F.lit(V.TITLE_CHARS))).alias("title"),
+        F.when(is_link, F.col("text")).otherwise(
+            _cut(F.col("text"), words.title_chars)).alias("title"),
         F.col("text").alias("description"),
         F.when(F.col("href").isNull(), F.col("url"))
         .otherwise(resolve_url(F.col("url"), F.col("href"))).alias("url"),

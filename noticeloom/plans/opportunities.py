@@ -6,8 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from noticeloom.functions import vocab as V
-from noticeloom.functions.text import let
+from noticeloom.functions.text import let, still_open
 from noticeloom.functions.urls import resolve_url
 from noticeloom.functions.vocab import DEFAULT_WORDS, Words
 from noticeloom.operators import enrich, page_parts as P, records as R
@@ -46,10 +45,11 @@ def _fallback(words: Words) -> Column:
         return F.transform(parts, lambda p: F.struct(
             F.lit(n).alias("tier"), p["text"].alias("text"), p["href"].alias("href")))
 
-    links = F.filter("links", lambda a: P.is_relevant(a, F.col("url"), words.link))
+    links = F.filter("links", lambda a: P.is_relevant(
+        a, F.col("url"), words.link, words.whole_words))
     relevant = links if words.fallback_links is None else F.slice(links, 1, words.fallback_links)
-    return let(P.rows_array(words.row), lambda rows: F.when(F.size(rows) > 0, tier(1, rows)).otherwise(
-        let(P.items_array(words.row), lambda items: F.when(F.size(items) > 0, tier(2, items))
+    return let(P.rows_array(words.row, words.whole_words), lambda rows: F.when(F.size(rows) > 0, tier(1, rows)).otherwise(
+        let(P.items_array(words.row, words.whole_words), lambda items: F.when(F.size(items) > 0, tier(2, items))
             .otherwise(tier(3, relevant)))))
 
 
@@ -68,7 +68,8 @@ def page_arrays(
     found = parse_pages(pages.select("url", "html")).select(
         "url", "nodes", "segs",
         F.coalesce("parse_error", F.when(F.col("nodes").isNull(), "no html")).alias("parse_error"),
-        *([P.blocks_array(words.indicator, words.container, words.table).alias("blocks")] if blocks else []),
+        *([P.blocks_array(words.indicator, words.container, words.table, whole=words.whole_words)
+           .alias("blocks")] if blocks else []),
         P.anchors(F.col("nodes")).alias("links"),
     )
     tests = {"any": P.is_document, "strict": P.is_document_strict}
@@ -139,7 +140,22 @@ def page_parts(registry: DataFrame, pages: DataFrame, active_only: bool = True,
     )
     if options.get("blocks", True):
         flat = R.with_block_facts(flat, F.col("kind") == "block", words)
-    return write_out(flat, "parts", by="kind")
+    return _once(write_out(flat, "parts", by="kind"))
+
+
+def _once(parts: DataFrame) -> DataFrame:
+    """Parts of pages that were there more than once, equal in every respect, once.
+
+    Every row that was parsed left one part of kind "page", so these few columns tell; where no page
+    is repeated, nothing moves.
+    """
+    again = write_out(
+        parts.where("kind = 'page'").groupBy("url").count().where("count > 1").select("url"), "again")
+    if again.isEmpty():
+        return parts
+    rest = parts.join(again, "url", "left_anti")
+    one = parts.join(again, "url", "left_semi").dropDuplicates(["url", "kind", "pos"])
+    return write_out(rest.unionByName(one), "parts", by="kind")
 
 
 def _of_entries(parts: DataFrame, registry: DataFrame, kind: str, active_only: bool) -> DataFrame:
@@ -158,14 +174,15 @@ def _blocks(parts: DataFrame, registry: DataFrame, active_only: bool) -> DataFra
     return R.block_records(_of_entries(firsts, registry, "block", active_only))
 
 
-def _fallback_of(parts: DataFrame, registry: DataFrame, active_only: bool, needed: bool) -> DataFrame:
+def _fallback_of(parts: DataFrame, registry: DataFrame, active_only: bool, needed: bool,
+                 words: Words) -> DataFrame:
     rows = _of_entries(parts, registry, "fallback", active_only)
-    return R.fallback_records(rows.where("bare") if needed else rows)
+    return R.fallback_records(rows.where("bare") if needed else rows, words)
 
 
 def _documents(parts: DataFrame, registry: DataFrame, documents: DataFrame, active_only: bool,
-               strict: bool) -> DataFrame:
-    default = V.DEFAULT_MAX_DOCUMENTS_STRICT if strict else V.DEFAULT_MAX_DOCUMENTS
+               strict: bool, words: Words) -> DataFrame:
+    default = words.max_documents_strict if strict else words.max_documents
     most = F.coalesce("max_pdfs_to_extract", F.lit(default))
     if strict:  # a limit below zero counts from the end; elsewhere it means none
         most = F.when(most < 0, F.col("of") + most).otherwise(most)
@@ -177,45 +194,52 @@ def _documents(parts: DataFrame, registry: DataFrame, documents: DataFrame, acti
     )
     wanted = links.select(F.col("document_url").alias("url")).distinct()
     fetched = latest(documents.join(wanted, "url", "left_semi"), body="text")
-    linked = enrich.link_documents(links, R.compact_documents(fetched))
-    return R.document_records(linked, strict)
+    # Equal rows of one address are one document. Written, so that both sides of the join are plain
+    # exchanges, of which Spark splits a hot one.
+    one = write_out(R.compact_documents(fetched, words).dropDuplicates(["document_url"]), "documents")
+    return R.document_records(enrich.link_documents(links, one), strict, words)
 
 
 def _finish(records: DataFrame, registry: DataFrame, run_ts: str | None) -> DataFrame:
-    out = enrich.with_metadata(records, registry)
-    return out.withColumn("scraped_at", F.lit(run_ts).cast("timestamp"))
+    """With the issuer, the time of the run, and ``is_open``: whether the latest readable date is not
+    before the day of the run (NULL without a date or a time)."""
+    now = F.lit(run_ts).cast("timestamp")
+    return enrich.with_metadata(records, registry).withColumns({
+        "scraped_at": now, "is_open": still_open(F.col("dates"), now.cast("date"))})
 
 
 def base_from(parts: DataFrame, registry: DataFrame, run_ts: str | None = None,
-              active_only: bool = True) -> DataFrame:
+              active_only: bool = True, words: Words = DEFAULT_WORDS) -> DataFrame:
     """Rows, else items, else links of each entry's page; parts with fallback "always"."""
-    return _finish(_fallback_of(parts, registry, active_only, needed=False), registry, run_ts)
+    return _finish(_fallback_of(parts, registry, active_only, False, words), registry, run_ts)
 
 
 def enhanced_from(parts: DataFrame, registry: DataFrame, run_ts: str | None = None,
-                  active_only: bool = True) -> DataFrame:
+                  active_only: bool = True, words: Words = DEFAULT_WORDS) -> DataFrame:
     """Blocks of each entry's page; the base records where it has none."""
     found = _blocks(parts, registry, active_only).unionByName(
-        _fallback_of(parts, registry, active_only, needed=True))
+        _fallback_of(parts, registry, active_only, True, words))
     return _finish(found, registry, run_ts)
 
 
 def documents_from(parts: DataFrame, registry: DataFrame, documents: DataFrame,
-                   run_ts: str | None = None, active_only: bool = True) -> DataFrame:
+                   run_ts: str | None = None, active_only: bool = True,
+                   words: Words = DEFAULT_WORDS) -> DataFrame:
     """Documents only; parts with the "strict" document links."""
-    return _finish(_documents(parts, registry, documents, active_only, strict=True), registry, run_ts)
+    return _finish(_documents(parts, registry, documents, active_only, True, words), registry, run_ts)
 
 
 def opportunities_from(parts: DataFrame, registry: DataFrame, documents: DataFrame,
-                       run_ts: str | None = None, active_only: bool = True) -> DataFrame:
+                       run_ts: str | None = None, active_only: bool = True,
+                       words: Words = DEFAULT_WORDS) -> DataFrame:
     """Documents, then blocks not already named by one, else the base records; parts with "any" links."""
     blocks = _blocks(parts, registry, active_only).withColumn("source_type", F.lit("html"))
     found = write_out(
-        _documents(parts, registry, documents, active_only, strict=False).unionByName(blocks), "found")
+        _documents(parts, registry, documents, active_only, False, words).unionByName(blocks), "found")
     kept = drop_contained(found, ["entry"], droppable=F.col("source_type") == "html")
     # An entry whose every title is contained still keeps its first, so "nothing
     # kept" is "nothing found".
-    rest = _fallback_of(parts, registry, active_only, needed=True).join(
+    rest = _fallback_of(parts, registry, active_only, True, words).join(
         found.select("entry").distinct(), "entry", "left_anti")
     return _finish(kept.unionByName(rest), registry, run_ts)
 
@@ -226,7 +250,7 @@ def base_opportunities(
 ) -> DataFrame:
     """Rows, else items, else links of each entry's page."""
     parts = page_parts(registry, pages, active_only, words, blocks=False)
-    return base_from(parts, registry, run_ts, active_only)
+    return base_from(parts, registry, run_ts, active_only, words)
 
 
 def enhanced_opportunities(
@@ -234,7 +258,8 @@ def enhanced_opportunities(
     words: Words = DEFAULT_WORDS,
 ) -> DataFrame:
     """Blocks of each entry's page; the base records where it has none."""
-    return enhanced_from(page_parts(registry, pages, active_only, words), registry, run_ts, active_only)
+    return enhanced_from(page_parts(registry, pages, active_only, words), registry, run_ts, active_only,
+                         words)
 
 
 def opportunities(
@@ -250,7 +275,7 @@ def opportunities(
     ``documents`` is ``(url, text, metadata)``.
     """
     parts = page_parts(registry, pages, active_only, words, documents=("any",))
-    return opportunities_from(parts, registry, documents, run_ts, active_only)
+    return opportunities_from(parts, registry, documents, run_ts, active_only, words)
 
 
 def document_opportunities(
@@ -259,10 +284,11 @@ def document_opportunities(
     documents: DataFrame,
     run_ts: str | None = None,
     active_only: bool = True,
+    words: Words = DEFAULT_WORDS,
 ) -> DataFrame:
     """Documents only, for issuers who publish that way."""
-    parts = page_parts(registry, pages, active_only, blocks=False, documents=("strict",), fallback=None)
-    return documents_from(parts, registry, documents, run_ts, active_only)
+    parts = page_parts(registry, pages, active_only, words, blocks=False, documents=("strict",), fallback=None)
+    return documents_from(parts, registry, documents, run_ts, active_only, words)
 
 
 Extractor = Callable[[DataFrame, DataFrame], DataFrame]
