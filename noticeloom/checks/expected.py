@@ -620,3 +620,32 @@ _expect("opportunities_words", f"""SELECT {_COLUMNS}, is_open FROM (
     UNION ALL SELECT entry, k, d, page, title || 'more' || phrase, host || '/p/' || k, TRUE FROM n WHERE c % 5 = 1
     UNION ALL SELECT entry, k, d, page, title, host || '/notices/tender-' || k || '.html#' || k, FALSE
       FROM n WHERE c % 5 = 4) LEFT JOIN pdated USING (k)) JOIN meta USING (entry)""")
+
+_listed = """SELECT DISTINCT 'u' || c AS utility_id, lower(title) AS norm_title, r
+  FROM n, (SELECT unnest(range(1, 7)) AS r) WHERE (k + r) % 3 <> 0 OR k % 4 = 0"""
+_expect("notice_periods", f"""SELECT utility_id, norm_title,
+    row_number() OVER (PARTITION BY utility_id, norm_title ORDER BY a) AS period,
+    DATE '2026-01-01' + CAST(7 * a AS INTEGER) AS first_seen, DATE '2026-01-01' + CAST(7 * b AS INTEGER) AS last_seen,
+    CASE WHEN b < 6 THEN DATE '2026-01-01' + CAST(7 * (b + 1) AS INTEGER) END AS closed, n_runs FROM (
+  SELECT utility_id, norm_title, min(r) AS a, max(r) AS b, count(*) AS n_runs FROM (
+    SELECT *, r - row_number() OVER (PARTITION BY utility_id, norm_title ORDER BY r) AS island FROM ({_listed}))
+  GROUP BY utility_id, norm_title, island)""")
+_ranges = """SELECT k, c, 0 AS pos, d AS start, d + CAST(k % 40 - 3 AS INTEGER) AS "end", CASE k % 5
+    WHEN 0 THEN strftime(d, '%-m/%-d/%Y') || ' to ' || strftime(d + CAST(k % 40 - 3 AS INTEGER), '%-m/%-d/%Y')
+    WHEN 1 THEN strftime(d, '%Y-%m-%d') || ' - ' || strftime(d + CAST(k % 40 - 3 AS INTEGER), '%Y-%m-%d')
+    WHEN 2 THEN strftime(d, '%b %-d, %Y') || ' and ' || strftime(d + CAST(k % 40 - 3 AS INTEGER), '%b %-d, %Y')
+    ELSE strftime(d, '%B %-d, %Y') || ' through ' || strftime(d + CAST(k % 40 - 3 AS INTEGER), '%-m/%-d/%Y') END AS raw
+  FROM n WHERE k % 5 <> 4 AND k % 40 >= 3"""
+_expect("date_ranges", f"SELECT k AS key, pos, start, \"end\", raw FROM ({_ranges})")
+_expect("open_by_day", f"""SELECT layout, day, CAST(sum(delta) OVER (PARTITION BY layout ORDER BY day) AS BIGINT) AS n_open
+  FROM (SELECT layout, day, sum(delta) AS delta FROM (
+    SELECT c % 5 AS layout, start AS day, 1 AS delta FROM ({_ranges})
+    UNION ALL SELECT c % 5, "end" + 1, -1 FROM ({_ranges})) GROUP BY layout, day) QUALIFY delta <> 0""")
+_typos = """(SELECT layout, lower(trim(x)) AS t, min(k) AS s FROM (
+  SELECT k, c % 5 AS layout, CASE k % 4 WHEN 1 THEN left(w, k % 13) || 'x' || substr(w, k % 13 + 1)
+    WHEN 2 THEN left(w, k % 11) || substr(w, k % 11 + 2)
+    WHEN 3 THEN left(w, k % 17) || 'q' || substr(w, k % 17 + 2) ELSE w END AS x
+  FROM (SELECT *, 'Renewal of lot ' || (k // 40) || ' ' || title AS w FROM n)) GROUP BY ALL)"""
+_expect("misspelt_titles", f"""SELECT a.layout, a.s AS first, b.s AS second, levenshtein(a.t, b.t) AS distance
+  FROM {_typos} a JOIN {_typos} b ON a.layout = b.layout AND a.s < b.s AND abs(length(a.t) - length(b.t)) <= 2
+  WHERE levenshtein(a.t, b.t) <= 2""")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from noticeloom.functions import text as X
 from noticeloom.functions.vocab import Words
 from noticeloom.functions.urls import resolve_url
-from noticeloom.operators import choose, dedup, enrich, page_parts as P, records as R
+from noticeloom.operators import choose, dedup, enrich, misspelt, page_parts as P, periods, records as R
 from noticeloom.operators import summaries as S
 from noticeloom.operators.nodes import glued, parse_pages
 from noticeloom.plans import opportunities as O, reports
@@ -734,6 +734,54 @@ def opportunities_words(spark, sf):
     return _shown(found, "is_open")
 
 
+@query
+def notice_periods(spark, sf):
+    """Six runs: some notices are always there, some come, go and come back."""
+    runs = F.explode(F.sequence(F.lit(1), F.lit(6))).alias("r")
+    listed = N.notices(spark, sf).select("utility_id", "key", "title", runs).where(
+        "(key + r) % 3 <> 0 OR key % 4 = 0").withColumn(
+        "run_date", F.date_add(F.lit("2026-01-01").cast("date"), F.col("r") * 7))
+    return periods.notice_periods(write_out(listed.select("utility_id", "title", "run_date"), "history"))
+
+
+def _ranged(spark, sf):
+    """Texts with a range of days in one of five forms: key, layout, text."""
+    return N.notices(spark, sf).withColumn("last", F.expr("date_add(day, int(key % 40) - 3)")).select(
+        "key", F.expr("cust % 5").alias("layout"), F.expr("""concat(title, ' ', case key % 5
+            when 0 then concat('from ', date_format(day, 'M/d/yyyy'), ' to ', date_format(last, 'M/d/yyyy'))
+            when 1 then concat(date_format(day, 'yyyy-MM-dd'), ' - ', date_format(last, 'yyyy-MM-dd'))
+            when 2 then concat('between ', date_format(day, 'MMM d, yyyy'), ' and ',
+                               date_format(last, 'MMM d, yyyy'), ', 13/40/2020 to 1/1/2021')
+            when 3 then concat(date_format(day, 'MMMM d, yyyy'), ' through ', date_format(last, 'M/d/yyyy'),
+                               ' until ', date_format(last, 'yyyy-MM-dd'))
+            else concat('on ', date_format(day, 'M/d/yyyy'), ' or ', date_format(last, 'M/d/yyyy')) end,
+            ' ', phrase)""").alias("text"))
+
+
+@query
+def date_ranges(spark, sf):
+    found = _ranged(spark, sf).select("key", F.posexplode_outer(X.date_ranges(F.col("text"))).alias("pos", "r"))
+    return found.where("pos is not null").select("key", _long("pos"), "r.start", "r.end", "r.raw")
+
+
+@query
+def open_by_day(spark, sf):
+    spans = _ranged(spark, sf).select("layout", F.inline(X.date_ranges(F.col("text"))))
+    return periods.open_by_day(spans, ["layout"])
+
+
+@query
+def misspelt_titles(spark, sf):
+    """Titles with a letter changed, taken out or put in."""
+    rows = N.notices(spark, sf).select("key", F.expr("cust % 5").alias("layout"), F.concat(
+        F.lit("Renewal of lot "), F.expr("key div 40"), F.lit(" "), F.col("title")).alias("title"))
+    typo = F.expr("""case key % 4 when 1 then concat(left(title, key % 13), 'x', substring(title, key % 13 + 1))
+        when 2 then concat(left(title, key % 11), substring(title, key % 11 + 2))
+        when 3 then concat(left(title, key % 17), 'q', substring(title, key % 17 + 2)) else title end""")
+    return misspelt.misspelt_titles(rows.withColumn("title", typo), ["layout"], seq="key", hot=20).withColumn(
+        "distance", _long("distance"))
+
+
 # Streams
 
 _DAY = timedelta(days=1)

@@ -187,6 +187,19 @@ def date_value(date: Column) -> Column:
     return F.coalesce(*tries)
 
 
+_ANY_DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|" + V.MONTH_DATE + ")"
+_RANGE = rf"(?iU)(?<!\d)({_ANY_DATE})\s*(?:-|\x{{2013}}|\b(?:to|and|until|till|through|thru)\b)\s*({_ANY_DATE})(?!\d)"
+
+
+def date_ranges(col: Column) -> Column:
+    """``array<struct<start, end, raw>>``: two dates joined by a dash or a word like ``to``, as days, in
+    the order of the text. A range whose days cannot be read, or that ends before it starts, is left out."""
+    starts, ends, raws = (F.regexp_extract_all(col, F.lit(_RANGE), F.lit(g)) for g in (1, 2, 0))
+    found = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b"), raws.alias("raw")), lambda r: F.struct(
+        date_value(r["a"]).alias("start"), date_value(r["b"]).alias("end"), r["raw"].alias("raw")))
+    return F.filter(found, lambda r: F.coalesce(r["start"] <= r["end"], F.lit(False)))
+
+
 def still_open(dates: Column, day: Column) -> Column:
     """Whether the latest readable date is not before the day; NULL without one."""
     return F.array_max(F.transform(dates, lambda d: date_value(d["date"]))) >= day
