@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 
 import numpy as np
@@ -63,7 +64,10 @@ class Bpe:
         # Tokens that merging leads to; only these may be guessed.
         self.whole = {self.bytes_of[i]: i for i in self.bytes_of
                       if self.merge(self.bytes_of[i]) == [i]}
-        self.longest = max(map(len, self.whole))
+        # The longest token that starts with these two bytes.
+        self.reach: dict[bytes, int] = {}
+        for token in self.whole:
+            self.reach[token[:2]] = max(len(token), self.reach.get(token[:2], 0))
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.special = special
         self.bytes_of |= {i: t.encode() for t, i in special.items()}
@@ -80,29 +84,40 @@ class Bpe:
         return cls.loaded[path]
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging: again and again all pairs of the lowest rank, from the left."""
+        """Exact merging: again and again the pair of the lowest rank, of equal ones the leftmost.
+
+        Tokens are linked at the place of their first byte, and pairs wait in a heap, so a long word
+        takes time in proportion to its length and the logarithm of it.
+        """
         ids = [self.single[b] for b in word]
-        merges, none = self.merges, (1 << 60, -1)
-        while len(ids) > 1:
-            rank, made = min(merges.get(p, none) for p in zip(ids, ids[1:]))
-            if made < 0:
-                break
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and merges.get((ids[i], ids[i + 1]), none)[0] == rank:
-                    out.append(made)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+        merges, n = self.merges, len(ids)
+        heap = [(merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
+        heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n:
+                continue
+            have = merges.get((ids[i], ids[j]))
+            if have is None or have[0] != rank:
+                continue
+            # The right token goes into the left one.
+            ids[i], ids[j] = have[1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (found := merges.get((ids[i], ids[k]))) is not None:
+                    heapq.heappush(heap, (found[0], i))
+            if (h := before[i]) >= 0 and (found := merges.get((ids[h], ids[i]))) is not None:
+                heapq.heappush(heap, (found[0], h))
+        return [t for t in ids if t >= 0]
 
     def guess(self, word: bytes) -> list[int]:
         """The longest known token at each place."""
-        ids, at, whole, n = [], 0, self.whole, len(word)
+        ids, at, whole, reach, n = [], 0, self.whole, self.reach, len(word)
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
+            for end in range(min(n, at + reach.get(word[at:at + 2], 1)), at, -1):
                 if (token := whole.get(word[at:end])) is not None:
                     ids.append(token)
                     at = end

@@ -12,9 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeloom.llm.rows import with_numbers
+from noticeloom.session import write_out
+
 WINDOW = 10
-#: Bytes of distinct windows that one automaton holds; a larger benchmark is split.
-AUTOMATON_BYTES = 64 << 20
+#: Bytes that an automaton takes for a byte of its windows, at most: a node of its own.
+NODE_BYTES = 64
+#: Bytes of distinct windows that one automaton holds, so that it takes half a gigabyte of a worker
+#: at most; a larger benchmark is split.
+AUTOMATON_BYTES = (512 << 20) // NODE_BYTES
 
 #: A-Z to a-z; what is neither a letter, a digit nor above 0x7F becomes a space.
 _FOLD = bytes(
@@ -137,7 +143,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     are joined.
     """
     spark = docs.sparkSession
-    windows = item_windows(items, item_id, item_text, window)
+    windows = write_out(item_windows(items, item_id, item_text, window), "windows")
     size = windows.agg(F.sum(F.octet_length("words") + F.octet_length("item"))).first()[0] or 0
     parts = -(-size // automaton_bytes) or 1
     rows = docs.select(F.col(id_col).alias("id"), text)
@@ -152,8 +158,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
     if parts == 1:
         return scan(rows, kind, 0).withColumnRenamed("id", id_col)
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
-                           text)
+    rows, number = with_numbers(docs, None)
+    numbered = rows.select(F.col(number).alias("rid"), F.col(id_col).alias("id"), text)
     found = [scan(numbered.select(F.col("rid").alias("id"), text), "long", p)
              for p in range(parts)]
     merged = found[0]
@@ -191,7 +197,7 @@ def contamination_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text",
                       max_share: float = 0.0, **options) -> DataFrame:
     """The rows of ``docs`` whose share of hit words is at most ``max_share``, all columns."""
-    numbered = docs.withColumn("_rid", F.monotonically_increasing_id())
-    found = find_contamination(numbered, items, "_rid", text, **options)
-    bad = found.filter(F.col("n_hit") > max_share * F.col("n_words")).select("_rid")
-    return numbered.join(bad, "_rid", "left_anti").drop("_rid")
+    rows, rid = with_numbers(docs, None)
+    found = find_contamination(rows, items, rid, text, **options)
+    bad = found.filter(F.col("n_hit") > max_share * F.col("n_words")).select(rid)
+    return rows.join(bad, rid, "left_anti").drop(rid)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticeloom.llm.rows import with_numbers
 from noticeloom.session import write_out
 
 #: Characters that do not count when texts are compared, as a regular expression.
@@ -25,8 +26,8 @@ def _cut(block_chars: int) -> Column:
 def _named(items: DataFrame, keys: list[str], hashes: DataFrame) -> DataFrame:
     """Replace ``keys`` by ``name``: the number of the first item that holds these keys.
 
-    Items come from a scan, so their numbers are the same whenever a lost task runs
-    again. The grouping compares the keys themselves, so equal names mean equal keys.
+    The numbers of items are taken once, in the shuffle that finds the first of each, and no other
+    scan refers to them. The grouping compares the keys themselves, so equal names mean equal keys.
 
     ``hashes`` has ``h``, the hash of the keys, for each item. Keys that more than an even share of
     all items hold (by hash, so there are at most as many as partitions) are dealt to all
@@ -87,17 +88,18 @@ def text_identities(rows: DataFrame, hashes: DataFrame, block_chars: int = BLOCK
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
-                block_chars: int = BLOCK_CHARS) -> DataFrame:
+                block_chars: int = BLOCK_CHARS, rid: str | None = None) -> DataFrame:
     """One row per row of ``docs``: the id, ``keep_id``, ``group_size``, ``kept``,
     ``text_sha256`` (of the text without white space) and ``rid``, the number of the row.
 
-    ``docs`` is a table as read (its rows keep their order when read again). Of equal
+    ``rid`` names a column of row numbers, if ``docs`` has one. Of equal
     texts the one with the most code points in the original stays, then the smallest
     id; a null id comes last, and among rows that are still equal the first one stays.
     A null text is empty; empty texts are copies of each other.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
+    numbered, number = with_numbers(docs, rid)
+    rows = numbered.select(F.col(number).alias("rid"), F.col(id_col).alias("id"),
                        F.char_length(raw).alias("n"), normalised(F.col(text)).alias("norm"))
     facts = write_out(rows.select(
         "rid", "id", "n", F.sha2("norm", 256).alias("text_sha256"),
@@ -117,7 +119,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 def drop_exact_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                       block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, text, id_col, block_chars).filter("kept").select(
-        F.col("rid").alias("_rid"))
-    return (docs.withColumn("_rid", F.monotonically_increasing_id())
-            .join(kept, "_rid", "left_semi").drop("_rid"))
+    rows, rid = with_numbers(docs, None)
+    kept = exact_dedup(rows, text, id_col, block_chars, rid).filter("kept").select(
+        F.col("rid").alias(rid))
+    return rows.join(kept, rid, "left_semi").drop(rid)

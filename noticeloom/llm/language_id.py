@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeloom.llm.rows import with_numbers
 from noticeloom.llm.superkmers import chunks
 from noticeloom.session import write_out
 
@@ -70,6 +71,8 @@ def fit_text_model(rows: DataFrame, per_label: int = ROWS_PER_LABEL) -> TextMode
     marked = rows.filter("label IS NOT NULL").select(
         "rid", "label", F.shiftrightunsigned(F.xxhash64("rid"), 1).alias("draw"))
     sizes = write_out(marked.groupBy("label").agg(F.count("*").alias("rows")), "label_sizes")
+    if sizes.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels are no languages")
     low = F.col("draw") / F.lit(float(1 << 63))
     turn = F.row_number().over(Window.partitionBy("label").orderBy("draw", "rid"))
     drawn = (marked.join(sizes, "label").filter(low * F.col("rows") < 4 * per_label)
@@ -95,9 +98,7 @@ def fit_text_model(rows: DataFrame, per_label: int = ROWS_PER_LABEL) -> TextMode
     counted = sample.mapInArrow(count, "label string, cell int, n long").groupBy("label", "cell").agg(
         F.sum("n").alias("n"))
     counted = write_out(counted, "letters")
-    labels = [r.label for r in counted.select("label").distinct().limit(MOST_LABELS + 1).collect()]
-    if len(labels) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels are no languages")
+    labels = [r.label for r in counted.select("label").distinct().collect()]
     if not labels:
         return None
     labels.sort()
@@ -212,7 +213,7 @@ def _fuse(labels: list[str], usual: np.ndarray, total: np.ndarray):
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                        address: str | None = "source", label: str = "lang",
                        labelled: DataFrame | None = None, labelled_text: str = "text",
-                       per_label: int = ROWS_PER_LABEL) -> DataFrame:
+                       per_label: int = ROWS_PER_LABEL, rid: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, ``language``, ``confidence``, ``accepted``, ``declared``,
     ``host``, ``n_groups``, ``rid``.
 
@@ -227,18 +228,20 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     less ``MARGIN`` a group, and host, domain, suffix and declared language count for it as for the
     others. A text for which it is likelier than the best language, or one without letters, is ``und``
     and not accepted; ``confidence`` is then that of no language. Sums are merged within tasks before they
-    move, and joins have one row for a key on that side, so a hot host is split.
+    move, and joins have one row for a key on that side, so a hot host is split. ``rid`` names a
+    column of row numbers, if ``docs`` has one.
     """
     spark = docs.sparkSession
     value = F.col(text)
-    rid = F.monotonically_increasing_id().alias("rid")
     host = host_of(F.col(address)) if address else F.lit(None).cast("string")
-    rows = docs.select(rid, F.col(id_col).alias("id"), value.alias("text"), host.alias("host"),
+    numbered, number = with_numbers(docs, rid)
+    rows = numbered.select(F.col(number).alias("rid"), F.col(id_col).alias("id"), value.alias("text"), host.alias("host"),
                        declared_language(value).alias("declared"))
     kind = rows.schema["id"].dataType.simpleString()
-    source, own = (docs, text) if labelled is None else (labelled, labelled_text)
+    own = text if labelled is None else labelled_text
+    source, key = (numbered, number) if labelled is None else with_numbers(labelled, None)
     model = fit_text_model(
-        source.select(rid, F.col(own).alias("text"), F.col(label).alias("label")), per_label)
+        source.select(F.col(key).alias("rid"), F.col(own).alias("text"), F.col(label).alias("label")), per_label)
     if model is None:
         some = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
         return rows.select(F.col("id").alias(id_col), F.lit(UNKNOWN).alias("language"),
@@ -267,6 +270,6 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in a language that could be told, with all their columns."""
-    kept = identify_languages(docs, **options).filter("accepted").select(F.col("rid").alias("_rid"))
-    return (docs.withColumn("_rid", F.monotonically_increasing_id())
-            .join(kept, "_rid", "left_semi").drop("_rid"))
+    rows, rid = with_numbers(docs, None)
+    kept = identify_languages(rows, **options, rid=rid).filter("accepted").select(F.col("rid").alias(rid))
+    return rows.join(kept, rid, "left_semi").drop(rid)

@@ -1,4 +1,4 @@
-"""Near copies: a forest of sorted signature prefixes proposes pairs, word shingles verify them."""
+"""Near copies: groups of signature labels propose pairs, word shingles verify them."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.llm.components import components
 from noticeloom.llm.decontamination import words_of
+from noticeloom.llm.rows import with_numbers
 from noticeloom.llm.substring_dedup import encode_words
 from noticeloom.llm.superkmers import chunks, mix, window_hashes
 from noticeloom.session import write_out
@@ -221,7 +222,8 @@ _UNIT = ("node", "i", "j")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+                similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK,
+                rid: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, ``class_id``, ``copy_id``, ``n_links``, ``n_link_texts``, ``rid``.
 
     Rows are linked if the Jaccard similarity of their five-word shingles (words of letters and
@@ -235,12 +237,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     compared: by length and signature, then in the task that gets their texts by all their
     shingles. The prefix is the longest one with which a pair at the threshold meets with the chance
     ``recall``. A unit counts links and names only those that connect it, so no pairs of a large
-    group are listed; a node of more than ``block`` sets is dealt in pairs of blocks.
+    group are listed; a node of more than ``block`` sets is dealt in pairs of blocks. ``rid`` names a
+    column of row numbers, if ``docs`` has one; else rows are numbered as their sets are written.
     """
     length, least = prefix_length(similarity, recall), least_agreement(similarity)
     slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
-                       F.col(text).alias("text"))
+    number = F.monotonically_increasing_id() if rid is None else F.col(rid)
+    rows = docs.select(number.alias("rid"), F.col(id_col).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     described = write_out(rows.mapInArrow(
         _describe, f"rid long, id {kind}, n int, print binary, sig binary, packed binary"), "sets")
@@ -298,8 +301,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each group that links connect, the one with the smallest id (null last, then the
     first row), with all columns of ``docs``; rows without words all stay."""
-    found = write_out(near_copies(docs, id_col, text, **options), "near")
+    rows, rid = with_numbers(docs, None)
+    found = write_out(near_copies(rows, id_col, text, **options, rid=rid), "near")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "rid")
-    kept = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.rid").alias("_rid"))
-    return (docs.withColumn("_rid", F.monotonically_increasing_id())
-            .join(kept, "_rid", "left_semi").drop("_rid"))
+    kept = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.rid").alias(rid))
+    return rows.join(kept, rid, "left_semi").drop(rid)

@@ -208,9 +208,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     spans and identifier-shaped tokens, each with its pattern.
     """
     rows = docs.select(F.col(id_col).alias("id"), text)
-    found = write_out(rows.mapInArrow(
-        _extract, f"id {rows.schema['id'].dataType.simpleString()}, marks {_MARKS}"), "marks")
-    numbered = found.withColumn("rid", F.monotonically_increasing_id())
+    # Numbered as they are written, so every reading finds the same numbers.
+    numbered = write_out(rows.mapInArrow(
+        _extract, f"id {rows.schema['id'].dataType.simpleString()}, marks {_MARKS}").withColumn(
+        "rid", F.monotonically_increasing_id()), "marks")
     marks = numbered.select("rid", F.inline("marks"))
     patterns = score_patterns(marks, rounds, min_support, prior)
     good = patterns.filter((F.col("score") >= min_score) & (F.col("support") >= min_support))

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeloom.llm.rows import with_numbers
 from noticeloom.llm.superkmers import (Units, covered, find_ranges, merge_ranges, mix,
                                        plan_buckets, window_hashes, with_ranges)
 
@@ -139,14 +140,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Words are runs without ASCII white space, taken as they are. A null text has no words,
     a text of fewer than ``window`` words loses none. Windows are judged on the input. Rows with
-    a null id come last; rows with equal ids follow the order of the table. ``docs`` is a
-    table as read, which gives its rows the same order each time, and its ids are integers.
+    a null id come last; rows with equal ids follow the order of the table. Ids are integers.
     """
     if not 1 <= gram <= window:
         raise ValueError("a gram has at least one word and at most a window's")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"),
+    numbered, number = with_numbers(docs, None)
+    rows = numbered.select(F.col(number).alias("rid"),
                        F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    own = with_ranges(docs, find_repeats(rows, window, gram), id_col, text)
+    own = with_ranges(numbered, number, find_repeats(rows, window, gram), id_col, text)
     return (own.mapInArrow(_remove(digest), f"id {own.schema['id'].dataType.simpleString()}, "
                            "n_words long, n_removed long, kept string")
             .withColumnRenamed("id", id_col))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeloom.llm.rows import with_numbers
 from noticeloom.llm.suffix_array import suffix_array
 from noticeloom.llm.superkmers import (Units, covered, find_ranges, merge_ranges, mix,
                                        plan_buckets, powers, window_hashes, with_ranges)
@@ -252,13 +253,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Every byte goes that a string of ``length`` bytes covers which also starts anywhere else,
     in another row or the same; all of its places go. Strings are judged on the input and stay
     within a text. A null text is empty; ids may be null or repeated, every row is a text
-    of its own. ``docs`` is a table as read, which gives its rows the same order each time.
+    of its own.
     """
     if not TRIGGER <= length or not 1 <= gram <= length:
         raise ValueError(f"a string has at least {TRIGGER} bytes and a gram's")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.lit(0).cast("long").alias("id"),
+    numbered, number = with_numbers(docs, None)
+    rows = numbered.select(F.col(number).alias("rid"), F.lit(0).cast("long").alias("id"),
                        F.col(text).alias("text"))
-    own = with_ranges(docs, find_repeats(rows, length, gram), id_col, text)
+    own = with_ranges(numbered, number, find_repeats(rows, length, gram), id_col, text)
     return (own.mapInArrow(_remove, f"id {own.schema['id'].dataType.simpleString()}, n_bytes long, "
                            "n_removed long, n_spans long, kept binary, kept_sha256 string")
             .withColumnRenamed("id", id_col))

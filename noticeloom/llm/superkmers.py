@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeloom.session import write_out
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -28,6 +30,8 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 FLUSH_BYTES = 48 << 20
 #: Texts that a task cuts into units at a time, in bytes.
 CHUNK_BYTES = 1 << 20
+#: Grams that a task counts at a time; one is frequent if it is so among these.
+COUNT_GRAMS = 2 << 20
 #: Runs that a bucket is meant for.
 BUCKET_RUNS = 50_000
 #: Windows that are ranked at a time; a long text is ranked in pieces.
@@ -234,29 +238,35 @@ def plan_buckets(rows: DataFrame, cut: Callable, window: int, gram: int,
     """
     limit = np.array([(1 << 63) // share], np.uint64)
 
+    def counts(parts, windows):
+        key, n = np.unique(np.concatenate([*parts, limit[:0]]), return_counts=True)
+        often = n >= least
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.append(key[often].view(np.int64), -1)), pa.array(np.append(n[often], 0)),
+             pa.array(np.append(np.zeros(int(often.sum()), np.int64), windows))],
+            ["key", "n", "windows"])
+
     def count(batches):
+        parts, held, windows = [], 0, 0
         for batch in batches:
-            parts, windows = [], 0
             for part in chunks(batch):
                 units = cut(part.column(2).to_pylist())
                 windows += int(np.maximum(units.counts - window + 1, 0).sum())
                 for i in range(0, len(units.code) - gram + 1, PIECE):
                     code = window_hashes(units.code[i:i + PIECE + gram - 1], gram) >> np.uint64(1)
                     parts.append(code[code < limit])
-            key, n = np.unique(np.concatenate([*parts, limit[:0]]), return_counts=True)
-            often = n >= least
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(key[often].view(np.int64), -1)), pa.array(np.append(n[often], 0)),
-                 pa.array(np.append(np.zeros(int(often.sum()), np.int64), windows))],
-                ["key", "n", "windows"])
+                    held += len(parts[-1])
+                if held > COUNT_GRAMS:
+                    yield counts(parts, windows)
+                    parts, held, windows = [], 0, 0
+        yield counts(parts, windows)
 
     sums = (rows.mapInArrow(count, "key long, n long, windows long").groupBy("key")
             .agg(F.sum("n").alias("n"), F.sum("windows").alias("windows")))
-    counted = sums.persist()
+    counted = write_out(sums, "grams")
     slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = (counted.agg(F.sum("windows")).first()[0] or 0) * 2 // (window - gram + 2)
     hot = counted.filter(F.col("n") > max(runs // slots, 1000)).select("key").collect()
-    counted.unpersist()
     return Plan(window, gram, max(slots, runs // BUCKET_RUNS),
                 np.sort(np.array([r.key for r in hot], np.int64)).view(np.uint64))
 
@@ -350,10 +360,9 @@ def find_ranges(rows: DataFrame, plan: Plan, cut: Callable, collapse: Callable,
             .mapInArrow(sort, "rid long, start long, end long"))
 
 
-def with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``id, text, ranges`` of every row; a text meets its ranges by the number of its row."""
-    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
-                      F.col(text).alias("text"))
+def with_ranges(docs: DataFrame, number: str, ranges: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``id, text, ranges`` of every row; a text meets its ranges by the ``number`` of its row."""
+    own = docs.select(F.col(number).alias("rid"), F.col(id_col).alias("id"), F.col(text).alias("text"))
     gathered = ranges.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return own.join(gathered, "rid", "left").select("id", "text", "ranges")
 

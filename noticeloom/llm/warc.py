@@ -8,15 +8,16 @@ from base64 import b32encode
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from noticeloom.llm.rows import with_numbers
 from noticeloom.session import write_out
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
-RECORD = ("record_id string, record_type string, concurrent_to string, refers_to string, "
+RECORD = ("record_id string, record_type string, concurrent_to array<string>, refers_to string, "
           "target_uri string, payload_digest string, digest_ok boolean, http_header string, "
           "payload_bytes long, payload string, fields map<string,string>")
 
@@ -43,21 +44,21 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
         F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END), block)
 
 
-def roles(pages: DataFrame, id_col: str, body: str, min_bytes: int) -> DataFrame:
-    """Add ``rid``, ``payload``, ``digest``, ``size`` and ``first`` (rid of the response it revisits).
+def roles(pages: DataFrame, id_col: str, url: str, body: str, min_bytes: int) -> DataFrame:
+    """``rid, id, url, payload, digest, size`` and ``first`` (rid of the response it revisits).
 
     Rows of a payload are counted by its digests and length, merged within each task first. Only
     payloads with several rows are joined back, from a written table, so Spark broadcasts it where
     it is small and else splits a hot payload's rows.
     """
-    rows = pages.withColumns({
-        "rid": F.monotonically_increasing_id(),
-        "payload": F.coalesce(F.col(body), F.lit("")),
-    }).withColumns({"digest": sha1_base32(F.col("payload")),
+    numbered, number = with_numbers(pages, None)
+    rows = numbered.select(F.col(number).alias("rid"), F.col(id_col).alias("id"), F.col(url).alias("url"),
+                           F.coalesce(F.col(body), F.lit("")).alias("payload"))
+    rows = rows.withColumns({"digest": sha1_base32(F.col("payload")),
                     "size": F.octet_length("payload").cast("long"),
                     "check": F.xxhash64("payload")})
     same = ["digest", "size", "check"]
-    order = F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), "rid")
+    order = F.struct(F.col("id").isNotNull().alias("known"), "id", "rid")
     latest = write_out(rows.filter(F.col("size") >= min_bytes).groupBy(*same)
                        .agg(F.max(order).alias("last"), F.count("*").alias("n"))
                        .filter("n > 1").drop("n"), "payloads")
@@ -74,9 +75,9 @@ def to_records(pages: DataFrame, id_col: str = "page_id", url: str = "url", body
     others are revisits that refer to it. A null body is an empty payload, a null
     address is left out. Request and metadata name their capture in WARC-Concurrent-To.
     """
-    rows = roles(pages, id_col, body, min_bytes)
+    rows = roles(pages, id_col, url, body, min_bytes)
     own = _uuid("capture", F.col("rid"))
-    uri = F.regexp_replace(F.col(url), "[\\r\\n]+", "%0D%0A")
+    uri = F.regexp_replace("url", "[\\r\\n]+", "%0D%0A")
     revisit = F.col("first").isNotNull()
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
@@ -101,7 +102,7 @@ def to_records(pages: DataFrame, id_col: str = "page_id", url: str = "url", body
         ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", uri), ("WARC-Concurrent-To", own),
         ("Content-Type", F.lit("application/warc-fields")),
     ], F.concat(F.lit("row: "), F.col("rid").cast("string"), F.coalesce(
-        F.concat(F.lit("\r\nid: "), F.col(id_col).cast("string")), F.lit("")), F.lit("\r\n")))
+        F.concat(F.lit("\r\nid: "), F.col("id").cast("string")), F.lit("")), F.lit("\r\n")))
     return rows.select(F.explode(F.array(capture, request, metadata)).alias("value"))
 
 
@@ -116,7 +117,12 @@ def write_archives(pages: DataFrame, path: str, **columns) -> None:
 
 
 def _fields(lines: list[str]) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    """Headers by lower-case name; the values of a repeated one are joined by a line feed."""
+    out: dict[str, str] = {}
+    for name, _, value in (x.partition(":") for x in lines):
+        name, value = name.strip().lower(), value.strip()
+        out[name] = f"{out[name]}\n{value}" if name in out else value
+    return out
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
@@ -140,7 +146,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
                     if not lines[0].startswith("WARC/"):
                         raise ValueError(f"no WARC record: {lines[0][:80]!r}")
                     headers = _fields(lines[1:])
-                    want, parts, have = int(headers["content-length"]), [], 0
+                    want, parts, have = int(headers["content-length"].split("\n")[0]), [], 0
                 take = data[: want - have]
                 parts.append(take)
                 have += len(take)
@@ -153,7 +159,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
         raise ValueError("an archive ends inside a record")
 
 
-def _reader(types: frozenset, schema: pa.Schema):
+def _reader(types: frozenset, schema: pa.Schema, bodies: bool):
     def read(batches):
         rows, size = [], 0
         for headers, block in _stream(batches):
@@ -165,16 +171,17 @@ def _reader(types: frozenset, schema: pa.Schema):
             if kind in ("response", "revisit"):
                 head, _, payload = block.partition(b"\r\n\r\n")
                 length = _fields(head.decode().split("\r\n")[1:]).get("content-length")
-                length = int(length) if length else len(payload)
+                length = int(length.split("\n")[0]) if length else len(payload)
                 if kind == "response":
-                    length, body = len(payload), payload.decode(errors="replace")
+                    length, body = len(payload), payload.decode(errors="replace") if bodies else None
                     ok = b32encode(hashlib.sha1(payload).digest()).decode() == digest
                 head = head.decode(errors="replace")
             elif kind == "request":
                 head = block.decode(errors="replace")
             else:
                 fields = _fields([x for x in re.split("[\r\n]+", block.decode(errors="replace")) if x])
-            rows.append((headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"),
+            beside = headers.get("warc-concurrent-to")
+            rows.append((headers.get("warc-record-id"), kind, beside.split("\n") if beside else [],
                          headers.get("warc-refers-to"), headers.get("warc-target-uri"), digest, ok,
                          head, length, body, list(fields.items())))
             size += len(block)
@@ -193,40 +200,67 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _ARROW = pa.schema([
-    *((n, pa.string()) for n in ("record_id", "record_type", "concurrent_to", "refers_to",
-                                 "target_uri", "payload_digest")),
+    ("record_id", pa.string()), ("record_type", pa.string()), ("concurrent_to", pa.list_(pa.string())),
+    *((n, pa.string()) for n in ("refers_to", "target_uri", "payload_digest")),
     ("digest_ok", pa.bool_()), ("http_header", pa.string()), ("payload_bytes", pa.int64()),
     ("payload", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
 
 
-def read_records(spark: SparkSession, path: str, types: tuple[str, ...]) -> DataFrame:
-    """The records of ``types`` in the archives below ``path``."""
+def read_records(spark: SparkSession, path: str, types: tuple[str, ...], bodies: bool = True) -> DataFrame:
+    """The records of ``types`` in the archives below ``path``, without payloads unless ``bodies``."""
     pieces = spark.read.option("lineSep", END).text(path).select("value")
-    return pieces.mapInArrow(_reader(frozenset(types), _ARROW), RECORD)
+    return pieces.mapInArrow(_reader(frozenset(types), _ARROW, bodies), RECORD)
 
 
-def transactions(spark: SparkSession, path: str) -> DataFrame:
+def beside_captures(spark: SparkSession, path: str) -> DataFrame:
+    """Every request and metadata record of every capture: ``capture_id``, ``kind``, ``position`` (1, 2,
+    ... by record id), ``record_id``, ``target_uri``, ``http_header``, ``fields``.
+
+    A record belongs to each capture that one of its WARC-Concurrent-To headers names or that names
+    it in one of its own, once. Records that no link ties to a capture are left out.
+    """
+    side = write_out(read_records(spark, path, ("request", "metadata")).select(
+        "record_id", F.col("record_type").alias("kind"), "concurrent_to", "target_uri", "http_header",
+        "fields"), "beside")
+    captures = read_records(spark, path, ("response", "revisit"), bodies=False)
+    named = write_out(captures.select(
+        F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("record_id")), "named")
+    own = side.select("*", F.explode("concurrent_to").alias("capture_id"))
+    if not named.isEmpty():
+        # A record that both sides name is one.
+        own = own.unionByName(side.join(named, "record_id")).dropDuplicates(
+            ["capture_id", "kind", "record_id"])
+    else:
+        own = own.withColumn("concurrent_to", F.array_distinct("concurrent_to"))
+    by_id = Window.partitionBy("capture_id", "kind").orderBy("record_id")
+    return own.drop("concurrent_to").withColumn("position", F.row_number().over(by_id))
+
+
+def transactions(spark: SparkSession, path: str, beside: DataFrame | None = None) -> DataFrame:
     """One nested row for each capture: ``capture_id``, ``response``, ``request``, ``metadata``.
 
-    Requests and metadata join the capture that their WARC-Concurrent-To names. Of several
-    records of a kind the one with the smallest record id counts and ``n_requests`` and
-    ``n_metadata`` tell how many there were, so no capture gathers an unbounded list; a
-    capture without a request or metadata has null there.
+    Of several requests or metadata records the first by record id is in the row, and ``n_requests`` and
+    ``n_metadata`` tell how many there are; ``beside_captures``, which may be given, has all of them as rows of their
+    own, so no capture gathers an unbounded list. A capture without a request or metadata has null there.
     """
     capture = (read_records(spark, path, ("response", "revisit")).drop("fields", "concurrent_to")
                .withColumnRenamed("record_id", "capture_id"))
-
-    def beside(kind: str, *cols: str) -> DataFrame:
-        return (read_records(spark, path, (kind,)).filter("concurrent_to IS NOT NULL")
-                .groupBy(F.col("concurrent_to").alias("capture_id"))
-                .agg(F.min_by(F.struct("record_id", *cols), "record_id").alias(kind),
-                     F.count("*").alias("n_metadata" if kind == "metadata" else "n_requests")))
-
+    rows = beside_captures(spark, path) if beside is None else beside
+    first = F.col("position") == 1
+
+    def of(kind: str, last: str):
+        return F.max(F.when(first & (F.col("kind") == kind), F.struct("record_id", "target_uri", last)))
+
+    found = rows.withColumn("fields", F.map_entries("fields")).groupBy("capture_id").agg(
+        of("request", "http_header").alias("request"), of("metadata", "fields").alias("metadata"),
+        F.count_if(F.col("kind") == "request").alias("n_requests"),
+        F.count_if(F.col("kind") == "metadata").alias("n_metadata"))
+    found = found.withColumn("metadata", F.when(F.col("metadata").isNotNull(), F.struct(
+        "metadata.record_id", "metadata.target_uri",
+        F.map_from_entries("metadata.fields").alias("fields"))))
     inner = [c for c in capture.columns if c != "capture_id"]
     return (capture.select("capture_id", F.struct(*inner).alias("response"))
-            .join(beside("request", "target_uri", "http_header"), "capture_id", "left")
-            .join(beside("metadata", "target_uri", "fields"), "capture_id", "left")
-            .fillna(0, ["n_requests", "n_metadata"]))
+            .join(found, "capture_id", "left").fillna(0, ["n_requests", "n_metadata"]))
 
 
 def page_captures(captures: DataFrame, id_type: str = "long") -> DataFrame:

@@ -1,0 +1,113 @@
+"""Numbers of rows, and results, do not depend on the cores that there are when a scan is planned."""
+
+import pytest
+
+from noticeloom.llm.decontamination import drop_contaminated
+from noticeloom.llm.exact_dedup import drop_exact_copies, exact_dedup
+from noticeloom.llm.language_id import identify_languages, keep_identified
+from noticeloom.llm.near_dedup import drop_near_copies
+from noticeloom.llm.rows import free_name, number_rows
+from noticeloom.llm.substring_dedup import substring_dedup
+from noticeloom.llm.suffix_dedup import suffix_dedup
+from noticeloom.llm.warc import page_captures, transactions, write_archives
+
+SPLIT = "spark.sql.files.maxPartitionBytes"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tmp_path_factory):
+    """The smallest table in many files of different sizes."""
+    path = str(tmp_path_factory.mktemp("docs"))
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for part, files in ((0, 1), (1, 3), (2, 7)):
+        table.where(f"doc_id % 3 = {part}").repartition(files).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture
+def split(spark):
+    """Sets how much of a table a task reads; back to the default at the end."""
+    yield lambda size: spark.conf.set(SPLIT, size)
+    spark.conf.unset(SPLIT)
+
+
+def numbers(df):
+    return {r.doc_id: r.rid for r in df.select("doc_id", "rid").collect()}
+
+
+def test_numbers_are_those_of_the_files(docs, split):
+    split("128m")
+    first = numbers(number_rows(docs))
+    split("2k")
+    assert numbers(number_rows(docs)) == first
+    assert numbers(number_rows(docs.where("doc_id % 2 = 0").select("doc_id", "text"))) == {
+        d: r for d, r in first.items() if d % 2 == 0}
+    assert len(set(first.values())) == len(first) and min(first.values()) >= 0
+
+
+def test_other_tables_are_numbered_once(spark, docs, split):
+    joined = docs.join(spark.createDataFrame([(1,), (2,)], "k int"))
+    for df in (joined, docs.union(docs), docs.selectExpr("doc_id", "explode(array(1, 2)) as k")):
+        numbered = number_rows(df)
+        first = sorted((r.doc_id, r.rid) for r in numbered.collect())
+        split("2k")
+        assert sorted((r.doc_id, r.rid) for r in numbered.collect()) == first
+        assert len({r for _, r in first}) == len(first) == 2 * docs.count()
+
+
+def test_names_that_are_taken(spark):
+    df = spark.createDataFrame([(1, 2)], "rid int, RID_ int")
+    assert free_name(df, "rid") == "rid__" and number_rows(df, "rid__").columns == ["rid", "RID_", "rid__"]
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long").write.parquet(str(tmp_path / "none"))
+    assert number_rows(spark.read.schema("doc_id long").parquet(str(tmp_path / "none"))).collect() == []
+
+
+FILTERS = {
+    "language": keep_identified, "exact": drop_exact_copies, "near": drop_near_copies,
+    "benchmark": lambda d: drop_contaminated(d, d.sparkSession.read.parquet(
+        "/root/testdata/sf0.001/benchmark.parquet")),
+}
+
+
+@pytest.mark.parametrize("name", FILTERS)
+def test_filters_planned_with_other_cores(docs, split, name):
+    split("128m")
+    want = sorted(r.doc_id for r in FILTERS[name](docs).collect())
+    built = FILTERS[name](docs)
+    split("2k")
+    assert sorted(r.doc_id for r in built.collect()) == want
+
+
+@pytest.mark.parametrize("find", [
+    lambda d: identify_languages(d).select("doc_id", "language", "accepted"),
+    lambda d: exact_dedup(d).drop("rid"), substring_dedup, suffix_dedup])
+def test_results_planned_with_other_cores(docs, split, find):
+    split("128m")
+    want = sorted(map(tuple, find(docs).collect()))
+    built = find(docs)
+    split("2k")
+    assert sorted(map(tuple, built.collect())) == want
+
+
+def test_archives_planned_with_other_cores(spark, split, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    pages.union(pages.selectExpr("page_id + 1000", "url", "html")).repartition(5).write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p"))
+    found = []
+    for size in ("128m", "2k"):
+        split(size)
+        write_archives(pages, str(tmp_path / size))
+        found.append(sorted(map(tuple, page_captures(transactions(spark, str(tmp_path / size))).collect())))
+    assert found[0] == found[1] and any(r[3] == "revisit" for r in found[0])
+
+
+def test_columns_with_the_names_of_numbers(spark, make_docs):
+    docs = make_docs([(1, "the and attion of the hahand", "en", "s"), (2, "the and attion of the hahand", "en", "s")])
+    docs = docs.withColumns({"rid": docs.doc_id * 10, "_rid": docs.doc_id * 100})
+    for drop in FILTERS.values():
+        out = drop(docs)
+        assert out.columns == docs.columns
+        assert all(r.rid == r.doc_id * 10 and r._rid == r.doc_id * 100 for r in out.collect())
