@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers
@@ -68,3 +69,12 @@ def test_round_trip(spark, make_docs, odd_rows):
     assert sorted((r.doc_id, r.text) for r in back if r.doc_id is not None) == sorted(
         (i, t or "") for i, t in odd_rows if i is not None)
     assert encode(make_docs([]), PATH).collect() == []
+
+
+def test_long_words_take_no_quadratic_time(library):
+    rng = np.random.default_rng(3)
+    for word in ("a" * 200_000, "漢字仮名交じり文" * 25_000, "".join(rng.choice(list("abcdefgh"), 200_000))):
+        start = time.process_time()
+        got = ids_of(word)
+        assert time.process_time() - start < 10
+        assert got == library.encode(word, add_special_tokens=False).ids

@@ -4,7 +4,7 @@ from base64 import b32encode
 
 import pytest
 
-from noticeloom.llm.warc import page_captures, read_records, transactions, write_archives
+from noticeloom.llm.warc import beside_captures, page_captures, read_records, transactions, write_archives
 
 PAGES = "page_id long, url string, html string"
 
@@ -101,3 +101,35 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "f")
     write_archives(spark.createDataFrame([], PAGES), path)
     assert transactions(spark, path).collect() == []
+
+
+def record(kind, own, *headers, block=""):
+    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{own}>", *headers, f"Content-Length: {len(block)}"]
+    return "WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n" + block
+
+
+def test_every_record_beside_a_capture_is_kept(spark, tmp_path):
+    """Several requests, links from the capture's side, from both, and to several captures."""
+    path = str(tmp_path / "g")
+    to = "WARC-Concurrent-To: <{}>".format
+    records = [
+        record("response", "r1", to("m1"), to("q2"), block="abc"), record("response", "r2", block="d"),
+        record("revisit", "r3"),
+        record("request", "q1", to("r1"), block="GET 1"), record("request", "q2", to("r1"), to("r2"), block="GET 2"),
+        record("request", "q3", to("r2"), to("r2")), record("request", "lost"), record("request", "far", to("gone")),
+        record("metadata", "m1", block="note: a\r\nnote: b\r\nid: 7"), record("metadata", "m2", to("r1"), block="id: 8"),
+    ]
+    spark.createDataFrame([(r,) for r in records], "value string").coalesce(1).write.option(
+        "lineSep", "\r\n\r\n").text(path)
+    beside = beside_captures(spark, path)
+    got = sorted((r.capture_id, r.kind, r.position, r.record_id) for r in beside.collect())
+    assert got == [
+        ("<gone>", "request", 1, "<far>"), ("<r1>", "metadata", 1, "<m1>"), ("<r1>", "metadata", 2, "<m2>"),
+        ("<r1>", "request", 1, "<q1>"), ("<r1>", "request", 2, "<q2>"),
+        ("<r2>", "request", 1, "<q2>"), ("<r2>", "request", 2, "<q3>")]
+    rows = {r.capture_id: r for r in transactions(spark, path, beside).collect()}
+    assert sorted(rows) == ["<r1>", "<r2>", "<r3>"]
+    one = rows["<r1>"]
+    assert (one.n_requests, one.n_metadata, one.request.record_id) == (2, 2, "<q1>")
+    assert one.metadata.fields == {"note": "a\nb", "id": "7"} and one.request.http_header == "GET 1"
+    assert (rows["<r2>"].n_requests, rows["<r2>"].metadata, rows["<r3>"].n_requests) == (2, None, 0)
