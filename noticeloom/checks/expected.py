@@ -649,3 +649,18 @@ _typos = """(SELECT layout, lower(trim(x)) AS t, min(k) AS s FROM (
 _expect("misspelt_titles", f"""SELECT a.layout, a.s AS first, b.s AS second, levenshtein(a.t, b.t) AS distance
   FROM {_typos} a JOIN {_typos} b ON a.layout = b.layout AND a.s < b.s AND abs(length(a.t) - length(b.t)) <= 2
   WHERE levenshtein(a.t, b.t) <= 2""")
+
+_terms = """SELECT DISTINCT lower(term) AS term FROM (
+  SELECT right(c_name, 5) AS term FROM customer
+  UNION ALL SELECT CASE WHEN k % 3 = 0 THEN 'lot' || k ELSE upper(title) END FROM n
+  UNION ALL SELECT substr(text, CAST(doc_id % 17 AS INTEGER) + 1, CAST(doc_id % 9 AS INTEGER) + 3) FROM documents
+  UNION ALL SELECT unnest(['q', 'ß', '', NULL, 'TION', 'ción'])) WHERE term <> ''"""
+_expect("keyword_table", f"""SELECT doc_id, count(*) AS n_terms, min(term) AS first, max(term) AS last
+  FROM documents JOIN ({_terms}) ON contains(lower(text), term) GROUP BY doc_id""")
+_expect("seen_store", """SELECT k AS page_id, 'a' AS run FROM n WHERE k % 3 = 0
+  UNION ALL SELECT k, 'b' FROM n WHERE k % 4 = 0 AND k % 3 <> 0
+  UNION ALL SELECT k, 'c' FROM n WHERE k % 4 <> 0 AND k % 3 <> 0""")
+_expect("observed_metrics", f"""SELECT CAST(sum((status <> 'uncollected')::INT) AS BIGINT) AS n_pages,
+  CAST(sum((status = 'failed')::INT) AS BIGINT) AS n_failed, CAST(sum(n_blocks) AS BIGINT) AS n_block,
+  CAST(sum(n_doc_links) AS BIGINT) AS n_any, CAST(sum(n_fallback) AS BIGINT) AS n_fallback
+  FROM (SELECT * FROM ({EXPECTED["run_metrics"]}))""")

@@ -10,12 +10,13 @@ import uuid
 from collections.abc import Callable
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from noticeloom.functions import text as X
 from noticeloom.functions.vocab import Words
 from noticeloom.functions.urls import resolve_url
-from noticeloom.operators import choose, dedup, enrich, misspelt, page_parts as P, periods, records as R
+from noticeloom.operators import choose, dedup, enrich, keyword_table as KT, misspelt, page_parts as P, periods
+from noticeloom.operators import records as R
 from noticeloom.operators import summaries as S
 from noticeloom.operators.nodes import glued, parse_pages
 from noticeloom.plans import opportunities as O, reports
@@ -23,6 +24,7 @@ from noticeloom.session import configure, scratch_dir, write_out
 from noticeloom.sources import order_notices as N, registry as REG
 from noticeloom.sources.tables import read_documents, read_pages, read_table
 from noticeloom.streaming import changes as CH, incremental as INC, late_documents as LATE
+from noticeloom.streaming.seen import SeenStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -782,6 +784,45 @@ def misspelt_titles(spark, sf):
         "distance", _long("distance"))
 
 
+@query
+def keyword_table(spark, sf):
+    """Document texts against a table of terms: ends of customer names, orders, parts of words, one letter,
+    an empty and a NULL one."""
+    terms = read_table(spark, f"{sf}/customer.parquet").selectExpr("lower(right(c_name, 5)) as term").unionByName(
+        N.notices(spark, sf).selectExpr("if(key % 3 = 0, concat('lot', key), upper(title)) as term")).unionByName(
+        _raw_documents(spark, sf).selectExpr("substring(text, int(doc_id % 17) + 1, int(doc_id % 9) + 3) as term")) \
+        .unionByName(spark.sql("select explode(array('q', 'ß', '', null, 'TION', 'ción')) as term"))
+    found = KT.find_terms(_raw_documents(spark, sf).select("doc_id", "text"), terms, ["doc_id"])
+    return found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.min("term").alias("first"), F.max("term").alias("last"))
+
+
+@query
+def seen_store(spark, sf):
+    """Three runs, the second one twice: what each run has not seen before."""
+    store = SeenStore(spark, f"{scratch_dir(spark)}/seen-{uuid.uuid4().hex}", buckets=16, bits=1 << 14)
+    urls = N.nested_pages(spark, sf).select("page_id", "url")
+    out = None
+    for run, wanted in (("a", "page_id % 3 = 0"), ("b", "page_id % 4 = 0"), ("b", "page_id % 4 = 0"), ("c", "true")):
+        landed = urls.where(wanted)
+        new = write_out(store.unseen(landed).select("page_id", F.lit(run).alias("run")), "new")
+        store.add(landed, run)
+        out = new if out is None else out.unionByName(new)
+    return out
+
+
+@query
+def observed_metrics(spark, sf):
+    """Counters of the parse pass itself; the same as counting the parts afterwards."""
+    pages = N.listing_pages(spark, sf).where("cust % 11 <> 0").withColumn(
+        "html", F.expr("if(cust % 7 = 0, null, html)"))
+    seen = Observation("pass")
+    O.page_parts(N.paged_registry(spark, sf), pages, documents=("any",), observe=seen)
+    got = seen.get
+    return spark.range(1).select(*[F.lit(got[c]).cast("bigint").alias(c) for c in (
+        "n_pages", "n_failed", "n_block", "n_any", "n_fallback")])
+
+
 # Streams
 
 _DAY = timedelta(days=1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from noticeloom.functions.text import let, still_open
 from noticeloom.functions.urls import resolve_url
@@ -118,13 +118,13 @@ _KINDS = {
 
 
 def page_parts(registry: DataFrame, pages: DataFrame, active_only: bool = True,
-               words: Words = DEFAULT_WORDS, **options) -> DataFrame:
+               words: Words = DEFAULT_WORDS, observe: Observation | None = None, **options) -> DataFrame:
     """The parts of the registered pages as one written table, a folder per kind.
 
     The last fetch of each address that an entry names is parsed, once, however many entries share
     it. Facts of blocks are worked out here, in the task that parsed the page, so a block's full text
     is neither written nor shuffled. Of kind "page" there is one part for each page, its text the
-    parse error. Options as in ``page_arrays``.
+    parse error. ``observe`` gets the counters of the pass. Options as in ``page_arrays``.
     """
     wanted = usable(registry, active_only).select(F.col("rfp_url").alias("url")).distinct()
     fetched = latest(pages.join(wanted, "url", "left_semi"), body="html")
@@ -140,9 +140,22 @@ def page_parts(registry: DataFrame, pages: DataFrame, active_only: bool = True,
     )
     if options.get("blocks", True):
         flat = R.with_block_facts(flat, F.col("kind") == "block", words)
+    if observe is not None:
+        flat = flat.observe(observe, *pass_counters())
     return _once(write_out(flat, "parts", by="kind"))
 
 
+def pass_counters() -> list[Column]:
+    """Counters of the parse pass, for ``observe``: pages, failed ones, and parts by kind.
+
+    They are taken while the parts are written. A task's numbers count when its output does, once,
+    so tasks that run again or twice change nothing.
+    """
+    failed = (F.col("kind") == "page") & (F.coalesce("text", F.lit("")) != "")
+    return [F.count_if(F.col("kind") == "page").alias("n_pages"), F.count_if(failed).alias("n_failed"),
+            *[F.count_if(F.col("kind") == kind).alias(f"n_{kind}") for kind in ("block", "any", "strict", "fallback")]]
+
+
 def _once(parts: DataFrame) -> DataFrame:
     """Parts of pages that were there more than once, equal in every respect, once.
 
