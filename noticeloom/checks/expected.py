@@ -510,10 +510,10 @@ _expect("extraction_metrics", """SELECT entry,
     AS BIGINT) AS n_fallback, FALSE AS failed
   FROM n JOIN reg USING (c) WHERE active GROUP BY entry, c""")
 
+_portal = "c % 5 AS layout, CASE WHEN c % 3 = 0 THEN -1 ELSE c // 500 END AS portal"
 _expect("shared_portal", f"""SELECT e.entry, e.name AS utility, title, url, source_page, dates FROM (
-  SELECT DISTINCT c * 4294967296 AS entry, c % 5 AS layout, name,
-    min(c) OVER (PARTITION BY c % 5) * 4294967296 AS lead
-  FROM n JOIN reg USING (c) WHERE ch = 0) e
+    SELECT DISTINCT entry, name, {_portal} FROM n JOIN reg USING (c)) e
+  JOIN (SELECT min(c) * 4294967296 AS lead, {_portal} FROM n WHERE ch = 0 GROUP BY layout, portal) USING (layout, portal)
   JOIN (SELECT entry AS lead, title, url, source_page, dates FROM ({_BL} UNION ALL {_FB})) USING (lead)""")
 _expect("latest_pages", """SELECT url, page_id // 2 AS page_id, length(html) AS n_chars FROM (
   SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id DESC) AS rn,

@@ -592,11 +592,15 @@ def extraction_metrics(spark, sf):
 
 
 def _shared_portal(spark, sf):
-    """Issuers of one layout share the first page of the smallest of them."""
-    registry = N.paged_registry(spark, sf).where("entry % 4294967296 = 0")
-    first = registry.groupBy(F.expr("cust % 5").alias("layout")).agg(F.min("cust").alias("lead"))
-    return (registry.withColumn("layout", F.expr("cust % 5")).join(first, "layout")
-            .withColumn("rfp_url", F.expr("concat('https://u', lead, '.example.com/notices/index.html')")))
+    """All entries on shared addresses: about a hundred issuers an address, a third of all on one a layout.
+
+    An address is the first page of the smallest of its issuers.
+    """
+    registry = N.paged_registry(spark, sf).withColumns({
+        "layout": F.expr("cust % 5"), "portal": F.expr("if(cust % 3 = 0, -1, cust div 500)")})
+    first = registry.where("entry % 4294967296 = 0").groupBy("layout", "portal").agg(F.min("cust").alias("lead"))
+    return registry.join(first, ["layout", "portal"]).withColumn(
+        "rfp_url", F.expr("concat('https://u', lead, '.example.com/notices/index.html')"))
 
 
 @query

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from noticeloom.functions import vocab as V
 from noticeloom.operators import summaries as S
+from noticeloom.session import write_out
 
 LINE_ORDER = ("section", "utility", "idx")
 JSON_ORDER = ("section", "entry", "seq")
@@ -36,9 +37,12 @@ def _lines(df: DataFrame, section: int, utility: Column, idx: Column,
 
 
 def _in_order(paragraphs: DataFrame, order: Sequence[str]) -> DataFrame:
-    """The lines of the document, in order: ``order``, ``line_no``, ``line``."""
+    """The lines of the document, in order: ``order``, ``line_no``, ``line``.
+
+    Paragraphs are written first: a sort samples its input, and would work them out a second time for it.
+    """
     return (
-        paragraphs.orderBy(*order)
+        write_out(paragraphs, "paragraphs").orderBy(*order)
         .select(*order, F.posexplode("lines").alias("line_no", "line"))
         .where(F.col("line").isNotNull())
     )
