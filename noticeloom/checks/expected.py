@@ -664,3 +664,4 @@ _expect("observed_metrics", f"""SELECT CAST(sum((status <> 'uncollected')::INT)
   CAST(sum((status = 'failed')::INT) AS BIGINT) AS n_failed, CAST(sum(n_blocks) AS BIGINT) AS n_block,
   CAST(sum(n_doc_links) AS BIGINT) AS n_any, CAST(sum(n_fallback) AS BIGINT) AS n_fallback
   FROM (SELECT * FROM ({EXPECTED["run_metrics"]}))""")
+EXPECTED["large_page_blocks"] = EXPECTED["page_blocks"]

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from noticeloom.functions import text as X
 from noticeloom.functions.vocab import Words
 from noticeloom.functions.urls import resolve_url
-from noticeloom.operators import choose, dedup, enrich, keyword_table as KT, misspelt, page_parts as P, periods
+from noticeloom.operators import choose, dedup, enrich, keyword_table as KT, large_pages, misspelt
+from noticeloom.operators import page_parts as P, periods
 from noticeloom.operators import records as R
 from noticeloom.operators import summaries as S
 from noticeloom.operators.nodes import glued, parse_pages
@@ -788,6 +789,13 @@ def misspelt_titles(spark, sf):
         "distance", _long("distance"))
 
 
+@query
+def large_page_blocks(spark, sf):
+    """Blocks from elements as rows; the same as from arrays."""
+    return large_pages.large_page_blocks(N.listing_pages(spark, sf)).select(
+        "page_id", "seq", _long("strategy"), "title")
+
+
 @query
 def keyword_table(spark, sf):
     """Document texts against a table of terms: ends of customer names, orders, parts of words, one letter,
