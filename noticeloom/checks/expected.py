@@ -665,3 +665,8 @@ _expect("observed_metrics", f"""SELECT CAST(sum((status <> 'uncollected')::INT)
   CAST(sum(n_doc_links) AS BIGINT) AS n_any, CAST(sum(n_fallback) AS BIGINT) AS n_fallback
   FROM (SELECT * FROM ({EXPECTED["run_metrics"]}))""")
 EXPECTED["large_page_blocks"] = EXPECTED["page_blocks"]
+_lines = "SELECT '{0}' AS report, {2} AS line, count(*) AS n FROM ({1}) GROUP BY ALL"
+EXPECTED["report_files"] = " UNION ALL ".join([
+    _lines.format("json", EXPECTED["report_json"], "replace(line, '2026-01-02 03:04', '2026-01-02T03:04:00')"),
+    _lines.format("markdown", EXPECTED["report_markdown"], "line"),
+    _lines.format("summary", EXPECTED["report_summary"], "line")])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -22,7 +22,7 @@ from noticeloom.operators import summaries as S
 from noticeloom.operators.nodes import glued, parse_pages
 from noticeloom.plans import opportunities as O, reports
 from noticeloom.session import configure, scratch_dir, write_out
-from noticeloom.sources import order_notices as N, registry as REG
+from noticeloom.sources import order_notices as N, registry as REG, sinks
 from noticeloom.sources.tables import read_documents, read_pages, read_table
 from noticeloom.streaming import changes as CH, incremental as INC, late_documents as LATE
 from noticeloom.streaming.seen import SeenStore
@@ -523,19 +523,35 @@ def report_markdown(spark, sf):
         _long("section"), "utility", "idx", _long("line_no"), "line")
 
 
-@query
-def report_json(spark, sf):
-    opps = write_out(
+def _json_opps(spark, sf):
+    return write_out(
         _flat(spark, sf).select(
             "entry", "seq", "utility", "title", "url", "source_page", "dates",
             F.struct(X.email(F.col("description")).alias("email"),
                      X.phone(F.col("description")).alias("phone")).alias("contact"),
             F.array(F.struct(F.lit("more").alias("text"), "url")).alias("additional_links"),
             F.create_map(F.lit("source"), "utility_id").alias("metadata")), "opps")
-    return reports.json_lines(opps, GENERATED).select(
+
+
+@query
+def report_json(spark, sf):
+    return reports.json_lines(_json_opps(spark, sf), GENERATED).select(
         _long("section"), "entry", "seq", _long("line_no"), "line")
 
 
+@query
+def report_files(spark, sf):
+    """All three reports as files, read back: how often each line is in each of them."""
+    folder, now = f"{scratch_dir(spark)}/reports-{uuid.uuid4().hex}", datetime(2026, 1, 2, 3, 4)
+    opps = write_out(_flat(spark, sf), "opps")
+    saved = {"json": sinks.save_json(_json_opps(spark, sf), folder, now),
+             "markdown": sinks.save_markdown(opps, folder, now), "summary": sinks.save_summary(opps, folder, now)}
+    lines = [spark.read.text(path).select(F.lit(kind).alias("report"), F.col("value").alias("line"))
+             for kind, path in saved.items()]
+    return lines[0].unionByName(lines[1]).unionByName(lines[2]).groupBy("report", "line").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 # Whole pipelines
 
 def _shown(opps: DataFrame, *more: str) -> DataFrame:
