@@ -114,7 +114,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_secrets": op13_secrets,
 }
 
+# Part distances to all entries, and the entries moved to the means of their parts.
+_NEAREST = """SELECT vec_id, label, p, w, arg_min(k, d * 64 + k) AS k, min(d) AS d FROM (
+            SELECT s.*, b.k, CAST(list_sum(list_transform(list_zip(w, e),
+                lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+            FROM parts s JOIN {0} b ON s.p = b.p) GROUP BY vec_id, label, p, w"""
+_MOVED = """SELECT b.p, b.k, coalesce(m.e, b.e) AS e FROM {0} b LEFT JOIN (
+            SELECT p, k, list(x ORDER BY j) AS e FROM (
+                SELECT p, k, j, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (
+                    SELECT p, k, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM {1}) GROUP BY p, k, j)
+            GROUP BY p, k) m ON m.p = b.p AND m.k = b.k"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding,
+                lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (
+            SELECT vec_id, label, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS w
+            FROM (SELECT *, unnest(range(16)) AS p FROM kept)),
+        b0 AS MATERIALIZED (
+            SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, w AS e
+            FROM parts QUALIFY k < 64),
+        a0 AS MATERIALIZED ({_NEAREST.format("b0")}), b1 AS MATERIALIZED ({_MOVED.format("b0", "a0")}),
+        a1 AS MATERIALIZED ({_NEAREST.format("b1")}), b2 AS MATERIALIZED ({_MOVED.format("b1", "a1")}),
+        a2 AS MATERIALIZED ({_NEAREST.format("b2")}),
+        coded AS (
+            SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code,
+                   CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, k, j)) FROM (
+                SELECT p, k, unnest(e) AS x, generate_subscripts(e, 1) AS j FROM b2)) AS codebooks_sha256
+        FROM coded""",
     "op4_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
