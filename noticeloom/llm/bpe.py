@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words that a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 
 # Fixed value: the pattern that splits text into words before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
