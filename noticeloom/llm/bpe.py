@@ -11,8 +11,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Words that a worker keeps; beyond that it starts anew.
+#: Words that a worker keeps, half of them from the last texts, half from the texts before.
 KEPT_WORDS = 200_000
+#: Bytes up to which a word is merged by looking at all its pairs again, which is faster than a heap.
+SHORT_WORD = 48
 
 # Fixed value: the pattern that splits text into words before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,6 +77,7 @@ class Bpe:
             special, key=len, reverse=True)))) if special else None
         self.word = regex.compile(WORDS)
         self.words: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
         self.checked = self.failed = 0
 
     @classmethod
@@ -86,11 +89,26 @@ class Bpe:
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: again and again the pair of the lowest rank, of equal ones the leftmost.
 
-        Tokens are linked at the place of their first byte, and pairs wait in a heap, so a long word
-        takes time in proportion to its length and the logarithm of it.
+        In a long word tokens are linked at the place of their first byte, and pairs wait in a heap, so
+        it takes time in proportion to its length and the logarithm of it.
         """
         ids = [self.single[b] for b in word]
         merges, n = self.merges, len(ids)
+        if n <= SHORT_WORD:
+            none = (1 << 60, -1)
+            found = [merges.get(p, none) for p in zip(ids, ids[1:])]
+            while found:
+                best = min(found)
+                if best is none:
+                    break
+                i = found.index(best)
+                ids[i:i + 2] = [best[1]]
+                del found[i]
+                if i < len(found):
+                    found[i] = merges.get((ids[i], ids[i + 1]), none)
+                if i:
+                    found[i - 1] = merges.get((ids[i - 1], ids[i]), none)
+            return ids
         heap = [(merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
         heapq.heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -163,7 +181,8 @@ class Bpe:
         for k, (word, ids) in enumerate(zip(words, guesses, strict=True)):
             if k in bad:
                 ids = self.merge(data[k])
-            self.words[word] = (len(ids), ",".join(map(str, ids)), self.decode(ids))
+            text = self.decode(ids)
+            self.words[word] = (len(ids), ",".join(map(str, ids)), word if text == word else text)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.bytes_of[i] for i in ids).decode(errors="replace")
@@ -182,12 +201,15 @@ class Bpe:
     def encode(self, texts: list[str | None]) -> list[list[tuple[int, str, str]]]:
         """For each text its pieces as (number of ids, ids with commas, decoded)."""
         cut = [self.pieces(t or "") for t in texts]
-        if len(self.words) > KEPT_WORDS:
-            self.words = {}
+        if len(self.words) > KEPT_WORDS // 2:
+            self.words, self.older = {}, self.words
         for token, i in self.special.items():
             self.words[token] = (1, str(i), token)
         known = self.words
         new = {w for pieces in cut for w in pieces if w not in known}
+        again = {w: self.older[w] for w in new if w in self.older}
+        known.update(again)
+        new -= again.keys()
         if new:
             self.learn(sorted(new))
         return [[known[w] for w in pieces] for pieces in cut]
