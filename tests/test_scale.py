@@ -83,3 +83,13 @@ def test_contained_titles_of_a_hot_group(spark):
     df = _skewed(spark).repartition(8)
     # "... kind 1" never holds another whole title: numbers differ.
     assert dedup.drop_contained(df, ["g"]).count() == 60_000
+
+
+def test_orders_are_dealt_before_they_become_text(spark):
+    from noticeloom.sources import order_notices as N
+    made = plan(N.notices(spark, SF))
+    # The bare orders move; what is above the exchange, the text, is made where they arrive.
+    assert "concat(" in made.split("Exchange hashpartitioning(cust")[0]
+    assert "concat(" not in made.split("Exchange hashpartitioning(cust")[1]
+    # A page is put together where its orders are.
+    assert plan(N.listing_pages(spark, SF)).count("Exchange") == 1
