@@ -128,3 +128,19 @@ def test_date_value(spark):
                       "5-5-25", "Sept 5 2021", "25-11-15"], lambda t: X.date_value(t).cast("string"))
     assert got == ["1998-10-03", None, "2025-11-15", "2024-12-01", "2020-01-03", "2025-05-05",
                    "2021-09-05", None]
+
+
+def test_months_are_found_as_without_the_look_ahead(spark):
+    odd = ["on may 3, 2020", "MAY 3 2020 mayor 4 2021", "xMay 3 2020", "ſep 1, 2020", "9Jun 1 2020 Jun 2 2020",
+           "éOct 3 2020", "decade 1 2020", "Jan 1, 2020", "OKt 3 2020", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string")
+    for now, before in ((V.PLAIN_DATES[2], r"(?iU)\b" + V.MONTH_DATE), (V.CONTEXT_DATES[2], r"(?iU)" + V.MONTH_DATE)):
+        assert now != before
+        assert rows.where(~X.all_matches(F.col("t"), now).eqNullSafe(X.all_matches(F.col("t"), before))).count() == 0
+    assert rows.where(F.size(X.all_matches(F.col("t"), V.PLAIN_DATES[2])) > 0).count() == 6
+
+
+def test_dates_of_a_document_are_compiled_so_that_columns_share_them(spark):
+    t = F.col("id").cast("string")
+    both = spark.range(1).select(X.document_dates(t), X.document_dates(t, per_pattern=None))
+    assert "*(1) Project" in both._jdf.queryExecution().executedPlan().toString()
