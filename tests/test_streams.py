@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from noticeloom.streaming.changes import follow_runs
+from noticeloom.streaming.changes import compared_runs, follow_runs
 from noticeloom.streaming.late_documents import DOCUMENT, PAGE, follow_documents
 
 DAY = timedelta(days=1)
@@ -51,6 +51,32 @@ def test_changes_of_runs_in_any_order(runs):
     assert follow() == got == follow()
 
 
+def test_of_runs_close_to_each_other_the_last_counts(runs):
+    land, follow = runs
+    land(1, ("u", "a", 1, "x"), ("u", "b", 1, "x"), ("u", "c", 1, "x"))
+    land(1, ("u", "a", 1, "y"), ("u", "b", 1, "y"), hours=6)
+    land(1, ("u", "a", 1, "y"), ("u", "b", 1, "x"), ("u", "c", 1, "x"), hours=12)
+    land(9, ("u", "end", 1, "x"))
+    assert follow() == sorted([
+        *(("u", t, 1, "new") for t in "abc"), ("u", "a", 1, "changed"), ("u", "b", 1, "changed"),
+        ("u", "b", 1, "changed"), *(("u", t, 2, "gone") for t in "abc")], key=repr)
+
+
+def test_a_run_just_complete_says_what_is_gone(runs):
+    land, follow = runs
+    land(1, ("u", "a", 1, "x"), ("u", "b", 1, "x"))
+    land(2, ("u", "b", 1, "x"))
+    land(3, ("u", "end", 1, "x"), hours=12)
+    assert follow() == sorted([("u", "a", 1, "new"), ("u", "b", 1, "new"), ("u", "a", 2, "gone")], key=repr)
+
+
+def test_runs_are_compared_without_python(spark, tmp_path):
+    spark.createDataFrame([], RUN).write.parquet(str(tmp_path / "in"))
+    found = spark.readStream.schema(RUN).parquet(str(tmp_path / "in"))
+    text = compared_runs(found, DAY, DAY)._jdf.queryExecution().analyzed().toString()
+    assert "Join FullOuter" in text and "InPandas" not in text
+
+
 REGISTRY = "entry long, rfp_url string, active boolean, max_pdfs_to_extract int"
 
 
