@@ -93,3 +93,9 @@ def test_orders_are_dealt_before_they_become_text(spark):
     assert "concat(" not in made.split("Exchange hashpartitioning(cust")[1]
     # A page is put together where its orders are.
     assert plan(N.listing_pages(spark, SF)).count("Exchange") == 1
+
+
+def test_tables_that_are_small_as_files_only_are_not_broadcast(spark):
+    from noticeloom.session import write_out
+    texts = write_out(spark.range(20_000).selectExpr("id", "concat(id, repeat(' long text', 210)) as t"), "texts")
+    assert "Broadcast" not in plan(texts.join(texts.withColumnRenamed("t", "u"), "id"))
