@@ -31,6 +31,14 @@ def test_many_terms_are_joined_by_a_shuffle(spark, monkeypatch):
     assert sorted(map(tuple, find_terms(texts, terms, ["doc"]).collect()), key=repr) == want(TEXTS, TERMS)
 
 
+def test_a_text_is_lower_cased_once(spark):
+    texts = spark.createDataFrame(TEXTS, "doc long, text string, run string")
+    terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
+    plan = find_terms(texts, terms, ["doc"])._jdf.queryExecution().optimizedPlan().toString()
+    [join] = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert "Contains(_low" in join and "lower(" not in join
+
+
 def test_no_terms(spark):
     texts = spark.createDataFrame(TEXTS, "doc long, text string, run string")
     none = spark.createDataFrame([(None,), ("",)], "term string")
