@@ -99,3 +99,8 @@ def test_tables_that_are_small_as_files_only_are_not_broadcast(spark):
     from noticeloom.session import write_out
     texts = write_out(spark.range(20_000).selectExpr("id", "concat(id, repeat(' long text', 210)) as t"), "texts")
     assert "Broadcast" not in plan(texts.join(texts.withColumnRenamed("t", "u"), "id"))
+
+
+def test_only_the_texts_shown_are_put_together(spark):
+    made = plan(QUERIES["nested_nodes"](spark, SF))
+    assert "transform(filter(nodes" in made
