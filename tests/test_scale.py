@@ -87,7 +87,8 @@ def test_contained_titles_of_a_hot_group(spark):
 
 def test_orders_are_dealt_before_they_become_text(spark):
     from noticeloom.sources import order_notices as N
-    made = plan(N.notices(spark, SF))
+    assert "Exchange" not in plan(N.notices(spark, SF))
+    made = plan(N.notices(spark, SF, dealt=True))
     # The bare orders move; what is above the exchange, the text, is made where they arrive.
     assert "concat(" in made.split("Exchange hashpartitioning(cust")[0]
     assert "concat(" not in made.split("Exchange hashpartitioning(cust")[1]
