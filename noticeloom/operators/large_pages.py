@@ -29,21 +29,32 @@ _TYPES = [pa.int32()] * 4 + [pa.string()] * 4 + [pa.int32()] * 2 + [pa.string()]
 def _rows(n_keys: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # Rows of a kind and the places of their pages in the batch. Small pages share a batch of rows.
+            held = {kind: ([], []) for kind in ("node", "seg")}
+
+            def full(last: bool = False) -> Iterator[pa.RecordBatch]:
+                for kind, (of, rows) in held.items():
+                    end = len(rows) if last else len(rows) - len(rows) % BATCH_ROWS
+                    for at in range(0, end, BATCH_ROWS):
+                        part = rows[at:min(at + BATCH_ROWS, end)]
+                        take = pa.array(of[at:at + len(part)], pa.int64())
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(k).take(take) for k in range(n_keys)] + [pa.array([kind] * len(part))]
+                            + [pa.array(c, t) for c, t in zip(zip(*part), _TYPES)], names)
+                    del of[:end], rows[:end]
+
             for i in range(batch.num_rows):
                 html = batch.column(n_keys)[i].as_py()
                 if html is None:
                     continue
                 nodes, segs = parse_tree(html)
-                own = [batch.column(k).slice(i, 1) for k in range(n_keys)]
                 blank = (None,) * 8
                 for kind, rows in (("node", [(*r, None) for r in nodes]),
                                    ("seg", [(*blank, k, None, s) for k, s in enumerate(segs, 1)])):
-                    for at in range(0, len(rows), BATCH_ROWS):
-                        part = rows[at:at + BATCH_ROWS]
-                        take = pa.array([0] * len(part))
-                        yield pa.RecordBatch.from_arrays(
-                            [c.take(take) for c in own] + [pa.array([kind] * len(part))]
-                            + [pa.array(c, t) for c, t in zip(zip(*part), _TYPES)], names)
+                    held[kind][0].extend([i] * len(rows))
+                    held[kind][1].extend(rows)
+                yield from full()
+            yield from full(last=True)
     return run
 
 

@@ -1,3 +1,6 @@
+import pyarrow as pa
+
+from noticeloom.operators import large_pages
 from noticeloom.operators.large_pages import large_page_blocks
 from noticeloom.operators.nodes import parse_pages
 from noticeloom.operators.page_parts import page_blocks
@@ -35,3 +38,17 @@ def test_a_page_of_300000_elements(spark):
     assert [b.title for b in blocks[:2] + blocks[-1:]] == [f"RFP number {k} details" for k in (0, 1, 19_999)]
     assert all(len(b.links) == 1 and b.links[0].href == f"{b.seq - 1}.pdf" for b in blocks)
     assert blocks[7].text == "RFP number 7 details due 1/2/2024 d a b c d e f g h j k l"
+
+
+def test_small_pages_share_batches_and_large_ones_are_cut():
+    html = ["<p>a<b>b</b></p>", None, "", *["<ul><li>x</ul>"] * 200, "<i>t</i>" * 10_000, "<p>last"]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(len(html))), "html": html})
+    names = ["page_id", "kind", *large_pages.NODE.names, "text"]
+    out = list(large_pages._rows(1, names)(iter([batch])))
+    assert len(out) == 4 and max(b.num_rows for b in out) == large_pages.BATCH_ROWS
+    rows = pa.Table.from_batches(out).to_pylist()
+    for kind, column in (("node", "pre"), ("seg", "seg")):
+        got = [(r["page_id"], r[column]) for r in rows if r["kind"] == kind]
+        want = [(page, k) for page, text in enumerate(html)
+                for k in range(1, len(large_pages.parse_tree(text or "")[kind == "seg"]) + 1)]
+        assert got == want
