@@ -110,3 +110,22 @@ def test_documents_that_land_late_twice_or_never(spark, tmp_path):
                    (2, 1, "Before", "before 1/2/2024"), (2, 2, "after", "new text"), (3, 1, "b", "new text")]
     assert sorted((r.entry, r.document_url) for r in missing.collect()) == [
         (1, "https://x/late.pdf"), (1, "https://x/never.pdf")]
+
+
+def test_a_document_and_a_link_of_a_shared_page_are_kept_once_and_on_disk(spark, tmp_path):
+    pages, documents, progress = (str(tmp_path / d) for d in ("pages", "documents", "progress"))
+    registry = spark.createDataFrame([(e, "https://x/a", True, e % 3) for e in range(6)], REGISTRY)
+    spark.createDataFrame([("https://x/a", "<a href=1.pdf>1</a><a href=2.pdf>2</a><a href=3.pdf>3</a>", day(10))],
+                          PAGE).coalesce(1).write.parquet(pages)
+    spark.createDataFrame([(f"https://x/{n}.pdf", f"text {n}", {}, day(10)) for n in range(2, 7)],
+                          DOCUMENT).coalesce(1).write.parquet(documents)
+    records, missing = follow_documents(spark, pages, documents, registry, str(tmp_path / "out"), progress,
+                                        wait=DAY, late=DAY)
+    assert sorted((r.entry, r.url) for r in records.collect()) == [(e, "https://x/2.pdf") for e in (2, 5)]
+    assert missing.count() == 0   # the first document may still come
+    join = spark.read.format("state-metadata").load(progress).where("operatorName = 'symmetricHashJoin'") \
+        .select("operatorId").distinct().collect()
+    state = {side: spark.read.format("statestore").option("operatorId", join[0].operatorId)
+             .option("joinSide", side).load(progress).count() for side in ("left", "right")}
+    assert state == {"left": 2, "right": 5}
+    assert list((tmp_path / "progress" / "state").rglob("*.zip"))
