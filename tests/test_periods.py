@@ -2,10 +2,11 @@ import random
 from collections import defaultdict
 from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from noticeloom.functions.text import date_ranges
-from noticeloom.operators.misspelt import misspelt_titles
+from noticeloom.operators.misspelt import _same_remainder, misspelt_titles
 from noticeloom.operators.periods import notice_periods, open_by_day
 
 
@@ -89,3 +90,17 @@ def test_a_stock_phrase_does_not_pair_all_titles(spark):
         "'u' as g", "id as seq", "concat('request for proposal ', md5(string(id div 2)), if(id % 2 = 0, '', 'x')) as title")
     got = misspelt_titles(rows, ["g"]).collect()
     assert sorted((r.first, r.second, r.distance) for r in got) == [(2 * i, 2 * i + 1, 1) for i in range(1500)]
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_titles_that_differ_in_a_number_between_stock_phrases_are_few_pairs(spark, edits):
+    numbers = [100_000 + k * 7_919_333 % 900_000 for k in range(120)] + [100_000 + k for k in range(1, 13)]
+    titles = [f"Renewal of lot {k} for the town" for k in numbers] + ["renewal of lot 100000 for the towns"]
+    rows = spark.createDataFrame([(1, t, k) for k, t in enumerate(titles)], "g int, title string, seq long")
+    names = rows.selectExpr("g", "seq as n", "lower(title) as t", "seq as s")
+    met = _same_remainder(names, ["g"], edits)
+    plain = [t.lower() for t in titles]
+    want = {(i, k, d) for i, a in enumerate(plain) for k, b in enumerate(plain[:i]) if 1 <= (d := distance(a, b)) <= edits}
+    got = misspelt_titles(rows, ["g"], edits=edits, hot=5)
+    assert {(r.second, r.first, r.distance) for r in got.collect()} == want
+    assert 10 < len(want) <= met.count() < len(titles) ** 2 / 20
