@@ -59,6 +59,11 @@ class Bpe:
             if self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = rank, left, right
             self.merges[left, right] = (rank, made)
+        # By left token: the ranks of its merges, and what a rank makes. Whole numbers compare faster than pairs.
+        self.follow: list[dict[int, int]] = [{} for _ in range(size)]
+        self.made: dict[int, int] = {}
+        for (left, right), (rank, made) in self.merges.items():
+            self.follow[left][right], self.made[rank] = rank, made
         codes = np.array([a << 32 | b for a, b in self.merges], np.int64)
         order = np.argsort(codes)
         self.codes = codes[order]
@@ -66,18 +71,21 @@ class Bpe:
         # Tokens that merging leads to; only these may be guessed.
         self.whole = {self.bytes_of[i]: i for i in self.bytes_of
                       if self.merge(self.bytes_of[i]) == [i]}
-        # The longest token that starts with these two bytes.
+        # The longest token that starts with these four bytes; where there is none, it has up to three.
         self.reach: dict[bytes, int] = {}
         for token in self.whole:
-            self.reach[token[:2]] = max(len(token), self.reach.get(token[:2], 0))
+            if len(token) > 3:
+                self.reach[token[:4]] = max(len(token), self.reach.get(token[:4], 0))
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.special = special
         self.bytes_of |= {i: t.encode() for t, i in special.items()}
         self.split = regex.compile("|".join(map(regex.escape, sorted(
             special, key=len, reverse=True)))) if special else None
         self.word = regex.compile(WORDS)
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        # The ids of words with commas between them, and the decoded text of those that it differs for.
+        self.words: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
         self.checked = self.failed = 0
 
     @classmethod
@@ -95,19 +103,19 @@ class Bpe:
         ids = [self.single[b] for b in word]
         merges, n = self.merges, len(ids)
         if n <= SHORT_WORD:
-            none = (1 << 60, -1)
-            found = [merges.get(p, none) for p in zip(ids, ids[1:])]
+            none, follow, made = 1 << 60, self.follow, self.made
+            found = [follow[a].get(b, none) for a, b in zip(ids, ids[1:])]
             while found:
                 best = min(found)
-                if best is none:
+                if best == none:
                     break
                 i = found.index(best)
-                ids[i:i + 2] = [best[1]]
-                del found[i]
+                ids[i] = made[best]
+                del ids[i + 1], found[i]
                 if i < len(found):
-                    found[i] = merges.get((ids[i], ids[i + 1]), none)
+                    found[i] = follow[ids[i]].get(ids[i + 1], none)
                 if i:
-                    found[i - 1] = merges.get((ids[i - 1], ids[i]), none)
+                    found[i - 1] = follow[ids[i - 1]].get(ids[i], none)
             return ids
         heap = [(merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
         heapq.heapify(heap)
@@ -135,7 +143,7 @@ class Bpe:
         """The longest known token at each place."""
         ids, at, whole, reach, n = [], 0, self.whole, self.reach, len(word)
         while at < n:
-            for end in range(min(n, at + reach.get(word[at:at + 2], 1)), at, -1):
+            for end in range(min(n, at + reach.get(word[at:at + 4], 3)), at, -1):
                 if (token := whole.get(word[at:end])) is not None:
                     ids.append(token)
                     at = end
@@ -181,8 +189,9 @@ class Bpe:
         for k, (word, ids) in enumerate(zip(words, guesses, strict=True)):
             if k in bad:
                 ids = self.merge(data[k])
-            text = self.decode(ids)
-            self.words[word] = (len(ids), ",".join(map(str, ids)), word if text == word else text)
+            self.words[word] = ",".join(map(str, ids))
+            if (text := self.decode(ids)) != word:
+                self.odd[word] = text
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.bytes_of[i] for i in ids).decode(errors="replace")
@@ -198,21 +207,27 @@ class Bpe:
             at = m.end()
         return out + self.word.findall(text[at:])
 
-    def encode(self, texts: list[str | None]) -> list[list[tuple[int, str, str]]]:
-        """For each text its pieces as (number of ids, ids with commas, decoded)."""
+    def known(self, texts: list[str | None]) -> list[list[str]]:
+        """The pieces of each text; ``words`` and ``odd`` have all of them until the next call."""
         cut = [self.pieces(t or "") for t in texts]
         if len(self.words) > KEPT_WORDS // 2:
             self.words, self.older = {}, self.words
+            self.odd = {w: t for w, t in self.odd.items() if w in self.older}
         for token, i in self.special.items():
-            self.words[token] = (1, str(i), token)
+            self.words[token] = str(i)
         known = self.words
-        new = {w for pieces in cut for w in pieces if w not in known}
+        new = set().union(*cut).difference(known)
         again = {w: self.older[w] for w in new if w in self.older}
         known.update(again)
         new -= again.keys()
         if new:
             self.learn(sorted(new))
-        return [[known[w] for w in pieces] for pieces in cut]
+        return cut
+
+    def encode(self, texts: list[str | None]) -> list[list[tuple[int, str, str]]]:
+        """For each text its pieces as (number of ids, ids with commas, decoded)."""
+        return [[(self.words[w].count(",") + 1, self.words[w], self.odd.get(w, w)) for w in pieces]
+                for pieces in self.known(texts)]
 
 
 def _coder(path: str, digest: bool):
@@ -222,10 +237,10 @@ def _coder(path: str, digest: bool):
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 n, ids, texts = [], [], []
-                for pieces in bpe.encode(part.column(1).to_pylist()):
-                    n.append(sum(p[0] for p in pieces))
-                    own = ",".join(p[1] for p in pieces)
-                    text = "".join(p[2] for p in pieces)
+                for pieces in bpe.known(part.column(1).to_pylist()):
+                    own = ",".join(map(bpe.words.__getitem__, pieces))
+                    n.append(own.count(",") + 1 if own else 0)
+                    text = "".join([bpe.odd.get(p, p) for p in pieces] if bpe.odd else pieces)
                     if digest:
                         own = hashlib.sha256(own.encode()).hexdigest()
                         text = hashlib.sha256(text.encode()).hexdigest()

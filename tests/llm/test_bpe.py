@@ -78,3 +78,16 @@ def test_long_words_take_no_quadratic_time(library):
         got = ids_of(word)
         assert time.process_time() - start < 10
         assert got == library.encode(word, add_special_tokens=False).ids
+
+
+def test_short_words_are_merged_by_ranks_and_guesses_reach_no_further_than_a_token(monkeypatch):
+    from noticeloom.llm import bpe as module
+    bpe = Bpe(PATH)
+    words = [w.encode() for w in (" erthness", "aaaaaaaaa", " zzqqzz", "ß", "日本", " 1234567", "xX-_", "a")]
+    short = [bpe.merge(w) for w in words]
+    assert all(bpe.made[rank] == made and bpe.follow[a][b] == rank for (a, b), (rank, made) in bpe.merges.items())
+    longest = [max([k for k in range(1, len(w) + 1) if w[:k] in bpe.whole]) for w in words]
+    assert [len(bpe.bytes_of[bpe.guess(w)[0]]) for w in words] == longest
+    monkeypatch.setattr(module, "SHORT_WORD", 0)
+    assert [bpe.merge(w) for w in words] == short
+    assert all(isinstance(ids, str) for ids in bpe.words.values())
