@@ -165,3 +165,27 @@ def test_partitioning_does_not_matter(spark):
     def all_rows(n):
         return sorted(map(str, P.page_blocks(parse_pages(pages.repartition(n))).collect()))
     assert all_rows(1) == all_rows(7)
+
+
+class _NoToken:
+    def match(self, *_):
+        raise AssertionError("looked at by the long pattern")
+
+
+def test_plain_tags_are_found_without_the_long_pattern(monkeypatch):
+    from noticeloom.operators import nodes
+    html = '<ul><li class="a  b">x <a href="u?a=1&amp;b=2">y</a></li><li>z<br/></ul><p>q</i>r<p>s'
+    want = parse_tree(html)
+    monkeypatch.setattr(nodes, "_TOKEN", _NoToken())
+    assert parse_tree(html) == want
+    assert [row[4] for row in want[0]] == ["ul", "li", "a", "li", "br", "p", "p"]
+    assert (want[0][1][6], want[0][2][7], want[1]) == ("a b", "u?a=1&b=2", ["x", "y", "z", "qr", "s"])
+
+
+def test_quotes_comments_and_raw_text_take_the_long_pattern():
+    tags = lambda html: [row[4] for row in parse_tree(html)[0]]
+    assert tags("<a title='>'>t</a><b>") == ["a", "b"]
+    assert tags('<a title=">" id="k">t</a>') == ["a"]
+    assert tags("<!-- <i> --><p>1 < 2 <b") == ["p"]
+    assert tags("<STYLE>a<b></style ><td>") == ["style", "td"]
+    assert tags('<x"<img src="a>b"/>') == ['x"<img']
