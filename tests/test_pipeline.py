@@ -194,3 +194,24 @@ def test_registry_file(spark, tmp_path):
     assert [r.name for r in REG.usable(reg, active_only=False).orderBy("entry").collect()] == ["A", "B"]
     assert [r.name for r in REG.by_id(reg, "a").collect()] == ["A"]
     assert REG.by_id(reg, "z").count() == 0
+
+
+def test_a_page_that_landed_twice_is_parsed_once(spark, data):
+    from pyspark.sql import Observation
+    registry, pages, docs = data
+    seen, again = Observation("once"), Observation("twice")
+    O.page_parts(registry, pages, observe=seen).count()
+    parts = O.page_parts(registry, pages.union(pages).union(pages), observe=again)
+    assert again.get == seen.get and seen.get["n_pages"] == parts.where("kind = 'page'").count() > 0
+    assert titles(O.opportunities(registry, pages.union(pages), docs.union(docs))) == titles(O.opportunities(*data))
+
+
+def test_one_fetch_is_what_latest_keeps(spark):
+    rows = spark.createDataFrame(
+        [("a", None, 1, "x"), ("a", "2", 0, "y"), ("a", "2", 0, "y"), ("b", None, 7, "p"), ("b", None, 7, "q"),
+         (None, "1", 1, "n")], "url string, fetched_at string, page_id int, html string")
+    want = {tuple(r) for r in O.latest(rows, body="html").collect()}
+    got = [tuple(r) for r in O.one_fetch(rows, body="html").where("url is not null").collect()]
+    assert sorted(got) == sorted(want) and len(got) == 2
+    plan = O.one_fetch(rows, body="html")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "WindowGroupLimit" in plan.split("Exchange")[1]
