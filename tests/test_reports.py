@@ -121,3 +121,25 @@ def test_line_numbers_do_not_depend_on_partitions(spark, opps):
     def lines(df):
         return [tuple(r) for r in reports.summary_lines(df, "g").orderBy(*reports.LINE_ORDER).collect()]
     assert lines(opps) == lines(opps.coalesce(1))
+
+
+def test_text_is_made_after_the_sort_and_entries_are_numbered_once(spark, opps, tmp_path):
+    placed = reports.with_places(opps).localCheckpoint()
+    assert {(r.utility, r[reports.PLACE]) for r in placed.collect()} == {
+        ("Zeta", 1), ("Alpha", 1), ("Alpha", 2), (None, 1)}
+    for made in (reports.summary_lines(placed, "g"), reports.markdown_lines(placed, "g"), reports.json_lines(placed, "g")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        above, below = plan.split("Exchange rangepartitioning")
+        assert "lines" in above and "Link: ,\n" not in below
+        assert not any(text in below.split("Union")[1] for text in ("      Link: ", "More Information", "to_json"))
+        assert "_bucket" not in plan
+
+
+def test_compressed_reports_are_the_same_documents(spark, opps, tmp_path):
+    import gzip
+    plain = sinks.save_all(opps, str(tmp_path / "a"), NOW)
+    small = sinks.save_all(opps, str(tmp_path / "b"), NOW, compression="gzip")
+    for kind, path in small.items():
+        files = sorted(glob.glob(f"{path}/part-*"))
+        assert all(f.endswith(".gz") for f in files)
+        assert gzip.decompress(b"".join(open(f, "rb").read() for f in files)).decode() == read(plain[kind])
