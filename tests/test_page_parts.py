@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from noticeloom.operators import page_parts as P
 from noticeloom.operators.nodes import parse_pages, parse_tree
@@ -55,6 +56,27 @@ def test_an_open_script_takes_the_rest():
     assert [r[4] for r in rows] == ["title", "textarea"] and segs == ["x <b>y", "z", "w"]
 
 
+def test_comments_and_raw_text_end_where_the_long_pattern_ends_them():
+    def seen(html):
+        rows, segs = parse_tree(html)
+        return [r[4] for r in rows], segs
+
+    assert seen("<!--><p>a--><b>c</b>") == (["b"], ["c"])
+    assert seen("<script>a</scripts></\u017fcript></SCRIPT x><p>b") == (["script", "p"], ["b"])
+    assert seen("<title>a<b></title/ ><i>c</title>") == (["title", "i"], ["a<b>", "c"])
+    assert seen("<style>a</style") == (["style"], [])
+    assert seen("<p>a<!-- b > c") == (["p"], ["a", "c"])
+
+
+def test_strings_of_elements_with_none_one_and_several(spark):
+    from noticeloom.operators.nodes import glued, spaced
+    page = parsed(spark, "<ul><li></li><li>a<li>b<b>c</b></ul>", "<p>")
+    rows = page.select("page_id", F.transform(
+        "nodes", lambda n: F.struct(glued(n).alias("g"), spaced(n).alias("s"))).alias("x")).collect()
+    assert {r.page_id: [tuple(e) for e in r.x] for r in rows} == {
+        0: [("abc", "a b c"), ("", ""), ("a", "a"), ("bc", "b c"), ("c", "c")], 1: [("", "")]}
+
+
 def test_odd_input_never_raises_or_hangs():
     for html in ("", "<", "<a", "<a href='", "</", "<!--", "<script>", "<a b=\"" * 20000,
                  "<p" * 5000, "</p>" * 5000, "<<<>>>", "<div/>x", "\x00"):

@@ -105,3 +105,9 @@ def test_tables_that_are_small_as_files_only_are_not_broadcast(spark):
 def test_only_the_texts_shown_are_put_together(spark):
     made = plan(QUERIES["nested_nodes"](spark, SF))
     assert "transform(filter(nodes" in made
+
+
+def test_counts_of_pages_move_instead_of_their_parts(spark):
+    made = plan(QUERIES["extraction_metrics"](spark, SF))
+    # The arrays are counted below the exchange, where they were made.
+    assert "size(blocks" in made and "size(blocks" not in made.split("Exchange")[0]
