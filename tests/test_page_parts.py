@@ -211,3 +211,15 @@ def test_quotes_comments_and_raw_text_take_the_long_pattern():
     assert tags("<!-- <i> --><p>1 < 2 <b") == ["p"]
     assert tags("<STYLE>a<b></style ><td>") == ["style", "td"]
     assert tags('<x"<img src="a>b"/>') == ['x"<img']
+
+
+def test_every_element_of_the_nested_pages_is_shown(spark):
+    import re
+    from noticeloom.checks.queries import QUERIES
+    from noticeloom.sources import order_notices as N
+    sf = "/root/testdata/sf0.001"
+    want = {r.page_id: sorted(re.findall(r"<(\w+)", r.html)) for r in N.nested_pages(spark, sf).collect()}
+    got = {}
+    for r in QUERIES["nested_nodes"](spark, sf).collect():
+        got.setdefault(r.page_id, []).append(r.tag)
+    assert {page: sorted(tags) for page, tags in got.items()} == want
