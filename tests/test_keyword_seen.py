@@ -68,3 +68,21 @@ def test_seen_store_is_exact_when_its_filters_are_full(spark, tmp_path):
         spark.sql("select -1L as id, cast(null as string) as url"))
     store.add(pages.where("id % 2 = 0"), "a")
     assert sorted(r.id for r in store.unseen(pages).collect()) == [-1, *range(1, 300, 2)]
+
+
+def test_runs_of_texts_and_what_they_meet_do_not_move(spark):
+    texts = spark.createDataFrame(TEXTS, "doc long, text string, run string")
+    terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
+    plan = find_terms(texts, terms, ["doc"])._jdf.queryExecution().executedPlan().toString()
+    # Above the exchanges of texts and terms, both by bucket alone, there is no other.
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "_h#" not in line]
+    assert len(dealt) == 2 and all("REPARTITION_BY_COL" in line for line in dealt)
+
+
+def test_many_texts_against_contains(spark):
+    rows = [(i, "".join(chr(97 + (i * k * k + k) % 23) for k in range(i % 60)), "x") for i in range(400)]
+    terms = [r[1][i % 7:i % 7 + 1 + i % 9] for i, r in enumerate(rows)] + ["ab", "zz"]
+    got = find_terms(spark.createDataFrame(rows, "doc long, text string, run string").repartition(3),
+                     spark.createDataFrame([(t,) for t in terms], "term string"), ["doc"], hot=3)
+    assert sorted(map(tuple, got.collect()), key=repr) == want(rows, terms)
