@@ -104,3 +104,28 @@ def test_titles_that_differ_in_a_number_between_stock_phrases_are_few_pairs(spar
     got = misspelt_titles(rows, ["g"], edits=edits, hot=5)
     assert {(r.second, r.first, r.distance) for r in got.collect()} == want
     assert 10 < len(want) <= met.count() < len(titles) ** 2 / 20
+
+
+def test_remainders_are_not_rows(spark):
+    names = spark.range(50).selectExpr("1 as g", "id as n", "concat('renewal of lot ', id * 7) as t", "id as s")
+    plan = _same_remainder(names, ["g"], 2)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_pairs_are_the_same_in_several_turns(monkeypatch):
+    import pyarrow as pa
+    from noticeloom.operators import misspelt
+    draw = random.Random(5)
+    titles = sorted({"lot " + "".join(draw.choice("abé😀") for _ in range(draw.randrange(9))) for _ in range(150)})
+    batch = pa.RecordBatch.from_pydict({
+        "g": [1] * len(titles), "n": list(range(len(titles))), "t": titles, "s": list(range(len(titles))),
+        "gone": pa.array([[]] * len(titles), pa.list_(pa.int32())), "salt": [-7] * len(titles)})
+    schema = pa.schema([("g_1", pa.int64()), ("g_2", pa.int64()), ("t1", pa.string()), ("s1", pa.int64()),
+                        ("t2", pa.string()), ("s2", pa.int64())])
+    found = []
+    for held in (8_000_000, 500, 64):
+        monkeypatch.setattr(misspelt, "HELD", held)
+        out = pa.Table.from_batches(misspelt._pairs(1, 2, "", schema)(iter([batch]))).to_pylist()
+        found.append({(min(r["t1"], r["t2"]), max(r["t1"], r["t2"])) for r in out})
+    assert found[0] == found[1] == found[2]
+    assert {(a, b) for i, a in enumerate(titles) for b in titles[i + 1:] if distance(a, b) <= 2} <= found[0]
