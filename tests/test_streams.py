@@ -77,6 +77,15 @@ def test_runs_are_compared_without_python(spark, tmp_path):
     assert "Join FullOuter" in text and "InPandas" not in text
 
 
+def test_a_number_of_a_content_moves_and_old_state_goes(runs, spark, tmp_path):
+    land, follow = runs
+    land(1, ("u", "a", 1, "x"))
+    follow()
+    assert spark.conf.get("spark.sql.streaming.minBatchesToRetain") == "2"
+    found = spark.readStream.schema(RUN).parquet(str(tmp_path / "in"))
+    assert {"now": "bigint", "was": "bigint"}.items() <= dict(compared_runs(found, DAY, DAY).dtypes).items()
+
+
 REGISTRY = "entry long, rfp_url string, active boolean, max_pdfs_to_extract int"
 
 
