@@ -138,3 +138,21 @@ def test_a_document_and_a_link_of_a_shared_page_are_kept_once_and_on_disk(spark,
              .option("joinSide", side).load(progress).count() for side in ("left", "right")}
     assert state == {"left": 2, "right": 5}
     assert list((tmp_path / "progress" / "state").rglob("*.zip"))
+
+
+def test_html_moves_once_and_pages_without_links_leave_no_state(spark, tmp_path):
+    from noticeloom.streaming.late_documents import linked_documents
+    registry = spark.createDataFrame([(1, "https://x/a", True, 5), (2, "https://x/b", True, 5)], REGISTRY)
+    pages, documents, progress = (str(tmp_path / d) for d in ("pages", "documents", "progress"))
+    spark.createDataFrame([("https://x/a", "<a href=1.pdf>1</a><a href=2.pdf>2</a>", day(10)),
+                           ("https://x/b", "<p>no link", day(10))], PAGE).coalesce(1).write.parquet(pages)
+    spark.createDataFrame([("https://x/1.pdf", "text", {}, day(10))], DOCUMENT).coalesce(1).write.parquet(documents)
+    streams = [spark.readStream.schema(s).parquet(p) for s, p in ((PAGE, pages), (DOCUMENT, documents))]
+    text = linked_documents(*streams, registry, DAY, DAY)._jdf.queryExecution().analyzed().toString()
+    below = [text.splitlines()[i:] for i, line in enumerate(text.splitlines()) if "DeduplicateWithinWatermark" in line]
+    assert any("MapInArrow" in line for line in below[0]) and "link_no" in below[0][0]
+    follow_documents(spark, pages, documents, registry, str(tmp_path / "out"), progress, wait=DAY, late=DAY)
+    kept = [spark.read.format("statestore").option("operatorId", r.operatorId).load(progress).count()
+            for r in spark.read.format("state-metadata").load(progress).where(
+                "operatorName = 'dedupeWithinWatermark'").select("operatorId").distinct().collect()]
+    assert sorted(kept) == [1, 2]   # a document, two links
