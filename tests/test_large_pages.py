@@ -52,3 +52,23 @@ def test_small_pages_share_batches_and_large_ones_are_cut():
         want = [(page, k) for page, text in enumerate(html)
                 for k in range(1, len(large_pages.parse_tree(text or "")[kind == "seg"]) + 1)]
         assert got == want
+
+
+def test_same_blocks_where_texts_cross_stretches(spark, monkeypatch):
+    monkeypatch.setattr(large_pages, "STRETCH", 3)
+    pages = N.nested_pages(spark, "/root/testdata/sf0.001").where("page_id % 300 = 0").select("page_id", "url", "html")
+    want = plain(page_blocks(parse_pages(pages)))
+    assert plain(large_page_blocks(pages)) == want and len(want) > 10
+
+
+def test_the_element_after_a_header_is_known_where_the_page_is_parsed(spark):
+    html = "<div><h2>rfp<b>x</b></h2><p>a<h3>t</h3></div><h1>last</h1>"
+    nodes, _ = large_pages.parse_tree(html)
+    after = dict(zip(((n[0], n[4]) for n in nodes), large_pages._after_headers(nodes)))
+    assert {tag: h for (_, tag), h in after.items()} == {"div": None, "h2": None, "b": None, "p": 2, "h3": None, "h1": None}
+    pages = spark.createDataFrame([(1, "u", html)], SCHEMA)
+    found = large_page_blocks(pages)
+    assert [(b.page_id, b.url, b.tag) for b in found.collect()] == [(1, "u", "p")]
+    # Neither all elements nor the keys of a page move with its rows: the pages meet their blocks last.
+    moved = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert moved and not any("url#" in line for line in moved)
