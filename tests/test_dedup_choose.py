@@ -135,3 +135,14 @@ def test_similar_titles_of_a_hot_group_are_not_paired(spark):
         F.lit("request for proposal number "), F.col("id").cast("string"), F.lit(" lot "),
         (F.col("id") * 7).cast("string"), F.lit(" of "), (F.col("id") * 13 + 1).cast("string")).alias("title"))
     assert dedup.similar_titles(df, ["g"]).count() < 50
+
+
+def test_a_title_does_not_move_to_meet_itself(spark):
+    """Without copies and contained titles nothing is grouped by the titles cut out."""
+    rows = [("a", i, f"Request for proposal number {i:04d} lot") for i in range(40)] + [("a", 90, "short"), ("b", 91, "short")]
+    df = spark.createDataFrame(rows, "g string, seq long, title string")
+    kept = dedup.drop_contained(df, ["g"])
+    assert sorted(map(tuple, kept.collect())) == sorted(rows)
+    assert "copied#" in kept._jdf.queryExecution().executedPlan().toString()
+    twice = spark.createDataFrame([*rows, ("a", 99, "SHORT"), ("b", 98, "lot")], "g string, seq long, title string")
+    assert sorted(r.seq for r in dedup.drop_contained(twice, ["g"]).collect()) == [*range(40), 90, 91, 98]

@@ -33,3 +33,15 @@ def skewed(tmp_path_factory):
 def test_skewed(spark, skewed, name):
     got = entry.queries()[name](spark, skewed)
     assert compare(got, connect(skewed), entry.oracle_sql()[name]) is None
+
+
+def test_a_sieve_keeps_all_that_is_asked_for(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from noticeloom.plans import opportunities as O
+    docs = spark.range(20_000).select(F.concat(F.lit("https://x/"), "id").alias("url"), F.col("id").alias("n"))
+    wanted = docs.where("n % 50 = 0").select("url").unionByName(spark.sql("select cast(null as string) as url"))
+    for words in (1 << 20, 64):
+        monkeypatch.setattr(O, "SIEVE", words)
+        got = {r.n for r in O.sieve(docs, wanted).collect()}
+        assert got >= set(range(0, 20_000, 50)) and len(got) < (402 if words > 64 else 4_000)
+    assert O.sieve(docs, wanted.limit(0)).count() == 0
