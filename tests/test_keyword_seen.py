@@ -77,7 +77,7 @@ def test_runs_of_texts_and_what_they_meet_do_not_move(spark):
     # Above the exchanges of texts and terms, both by bucket alone, there is no other.
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "_h#" not in line]
-    assert len(dealt) == 2 and all("REPARTITION_BY_COL" in line for line in dealt)
+    assert len(dealt) == 2 and all("REPARTITION_BY_NUM" in line for line in dealt)
 
 
 def test_many_texts_against_contains(spark):
